@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm import packing, simhash, tokens
+from kairograph.llm import packing, simhash, tokens, warc
 from kairograph.llm.common import table
 
 
@@ -23,11 +23,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_digits().alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict:
     return {
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_token_counts": op8_token_counts,
         "op9_simhash": op9_simhash,
+        "op10_warc_zstd": op10_warc_zstd,
     }
 
 

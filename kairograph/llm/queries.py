@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm import brown_lm, decontaminate, line_dedup, packing, quality_classifier, quality_rules, simhash, tokens, warc
+from kairograph.llm import brown_lm, decontaminate, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, tokens, warc
 from kairograph.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest().alias("items_sha256"), "contaminated")
@@ -56,6 +60,7 @@ def queries() -> dict:
         "op1_brown_lm": op1_brown_lm,
         "op2_quality_rules": op2_quality_rules,
         "op3_line_dedup": op3_line_dedup,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_decontaminate": op5_decontaminate,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_best_fit_packing": op7_best_fit_packing,

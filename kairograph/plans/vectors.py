@@ -155,7 +155,7 @@ SQL = {
     "level_members": f"WITH {_E}, {_F} SELECT CAST(level AS BIGINT) AS level, key, count(*) AS n, min(fact_id) AS least, max(pos) AS last FROM members GROUP BY level, key",
     "index_statistics": f"WITH {_E}, {_F} SELECT CAST(level AS BIGINT) AS level, count(*) AS n, max(len(v)) AS dim FROM units GROUP BY level",
     "level_expand": f"""WITH {_E}, {_F}, s AS (SELECT q.id AS query_id, u.key, row_number() OVER (PARTITION BY q.id ORDER BY {_DIST}, u.key) AS rank FROM e q, units u WHERE q.id % 50 = 0 AND u.level = 2),
-      x AS (SELECT query_id, fact_id, min((rank, pos)) AS at FROM s JOIN members ON members.key = s.key AND level = 2 WHERE rank <= 3 GROUP BY query_id, fact_id) SELECT query_id, count(*) AS n, arg_min(fact_id, row(at, fact_id)) AS first, arg_max(fact_id, row(at, fact_id)) AS last FROM x GROUP BY query_id""",
+      x AS (SELECT query_id, fact_id, min((rank, pos)) AS place FROM s JOIN members ON members.key = s.key AND level = 2 WHERE rank <= 3 GROUP BY query_id, fact_id) SELECT query_id, count(*) AS n, arg_min(fact_id, row(place, fact_id)) AS first, arg_max(fact_id, row(place, fact_id)) AS last FROM x GROUP BY query_id""",
     "resolve_queries": f"""WITH {_E}, {_F}, s AS (SELECT q.id AS query_id, u.level, u.key, row_number() OVER (PARTITION BY q.id ORDER BY {_DIST}, u.key) AS rank FROM e q JOIN units u ON u.level = q.id // 10 % 4 WHERE q.id % 10 = 0),
       x AS (SELECT DISTINCT query_id, members.fact_id FROM s JOIN members ON members.key = s.key AND members.level = s.level WHERE rank <= 3), y AS (SELECT x.query_id, f.*, DATE '2000-06-01' + CAST(x.query_id AS INT) AS as_of FROM x JOIN f USING (fact_id))
       SELECT query_id, count(*) AS n, min(fact_id) AS least FROM y WHERE CASE query_id % 3 WHEN 0 THEN valid_to IS NULL WHEN 1 THEN valid_from <= as_of AND (valid_to IS NULL OR as_of < valid_to) ELSE TRUE END GROUP BY query_id""",

@@ -68,10 +68,8 @@ def prompts(spark: SparkSession, path: str, fmt: str = "text") -> DataFrame:
         rows = spark.read.text(path).select(F.trim("value").alias("text"))
     else:
         whole = spark.read.option("wholetext", True).text(path)
-        as_objects, as_strings = F.from_json("value", "array<struct<text:string>>"), F.from_json("value", "array<string>")
-        plain = F.filter(as_strings, lambda x: ~x.startswith("{"))
-        objects = F.filter(F.transform(as_objects, lambda o: o["text"]), lambda x: x.isNotNull())
-        rows = whole.select(F.explode(F.concat(F.coalesce(objects, F.array().cast("array<string>")), F.coalesce(plain, F.array().cast("array<string>")))).alias("text"))
+        items = whole.select(F.explode(F.from_json("value", "array<string>")).alias("x"))
+        rows = items.select(F.when(F.col("x").startswith("{"), F.get_json_object("x", "$.text")).otherwise(F.col("x")).alias("text"))
     return rows.filter(F.trim("text") != "")
 
 

@@ -10,12 +10,18 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from kairograph.functions.text import parse_pub_date, pmcid
 
-_PARSED = """path string, parse_error string, pmid string, given_pmcid string, doi string, title string, abstract string, journal string, year string, month string, day string,
-authors array<string>, keywords array<string>, body_sections array<struct<ord:int,name:string,text:string>>,
-references array<struct<id:string,title:string,authors:string,journal:string,year:string>>"""
+_STRINGS = ("path", "parse_error", "pmid", "given_pmcid", "doi", "title", "abstract", "journal", "year", "month", "day")
+_PARSED = StructType(
+    [StructField(c, StringType()) for c in _STRINGS]
+    + [StructField(c, ArrayType(StringType())) for c in ("authors", "keywords")]
+    + [StructField("body_sections", ArrayType(StructType([StructField("ord", IntegerType()), StructField("name", StringType()), StructField("text", StringType())])))]
+    + [StructField("references", ArrayType(StructType([StructField(c, StringType()) for c in ("id", "title", "authors", "journal", "year")])))]
+)
+_NAMES = _PARSED.names
 
 
 def _text(node: ET.Element | None) -> str:
@@ -63,7 +69,7 @@ def _references(root: ET.Element) -> list[dict]:
 
 def parse_article(path: str, data: bytes) -> dict:
     """The columns of one file; ``parse_error`` says why it has none."""
-    row: dict = {"path": path, "parse_error": None}
+    row: dict = dict.fromkeys(_NAMES) | {"path": path}
     try:
         root = ET.fromstring(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
     except (ET.ParseError, OSError, EOFError) as e:
@@ -86,9 +92,8 @@ def scan(spark: SparkSession, directory: str, pattern: str = "*.{xml,xml.gz,nxml
         files = files.orderBy("path").limit(max_papers)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in _PARSED.replace("\n", " ").split(", ")]
         for f in frames:
-            yield pd.DataFrame([parse_article(p, bytes(c)) for p, c in zip(f["path"], f["content"])], columns=names)
+            yield pd.DataFrame([parse_article(p, bytes(c)) for p, c in zip(f["path"], f["content"])], columns=_NAMES, dtype=object)
 
     parsed = files.mapInPandas(run, _PARSED)
     bad = parsed.filter("parse_error is not null").select("path", "parse_error")

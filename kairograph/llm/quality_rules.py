@@ -24,6 +24,7 @@ COMMON_WORDS = {
 WHITE = r"[\x20\x09-\x0D]+"
 #: Regular expressions of the counted character classes; white space and the rest (mostly lower-case letters) come from lengths.
 CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "symbol": "[#*$%&|<>]", "point": r"[!-/:-@\[-`{-~&&[^#*$%&|<>]]", "beyond": r"[^\x00-\x7F]"}
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
 #: Distances above these are rejected, for texts of at least so many characters or words.
 MAX_CLASS_DISTANCE, MIN_CHARS = 0.24, 500
 MAX_WORD_DISTANCE, MIN_WORDS = 0.245, 120
@@ -74,31 +75,34 @@ def repeated_words(words: Column, width: int = 8) -> Column:
     return F.when(F.size(words) < width, F.lit(0)).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), of_hashes)).cast("long")
 
 
-def _measured(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """``docs`` with _words, _classes (seven counts) and _common (counts of the language's words, then of all others; null without a reference)."""
-    out = docs.withColumn("_text", text_or_empty(text_col)).withColumn("_words", words_of(F.col("_text")))
-    white = F.length("_text") - F.length(F.array_join("_words", ""))
-    counts = [F.regexp_count(F.col("_text"), F.lit(p)).cast("long") for p in CLASSES.values()]
-    rest = F.length("_text") - white - sum(counts, F.lit(0))
+def _histograms(text: Column, words: Column, lang: Column) -> Column:
+    """Struct of classes (seven counts) and common (counts of the language's words, then of all others; null without a reference)."""
+    white = F.length(text) - F.length(F.array_join(words, ""))
+    counts = [F.regexp_count(text, F.lit(p)).cast("long") for p in CLASSES.values()]
     listed = F.lit(None).cast("array<string>")
-    for lang, words in COMMON_WORDS.items():
-        listed = F.when(F.col(lang_col) == lang, F.array(*map(F.lit, words))).otherwise(listed)
+    for name, common in COMMON_WORDS.items():
+        listed = F.when(lang == name, F.array(*map(F.lit, common))).otherwise(listed)
     every = sorted({w for x in COMMON_WORDS.values() for w in x})
 
+    def classes(c: Column) -> Column:
+        rest = F.length(text) - white - F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + x)
+        return F.concat(F.array(white.cast("long"), rest.cast("long")), c)
+
     def histogram(found: Column) -> Column:
         each = F.transform(listed, lambda c: F.size(F.filter(found, lambda w: w == c)).cast("long"))
-        return let(each, lambda e: F.concat(e, F.array(F.size("_words") - F.aggregate(e, F.lit(0).cast("long"), lambda n, x: n + x))))
+        return let(each, lambda e: F.concat(e, F.array(F.size(words) - F.aggregate(e, F.lit(0).cast("long"), lambda n, x: n + x))))
 
-    common = F.when(listed.isNotNull(), let(F.filter("_words", lambda w: w.isin(every)), histogram))
-    return out.withColumn("_classes", F.array(white.cast("long"), rest.cast("long"), *counts)).withColumn("_common", common)
+    common = F.when(listed.isNotNull(), let(F.filter(words, lambda w: w.isin(every)), histogram))
+    return F.struct(let(F.array(*counts), classes).alias("classes"), common.alias("common"))
 
 
 def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, dict[str, list[float]]]:
     """Shares of character classes and common words by language, and of classes over all ("*"): five entries at most."""
     sizes = 2 + len(CLASSES), 1 + len(next(iter(COMMON_WORDS.values())))
-    sums = [F.sum(F.col("_classes")[k]).alias(f"c{k}") for k in range(sizes[0])] + [F.sum(F.col("_common")[k]).alias(f"w{k}") for k in range(sizes[1])]
+    sums = [F.sum(F.col("h.classes")[k]).alias(f"c{k}") for k in range(sizes[0])] + [F.sum(F.col("h.common")[k]).alias(f"w{k}") for k in range(sizes[1])]
     known = F.when(F.col(lang_col).isin(*COMMON_WORDS), F.col(lang_col)).otherwise(F.lit("*")).alias("lang")
-    rows = _measured(docs.select(text_col, lang_col), text_col, lang_col).groupBy(known).agg(*sums).collect()
+    counted = docs.select(known, let(words_of(text_or_empty(text_col)), lambda w: _histograms(text_or_empty(text_col), w, F.col(lang_col))).alias("h"))
+    rows = counted.groupBy("lang").agg(*sums).collect()
     out, every = {}, [0] * sizes[0]
     share = lambda counts: [c / max(1, sum(counts)) for c in counts]
     for r in rows:
@@ -145,20 +149,33 @@ def quality_rules(
         if lang != "*":
             classes = F.when(F.col(lang_col) == lang, literal(shares["classes"])).otherwise(classes)
             words = F.when(F.col(lang_col) == lang, literal(shares["words"])).otherwise(words)
-    lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = _measured(docs, text_col, lang_col)
-    out = out.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": F.col("_classes")[2 + list(CLASSES).index("symbol")],
-            "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("_words")),
-            "class_distance": F.when(F.length("_text") >= min_chars, js_distance(F.col("_classes"), classes)),
-            "word_distance": F.when(F.size("_words") >= min_words, js_distance(F.col("_common"), words)),
-        }
-    )
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    fits = (F.coalesce("class_distance", F.lit(0.0)) <= max_class_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance)
-    out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & fits)
-    return out.drop("_text", "_words", "_classes", "_common")
+    text = text_or_empty(text_col)
+
+    def measured(w: Column) -> Column:
+        lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            repeated_words(w).alias("n_repeat_words"),
+            _histograms(text, w, F.col(lang_col)).alias("h"),
+        )
+
+    def compared(m: Column) -> Column:
+        return F.struct(
+            m.alias("m"),
+            F.when(F.length(text) >= min_chars, js_distance(m["h"]["classes"], classes)).alias("class_distance"),
+            F.when(m["n_words"] >= min_words, js_distance(m["h"]["common"], words)).alias("word_distance"),
+        )
+
+    def judged(c: Column) -> Column:
+        m = c["m"]
+        failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+        fits = (F.coalesce(c["class_distance"], F.lit(0.0)) <= max_class_distance) & (F.coalesce(c["word_distance"], F.lit(0.0)) <= max_word_distance)
+        shown = [m["n_words"], m["word_chars"], m["h"]["classes"][2 + list(CLASSES).index("symbol")], m["n_dup_lines"], m["n_repeat_words"], failed, c["class_distance"], c["word_distance"], ~failed & fits]
+        return F.struct(*[x.alias(name) for x, name in zip(shown, RESULTS)])
+
+    # one expression, each part bound once: a filter on the verdict that is pushed below doesn't work the text out again
+    verdict = let(let(let(words_of(text), measured), compared), judged)
+    own = [c for c in docs.columns if c not in RESULTS]
+    return docs.select(*own, verdict.alias("_verdict")).select(*own, "_verdict.*")

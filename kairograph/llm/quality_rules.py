@@ -179,3 +179,36 @@ def quality_rules(
     verdict = let(let(let(words_of(text), measured), compared), judged)
     own = [c for c in docs.columns if c not in RESULTS]
     return docs.select(*own, verdict.alias("_verdict")).select(*own, "_verdict.*")
+
+
+def _oracle_sql() -> str:
+    """The rows of op2 for DuckDB, by windows and histograms as tables."""
+    counted = {"upper": "[A-Z]", "digit": "[0-9]", "symbol": "[#*$%&|<>]", "point": r"""[!"''()+,\-./:;=?@\[\\\]^_`{}~]""", "beyond": r"[^\x00-\x7F]"}
+    number = lambda p: f"length(text) - length(regexp_replace(text, '{p}', '', 'g'))"
+    listed = " ".join(f"WHEN '{lang}' THEN [" + ", ".join(f"'{w}'" for w in words) + "]" for lang, words in COMMON_WORDS.items())
+    known = ", ".join(f"'{x}'" for x in COMMON_WORDS)
+    terms = "CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+  CASE lang {listed} END AS common FROM d),
+m AS (SELECT r, doc_id, lang, length(text) AS chars, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {number(counted["symbol"])} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+  {", ".join(f"{number(p)} AS c_{k}" for k, p in counted.items())}, list_transform(common, lambda c: len(list_filter(w, lambda x: x = c))) AS com FROM w),
+g AS (SELECT r, i, list_slice(w, i, i + 7) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+h AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS k FROM g),
+rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM h WHERE k > 1) GROUP BY r),
+lists AS (SELECT *, [chars - word_chars, word_chars - c_upper - c_digit - c_symbol - c_point - c_beyond, c_upper, c_digit, c_symbol, c_point, c_beyond] AS cls, list_append(com, n_words - list_sum(com)) AS words FROM m),
+cells AS (SELECT r, lang, 'c' AS kind, unnest(cls) AS n, unnest(range(0, 7)) AS k FROM lists UNION ALL SELECT r, lang, 'w', unnest(words), unnest(range(0, 17)) FROM lists WHERE words IS NOT NULL),
+sums AS (SELECT CASE WHEN lang IN ({known}) THEN lang ELSE '*' END AS lang, kind, k, sum(n) AS n FROM cells GROUP BY 1, 2, 3),
+pooled AS (SELECT '*' AS lang, kind, k, sum(n) AS n FROM sums WHERE kind = 'c' GROUP BY kind, k),
+refs AS (SELECT lang, kind, k, n / greatest(1, sum(n) OVER (PARTITION BY lang, kind)) AS q FROM (SELECT * FROM sums WHERE lang <> '*' UNION ALL SELECT * FROM pooled)),
+shares AS (SELECT r, CASE WHEN lang IN ({known}) THEN lang ELSE '*' END AS lang, kind, k, n / nullif(sum(n) OVER (PARTITION BY r, kind), 0) AS p FROM cells),
+dist AS (SELECT r, kind, sqrt(greatest(0, sum({terms}) / 2)) AS d FROM shares JOIN refs USING (lang, kind, k) WHERE p IS NOT NULL GROUP BY r, kind),
+j AS (SELECT m.*, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * n_words AS base_failed,
+  (SELECT d FROM dist WHERE dist.r = m.r AND kind = 'c') AS cd, (SELECT d FROM dist WHERE dist.r = m.r AND kind = 'w') AS wd FROM m LEFT JOIN rep USING (r))
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND (chars < {MIN_CHARS} OR coalesce(cd, 0) <= {MAX_CLASS_DISTANCE}) AND (n_words < {MIN_WORDS} OR coalesce(wd, 0) <= {MAX_WORD_DISTANCE}) AS kept FROM j
+"""
+
+
+ORACLE_SQL = _oracle_sql()

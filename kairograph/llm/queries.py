@@ -72,6 +72,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_quality_rules": quality_rules.ORACLE_SQL,
         "op3_line_dedup": line_dedup.ORACLE_SQL,
         "op5_decontaminate": decontaminate.ORACLE_SQL,
     }

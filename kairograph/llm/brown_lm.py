@@ -36,6 +36,7 @@ class _Items:
     """Ids of items: 0 the end, then frequent words, then buckets."""
 
     words: dict[bytes, int]
+    key: str = ""
 
     @property
     def first_bucket(self) -> int:
@@ -45,20 +46,39 @@ class _Items:
     def number(self) -> int:
         return self.first_bucket + BUCKETS
 
-    def encode(self, words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
+    def item(self, word: bytes) -> int:
+        return self.words[word] if word in self.words else self.first_bucket + bucket(word)
+
+
+class _Lookup(dict):
+    """Items of words, worked out at their first use; bounded: beyond ``room`` entries they are worked out each time."""
+
+    def __init__(self, items: _Items, room: int = 500_000) -> None:
+        super().__init__(items.words)
+        self.first, self.room = items.first_bucket, room
+
+    def __missing__(self, word: bytes) -> int:
+        item = self.first + zlib.crc32(word[-3:]) % BUCKETS
+        if len(self) < self.room:
+            self[word] = item
+        return item
+
+    def sequence(self, words: list[bytes]) -> np.ndarray:
         """Items of a text: end, words, end."""
-        out = [0]
-        for w in words:
-            item = cache.get(w)
-            if item is None:
-                item = self.words.get(w)
-                if item is None:
-                    item = self.first_bucket + bucket(w)
-                if len(cache) < 400_000:
-                    cache[w] = item
-            out.append(item)
-        out.append(0)
-        return np.array(out, dtype=np.int64)
+        out = np.zeros(len(words) + 2, np.int64)
+        out[1:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return out
+
+
+#: A worker's lookup outlives its tasks: all passes of one training share the items.
+_LOOKUPS: dict[str, _Lookup] = {}
+
+
+def _lookup(items: _Items) -> _Lookup:
+    if items.key not in _LOOKUPS:
+        _LOOKUPS.clear()
+        _LOOKUPS[items.key] = _Lookup(items)
+    return _LOOKUPS[items.key]
 
 
 def _words(batch: pa.RecordBatch, column: int) -> Iterator[list[bytes]]:
@@ -96,44 +116,40 @@ def _start_classes(items: _Items) -> np.ndarray:
     return classes
 
 
-def _contexts(training: DataFrame, text_col: str, items, classes: np.ndarray) -> DataFrame:
+def _encoded(training: DataFrame, text_col: str, items) -> DataFrame:
+    """(items array<int>): the training texts as item ids, an end on both sides; written once, read by every round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = _lookup(items.value)
+        for batch in batches:
+            texts = [lookup.sequence(words) for words in _words(batch, 0)]
+            ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            flat = np.concatenate([np.empty(0, np.int64), *texts]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["items"])
+
+    return materialize(training.select(utf8(text_col)).mapInArrow(run, "items array<int>"), "encoded")
+
+
+def _contexts(encoded: DataFrame, number: int, classes: np.ndarray) -> DataFrame:
     """(item, left, right): how often each class stands before and after the item, over all training texts.
 
     A task adds up its rows in two arrays of items by classes (bounded) and hands on the items it has seen.
     """
-    spark = training.sparkSession
-    shared = spark.sparkContext.broadcast((items.value.words, classes))
+    spark = encoded.sparkSession
+    shared = spark.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, classes = shared.value
-        items, cache = _Items(words), {}
-        size = items.number * CLASSES
+        classes, size = shared.value, number * CLASSES
         left, right = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        pending, held = [], 0
-
-        def add() -> None:
-            seq = np.concatenate(pending)
-            a, b = seq[:-1], seq[1:]
-            within = ~((a == 0) & (b == 0) & joints(len(seq)))
-            a, b = a[within], b[within]
-            left[:] += np.bincount(b * CLASSES + classes[a], minlength=size)
-            right[:] += np.bincount(a * CLASSES + classes[b], minlength=size)
-
-        def joints(n: int) -> np.ndarray:
-            """Where one text's last end meets the next one's first."""
-            at = np.zeros(n - 1, bool)
-            at[np.cumsum([len(p) for p in pending])[:-1] - 1] = True
-            return at
-
         for batch in batches:
-            for text in _words(batch, 0):
-                pending.append(items.encode(text, cache))
-                held += len(pending[-1])
-                if held > 2_000_000:
-                    add()
-                    pending, held = [], 0
-        if pending:
-            add()
+            lists = batch.column(0)
+            flat = lists.flatten().to_numpy().astype(np.int64)
+            inside = np.ones(max(0, len(flat) - 1), bool)
+            joints = np.cumsum(lists.value_lengths().to_numpy())[:-1] - 1  # one text's last end and the next one's first
+            inside[joints] = False
+            a, b = flat[:-1][inside], flat[1:][inside]
+            left += np.bincount(b * CLASSES + classes[a], minlength=size)
+            right += np.bincount(a * CLASSES + classes[b], minlength=size)
         left, right = left.reshape(-1, CLASSES), right.reshape(-1, CLASSES)
         seen = np.flatnonzero(left.any(axis=1) | right.any(axis=1))
         for at in range(0, len(seen), 4096):
@@ -160,7 +176,7 @@ def _contexts(training: DataFrame, text_col: str, items, classes: np.ndarray) ->
         if item is not None:
             yield out()
 
-    parts = training.select(utf8(text_col)).mapInArrow(run, "item long, left array<long>, right array<long>")
+    parts = encoded.mapInArrow(run, "item long, left array<long>, right array<long>")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return parts.repartition(partitions, "item").sortWithinPartitions("item").mapInArrow(total, "item long, left array<long>, right array<long>")
 
@@ -257,13 +273,14 @@ def train(training: DataFrame, text_col: str = "text", rounds: int = ROUNDS, sha
     tokens, distinct = totals.n or 0, totals.v
     frequent = counts.filter((F.col("n") >= max(1.0, tokens * share)) & (F.length("word") > 0)).collect()  # 1 / share rows at most
     frequent.sort(key=lambda r: (-r.n, bytes(r.word)))
-    items = _Items({bytes(r.word): 1 + k for k, r in enumerate(frequent)})
+    items = _Items({bytes(r.word): 1 + k for k, r in enumerate(frequent)}, uuid.uuid4().hex)
     held = spark.sparkContext.broadcast(items)
     classes = _start_classes(items)
-    contexts = materialize(_contexts(training, text_col, held, classes), "contexts")
+    encoded = _encoded(training, text_col, held)
+    contexts = materialize(_contexts(encoded, items.number, classes), "contexts")
     for turn in range(rounds):
         classes = exchange(contexts, classes, _transitions(contexts, classes), turn)
-        contexts = materialize(_contexts(training, text_col, held, classes), "contexts")
+        contexts = materialize(_contexts(encoded, items.number, classes), "contexts")
     pairs = _transitions(contexts, classes)
     shared = spark.sparkContext.broadcast(classes)
 
@@ -272,8 +289,7 @@ def train(training: DataFrame, text_col: str = "text", rounds: int = ROUNDS, sha
         items = held.value
         for batch in batches:
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                item = 0 if word == END else items.words.get(word, -1)
-                sums[shared.value[items.first_bucket + bucket(word) if item < 0 else item]] += (n, 1)
+                sums[shared.value[0 if word == END else items.item(word)]] += (n, 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["c", "n", "v"])
 
     by_class = counts.select("word", "n").mapInArrow(run, "c long, n long, v long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
@@ -298,25 +314,32 @@ def score(docs: DataFrame, model: BrownModel, text_col: str = "text", count_shar
     held = model.items
     given = docs.select(*own, utf8(text_col).alias("_bytes"))
     schema = with_fields(given.drop("_bytes").schema, "_key string, n_tokens long, _known long, _counts double, _steps double, _rare array<struct<word: binary, k: long>>")
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, classes, steps = known.value
-        items, cache = held.value, {}
+        items = held.value
+        lookup, end_value = _lookup(items), table.get(END)
         for batch in batches:
-            out = []
+            locals_, ends, rare_words, rare_counts = [], [0], [], []
             for words in _words(batch, len(own)):
-                seq = classes[items.encode(words, cache)]
-                counts = Counter(words)
-                counts[END] = 1
-                rare = {w: k for w, k in counts.items() if w not in table}
-                seen = [(table[w], k) for w, k in counts.items() if w in table]
-                out.append(
-                    (uuid.uuid4().hex, len(words) + 1, sum(k for _, k in seen), math.fsum(x * k for x, k in seen), float(steps[seq[:-1], seq[1:]].sum()), [{"word": w, "k": k} for w, k in rare.items()])
-                )
-            columns = list(zip(*out)) or [[]] * 6
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_type)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(own))), *(pa.array(x, t) for x, t in zip(columns, kinds))], schema.names)
+                seq = classes[lookup.sequence(words)]
+                values = np.array([table.get(w, -1.0) for w in words])
+                seen = values >= 0
+                rare = Counter(words[k] for k in np.flatnonzero(~seen).tolist())
+                if end_value is None:
+                    rare[END] = 1
+                n, total = int(seen.sum()), float(values[seen].sum())
+                if end_value is not None:
+                    n, total = n + 1, total + end_value
+                locals_.append((uuid.uuid4().hex, len(words) + 1, n, total, float(steps[seq[:-1], seq[1:]].sum())))
+                rare_words.extend(rare.keys())
+                rare_counts.extend(rare.values())
+                ends.append(len(rare_words))
+            columns = list(zip(*locals_)) or [[]] * 5
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            pairs = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], ["word", "k"])
+            rare_lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(own))), *(pa.array(x, t) for x, t in zip(columns, kinds)), rare_lists], schema.names)
 
     local = materialize(given.mapInArrow(run, schema), "scored")  # keys are made once: what follows reads what was written
     words = local.select("_key", F.explode("_rare").alias("r")).select("_key", F.col("r.word").alias("word"), F.col("r.k").alias("k"))

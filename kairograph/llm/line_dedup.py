@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kairograph.llm.common import materialize
+
 #: Share of a host's pages above which a line is dropped, and pages that a line and a host need for it.
 RATIO, MIN_LINE_PAGES, MIN_HOST_PAGES = 0.08, 5, 20
 
@@ -42,6 +44,8 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     empty, its row stays. Repeated rows are pages of their own; an empty table gives no rows.
     """
     found = boilerplate_lines(docs, host_col, text_col, **limits).groupBy("host").agg(F.collect_list("line").alias("_drop"))
+    # written first: Spark then knows its size and broadcasts it if small, else may split a hot host's pages in the join
+    found = materialize(found, "boilerplate")
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     joined = docs.select(*own).join(found.withColumnRenamed("host", "_host"), F.col(host_col) == F.col("_host"), "left")
     kept = F.filter(_lines(text_col), lambda x: ~F.array_contains(F.col("_drop"), line_key(x)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kairograph.llm.common import materialize, text_or_empty
 from kairograph.llm.quality_rules import CLASSES, COMMON_WORDS, let, words_of
 
-#: Labelled rows the classifier is fitted on at most: those with the smallest hashes of their ids.
+#: Labelled rows the classifier is fitted on at most: those with the smallest hashes of their ids, about as many where there are more.
 MAX_LABELLED = 20_000
 FEATURES = ("log_words", "word_length", "distinct", "common", "new_lines", "dup_lines", *CLASSES)
 
@@ -90,8 +90,11 @@ def quality_posteriors(
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), features(text_col).alias("x"))
     rows = materialize(rows, "features")
     known = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("y")).filter("label_id is not null and y in (0, 1)")
-    labelled = rows.join(known, F.col("id") == F.col("label_id")).select("x", "y", F.xxhash64("id").alias("h"))
-    sample = labelled.orderBy("h").limit(max_labelled).collect()  # bounded by the parameter
+    labelled = materialize(rows.join(known, F.col("id") == F.col("label_id")).select("x", "y", F.xxhash64("id").alias("h")), "labelled")
+    # the smallest hashes, by a threshold that leaves about as many as are wanted: nothing else reaches the driver
+    share = min(1.0, max_labelled / max(1, labelled.count()))
+    sample = labelled.filter(F.col("h").cast("double") <= (2 * share - 1) * 2.0**63).collect()
+    sample = sorted(sample, key=lambda r: (r.h, r.y))[:max_labelled]
     x = np.array([r.x for r in sample], dtype=float).reshape(-1, len(FEATURES))
     weights = fit(x, np.array([r.y for r in sample], dtype=float))
     dot = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(w)) for w in weights[1:]]), lambda a, b: a * b), F.lit(float(weights[0])), lambda s, v: s + v)

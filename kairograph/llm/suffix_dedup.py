@@ -269,6 +269,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tup
     found = materialize(_all_anchors(docs, length), "anchors")
     place = F.struct("k1", "k2", "pos")
     repeated = found.groupBy("gram").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least != most").select("gram")
+    repeated = materialize(repeated, "repeated")  # the semi join's sides are plain shuffles then: Spark can split a hot anchor's rows
     wanted = found.join(repeated, "gram", "left_semi").groupBy("k1", "k2").agg(F.collect_set("pos").alias("pos"))
     texts = _once_per_task(docs).join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     texts = materialize(texts.select("k1", "k2", "bytes", "pos"), "candidates")

@@ -29,21 +29,31 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(text: bytes, shingle: int = 3, second: bool = False, seed: int = 42) -> tuple[int, int]:
-    """SimHash of lower-cased (A-Z) word shingles, repeats included; fewer words are one shingle, no words give zero.
-
-    ``second`` adds an independent fingerprint of the same shingles (their hashes mixed anew), else it is zero.
-    """
+def shingles(text: bytes, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """Hashes of lower-cased (A-Z) word shingles, repeats included; fewer words are one shingle, no words give none."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return 0, 0
+        return np.empty(0, np.uint64)
     parts = [words] if len(words) < shingle else zip(*(words[k:] for k in range(shingle)))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(x, seed) for x in map(b" ".join, parts)], dtype=np.uint64)
-    if not second:
-        return _majority(hashes), 0
+    return np.array([digest(x, seed) for x in map(b" ".join, parts)], dtype=np.uint64)
+
+
+def fingerprints(text: bytes, shingle: int = 3, second: bool = False, seed: int = 42) -> tuple[int, int]:
+    """SimHash of the shingles of a text; no words give zero.
+
+    ``second`` adds an independent fingerprint (their hashes mixed anew), else it is zero. With it, both are those of
+    the distinct shingles, whose expected distance follows from their Jaccard similarity.
+    """
+    hashes = shingles(text, shingle, seed)
+    return _both(np.unique(hashes)) if second else (_majority(hashes) if len(hashes) else 0, 0)
+
+
+def _both(hashes: np.ndarray) -> tuple[int, int]:
+    if not len(hashes):
+        return 0, 0
     mixed = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return _majority(hashes), _majority(mixed ^ (mixed >> np.uint64(31)))
@@ -63,6 +73,25 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return narrow.mapInArrow(run, f"id {id_type}, fp long, fp2 long")
 
 
+def with_shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(id, node, fp, fp2, size): one row per row of ``docs``; node names the set of distinct shingles, size counts it."""
+    narrow = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("b"))
+    id_type = narrow.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            rows = []
+            for x in batch.column(1):
+                own = np.unique(shingles(x.as_buffer().to_pybytes(), shingle))
+                rows.append((xxhash.xxh64_intdigest(own.tobytes()), *_both(own), len(own)))
+            rows = np.array(rows, dtype=np.uint64).reshape(-1, 4).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, rows.T.copy())], ["id", "node", "fp", "fp2", "size"])
+
+    return narrow.mapInArrow(run, f"id {id_type}, node long, fp long, fp2 long, size long")
+
+
 def _offsets(radius: int, parts: int) -> list[tuple[int, ...]]:
     """Steps to tiles that may hold a link, one of each opposite pair; the tile itself is not among them."""
     steps = [d for d in product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, d)) <= radius]
@@ -90,8 +119,8 @@ class _Forest:
             self.edges.append((a, b))
 
 
-def _compare(home: np.ndarray, probe: np.ndarray, radius: int, confirm: int | None, forest: _Forest) -> None:
-    """Columns of ``home`` and ``probe``: node, fp, fp2."""
+def _compare(home: np.ndarray, probe: np.ndarray, radius: int, confirm: int | None, similarity: float, forest: _Forest) -> None:
+    """Rows of ``home`` and ``probe``: node, fp, fp2, and size and label where they are given."""
     for i in range(0, home.shape[1], 256):
         for j in range(0, probe.shape[1], 1024):
             far = np.bitwise_count(home[1, i : i + 256, None] ^ probe[1, None, j : j + 1024])
@@ -99,6 +128,15 @@ def _compare(home: np.ndarray, probe: np.ndarray, radius: int, confirm: int | No
             if confirm is not None and len(a):
                 both = far[a, b].astype(int) + np.bitwise_count(home[2, i + a] ^ probe[2, j + b])
                 a, b = a[both <= confirm], b[both <= confirm]
+            if len(home) > 3 and len(a):  # sets whose sizes differ more can't be similar enough
+                x, y = home[3, i + a], probe[3, j + b]
+                close = np.minimum(x, y) / np.maximum(np.maximum(x, y), 1) >= similarity
+                mix = np.random.default_rng(42).permutation(int(close.sum()))  # no row becomes the hub of its group
+                a, b = a[close][mix], b[close][mix]
+            if len(home) > 4 and len(a):
+                apart = (home[4, i + a] != probe[4, j + b]).nonzero()[0]
+                forest.edges += zip(home[0, i + a[apart]].tolist(), probe[0, j + b[apart]].tolist())
+                continue
             for x, y in zip(home[0, i + a].tolist(), probe[0, j + b].tolist()):
                 forest.link(x, y)
 
@@ -109,13 +147,13 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int,
         if not batch.num_rows:
             continue
         keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
-        fps = np.stack([batch.column(k).to_numpy() for k in range(3, 6)]).view(np.uint64)
+        fps = np.stack([batch.column(k).to_numpy() for k in range(3, batch.num_columns)]).view(np.uint64)
         cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
             yield tuple(keys[:, a].tolist()), fps[:, a:b]
 
 
-def similar_fingerprints(fps: DataFrame, radius: int = 2, confirm: int | None = None, parts: int = 4, block: int = 8192) -> DataFrame:
+def similar_fingerprints(fps: DataFrame, radius: int = 2, confirm: int | None = None, parts: int = 4, block: int = 8192, similarity: float = 0.0) -> DataFrame:
     """Edges (a, b) between nodes of ``fps`` (node, fp, fp2: long) at ``radius`` or fewer differing bits of fp.
 
     With ``confirm``, a link must also hold at that many bits of fp and fp2 together. Tiles are the fingerprints of
@@ -123,35 +161,39 @@ def similar_fingerprints(fps: DataFrame, radius: int = 2, confirm: int | None =
     block the links are returned as a spanning forest: components are those of all links, rows never exceed the
     compared fingerprints. A tile of more than ``block`` fingerprints is dealt in blocks by hash, and the
     fingerprints that look into it are sent to each block: no task holds more than one block at a time.
+
+    With a column size, a link also needs sizes of at least the ratio ``similarity``. With a column label besides, not
+    a forest is returned but every link between different labels.
     """
     spark, width = fps.sparkSession, 64 // parts
+    held = ["node", "fp", "fp2", *(c for c in ("size", "label") if c in fps.columns)]
     side = width + 1
     mask = F.lit(-1 if width == 64 else (1 << width) - 1).cast("long")
     counts = [F.bit_count(F.shiftrightunsigned("fp", width * k).bitwiseAND(mask)).cast("int").alias(f"p{k}") for k in range(parts)]
     own_parts = [F.col(f"p{k}") for k in range(parts)]
     number = lambda cols: sum((c * (side**k) for k, c in enumerate(cols)), F.lit(0)).cast("int")
-    at = fps.select("node", "fp", "fp2", *counts).withColumn("tile", number(own_parts))
+    at = fps.select(*held, *counts).withColumn("tile", number(own_parts))
     # at most (width + 1) ** parts tiles (83,521): small enough to broadcast whatever the number of fingerprints
     sizes = at.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     step = F.explode(F.array(*[F.array(*map(F.lit, d)) for d in _offsets(radius, parts)]))
-    out = at.select("node", "fp", "fp2", *own_parts, step.alias("d"))
+    out = at.select(*held, *own_parts, step.alias("d"))
     moved = [F.col(f"p{k}") + F.col("d")[k] for k in range(parts)]
     inside = F.lit(True)
     for c in moved:
         inside = inside & (c >= 0) & (c < side)
-    out = out.filter(inside).select("node", "fp", "fp2", number(moved).alias("tile"), F.lit(1).alias("probe"))
-    homes = at.select("node", "fp", "fp2", "tile", F.lit(0).alias("probe"))
+    out = out.filter(inside).select(*held, number(moved).alias("tile"), F.lit(1).alias("probe"))
+    homes = at.select(*held, "tile", F.lit(0).alias("probe"))
     every = homes.union(out).join(F.broadcast(sizes), "tile")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # a home row sits in its own block and also visits the later blocks of its tile; a probe visits all
     visits = F.when(F.col("probe") == 0, F.sequence(own, F.col("blocks") - 1)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    every = every.select("tile", F.explode(visits).alias("block"), "probe", "node", "fp", "fp2", own.alias("own"))
+    every = every.select("tile", F.explode(visits).alias("block"), "probe", *held, own.alias("own"))
     visiting = F.when(F.col("block") == F.col("own"), F.col("probe")).otherwise(1).alias("probe")
-    dealt = every.select("tile", "block", visiting, "node", "fp", "fp2")
+    dealt = every.select("tile", "block", visiting, *held)
     dealt = dealt.repartition(tasks_for(spark), "tile", "block").sortWithinPartitions("tile", "block", "probe")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, home, forest = None, np.empty((3, 0), np.uint64), _Forest()
+        key, home, forest = None, np.empty((len(held), 0), np.uint64), _Forest()
 
         def out() -> pa.RecordBatch:
             pairs = np.array(forest.edges, dtype=np.uint64).reshape(-1, 2).view(np.int64)
@@ -161,11 +203,11 @@ def similar_fingerprints(fps: DataFrame, radius: int = 2, confirm: int | None =
             if (tile, blk) != key:
                 if forest.edges:
                     yield out()
-                key, home, forest = (tile, blk), np.empty((3, 0), np.uint64), _Forest()
+                key, home, forest = (tile, blk), np.empty((len(held), 0), np.uint64), _Forest()
             if home.shape[1]:
-                _compare(home, rows, radius, confirm, forest)
+                _compare(home, rows, radius, confirm, similarity, forest)
             if not probe:
-                _compare(rows, rows, radius, confirm, forest)
+                _compare(rows, rows, radius, confirm, similarity, forest)
                 home = np.concatenate([home, rows], axis=1)
         if forest.edges:
             yield out()
@@ -201,19 +243,82 @@ def hex_digits(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, similar): ``edges`` with the verdict of the exact Jaccard similarity of their ends' sets (node, hashes)."""
+    ends = [sets.select(F.col("node").alias(k), F.col("hashes").alias(f"set_{k}")) for k in "ab"]
+    both = edges.join(ends[0], "a").join(ends[1], "b").select("a", "b", "set_a", "set_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            says = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                says.append(shared / max(len(x) + len(y) - shared, 1) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(says, pa.bool_())], ["a", "b", "similar"])
+
+    return both.mapInArrow(run, "a long, b long, similar boolean")
+
+
+def similar_texts(
+    docs: DataFrame, key: str, id_col: str, text_col: str = "text", shingle: int = 5, radius: int = 18, confirm: int = 32, parts: int = 1, similarity: float = 0.8
+) -> DataFrame:
+    """(id, component): one row per row of ``docs``, component is the smallest id reachable over links.
+
+    Texts of equal shingle sets are linked; others are where the fingerprints are near enough and the exact Jaccard
+    similarity of the sets is ``similarity`` or more. The candidates are first taken as spanning forests, whose
+    links are each confirmed. A group of candidates without a failed link is connected by confirmed ones, whatever else
+    its pairs are; of the other groups all candidates between parts that aren't connected yet are tried. The
+    components are thus those of all confirmed candidates, without a row for each pair of a large group. ``key`` (long,
+    a field of the ids as well) names id and text.
+    """
+    found = materialize(with_shingle_sets(docs, id_col, text_col, shingle), "fingerprints")
+    distinct = found.groupBy("node").agg(*(F.min(c).alias(c) for c in ("fp", "fp2", "size")), F.min("id").alias("least"))
+    distinct = materialize(distinct, "distinct")
+    held = ("node", "fp", "fp2", "size")
+    tried = materialize(similar_fingerprints(distinct.select(*held), radius, confirm, parts, similarity=similarity), "candidates")
+    ends = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = distinct.join(ends, "node").select("node", F.col(f"least.{key}").alias("key"))
+    texts = docs.select(F.col(f"{id_col}.{key}").alias("key"), utf8(text_col).alias("b")).join(wanted, "key").select("node", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles(x.as_buffer().to_pybytes(), shingle)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    sets = materialize(texts.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"]), "shingle-sets")
+    tried = materialize(_similar(tried, sets, similarity), "tried")
+    links, failed = tried.filter("similar").select("a", "b"), tried.filter("not similar")
+    if not failed.isEmpty():
+        groups = connected_components(tried)
+        again = groups.join(failed.select(F.col("a").alias("node")).distinct(), "node").select("root").distinct()
+        open_nodes = groups.join(again, "root", "left_semi").select("node")
+        labels = connected_components(links).select("node", F.col("root").alias("label"))
+        rest = distinct.select(*held).join(open_nodes, "node", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        more = similar_fingerprints(materialize(rest, "open"), radius, confirm, parts, similarity=similarity)
+        more = more.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+        links = links.union(_similar(materialize(more, "candidates"), sets, similarity).filter("similar").select("a", "b"))
+    roots = connected_components(links).select(F.col("node").alias("linked"), "root")
+    named = distinct.join(roots, distinct.node == roots.linked, "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = materialize(named, "roots")
+    smallest = named.groupBy("root").agg(F.min("least").alias("component"))
+    by_node = named.join(smallest, "root").select("node", "component")
+    return found.join(by_node, "node").select("id", "component")
+
+
 def one_per_component(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 13, confirm: int | None = 22, parts: int = 1
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 18, confirm: int = 32, parts: int = 1, similarity: float = 0.8
 ) -> DataFrame:
     """``docs`` without near-duplicates: the row with the smallest id of each component stays, columns unchanged.
 
     Defaults: shingles of five words and a similarity of 0.8. Shingle sets of Jaccard similarity 0.8 have cosine
-    2 * 0.8 / 1.8 = 0.89, an angle of 0.15 half-turns, so 9.7 of 64 and 19.4 of 128 bits are expected to differ. 64
-    bits alone would also link unrelated texts by chance once there are many, so 13 bits of the first fingerprint
-    and 22 of both are asked for. Rows of equal smallest id are told apart by a hash of id and text; of fully
-    repeated rows one stays. Rows of null id lose to any other and are told apart alike.
+    2 * 0.8 / 1.8 = 0.89, an angle of 0.15 half-turns, so 9.7 of 64 and 19.4 of 128 bits are expected to differ, with
+    deviations of 2.9 and 4.1. Candidates are pairs at 18 bits of the first fingerprint and 32 of both, three deviations
+    more; a link also needs the exact similarity. Rows of equal smallest id are told apart by a hash of id and text; of
+    fully repeated rows one stays. Rows of null id lose to any other and are told apart alike.
     """
     keyed = docs.select("*", F.xxhash64(F.col(id_col), text_or_empty(text_col)).alias("_row_key"))
     who = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("i"), F.col("_row_key").alias("k"))
-    found = near_duplicates(keyed.select(who.alias("doc"), text_col), "doc", text_col, shingle, radius, confirm, parts)
+    found = similar_texts(keyed.select(who.alias("doc"), text_col), "k", "doc", text_col, shingle, radius, confirm, parts, similarity)
     winners = found.select(F.col("component.k").alias("_row_key")).distinct()
     return keyed.join(winners, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")

@@ -87,3 +87,74 @@ def test_one_per_component(spark):
     kept = simhash.one_per_component(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
+
+
+def shingle_set(text):
+    words = text.lower().split()
+    return {" ".join(words[k : k + 5]) for k in range(max(len(words) - 4, 1))}
+
+
+def test_near_copies_by_true_similarity(spark):
+    """Pairs at a similarity of 0.80 to 0.85 lose a document, pairs at 0.70 to 0.80 keep both."""
+    import random
+
+    rng, rows, near, apart = random.Random(5), [], [], []
+    for k in range(160):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+        changed = list(words)
+        for at in rng.sample(range(2, 298, 5), rng.randint(6, 10)):  # far enough apart to change five shingles each
+            changed[at] = "changed" + str(at)
+        a, b = " ".join(words), " ".join(changed)
+        x, y = shingle_set(a), shingle_set(b)
+        share = len(x & y) / len(x | y)
+        if 0.8 <= share < 0.85:
+            near.append(k)
+        elif 0.7 <= share < 0.8:
+            apart.append(k)
+        else:
+            continue
+        rows += [(k, a), (1000 + k, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.one_per_component(docs).collect()}
+    assert len(near) > 20 and len(apart) > 20
+    assert {k for k, _ in rows if k < 1000} <= kept
+    assert sum(1000 + k not in kept for k in near) >= 0.97 * len(near)
+    assert all(1000 + k in kept for k in apart)
+
+
+def test_failed_links_hide_no_confirmed_ones(spark):
+    """In groups of candidates where the forest's links fail, all other candidates are tried: components are those of all pairs."""
+    import random
+
+    rng, rows = random.Random(9), []
+    for g in range(6):
+        base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+        for k in range(12):
+            words = list(base)
+            for at in rng.sample(range(2, 298, 5), rng.randint(0, 7)):
+                words[at] = f"changed{k}x{at}"
+            rows.append((100 * g + k, " ".join(words)))
+    rng.shuffle(rows)
+    sets = {k: shingle_set(t) for k, t in rows}
+    group = {k: k for k, _ in rows}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8 and group[a] != group[b]:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {k: new if v == old else v for k, v in group.items()}
+    kept = {r.doc_id for r in simhash.one_per_component(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(group.values())
+    assert 6 < len(kept) < len(rows)
+
+
+def test_stage_keeps_what_true_similarity_keeps(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    sets = {r.doc_id: set(simhash.shingles((r.text or "").encode(), 5).tolist()) for r in docs.collect()}
+    group = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            every = len(sets[a] | sets[b])
+            if a < b and (not every or len(sets[a] & sets[b]) / every >= 0.8) and group[a] != group[b]:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {k: new if v == old else v for k, v in group.items()}
+    assert {r.doc_id for r in simhash.one_per_component(docs).collect()} == set(group.values())

@@ -110,11 +110,11 @@ def vector_checks(spark, sf_dir):
 
 def ivf_search(spark, sf_dir):
     index, centres = V.ivf_index(corpus(spark, sf_dir), 16)
-    return V.ivf_search(asking(spark, sf_dir), index, centres, 10, 6)
+    return V.ivf_search(asking(spark, sf_dir), index, centres, 10, 12)
 
 
 def pq_search(spark, sf_dir):
-    coded, books = V.product_codes(corpus(spark, sf_dir), 8, 32)
+    coded, books = V.product_codes(corpus(spark, sf_dir), 16, 256)
     return V.pq_search(asking(spark, sf_dir), coded, books, corpus(spark, sf_dir), 10)
 
 

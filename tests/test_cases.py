@@ -208,6 +208,17 @@ def test_ivf_recall(spark):
     assert len(exact & near) >= 0.8 * len(exact)
 
 
+@pytest.mark.parametrize("name", ["ivf_search", "pq_search"])
+def test_recall_of_registered_searches(spark, name):
+    from kairograph.plans import vectors as plans
+
+    sf_dir = "/root/testdata/sf0.1"
+    exact, found = ({(r.query_id, r.id) for r in f(spark, sf_dir).collect()} for f in (plans.knn_exact, getattr(plans, name)))
+    recall = len(exact & found) / len(exact)
+    print(f"{name}: recall@10 {recall:.4f} of {len(exact)}")
+    assert len(found) == len(exact) and recall >= 0.9
+
+
 def test_vector_functions(spark):
     a, b = (F.array(*map(F.lit, x)) for x in ((3.0, 4.0), (4.0, 3.0)))
     assert value(spark, vectors.normalise(a)) == [0.6, 0.8] and value(spark, vectors.l2sq(a, b)) == 2.0

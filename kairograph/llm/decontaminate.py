@@ -45,11 +45,12 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
 
 def _prefixes(docs: DataFrame, windows: DataFrame, text_col: str, small: bool) -> DataFrame:
     """(word, offset, words, items): each window under its word with the lowest count over ``docs``; windows with a word that
-    no document has are left out. Words are compared in full lower case here, which only adds candidates."""
+    no document has are left out. Words are compared in full lower case here, which only adds
+    candidates, and word by word on all sides, as the case of a letter may depend on what stands around it (final sigma)."""
     hint = F.broadcast if small else (lambda df: df)
     at = windows.select("words", "items", F.posexplode("words").alias("offset", "w")).select("words", "items", "offset", F.lower("w").alias("word"))
     vocabulary = at.select(F.col("word").alias("known")).distinct()
-    spoken = docs.select(F.explode(F.split(F.lower(text_or_empty(text_col)), LOWER_BREAK)).alias("word"))
+    spoken = docs.select(F.explode(F.split(text_or_empty(text_col), MIXED_BREAK)).alias("w")).select(F.lower("w").alias("word"))
     counts = spoken.join(hint(vocabulary), F.col("word") == F.col("known"), "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     ranked = at.join(counts, "word", "left").groupBy("words", "items").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("rarest"))
     return ranked.filter("rarest.n > 0").select(F.col("rarest.word").alias("prefix"), F.col("rarest.offset").alias("offset"), "words", "items")

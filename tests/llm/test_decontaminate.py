@@ -61,6 +61,14 @@ def test_without_broadcast(spark, monkeypatch):
     assert got(d.decontaminate(docs, items)) == brute(DOCS, ITEMS)
 
 
+def test_case_that_depends_on_context(spark):
+    """Sigma before a dot is final in its own word, but not in the whole text."""
+    items = [(1, "alpha beta ΟΔΟΣ.ΑΒΓ gamma")]
+    rows = [(1, "x alpha beta ΟΔΟΣ.ΑΒΓ gamma y"), (2, "alpha beta")]
+    docs, bench = frames(spark, rows, items)
+    assert got(d.decontaminate(docs, bench)) == brute(rows, items)
+
+
 def test_empty(spark):
     docs, items = frames(spark, DOCS, ITEMS)
     assert got(d.decontaminate(docs.limit(0), items)) == []

@@ -7,7 +7,7 @@ the number of documents; documents take their places by rank within their length
 from __future__ import annotations
 
 import bisect
-import uuid
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairograph.llm.common import materialize, text_or_empty, with_fields
-from kairograph.llm.tokens import Encoder, worker_encoder
+from kairograph.llm.tokens import worker_encoder
 
 #: Schemes that are planned, of which the one with the fewest sequences is taken: items longer than cap / the first take
 #: part in the grouping, in as many groups as the second.
@@ -26,7 +26,7 @@ SCHEMES = ((2, 48), (3, 24), (3, 192), (4, 96))
 
 
 def _ids_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class _Plan:
@@ -145,14 +145,14 @@ def tokenised_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str
     """(id, piece, start, length, ids_crc32[, ids]): each document's ids and its end id, cut at ``cap``."""
     narrow = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
     schema = with_fields(narrow.drop("t").schema, "piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
-    key, end = uuid.uuid4().hex, _ids_bytes([end_id])
+    end = _ids_bytes([end_id])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder((tokenizer, "ids", key), lambda: Encoder(tokenizer, _ids_bytes))
+        encoder = worker_encoder(tokenizer, _ids_bytes, b"".join)
         for batch in batches:
             rows, pieces, starts, lengths, sums, ids = [], [], [], [], [], []
-            for row, values in enumerate(encoder.batch(batch.column(1).to_pylist())):
-                data = b"".join([*values, end])
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                data = encoder.value(text) + end
                 for piece, at in enumerate(range(0, len(data), 4 * cap)):
                     part = data[at : at + 4 * cap]
                     rows.append(row)
@@ -190,7 +190,7 @@ def pack(
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     offsets = offsets.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("length", "salt").orderBy("id", "piece")
+    within = Window.partitionBy("length", "salt").orderBy("id", "piece", "start", "ids_crc32")
     ranked = salted.withColumn("rank", F.row_number().over(within) - 1).join(offsets, ["length", "salt"])
     own = [c for c in pieces.columns]
     ranked = ranked.select(*own, (F.col("first") + F.col("rank")).alias("rank"))

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from kairograph.llm.common import materialize, tasks_for, text_or_empty
 
 LENGTH, GRAM, STRIDE, HOT = 400, 64, 64, 2000
+#: Words of a passage, and of the strings whose least hash is its anchor.
+PASSAGE, PASSAGE_GRAM = 50, 8
 CHUNK = 1 << 20  # bytes whose hashes are worked out at once
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -47,18 +49,26 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the string at each position, anchor position of each window of ``length`` bytes)."""
-    n = len(data)
-    if n < length:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+def _rolled(values: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of every ``size`` values (uint64) in a row."""
+    n = len(values)
+    if n < size:
+        return np.empty(0, np.uint64)
     up, down = _POWERS.to(n)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LETTERS[data] * up, out=sums[1:])
-    hashes = (sums[gram:] - sums[:-gram]) * down[: n - gram + 1]
+    np.cumsum(values * up, out=sums[1:])
+    hashes = (sums[size:] - sums[:-size]) * down[: n - size + 1]
     hashes ^= hashes >> np.uint64(29)
     hashes *= np.uint64(0xBF58476D1CE4E5B9)
-    hashes ^= hashes >> np.uint64(32)
+    return hashes ^ (hashes >> np.uint64(32))
+
+
+def anchors(values: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the ``gram`` values at each position, anchor position of each window of ``length`` values)."""
+    n = len(values)
+    if n < length:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    hashes = _rolled(values, gram)
     low = np.uint64((1 << 26) - 1)  # chunks are shorter than that: the leftmost of equal hashes is the smallest
     keys = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
     width = length - gram + 1
@@ -77,7 +87,7 @@ def _runs(texts: list[bytes], length: int) -> Iterator[tuple[int, int, int, int,
 
     def of(group: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int, int, int]]:
         data = np.frombuffer(b"".join(x for _, _, x in group), dtype=np.uint8)
-        hashes, at = anchors(data, length)
+        hashes, at = anchors(_LETTERS[data], length)
         ends = np.cumsum([len(x) for _, _, x in group])
         for (row, shift, x), end in zip(group, ends.tolist()):
             start, windows = end - len(x), len(x) - length + 1
@@ -287,17 +297,116 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tup
     return texts, part.union(whole), copies
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT, with_text: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]), one row per row of ``docs``.
+def _passage_runs(text: bytes, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, anchor's hash, first and last window) for the runs of windows of ``words`` words with one anchor.
+
+    Windows of equal words have equal anchors in them, whatever stands around.
+    """
+    import xxhash
+
+    values = np.array([xxhash.xxh64_intdigest(w) for w in text.split()], dtype=np.uint64)
+    parts, step = [], 1 << 24  # anchors of so many windows are found at once, whose neighbours then join again
+    for shift in range(0, max(1, len(values) - words + 1), step):
+        hashes, at = anchors(values[shift : shift + step + words - 1], words, PASSAGE_GRAM)
+        parts.append((hashes[at], at + shift))
+    names, at = (np.concatenate(x) for x in zip(*parts))
+    cuts = np.flatnonzero(at[1:] != at[:-1]) + 1
+    firsts = np.concatenate([[0], cuts]) if len(at) else cuts
+    lasts = np.concatenate([cuts - 1, [len(at) - 1]]) if len(at) else cuts
+    return values, names[firsts].view(np.int64), firsts, lasts
+
+
+def _passage_anchors(docs: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [np.unique(_passage_runs(t, words)[1]) for t in _texts(batch, 2)]
+            rows = pa.array(np.repeat(np.arange(len(grams)), [len(g) for g in grams]))
+            flat = np.concatenate([np.empty(0, np.int64), *grams])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column(0).take(rows), batch.column(1).take(rows)], ["gram", "k1", "k2"])
+
+    return docs.mapInArrow(run, "gram long, k1 long, k2 long")
+
+
+def _passage_windows(texts: DataFrame, words: int, each: bool) -> DataFrame:
+    """(gram, name, k1, k2, low, high): for the ``grams`` of a text, its runs of windows by the hash of their words, or ``each`` window."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, lengths = [], []
+            for text, wanted in zip(_texts(batch, 2), batch.column(3)):
+                values, grams, firsts, lasts = _passage_runs(text, words)
+                here = np.flatnonzero(np.isin(grams, wanted.values.to_numpy()))
+                if each:
+                    numbers = lasts[here] - firsts[here] + 1
+                    low = np.repeat(firsts[here] - np.cumsum(numbers) + numbers, numbers) + np.arange(numbers.sum())
+                    rows = np.stack([np.repeat(grams[here], numbers), _rolled(values, words)[low].view(np.int64), low, low + words])
+                else:
+                    low, high = firsts[here], lasts[here] + words
+                    names = np.array([xxhash.xxh3_64_intdigest(values[a:b].tobytes()) for a, b in zip(low, high)], dtype=np.uint64)
+                    rows = np.stack([grams[here], names.view(np.int64), low, high])
+                out.append(rows)
+                lengths.append(rows.shape[1])
+            rows, own = np.concatenate([np.empty((4, 0), np.int64), *out], axis=1), pa.array(np.repeat(np.arange(len(lengths)), lengths))
+            arrays = [pa.array(rows[0]), pa.array(rows[1]), batch.column(0).take(own), batch.column(1).take(own), pa.array(rows[2]), pa.array(rows[3])]
+            yield pa.RecordBatch.from_arrays(arrays, ["gram", "name", "k1", "k2", "low", "high"])
+
+    return texts.mapInArrow(run, "gram long, name long, k1 long, k2 long, low long, high long")
+
+
+def _held_by_two(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Values of ``by`` that stand in two texts or more; written, so that a join with them can split a hot one's rows."""
+    text = F.struct("k1", "k2")
+    held = rows.groupBy(*by).agg(F.min(text).alias("least"), F.max(text).alias("most")).filter("least != most")
+    return materialize(held.select(*by), name)
+
+
+def shared_passages(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
+    """(k1, k2, n_shared_words): from (k1, k2, bytes) rows, the words of a text in passages of ``words`` words in a row that
+    another text holds too; texts without any are left out.
+
+    A run of windows with one anchor is compared as a whole first, and window by window only where it stands in one text
+    and its anchor in others.
+    """
+    found = materialize(_passage_anchors(docs, words), "passage-anchors")
+    repeated = _held_by_two(found, ["gram"], "passage-grams")
+    wanted = found.join(repeated, "gram", "left_semi").groupBy("k1", "k2").agg(F.collect_set("gram").alias("grams"))
+    texts = _once_per_task(docs).join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "bytes", "grams")
+    runs = materialize(_passage_windows(texts, words, False), "passage-runs")
+    text = F.struct("k1", "k2")
+    distinct = materialize(runs.groupBy("gram", "name").agg(F.min(text).alias("least"), F.max(text).alias("most")), "passages-distinct")
+    whole = materialize(distinct.filter("least != most").select("gram", "name"), "passages-whole")
+    # where a run stands in one text only, it may share windows with other runs of its anchor: two texts stand for each of those
+    lone = distinct.groupBy("gram").agg(F.max(F.expr("least = most")).alias("lone"), F.count(F.lit(1)).alias("n")).filter("lone and n > 1").select("gram")
+    ends = distinct.join(lone, "gram", "left_semi").select("gram", F.explode(F.array("least", "most")).alias("t"))
+    rest = ends.groupBy(F.col("t.k1").alias("k1"), F.col("t.k2").alias("k2")).agg(F.collect_set("gram").alias("grams"))
+    texts = _once_per_task(docs).join(rest, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "bytes", "grams")
+    windows = materialize(_passage_windows(texts, words, True), "passage-windows")
+    shared = windows.join(_held_by_two(windows, ["gram", "name"], "passages"), ["gram", "name"], "left_semi")
+    spans = runs.join(whole, ["gram", "name"], "left_semi").union(shared).select("k1", "k2", F.struct("low", "high").alias("s"))
+    spans = spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("s")).alias("spans"))
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    covered = F.aggregate("spans", start, lambda a, s: F.struct(F.greatest(a["end"], s["high"]).alias("end"), (a["n"] + F.greatest(F.lit(0).cast("long"), s["high"] - F.greatest(a["end"], s["low"]))).alias("n")))
+    return spans.select("k1", "k2", covered["n"].alias("n_shared_words"))
+
+
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT, with_text: bool = False, passage: int | None = None
+) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary][, n_shared_words]), one row per row of ``docs``.
 
     Each byte goes that a string of ``length`` bytes covers which also starts at another place, in the same text or
     any other row, repeated rows included; overlaps count, and strings are judged on the input. Null text counts as
     empty; texts shorter than ``length`` stay whole; null and repeated ids are rows like any other. An empty table
     gives no rows. ``kept`` may cut characters apart, so it is binary.
+
+    With ``passage``, n_shared_words counts the words that stand in that many words in a row which another row holds
+    too, repeated rows included; nothing is removed for it. Passages may be shorter than ``length`` bytes.
     """
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.cast("binary").alias("bytes"))
-    texts, spans, copies = repeated_spans(rows.select("k1", "k2", "bytes"), length, hot)
+    keys = F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")
+    rows = docs.select(*keys, text.cast("binary").alias("bytes"))
+    texts, spans, copies = repeated_spans(rows, length, hot)
     spans = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,10 +431,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.binary())))], ["k1", "k2", "removed", "spans", "sha", "kept"])
 
     cut = texts.join(spans, ["k1", "k2"]).select("k1", "k2", "bytes", "spans").mapInArrow(run, "k1 long, k2 long, removed long, spans long, sha string, kept binary")
-    own = [F.length("bytes").cast("long").alias("n_bytes"), F.sha2("bytes", 256).alias("own_sha")]
-    narrow = rows.select("id", "k1", "k2", *own, *([F.col("bytes")] if with_text else []))
+    own = [F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own_sha")]
+    if passage:
+        own.append(F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long").alias("n_words"))
+    narrow = docs.select(F.col(id_col).alias("id"), *keys, *own, *([text.cast("binary").alias("bytes")] if with_text else []))
     joined = narrow.join(cut, ["k1", "k2"], "left").join(copies, ["k1", "k2"], "left")
-    gone = F.col("n").isNotNull() & (F.col("n_bytes") >= length)
+    if passage:
+        joined = joined.join(shared_passages(rows, passage), ["k1", "k2"], "left")
+    copied = F.col("n").isNotNull()
+    gone = copied & (F.col("n_bytes") >= length)
     out = joined.select(
         "id",
         "n_bytes",
@@ -333,5 +447,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(gone, F.lit(1).cast("long")).otherwise(F.coalesce("spans", F.lit(0).cast("long"))).alias("n_spans"),
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha", "own_sha")).alias("kept_sha256"),
         *([F.when(gone, F.lit(b"")).otherwise(F.coalesce("kept", "bytes")).alias("kept")] if with_text else []),
+        *([F.when(copied & (F.col("n_words") >= passage), F.col("n_words")).otherwise(F.coalesce("n_shared_words", F.lit(0).cast("long"))).alias("n_shared_words")] if passage else []),
     )
     return out

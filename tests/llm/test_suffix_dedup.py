@@ -102,3 +102,44 @@ def test_bucket_sort_against_all_pairs():
 
 def test_empty(spark):
     assert s.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def brute_shared(rows, words):
+    """Words of each row in windows that another row holds too."""
+    texts = [(t or "").encode().split() for _, t in rows]
+    held = {}
+    for r, w in enumerate(texts):
+        for p in range(len(w) - words + 1):
+            held.setdefault(tuple(w[p : p + words]), set()).add(r)
+    out = []
+    for (i, _), w in zip(rows, texts):
+        hit = {q for p in range(len(w) - words + 1) if len(held[tuple(w[p : p + words])]) > 1 for q in range(p, p + words)}
+        out.append((i, len(hit)))
+    return sorted(out, key=str)
+
+
+def passage_rows():
+    rng = random.Random(6)
+    fresh = lambda n: " ".join(rng.choice("abcdefghij") + rng.choice("klmno") + str(rng.randrange(9)) for _ in range(n))
+    passage, other, copied = fresh(51), fresh(50), fresh(120)
+    rows = [(1, None), (2, ""), (2, ""), (3, "w " * 49), (3, "w " * 49), (4, "v " * 300), (5, "v " * 60), (None, "u " * 70)]
+    rows += [(10 + k, fresh(rng.randrange(60)) + "\n" + passage.replace(" ", " \t"[k % 2]) + " " + fresh(rng.randrange(60))) for k in range(5)]
+    rows += [(20 + k, fresh(20) + " " + other + " " + fresh(k)) for k in range(2)] + [(23, other.rsplit(" ", 1)[0] + " " + fresh(30))]
+    rows += [(30, copied), (30, copied), (31, copied + " x"), (32, fresh(10) + " " + copied[10:]), (33, fresh(400)), (34, passage + " " + passage)]
+    return rows
+
+
+@pytest.mark.parametrize("words", [50, 12])
+def test_shared_passages(spark, words):
+    rows = passage_rows()
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, k1 string")
+    got_ = sorted(((r.id, r.n_shared_words) for r in s.remove_repeats(docs, passage=words).collect()), key=str)
+    assert got_ == brute_shared(rows, words)
+    assert s.remove_repeats(docs.limit(0), passage=words).collect() == []
+
+
+def test_shared_passages_of_the_table(spark, data):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    want = brute_shared(rows, s.PASSAGE)
+    assert sorted(((r.doc_id, r.n_shared_words) for r in queries.op4_suffix_dedup(spark, data).collect()), key=str) == want
+    assert sum(n > 0 for _, n in want) > 5

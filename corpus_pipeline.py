@@ -12,14 +12,20 @@ from kairograph.llm import decontaminate, line_dedup, packing, quality_rules, si
 from kairograph.llm.common import materialize, table
 
 
+def _wrapped(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns that an operator uses, and all of a document's as one: those named like a result are not replaced."""
+    return docs.select(*used, F.struct("*").alias("document"))
+
+
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return quality_rules.quality_rules(docs).filter("kept").select(docs.columns)
+    return quality_rules.quality_rules(_wrapped(docs, "text", "lang")).filter("kept").select("document.*")
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go from the texts; n_chars is that of what is left."""
-    cut = line_dedup.drop_boilerplate(docs).select(docs.columns)
+    cut = line_dedup.drop_boilerplate(_wrapped(docs, "text", "source"))
+    cut = cut.select(*(F.col("text") if c == "text" else F.col("document")[c].alias(c) for c in docs.columns))
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
@@ -30,7 +36,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(docs.columns)
+    found = decontaminate.decontaminate(_wrapped(docs, "text"), table(spark, sf_dir, "benchmark"))
+    return found.filter("not contaminated").select("document.*")
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import text_or_empty
+from kairograph.llm.common import materialize, text_or_empty
 from kairograph.llm.quality_rules import let
 
 #: Separators of words, before and after A-Z are lower-cased.
@@ -64,7 +64,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     item in a row, or the whole item if shorter. Null texts have no words and are clean; items without words have no
     window; items that repeat count once. One row per row, repeated ones included; an empty table gives no rows.
     """
-    windows = benchmark_windows(benchmark, item_col, item_text_col, width).persist()
+    windows = materialize(benchmark_windows(benchmark, item_col, item_text_col, width), "windows")
     small = windows.count() <= BROADCAST_WINDOWS
     hint = F.broadcast if small else (lambda df: df)
     prefixes = _prefixes(docs, windows, text_col, small)
@@ -76,17 +76,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     found = found.filter((start >= 0) & (start + F.size("words") <= F.col("n")))
     candidates = found.select("k1", "k2", F.struct(start.alias("start"), "words", "items").alias("c")).groupBy("k1", "k2").agg(F.collect_set("c").alias("candidates"))
     own = [c for c in docs.columns if c not in ("n_words", "n_hit", "n_items", "item_ids", "hit_spans", "contaminated")]
-    k1, k2 = _keys(text_or_empty(text_col))
-    keyed = docs.select(*own, k1.alias("_k1"), k2.alias("_k2"))
-    joined = keyed.join(candidates, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left")
+    # the documents' columns travel as one, so their names can't clash
+    keyed = docs.select(F.struct(*own).alias("own"), *_keys(text_or_empty(text_col)))
+    joined = keyed.join(candidates, ["k1", "k2"], "left")
+    text = F.coalesce(F.col("own")[text_col].cast("string"), F.lit(""))
+    mixed = _split(text, MIXED_BREAK)
 
     def verified(words: Column) -> Column:
         held = F.filter("candidates", lambda c: F.slice(words, c["start"] + 1, F.size(c["words"])) == c["words"])
         return F.transform(F.array_sort(F.transform(held, lambda c: F.struct(c["start"], F.size(c["words"]).alias("length"), c["items"]))), lambda c: c)
 
     none = F.array().cast("array<struct<start:int,length:int,items:array<string>>>")
-    hits = F.when(F.col("candidates").isNull(), none).otherwise(let(_split(lower_ascii(text_or_empty(text_col)), LOWER_BREAK), verified))
-    joined = joined.select(*own, F.size(mixed).cast("long").alias("n_words"), hits.alias("_hits"))
+    hits = F.when(F.col("candidates").isNull(), none).otherwise(let(_split(lower_ascii(text), LOWER_BREAK), verified))
+    joined = joined.select("own", F.size(mixed).cast("long").alias("n_words"), hits.alias("_hits"))
     ends = F.aggregate(
         "_hits",
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
@@ -97,8 +99,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     )
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("_hits", lambda h: h["items"]))))
     spans = F.transform("_hits", lambda h: F.struct(h["start"].alias("start"), h["length"].alias("length")))
-    out = joined.select(*own, "n_words", ends["n"].cast("long").alias("n_hit"), items.alias("item_ids"), spans.alias("hit_spans"))
-    return out.withColumn("n_items", F.size("item_ids").cast("long")).withColumn("contaminated", F.col("n_hit") > 0)
+    out = joined.select("own", "n_words", ends["n"].cast("long").alias("n_hit"), items.alias("item_ids"), spans.alias("hit_spans"))
+    found = ["n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", "hit_spans", (F.col("n_hit") > 0).alias("contaminated")]
+    return out.select(*(F.col("own")[c].alias(c) for c in own), *found)
 
 
 def items_digest() -> Column:

@@ -47,13 +47,15 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     # written first: Spark then knows its size and broadcasts it if small, else may split a hot host's pages in the join
     found = materialize(found, "boilerplate")
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*own).join(found.withColumnRenamed("host", "_host"), F.col(host_col) == F.col("_host"), "left")
-    kept = F.filter(_lines(text_col), lambda x: ~F.array_contains(F.col("_drop"), line_key(x)))
-    kept = F.when(F.col("_drop").isNull(), _lines(text_col)).otherwise(kept)
-    joined = joined.withColumn("_kept", kept).withColumn("n_lines", F.coalesce(F.size(_lines(text_col)), F.lit(0)).cast("long"))
-    joined = joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
-    joined = joined.withColumn("n_dropped", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"))
-    return joined.withColumn(text_col, F.array_join("_kept", "\n")).select(*own, "n_lines", "n_dropped")
+    # the documents' columns travel as one, so their names can't clash
+    joined = docs.select(F.struct(*own).alias("own"), F.col(host_col).alias("host")).join(found, "host", "left")
+    text, lines = F.col("own")[text_col], F.split(F.col("own")[text_col], "\n")
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_drop"), line_key(x)))
+    joined = joined.select("own", F.when(F.col("_drop").isNull(), lines).otherwise(kept).alias("kept"))
+    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    n_dropped = F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("kept")).cast("long")
+    columns = [F.array_join("kept", "\n").alias(c) if c == text_col else F.col("own")[c].alias(c) for c in own]
+    return joined.select(*columns, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
 #: The same rows for DuckDB, with whole lines in place of their keys.

@@ -2,13 +2,16 @@
 
 Fingerprints are cut into equal parts; a tile is the set of fingerprints with the same population counts of these parts.
 The summed differences of those counts never exceed the Hamming distance, so tile pairs further apart than the radius
-are skipped without losing a link. What is left is compared whole: exclusive-or and bit counts in numpy.
+are skipped without losing a link. Where links need a similarity of sets, tiles hold a range of population counts and one of
+set sizes, and pairs of ranges too far apart in either are skipped. What is left is compared whole: exclusive-or and bit
+counts in numpy.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import product
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -118,6 +121,19 @@ class _Forest:
             self.up[x] = y
             self.edges.append((a, b))
 
+    def link_all(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Links in turns of doubling length; before each turn those between rows that are connected by now go."""
+        turn = 1024
+        while len(a):
+            for x, y in zip(a[:turn].tolist(), b[:turn].tolist()):
+                self.link(x, y)
+            a, b, turn = a[turn:], b[turn:], 2 * turn
+            if len(a):
+                nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+                roots = np.array([self.find(x) for x in nodes.tolist()], dtype=a.dtype)[at]
+                apart = roots[: len(a)] != roots[len(a) :]
+                a, b = a[apart], b[apart]
+
 
 def _compare(home: np.ndarray, probe: np.ndarray, radius: int, confirm: int | None, similarity: float, forest: _Forest) -> None:
     """Rows of ``home`` and ``probe``: node, fp, fp2, and size and label where they are given."""
@@ -137,8 +153,7 @@ def _compare(home: np.ndarray, probe: np.ndarray, radius: int, confirm: int | No
                 apart = (home[4, i + a] != probe[4, j + b]).nonzero()[0]
                 forest.edges += zip(home[0, i + a[apart]].tolist(), probe[0, j + b[apart]].tolist())
                 continue
-            for x, y in zip(home[0, i + a].tolist(), probe[0, j + b].tolist()):
-                forest.link(x, y)
+            forest.link_all(home[0, i + a], probe[0, j + b])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
@@ -162,22 +177,29 @@ def similar_fingerprints(fps: DataFrame, radius: int = 2, confirm: int | None =
     compared fingerprints. A tile of more than ``block`` fingerprints is dealt in blocks by hash, and the
     fingerprints that look into it are sent to each block: no task holds more than one block at a time.
 
-    With a column size, a link also needs sizes of at least the ratio ``similarity``. With a column label besides, not
-    a forest is returned but every link between different labels.
+    With a column size, a link also needs sizes of at least the ratio ``similarity``; tiles then are ranges of radius + 1
+    population counts and of sizes within that ratio, so links lie between tiles next to each other. With a column
+    label besides, not a forest is returned but every link between different labels.
     """
     spark, width = fps.sparkSession, 64 // parts
     held = ["node", "fp", "fp2", *(c for c in ("size", "label") if c in fps.columns)]
-    side = width + 1
-    mask = F.lit(-1 if width == 64 else (1 << width) - 1).cast("long")
-    counts = [F.bit_count(F.shiftrightunsigned("fp", width * k).bitwiseAND(mask)).cast("int").alias(f"p{k}") for k in range(parts)]
-    own_parts = [F.col(f"p{k}") for k in range(parts)]
+    if "size" in held and 0 < similarity < 1:
+        ratio = -log(similarity) * (1 + 1e-6)  # a little more than the ratio: rounding loses no neighbour
+        own = [F.floor(F.bit_count("fp") / (radius + 1)), F.floor(F.log(F.greatest("size", F.lit(1))) / ratio)]
+        side = max(66, int(63 * log(2) / ratio) + 2)  # above any range's number: 197 for 0.8
+        steps = [d for d in product((-1, 0, 1), repeat=2) if d > (0, 0)]
+    else:
+        mask = F.lit(-1 if width == 64 else (1 << width) - 1).cast("long")
+        own = [F.bit_count(F.shiftrightunsigned("fp", width * k).bitwiseAND(mask)) for k in range(parts)]
+        side, steps = width + 1, _offsets(radius, parts)
+    own_parts = [F.col(f"p{k}") for k in range(len(own))]
     number = lambda cols: sum((c * (side**k) for k, c in enumerate(cols)), F.lit(0)).cast("int")
-    at = fps.select(*held, *counts).withColumn("tile", number(own_parts))
+    at = fps.select(*held, *(c.cast("int").alias(f"p{k}") for k, c in enumerate(own))).withColumn("tile", number(own_parts))
     # at most (width + 1) ** parts tiles (83,521): small enough to broadcast whatever the number of fingerprints
     sizes = at.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    step = F.explode(F.array(*[F.array(*map(F.lit, d)) for d in _offsets(radius, parts)]))
+    step = F.explode(F.array(*[F.array(*map(F.lit, d)) for d in steps]))
     out = at.select(*held, *own_parts, step.alias("d"))
-    moved = [F.col(f"p{k}") + F.col("d")[k] for k in range(parts)]
+    moved = [c + F.col("d")[k] for k, c in enumerate(own_parts)]
     inside = F.lit(True)
     for c in moved:
         inside = inside & (c >= 0) & (c < side)
@@ -317,8 +339,9 @@ def one_per_component(
     more; a link also needs the exact similarity. Rows of equal smallest id are told apart by a hash of id and text; of
     fully repeated rows one stays. Rows of null id lose to any other and are told apart alike.
     """
-    keyed = docs.select("*", F.xxhash64(F.col(id_col), text_or_empty(text_col)).alias("_row_key"))
-    who = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("i"), F.col("_row_key").alias("k"))
-    found = similar_texts(keyed.select(who.alias("doc"), text_col), "k", "doc", text_col, shingle, radius, confirm, parts, similarity)
-    winners = found.select(F.col("component.k").alias("_row_key")).distinct()
-    return keyed.join(winners, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
+    key = F.xxhash64(F.col(id_col), text_or_empty(text_col))
+    who = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("i"), key.alias("k"))
+    found = similar_texts(docs.select(who.alias("doc"), F.col(text_col).alias("text")), "k", "doc", "text", shingle, radius, confirm, parts, similarity)
+    winners = found.select(F.col("component.k").alias("k")).distinct()
+    keyed = docs.select(F.struct("*").alias("own"), key.alias("k"))  # the documents' columns travel as one, so their names can't clash
+    return keyed.join(winners, "k", "left_semi").dropDuplicates(["k"]).select("own.*")

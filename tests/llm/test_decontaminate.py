@@ -38,7 +38,7 @@ def got(df):
 
 def frames(spark, docs, items):
     return (
-        spark.createDataFrame([(*r, "clash", "clash") for r in docs], "doc_id long, text string, words string, n_hit string"),
+        spark.createDataFrame([(*r, *["clash"] * 6) for r in docs], "doc_id long, text string, words string, n_hit string, k1 string, candidates string, own string, _text string"),
         spark.createDataFrame([(*r, "clash") for r in items], "item_id long, text string, word string"),
     )
 

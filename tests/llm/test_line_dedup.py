@@ -23,9 +23,9 @@ def test_odd_rows(spark):
     rows = [(k, "a.example", f"menu\nbody {k}\n  menu  \nmenu\n\nfooter {k % 2}") for k in range(12)]
     rows += [(k, "b.example", f"menu\nother {k}") for k in range(20, 23)]
     rows += [(30, None, "menu\nx"), (31, "a.example", None), (32, "a.example", ""), (33, "a.example", "menu"), (33, "a.example", "menu"), (None, "a.example", "menu\n" * 5000 + "end"), (None, None, None)]
-    docs = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "doc_id long, source string, text string, host string, n_dropped string")
+    docs = spark.createDataFrame([(*r, *["clash"] * 5) for r in rows], "doc_id long, source string, text string, host string, n_dropped string, _host string, _drop string, own string")
     got = d.drop_boilerplate(docs, ratio=0.5, min_line_pages=3, min_host_pages=5)
-    assert got.columns == ["doc_id", "source", "text", "host", "n_lines", "n_dropped"]
+    assert got.columns == ["doc_id", "source", "text", "host", "_host", "_drop", "own", "n_lines", "n_dropped"]
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()), key=str) == brute(rows, 0.5, 3, 5)
 
 

@@ -7,21 +7,23 @@ import pytest
 import test_decontaminate
 import test_line_dedup
 import test_quality_rules
+from pyspark.sql import functions as F
 from test_tokens_packing import check_packing, ids, library  # noqa: F401
 
 import corpus_pipeline
 from kairograph.llm import line_dedup
-from kairograph.llm.simhash import fingerprints
 
 
-def brute_simhash(rows):
-    """(doc_id, text) rows that stay: the smallest id of each component."""
-    fps = [fingerprints((t or "").encode(), 5, True) for _, t in rows]
+def brute_near_duplicates(rows):
+    """(doc_id, text) rows that stay: the smallest id of each component of texts whose sets of five-word shingles have a
+    Jaccard similarity of 0.8 or more (A-Z lower-cased; fewer words are one shingle, no words an empty set)."""
+    texts = [(t or "").encode().lower().split() for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in texts]
     group = list(range(len(rows)))
     for a in range(len(rows)):
         for b in range(a):
-            near = (fps[a][0] ^ fps[b][0]).bit_count()
-            if near <= 13 and near + (fps[a][1] ^ fps[b][1]).bit_count() <= 22 and group[a] != group[b]:
+            every = len(sets[a] | sets[b])
+            if (not every or 10 * len(sets[a] & sets[b]) >= 8 * every) and group[a] != group[b]:
                 old, new = group[a], group[b]
                 group = [new if g == old else g for g in group]
     least = {}
@@ -49,7 +51,7 @@ def test_each_stage_against_brute_force(spark, sf, library):  # noqa: F811
             cut = {r[0]: r[1] for r in test_line_dedup.brute([(d, s, t) for d, t, _, s, _ in now], line_dedup.RATIO, line_dedup.MIN_LINE_PAGES, line_dedup.MIN_HOST_PAGES)}
             want = [(d, cut[d], lang, s, len(cut[d])) for d, _, lang, s, _ in now]
         elif k == 2:
-            stay = {i for i, _ in brute_simhash([(d, t) for d, t, *_ in now])}
+            stay = {i for i, _ in brute_near_duplicates([(d, t) for d, t, *_ in now])}
             want = [r for r in now if r[0] in stay]
         else:
             clean = {r[0] for r in test_decontaminate.brute([(d, t) for d, t, *_ in now], items) if not r[-1]}
@@ -79,6 +81,18 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == list(range(40))
 
 
+def test_stages_take_clashing_columns(spark, data):
+    names = ["k1", "k2", "k", "own", "host", "_host", "_drop", "kept", "candidates", "n", "x", "word", "node", "component", "_row_key", "pieces", "salt", "rank", "piece", "contaminated", "n_words", "n_lines", "document"]
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(60)
+    for name in names:
+        docs = docs.withColumn(name, F.lit("clash"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, data)
+        assert got.columns == docs.columns, name
+        assert {tuple(r[c] for c in names) for r in got.collect()} == {("clash",) * len(names)}, name
+    assert corpus_pipeline.pack_documents(spark, docs, data).count() >= 60
+
+
 def test_stages_take_odd_documents(spark):
     sf_dir = "/root/testdata/sf0.001"
     rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "word " * 30_000, None, "s", 7), (3, "the cat and the dog of a man in the house was on it for some time and by now is with us", "en", None, 1)]

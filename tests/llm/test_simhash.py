@@ -158,3 +158,43 @@ def test_stage_keeps_what_true_similarity_keeps(spark, data):
                 old, new = max(group[a], group[b]), min(group[a], group[b])
                 group = {k: new if v == old else v for k, v in group.items()}
     assert {r.doc_id for r in simhash.one_per_component(docs).collect()} == set(group.values())
+
+
+@pytest.mark.parametrize("block", [8192, 5])
+def test_size_ranges_skip_no_link(spark, block):
+    """Tiles by ranges of population counts and sizes: links of all pairs at the radius with sizes of the ratio or more."""
+    import random
+
+    rng = random.Random(11)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    fps = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(8))) for b in base for _ in range(8)})
+    sizes = [rng.choice([1, 4, 5, 8, 10, 64, 80, 99, 100, 125, 10**6]) for _ in fps]
+    signed = [f - (1 << 64) * (f >> 63) for f in fps]
+    frame = spark.createDataFrame([(s, s, 0, n) for s, n in zip(signed, sizes)], "node long, fp long, fp2 long, size long")
+    edges = simhash.similar_fingerprints(frame, 10, None, 1, block, similarity=0.8).collect()
+    near = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 10 and 10 * min(sizes[a], sizes[b]) >= 8 * max(sizes[a], sizes[b])]
+
+    def groups(pairs):
+        up = {k: k for k in signed}
+        for a, b in pairs:
+            x, y = up[a], up[b]
+            up = {k: (x if v == y else v) for k, v in up.items()}
+        out = defaultdict(set)
+        for k, v in up.items():
+            out[v].add(k)
+        return sorted(map(sorted, out.values()))
+
+    assert near and groups((e.a, e.b) for e in edges) == groups((signed[a], signed[b]) for a, b in near)
+
+
+def test_forest_of_many_links():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 500, 6000).astype(np.uint64), rng.integers(500, 1000, 6000).astype(np.uint64)
+    whole, forest = simhash._Forest(), simhash._Forest()
+    for x, y in zip(a.tolist(), b.tolist()):
+        whole.link(x, y)
+    forest.link_all(a, b)
+    assert len(forest.edges) == len(whole.edges)
+    assert {(x, y) for x, y in forest.edges} <= set(zip(a.tolist(), b.tolist()))

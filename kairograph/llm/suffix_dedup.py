@@ -24,7 +24,7 @@ from kairograph.llm.common import materialize, tasks_for, text_or_empty
 
 LENGTH, GRAM, STRIDE, HOT = 400, 64, 64, 2000
 #: Words of a passage, and of the strings whose least hash is its anchor.
-PASSAGE, PASSAGE_GRAM = 50, 8
+PASSAGE, PASSAGE_GRAM = 50, 20
 CHUNK = 1 << 20  # bytes whose hashes are worked out at once
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -153,7 +153,7 @@ def _surroundings(texts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             data = _texts(batch, 2)
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            wanted = [set(x) for x in batch.column(3).to_pylist()]
+            wanted = [set(x or ()) for x in batch.column(3).to_pylist()]
             rows = []
             for r, h, p, a, b in _runs(data, length):
                 if p in wanted[r]:
@@ -273,28 +273,38 @@ def _dealt_by_suffix(contexts: DataFrame, length: int) -> DataFrame:
     return found.select("gram", "c1", "c2", F.col("start").alias("low"), F.col("start").alias("high"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From (k1, k2, bytes) rows: texts with candidates (k1, k2, bytes, pos), spans (k1, k2, low, high) of repeated strings in
-    different places of different texts or of one, and copies (k1, k2, n) of texts that stand more than once."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, passage: int | None = None) -> tuple[DataFrame, ...]:
+    """From (k1, k2, bytes) rows: texts with candidates (k1, k2, bytes, pos, grams), spans (k1, k2, low, high) of repeated strings
+    in different places of different texts or of one, copies (k1, k2, n) of texts that stand more than once and, with
+    ``passage``, (k1, k2, n_shared_words)."""
     found = materialize(_all_anchors(docs, length), "anchors")
-    place = F.struct("k1", "k2", "pos")
+    place = F.xxhash64("k1", "k2", "pos")  # one long to a side of the shuffle
     repeated = found.groupBy("gram").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least != most").select("gram")
     repeated = materialize(repeated, "repeated")  # the semi join's sides are plain shuffles then: Spark can split a hot anchor's rows
     wanted = found.join(repeated, "gram", "left_semi").groupBy("k1", "k2").agg(F.collect_set("pos").alias("pos"))
+    if passage:
+        held = materialize(_passage_anchors(docs, passage), "passage-anchors")
+        held = held.join(_held_by_two(held, ["gram"], "passage-grams"), "gram", "left_semi")
+        held = held.groupBy("k1", "k2").agg(F.collect_set("gram").alias("grams"))
+        wanted = wanted.join(held, ["k1", "k2"], "full")  # the texts are shuffled once for both
+    else:
+        wanted = wanted.withColumn("grams", F.lit(None).cast("array<long>"))
     texts = _once_per_task(docs).join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    texts = materialize(texts.select("k1", "k2", "bytes", "pos"), "candidates")
-    members = materialize(_surroundings(texts, length), "surroundings")
+    texts = materialize(texts.select("k1", "k2", "bytes", "pos", "grams"), "candidates")
+    members = materialize(_surroundings(texts.filter("pos is not null"), length), "surroundings")
     contexts = members.select("gram", "c1", "c2", "at", "context").dropDuplicates(["gram", "c1", "c2"])
     owners = materialize(members.groupBy("gram", "c1", "c2").agg(F.count(F.lit(1)).alias("n")), "owners")
-    sizes = owners.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1")
-    few, many = sizes.filter(F.col("contexts") <= hot).select("gram"), sizes.filter(F.col("contexts") > hot).select("gram")
-    tied = _sorted_buckets(contexts.join(few, "gram", "left_semi"), length).union(_dealt_by_suffix(contexts.join(many, "gram", "left_semi"), length))
+    # written, so that Spark broadcasts it if small (it mostly is empty) and else may split a hot anchor's rows
+    many = owners.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") > hot).select("gram")
+    many = materialize(many, "hot-anchors")
+    tied = _sorted_buckets(contexts.join(many, "gram", "left_anti"), length).union(_dealt_by_suffix(contexts.join(many, "gram", "left_semi"), length))
     narrow = members.select("gram", "c1", "c2", "k1", "k2", "first", F.length("context").alias("n"))
     key = ["gram", "c1", "c2"]
     part = narrow.join(tied, key).select("k1", "k2", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high") + length).alias("high"))
     whole = narrow.join(owners.filter("n > 1").select(*key), key).select("k1", "k2", F.col("first").alias("low"), (F.col("first") + F.col("n")).alias("high"))
     copies = docs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return texts, part.union(whole), copies
+    shared = _shared_words(texts.filter("grams is not null").select("k1", "k2", "bytes", "grams"), passage) if passage else None
+    return texts, part.union(whole), copies, shared
 
 
 def _passage_runs(text: bytes, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -307,7 +317,7 @@ def _passage_runs(text: bytes, words: int) -> tuple[np.ndarray, np.ndarray, np.n
     values = np.array([xxhash.xxh64_intdigest(w) for w in text.split()], dtype=np.uint64)
     parts, step = [], 1 << 24  # anchors of so many windows are found at once, whose neighbours then join again
     for shift in range(0, max(1, len(values) - words + 1), step):
-        hashes, at = anchors(values[shift : shift + step + words - 1], words, PASSAGE_GRAM)
+        hashes, at = anchors(values[shift : shift + step + words - 1], words, min(PASSAGE_GRAM, words))
         parts.append((hashes[at], at + shift))
     names, at = (np.concatenate(x) for x in zip(*parts))
     cuts = np.flatnonzero(at[1:] != at[:-1]) + 1
@@ -317,77 +327,77 @@ def _passage_runs(text: bytes, words: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _passage_anchors(docs: DataFrame, words: int) -> DataFrame:
+    """(gram, k1, k2): each anchor of a text once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = [np.unique(_passage_runs(t, words)[1]) for t in _texts(batch, 2)]
-            rows = pa.array(np.repeat(np.arange(len(grams)), [len(g) for g in grams]))
+            own = pa.array(np.repeat(np.arange(len(grams)), [len(g) for g in grams]))
             flat = np.concatenate([np.empty(0, np.int64), *grams])
-            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column(0).take(rows), batch.column(1).take(rows)], ["gram", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column(0).take(own), batch.column(1).take(own)], ["gram", "k1", "k2"])
 
     return docs.mapInArrow(run, "gram long, k1 long, k2 long")
 
 
-def _passage_windows(texts: DataFrame, words: int, each: bool) -> DataFrame:
-    """(gram, name, k1, k2, low, high): for the ``grams`` of a text, its runs of windows by the hash of their words, or ``each`` window."""
+def _passages(texts: DataFrame, words: int, each: bool) -> DataFrame:
+    """(gram, name, k1, k2, low, high): for the anchors in ``grams`` of a text, its runs of windows by the hash of all their
+    words, or ``each`` window by that of its own; low and high in words."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, lengths = [], []
+            out, lengths = [np.empty((4, 0), np.int64)], []
             for text, wanted in zip(_texts(batch, 2), batch.column(3)):
                 values, grams, firsts, lasts = _passage_runs(text, words)
                 here = np.flatnonzero(np.isin(grams, wanted.values.to_numpy()))
+                low, high, grams = firsts[here], lasts[here] + words, grams[here]
                 if each:
-                    numbers = lasts[here] - firsts[here] + 1
-                    low = np.repeat(firsts[here] - np.cumsum(numbers) + numbers, numbers) + np.arange(numbers.sum())
-                    rows = np.stack([np.repeat(grams[here], numbers), _rolled(values, words)[low].view(np.int64), low, low + words])
+                    numbers = high - low - words + 1
+                    low = np.repeat(low - np.cumsum(numbers) + numbers, numbers) + np.arange(numbers.sum())
+                    high, grams, names = low + words, np.repeat(grams, numbers), _rolled(values, words)[low]
                 else:
-                    low, high = firsts[here], lasts[here] + words
-                    names = np.array([xxhash.xxh3_64_intdigest(values[a:b].tobytes()) for a, b in zip(low, high)], dtype=np.uint64)
-                    rows = np.stack([grams[here], names.view(np.int64), low, high])
-                out.append(rows)
-                lengths.append(rows.shape[1])
-            rows, own = np.concatenate([np.empty((4, 0), np.int64), *out], axis=1), pa.array(np.repeat(np.arange(len(lengths)), lengths))
-            arrays = [pa.array(rows[0]), pa.array(rows[1]), batch.column(0).take(own), batch.column(1).take(own), pa.array(rows[2]), pa.array(rows[3])]
-            yield pa.RecordBatch.from_arrays(arrays, ["gram", "name", "k1", "k2", "low", "high"])
+                    names = np.array([xxhash.xxh3_64_intdigest(values[a:b]) for a, b in zip(low.tolist(), high.tolist())], dtype=np.uint64)
+                out.append(np.stack([grams, names.view(np.int64), low, high]))
+                lengths.append(len(low))
+            rows, own = np.concatenate(out, axis=1), pa.array(np.repeat(np.arange(len(lengths)), lengths))
+            ends = [pa.array(x.astype(np.int32)) for x in rows[2:]]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), batch.column(0).take(own), batch.column(1).take(own), *ends], ["gram", "name", "k1", "k2", "low", "high"])
 
-    return texts.mapInArrow(run, "gram long, name long, k1 long, k2 long, low long, high long")
+    return texts.mapInArrow(run, "gram long, name long, k1 long, k2 long, low int, high int")
 
 
 def _held_by_two(rows: DataFrame, by: list[str], name: str) -> DataFrame:
     """Values of ``by`` that stand in two texts or more; written, so that a join with them can split a hot one's rows."""
-    text = F.struct("k1", "k2")
-    held = rows.groupBy(*by).agg(F.min(text).alias("least"), F.max(text).alias("most")).filter("least != most")
+    held = rows.groupBy(*by).agg(F.min("k1").alias("least"), F.max("k1").alias("most")).filter("least != most")
     return materialize(held.select(*by), name)
 
 
-def shared_passages(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
-    """(k1, k2, n_shared_words): from (k1, k2, bytes) rows, the words of a text in passages of ``words`` words in a row that
+def _shared_words(texts: DataFrame, words: int) -> DataFrame:
+    """(k1, k2, n_shared_words) of (k1, k2, bytes, grams) rows: the words of a text in passages of ``words`` words in a row that
     another text holds too; texts without any are left out.
 
-    A run of windows with one anchor is compared as a whole first, and window by window only where it stands in one text
-    and its anchor in others.
+    Runs of windows are compared as a whole first. Where one stands in one text only and its anchor in others, it may
+    share windows with any other run of the anchor; for each of those, the windows of two of its texts are compared.
     """
-    found = materialize(_passage_anchors(docs, words), "passage-anchors")
-    repeated = _held_by_two(found, ["gram"], "passage-grams")
-    wanted = found.join(repeated, "gram", "left_semi").groupBy("k1", "k2").agg(F.collect_set("gram").alias("grams"))
-    texts = _once_per_task(docs).join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "bytes", "grams")
-    runs = materialize(_passage_windows(texts, words, False), "passage-runs")
+    runs = materialize(_passages(texts, words, False), "passage-runs")
     text = F.struct("k1", "k2")
     distinct = materialize(runs.groupBy("gram", "name").agg(F.min(text).alias("least"), F.max(text).alias("most")), "passages-distinct")
     whole = materialize(distinct.filter("least != most").select("gram", "name"), "passages-whole")
-    # where a run stands in one text only, it may share windows with other runs of its anchor: two texts stand for each of those
-    lone = distinct.groupBy("gram").agg(F.max(F.expr("least = most")).alias("lone"), F.count(F.lit(1)).alias("n")).filter("lone and n > 1").select("gram")
+    lone = distinct.groupBy("gram").agg(F.max(F.expr("least = most")).alias("lone"), F.count(F.lit(1)).alias("n")).filter("lone and n > 1")
+    lone = materialize(lone.select("gram"), "passages-lone")
     ends = distinct.join(lone, "gram", "left_semi").select("gram", F.explode(F.array("least", "most")).alias("t"))
     rest = ends.groupBy(F.col("t.k1").alias("k1"), F.col("t.k2").alias("k2")).agg(F.collect_set("gram").alias("grams"))
-    texts = _once_per_task(docs).join(rest, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "bytes", "grams")
-    windows = materialize(_passage_windows(texts, words, True), "passage-windows")
-    shared = windows.join(_held_by_two(windows, ["gram", "name"], "passages"), ["gram", "name"], "left_semi")
-    spans = runs.join(whole, ["gram", "name"], "left_semi").union(shared).select("k1", "k2", F.struct("low", "high").alias("s"))
+    windows = materialize(_passages(texts.drop("grams").join(rest, ["k1", "k2"]), words, True).drop("high"), "passage-windows")
+    shared = windows.join(_held_by_two(windows, ["gram", "name"], "passages"), ["gram", "name"], "left_semi").withColumn("high", F.col("low") + words)
+    kept = ["k1", "k2", F.struct("low", "high").alias("s")]
+    spans = runs.join(whole, ["gram", "name"], "left_semi").select(*kept).union(shared.select(*kept))
     spans = spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("s")).alias("spans"))
-    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
-    covered = F.aggregate("spans", start, lambda a, s: F.struct(F.greatest(a["end"], s["high"]).alias("end"), (a["n"] + F.greatest(F.lit(0).cast("long"), s["high"] - F.greatest(a["end"], s["low"]))).alias("n")))
-    return spans.select("k1", "k2", covered["n"].alias("n_shared_words"))
+    covered = F.aggregate(
+        "spans",
+        F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
+        lambda a, s: F.struct(F.greatest(a["end"], s["high"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["high"] - F.greatest(a["end"], s["low"]))).alias("n")),
+    )
+    return spans.select("k1", "k2", covered["n"].cast("long").alias("n_shared_words"))
 
 
 def remove_repeats(
@@ -406,7 +416,7 @@ def remove_repeats(
     text = text_or_empty(text_col)
     keys = F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")
     rows = docs.select(*keys, text.cast("binary").alias("bytes"))
-    texts, spans, copies = repeated_spans(rows, length, hot)
+    texts, spans, copies, shared = repeated_spans(rows, length, hot, passage)
     spans = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,7 +447,7 @@ def remove_repeats(
     narrow = docs.select(F.col(id_col).alias("id"), *keys, *own, *([text.cast("binary").alias("bytes")] if with_text else []))
     joined = narrow.join(cut, ["k1", "k2"], "left").join(copies, ["k1", "k2"], "left")
     if passage:
-        joined = joined.join(shared_passages(rows, passage), ["k1", "k2"], "left")
+        joined = joined.join(shared, ["k1", "k2"], "left")
     copied = F.col("n").isNotNull()
     gone = copied & (F.col("n_bytes") >= length)
     out = joined.select(

@@ -115,12 +115,19 @@ class _Forest:
             x = y
         return x
 
-    def link(self, a: int, b: int) -> None:
-        x, y = self.find(a), self.find(b)
+    def link(self, a: int, b: int, group_a: int | None = None, group_b: int | None = None) -> None:
+        """A link between ``a`` and ``b``, which stand for groups if these are given."""
+        x, y = self.find(a if group_a is None else group_a), self.find(b if group_b is None else group_b)
         if x != y:
             self.up[x] = y
             self.edges.append((a, b))
 
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs aren't connected yet."""
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        roots = np.array([self.find(x) for x in nodes.tolist()], dtype=np.uint64)[at]
+        return roots[: len(a)] != roots[len(a) :]
+
     def link_all(self, a: np.ndarray, b: np.ndarray) -> None:
         """Links in turns of doubling length; before each turn those between rows that are connected by now go."""
         turn = 1024
@@ -129,14 +136,18 @@ class _Forest:
                 self.link(x, y)
             a, b, turn = a[turn:], b[turn:], 2 * turn
             if len(a):
-                nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-                roots = np.array([self.find(x) for x in nodes.tolist()], dtype=a.dtype)[at]
-                apart = roots[: len(a)] != roots[len(a) :]
+                apart = self.apart(a, b)
                 a, b = a[apart], b[apart]
 
 
 def _compare(home: np.ndarray, probe: np.ndarray, radius: int, confirm: int | None, similarity: float, forest: _Forest) -> None:
-    """Rows of ``home`` and ``probe``: node, fp, fp2, and size and label where they are given."""
+    """Rows of ``home`` and ``probe``: node, fp, fp2, and size where it is given."""
+    for i, j, a, b in _near(home, probe, radius, confirm, similarity):
+        forest.link_all(home[0, i + a], probe[0, j + b])
+
+
+def _near(home: np.ndarray, probe: np.ndarray, radius: int, confirm: int | None, similarity: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Pairs near enough, square by square: the square's corner, and rows from there."""
     for i in range(0, home.shape[1], 256):
         for j in range(0, probe.shape[1], 1024):
             far = np.bitwise_count(home[1, i : i + 256, None] ^ probe[1, None, j : j + 1024])
@@ -149,23 +160,71 @@ def _compare(home: np.ndarray, probe: np.ndarray, radius: int, confirm: int | No
                 close = np.minimum(x, y) / np.maximum(np.maximum(x, y), 1) >= similarity
                 mix = np.random.default_rng(42).permutation(int(close.sum()))  # no row becomes the hub of its group
                 a, b = a[close][mix], b[close][mix]
-            if len(home) > 4 and len(a):
-                apart = (home[4, i + a] != probe[4, j + b]).nonzero()[0]
-                forest.edges += zip(home[0, i + a[apart]].tolist(), probe[0, j + b[apart]].tolist())
-                continue
-            forest.link_all(home[0, i + a], probe[0, j + b])
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
-    """Runs of equal (tile, block, probe) of a sorted partition, cut where a batch ends."""
+            if len(a):
+                yield i, j, a, b
+
+
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many elements each set of ``x`` shares with each of ``y``: products of incidence matrices of ``width`` elements each."""
+    every = np.concatenate([*x, *y])
+    owner = np.repeat(np.arange(len(x) + len(y)), [len(v) for v in (*x, *y)])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    start = np.ones(len(every), bool)
+    start[1:] = every[1:] != every[:-1]
+    number = np.cumsum(start) - 1
+    often = np.bincount(number)[number] > 1  # an element of one set only is shared with none
+    owner, number = owner[often], number[often]
+    if not len(number):
+        return np.zeros((len(x), len(y)), np.int64)
+    number = np.cumsum(np.r_[0, number[1:] != number[:-1]])
+    out = np.zeros((len(x), len(y)), np.float64)
+    for low in range(0, int(number[-1]) + 1, width):
+        a, b = np.searchsorted(number, (low, low + width))
+        held = np.zeros((len(x) + len(y), width), np.float32)
+        held[owner[a:b], number[a:b] - low] = 1
+        out += held[: len(x)] @ held[len(x) :].T  # sums of at most 4096 ones: exact
+    return out.astype(np.int64)
+
+
+def _confirm(home: np.ndarray, home_sets: list, probe: np.ndarray, probe_sets: list, radius: int, confirm: int | None, similarity: float, forest: _Forest) -> None:
+    """Links of exact similarity between rows of different labels (row 4), as a forest of the labels."""
+
+    def still(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        apart = forest.apart(home[4, a], probe[4, b])
+        return a[apart], b[apart]
+
+    def link(a: np.ndarray, b: np.ndarray, shared) -> None:
+        for x, y, n in zip(a.tolist(), b.tolist(), shared):
+            if n >= similarity * max(len(home_sets[x]) + len(probe_sets[y]) - n, 1) - 1e-9:
+                forest.link(int(home[0, x]), int(probe[0, y]), int(home[4, x]), int(probe[4, y]))
+
+    def one_by_one(a: np.ndarray, b: np.ndarray) -> None:
+        link(a, b, (len(np.intersect1d(home_sets[x], probe_sets[y], assume_unique=True)) for x, y in zip(a, b)))
+
+    for i, j, a, b in _near(home, probe, radius, confirm, similarity):
+        a, b = still(i + a, j + b)
+        one_by_one(a[:256], b[:256])
+        a, b = a[256:], b[256:]
+        if len(a):
+            a, b = still(a, b)
+        if len(a) > 1000:
+            link(a, b, shared_counts(home_sets[i : i + 256], probe_sets[j : j + 1024])[a - i, b - j].tolist())
+        elif len(a):
+            one_by_one(a, b)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], numbers: int) -> Iterator[tuple[tuple[int, int, int], np.ndarray, list]]:
+    """Runs of equal (tile, block, probe) of a sorted partition, cut where a batch ends: ``numbers`` columns and, after them, sets."""
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
-        fps = np.stack([batch.column(k).to_numpy() for k in range(3, batch.num_columns)]).view(np.uint64)
+        fps = np.stack([batch.column(k).to_numpy() for k in range(3, 3 + numbers)]).view(np.uint64)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(3 + numbers)] if batch.num_columns > 3 + numbers else []
         cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
-            yield tuple(keys[:, a].tolist()), fps[:, a:b]
+            yield tuple(keys[:, a].tolist()), fps[:, a:b], sets[a:b]
 
 
 def similar_fingerprints(fps: DataFrame, radius: int = 2, confirm: int | None = None, parts: int = 4, block: int = 8192, similarity: float = 0.0) -> DataFrame:
@@ -178,11 +237,13 @@ def similar_fingerprints(fps: DataFrame, radius: int = 2, confirm: int | None =
     fingerprints that look into it are sent to each block: no task holds more than one block at a time.
 
     With a column size, a link also needs sizes of at least the ratio ``similarity``; tiles then are ranges of radius + 1
-    population counts and of sizes within that ratio, so links lie between tiles next to each other. With a column
-    label besides, not a forest is returned but every link between different labels.
+    population counts and of sizes within that ratio, so links lie between tiles next to each other. With the
+    columns label and hashes (binary, a sorted set of size longs) besides, a link also needs that exact Jaccard similarity and
+    different labels, and a forest of the labels is returned.
     """
     spark, width = fps.sparkSession, 64 // parts
-    held = ["node", "fp", "fp2", *(c for c in ("size", "label") if c in fps.columns)]
+    held = ["node", "fp", "fp2", *(c for c in ("size", "label", "hashes") if c in fps.columns)]
+    numbers = len(held) - ("hashes" in held)
     if "size" in held and 0 < similarity < 1:
         ratio = -log(similarity) * (1 + 1e-6)  # a little more than the ratio: rounding loses no neighbour
         own = [F.floor(F.bit_count("fp") / (radius + 1)), F.floor(F.log(F.greatest("size", F.lit(1))) / ratio)]
@@ -215,22 +276,28 @@ def similar_fingerprints(fps: DataFrame, radius: int = 2, confirm: int | None =
     dealt = dealt.repartition(tasks_for(spark), "tile", "block").sortWithinPartitions("tile", "block", "probe")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, home, forest = None, np.empty((len(held), 0), np.uint64), _Forest()
+        key, home, home_sets, forest = None, np.empty((numbers, 0), np.uint64), [], _Forest()
 
         def out() -> pa.RecordBatch:
             pairs = np.array(forest.edges, dtype=np.uint64).reshape(-1, 2).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-        for (tile, blk, probe), rows in _groups(batches):
+        def compare(home: np.ndarray, home_sets: list) -> None:
+            if numbers < len(held):
+                _confirm(home, home_sets, rows, sets, radius, confirm, similarity, forest)
+            else:
+                _compare(home, rows, radius, confirm, similarity, forest)
+
+        for (tile, blk, probe), rows, sets in _groups(batches, numbers):
             if (tile, blk) != key:
                 if forest.edges:
                     yield out()
-                key, home, forest = (tile, blk), np.empty((len(held), 0), np.uint64), _Forest()
+                key, home, home_sets, forest = (tile, blk), np.empty((numbers, 0), np.uint64), [], _Forest()
             if home.shape[1]:
-                _compare(home, rows, radius, confirm, similarity, forest)
+                compare(home, home_sets)
             if not probe:
-                _compare(rows, rows, radius, confirm, similarity, forest)
-                home = np.concatenate([home, rows], axis=1)
+                compare(rows, sets)
+                home, home_sets = np.concatenate([home, rows], axis=1), home_sets + sets
         if forest.edges:
             yield out()
 
@@ -283,16 +350,17 @@ def _similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_texts(
-    docs: DataFrame, key: str, id_col: str, text_col: str = "text", shingle: int = 5, radius: int = 18, confirm: int = 32, parts: int = 1, similarity: float = 0.8
+    docs: DataFrame, key: str, id_col: str, text_col: str = "text", shingle: int = 5, radius: int = 18, confirm: int = 32, parts: int = 1, similarity: float = 0.8, open_block: int = 1024
 ) -> DataFrame:
     """(id, component): one row per row of ``docs``, component is the smallest id reachable over links.
 
     Texts of equal shingle sets are linked; others are where the fingerprints are near enough and the exact Jaccard
     similarity of the sets is ``similarity`` or more. The candidates are first taken as spanning forests, whose
     links are each confirmed. A group of candidates without a failed link is connected by confirmed ones, whatever else
-    its pairs are; of the other groups all candidates between parts that aren't connected yet are tried. The
-    components are thus those of all confirmed candidates, without a row for each pair of a large group. ``key`` (long,
-    a field of the ids as well) names id and text.
+    its pairs are; of the other groups all candidates between parts that aren't connected yet are tried where they are
+    compared, in blocks of ``open_block`` sets, which hand on a forest of the confirmed ones. The components are thus those of
+    all confirmed candidates, without a row for each pair of a large group. ``key`` (long, a field of the ids as well)
+    names id and text.
     """
     found = materialize(with_shingle_sets(docs, id_col, text_col, shingle), "fingerprints")
     distinct = found.groupBy("node").agg(*(F.min(c).alias(c) for c in ("fp", "fp2", "size")), F.min("id").alias("least"))
@@ -317,9 +385,8 @@ def similar_texts(
         open_nodes = groups.join(again, "root", "left_semi").select("node")
         labels = connected_components(links).select("node", F.col("root").alias("label"))
         rest = distinct.select(*held).join(open_nodes, "node", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        more = similar_fingerprints(materialize(rest, "open"), radius, confirm, parts, similarity=similarity)
-        more = more.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        links = links.union(_similar(materialize(more, "candidates"), sets, similarity).filter("similar").select("a", "b"))
+        rest = materialize(rest.join(sets, "node"), "open")
+        links = links.union(similar_fingerprints(rest, radius, confirm, parts, open_block, similarity))
     roots = connected_components(links).select(F.col("node").alias("linked"), "root")
     named = distinct.join(roots, distinct.node == roots.linked, "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = materialize(named, "roots")

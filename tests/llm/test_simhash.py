@@ -198,3 +198,39 @@ def test_forest_of_many_links():
     forest.link_all(a, b)
     assert len(forest.edges) == len(whole.edges)
     assert {(x, y) for x, y in forest.edges} <= set(zip(a.tolist(), b.tolist()))
+
+
+def test_shared_counts():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(20)]
+    got = simhash.shared_counts(sets[:7], sets[7:], 16)
+    assert got.tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in sets[7:]] for x in sets[:7]]
+
+
+def test_open_groups_are_confirmed_in_blocks(spark):
+    """A dense group of candidates, many of which fail: a forest between labels with the components of all confirmed pairs."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(13)
+    base = list(range(100))
+    sets = [np.array(sorted(set(rng.sample(base, 100 - rng.choice([3, 8, 13, 18])) + [1000 + 50 * k + x for x in range(rng.randrange(10))])), dtype=np.uint64) for k in range(120)]
+    rows = [(k, 0, 0, len(v), k // 2 * 2, v.tobytes()) for k, v in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "node long, fp long, fp2 long, size long, label long, hashes binary")
+    near = [(a, b) for a in range(120) for b in range(a) if 10 * len(np.intersect1d(sets[a], sets[b])) >= 8 * len(np.union1d(sets[a], sets[b]))]
+
+    def groups(pairs):
+        up = {k: k // 2 * 2 for k in range(120)}
+        for a, b in pairs:
+            x, y = up[a], up[b]
+            up = {k: (x if v == y else v) for k, v in up.items()}
+        return len(set(up.values())), sorted(sorted(k for k in up if up[k] == v) for v in set(up.values()))
+
+    for block in (1024, 16):
+        edges = [(e.a, e.b) for e in simhash.similar_fingerprints(frame, 18, 32, 1, block, similarity=0.8).collect()]
+        assert set(edges) <= set(near) | {(b, a) for a, b in near}
+        assert groups(edges) == groups(near)
+        assert 1 < groups(near)[0] < 60

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kairograph.operators.relations import recovered_json
+
 #: Texts that are linguistic as a whole, in any case; a blank stands for any white space.
 LINGUISTIC = (
     "however", "moreover", "furthermore", "therefore", "thus", "hence", "consequently", "nevertheless", "nonetheless", "alternatively",
@@ -69,9 +71,49 @@ def hybrid_split(texts: DataFrame, text: str = "text") -> tuple[DataFrame, DataF
 
 
 def normalise_label(label: Column | str) -> Column:
-    """The two labels behind their other names; unknown ones are null."""
+    """The two labels behind their other names; unknown and missing ones are linguistic."""
     own = F.lower(F.trim(F.col(label) if isinstance(label, str) else label))
-    return F.when(own.isin("factual", "retrieval"), "factual").when(own.isin("linguistic", "generation", "other"), "linguistic")
+    return F.when(own.isin("factual", "retrieval"), "factual").otherwise("linguistic")
+
+
+_SPAN_ITEM = "struct<span:string,label:string,confidence:double>"
+
+
+def _located(rows: DataFrame, text: str, items: Column) -> DataFrame:
+    """Spans of a text from response items, in order; those that aren't found in it go."""
+    own = [c for c in rows.columns if c not in ("label", "span", "span_idx", "start_char", "end_char", "confidence")]
+    read = rows.withColumn("_items", items).filter("_items is not null")
+    places = locate_spans(F.col(text), F.transform("_items", lambda i: F.coalesce(i["span"], F.lit(""))))
+    each = read.withColumn("_starts", places).select(*own, F.posexplode(F.arrays_zip("_items", "_starts")).alias("span_idx", "_x")).filter("_x._starts is not null")
+    item, start = F.col("_x._items"), F.col("_x._starts")
+    span = F.coalesce(item["span"], F.lit(""))
+    label, confidence = normalise_label(item["label"]), clamp(F.coalesce(item["confidence"], F.lit(0.5)))
+    return each.select(*own, "span_idx", start.alias("start_char"), (start + F.length(span)).alias("end_char"), span.alias("span"), label.alias("label"), confidence.alias("confidence"))
+
+
+def parse_span_responses(responses: DataFrame, text: str = "text", response: str = "response") -> DataFrame:
+    """Located spans (span_idx, start_char, end_char, span, label, confidence) of each text from its response, a JSON array of
+    {span, label, confidence}, fenced or within words; responses that don't parse give none. Labels are normalised
+    (unknown ones are linguistic), confidence is 0.5 where missing and lies in 0 to 1."""
+    return _located(responses, text, F.from_json(recovered_json(response), f"array<{_SPAN_ITEM}>")).drop(response)
+
+
+def parse_batch_responses(responses: DataFrame, texts: DataFrame, batch: str = "batch_id", index: str = "text_idx", text: str = "text", response: str = "response") -> DataFrame:
+    """B4, batch form: as parse_span_responses for the ``texts`` (batch, index, text) of a response {"results": {"0": [...], ...}}.
+
+    Results of an index beyond the batch's texts go; a bare array stands for the text of a batch of one.
+    """
+    body = F.trim(F.col(response))
+    fenced = F.regexp_extract(body, r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```", 1)
+    between = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
+    parsed = lambda c: F.when(F.try_parse_json(c).isNotNull() & c.rlike(r"^\s*\{"), c)
+    whole = F.coalesce(parsed(fenced), parsed(body), parsed(between))
+    results = F.from_json(whole, f"struct<results:map<string,array<{_SPAN_ITEM}>>>")["results"]
+    keyed = responses.select(batch, F.explode(results).alias("_key", "_found")).select(batch, F.expr("try_cast(_key as int)").alias(index), "_found")
+    single = texts.groupBy(batch).agg(F.count(F.lit(1)).alias("_n"), F.min(index).alias(index)).filter("_n = 1").drop("_n")
+    bare = responses.filter(F.col(response).rlike(r"(?s)^\s*(```(json)?\s*)?\["))
+    bare = bare.join(single, batch).select(batch, index, F.from_json(recovered_json(response), f"array<{_SPAN_ITEM}>").alias("_found"))
+    return _located(texts.join(keyed.unionByName(bare), [batch, index]), text, F.col("_found")).drop("_found")
 
 
 def clamp(value: Column | str) -> Column:

@@ -130,6 +130,31 @@ def use_exact(n: int, nlist: int) -> bool:
     return n < max(nlist, 256)
 
 
+def search(queries: DataFrame, corpus: DataFrame, k: int = 10, nlist: int = 4096, nprobe: int = 64, metric: str = "l2sq", seed: int = 42) -> DataFrame:
+    """V8: exact search where the vectors are too few for ``nlist`` cells, else through the cells."""
+    if use_exact(corpus.count(), nlist):
+        return knn_exact(queries, corpus, k, metric)
+    index, centres = ivf_index(corpus, nlist, seed)
+    return ivf_search(queries, index, centres, k, nprobe, metric)
+
+
+def id_positions(corpus: DataFrame) -> DataFrame:
+    """(id, position): places from 0 in the order of the ids."""
+    from kairograph.operators.metrics import dense_position
+
+    return dense_position(corpus.select("id"), "id")
+
+
+def ids_at(positions: DataFrame, placed: DataFrame) -> DataFrame:
+    """``positions`` (position, …) with the id there, null out of range."""
+    return positions.join(placed.select("position", "id"), "position", "left")
+
+
+def positions_of(ids: DataFrame, placed: DataFrame) -> DataFrame:
+    """``ids`` (id, …) with its position, null where the id is unknown."""
+    return ids.join(placed.select("id", "position"), "id", "left")
+
+
 def product_codes(corpus: DataFrame, parts: int = 8, codes: int = 256, seed: int = 42, sample: int = 100_000) -> tuple[DataFrame, np.ndarray]:
     """V7: (id, codes) of every row and the codebooks (part, code, values); each part's codebook is fitted on at most ``sample`` rows."""
     from pyspark.ml.clustering import KMeans

@@ -124,8 +124,8 @@ def facts_between_directed(spark, sf_dir):
 
 def entity_subgraph_2hop(spark, sf_dir):
     """Two hops from every thirtieth supplier, over the latest facts of urgent confidence."""
-    f = closed_facts(spark, sf_dir).filter("confidence >= 0.99")
-    seeds = table(spark, sf_dir, "supplier").filter("s_suppkey % 30 = 0").selectExpr("'S' || s_suppkey as entity_id")
+    f = closed_facts(spark, sf_dir)
+    seeds = table(spark, sf_dir, "supplier").filter("s_suppkey % 20 = 0").selectExpr("'S' || s_suppkey as entity_id")
     return K.entity_subgraph(f, seeds, 2).select("seed", "fact_id", F.col("hop").cast("long").alias("hop"))
 
 
@@ -209,7 +209,7 @@ SQL = {
       SELECT * FROM found WHERE position <= 20""",
     "facts_between": f"WITH {CLOSED_SQL}, p AS (SELECT 'Brand#1' || CAST(s_suppkey % 5 + 1 AS VARCHAR) AS a, 'S' || CAST(s_suppkey AS VARCHAR) AS b FROM supplier) SELECT fact_id, subject_id, object_id FROM closed JOIN p ON (subject_id = a AND object_id = b) OR (subject_id = b AND object_id = a)",
     "facts_between_directed": f"WITH {CLOSED_SQL}, p AS (SELECT 'Brand#1' || CAST(s_suppkey % 5 + 1 AS VARCHAR) AS a, 'S' || CAST(s_suppkey AS VARCHAR) AS b FROM supplier) SELECT fact_id, subject_id, object_id FROM closed JOIN p ON subject_id = b AND object_id = a",
-    "entity_subgraph_2hop": f"""WITH {CLOSED_SQL}, f AS (SELECT * FROM closed WHERE confidence >= 0.99), seeds AS (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS seed FROM supplier WHERE s_suppkey % 30 = 0),
+    "entity_subgraph_2hop": f"""WITH {CLOSED_SQL}, f AS (SELECT * FROM closed), seeds AS (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS seed FROM supplier WHERE s_suppkey % 20 = 0),
       h1 AS (SELECT seed, fact_id, subject_id, object_id FROM f JOIN seeds ON subject_id = seed OR object_id = seed),
       e1 AS (SELECT seed, subject_id AS e FROM h1 UNION SELECT seed, object_id FROM h1),
       h2 AS (SELECT DISTINCT seed, fact_id FROM f JOIN e1 ON subject_id = e OR object_id = e)

@@ -72,7 +72,7 @@ def kappa(spark, sf_dir):
 
 
 def label_validation(spark, sf_dir):
-    found = B.validate(lengths(spark, sf_dir), annotator(spark, sf_dir, 400, 90, 7).filter("doc_id % 9 > 0"), most=20)
+    found = B.validate(lengths(spark, sf_dir), annotator(spark, sf_dir, 400, 90, 7), most=20)
     return found.withColumn("issues", F.array_join("issues", "; "))
 
 
@@ -95,6 +95,17 @@ def span_location(spark, sf_dir):
     return turns.select("conv_id", "turn", F.array_join(F.transform(starts, lambda s: F.coalesce(s.cast("string"), F.lit("-"))), ",").alias("starts"))
 
 
+def response_spans(spark, sf_dir):
+    """Spans of each turn from a response that names its words, plain, fenced, within words or broken."""
+    turns = table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", "text", F.split("text", " ").alias("w"))
+    label = lambda i: F.element_at(F.array(*map(F.lit, ("factual", "Retrieval ", "generation", "unheard of"))), (i % 4 + 1).cast("int"))
+    items = F.transform("w", lambda x, i: F.struct(F.when(i % 7 == 6, "@@@").when(i % 3 == 2, F.upper(x)).otherwise(x).alias("span"), F.when(i % 5 < 4, label(i)).alias("label"), F.when(i % 2 == 0, i / 4.0).alias("confidence")))
+    body, kind = F.to_json(items), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
+    response = F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("These: "), body, F.lit("."))).otherwise("none")
+    found = B.parse_span_responses(turns.select("conv_id", "turn", "text", response.alias("response")))
+    return found.select("conv_id", "turn", "span_idx", "start_char", "end_char", "label", "confidence")
+
+
 def review_tasks(spark, sf_dir):
     spans = annotator(spark, sf_dir, 400, 90, 7).withColumn("text", F.lit("span"))
     return B.review_tasks(table(spark, sf_dir, "documents"), spans)
@@ -106,7 +117,7 @@ def mention_labels(spark, sf_dir):
     return B.mention_spans(mentions, labels).select("doc_id", F.col("text").alias("mention"), "label")
 
 
-_NAMES = """heuristic_labels heuristic_stats hybrid_split label_stats low_confidence merged_spans token_labels kappa label_validation label_revalidation label_summary span_location review_tasks mention_labels""".split()
+_NAMES = """heuristic_labels heuristic_stats hybrid_split label_stats low_confidence merged_spans token_labels kappa label_validation label_revalidation label_summary span_location response_spans review_tasks mention_labels""".split()
 QUERIES = {k: globals()[k] for k in _NAMES}
 
 
@@ -137,7 +148,7 @@ SQL = {
       r AS (SELECT doc_id, n, coalesce(tp, 0) AS tp, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb FROM n LEFT JOIN j USING (doc_id) LEFT JOIN ka USING (doc_id) LEFT JOIN kb USING (doc_id)),
       o AS (SELECT doc_id, tp, na - tp AS fp, nb - tp AS fn, n - na - nb + tp AS tn, (n - na - nb + 2 * tp) / n AS observed, na / n * (nb / n) + (1 - na / n) * (1 - nb / n) AS expected FROM r)
       SELECT *, CASE WHEN abs(1 - expected) < 1e-12 THEN CASE WHEN abs(1 - observed) < 1e-12 THEN 1.0 ELSE 0.0 END ELSE (observed - expected) / (1 - expected) END AS kappa FROM o""",
-    "label_validation": f"WITH {_VALIDATED.format(a=_annotator(400, 90, 7), where='WHERE doc_id % 9 > 0')} SELECT doc_id, n_spans, ratio, array_to_string(issues, '; ') AS issues, len(issues) = 0 AS valid FROM w",
+    "label_validation": f"WITH {_VALIDATED.format(a=_annotator(400, 90, 7), where='')} SELECT doc_id, n_spans, ratio, array_to_string(issues, '; ') AS issues, len(issues) = 0 AS valid FROM w",
     "label_revalidation": f"""WITH {_VALIDATED.format(a=_annotator(400, 90, 7), where='')}, b AS (SELECT len(issues) = 0 AS old, n_spans BETWEEN 1 AND 20 AND span_ratio BETWEEN 0.15 AND 0.85 AS new FROM w)
       SELECT count(*) FILTER (old) AS valid_before, count(*) FILTER (NOT old) AS invalid_before, count(*) FILTER (new) AS valid_after, count(*) FILTER (NOT new) AS invalid_after, count(*) FILTER (old <> new) AS flipped FROM b""",
     "label_summary": f"WITH {_VALIDATED.format(a=_annotator(400, 90, 7), where='')} SELECT source, count(*) FILTER (len(issues) = 0) AS valid, count(*) FILTER (len(issues) > 0) AS invalid, round(avg(ratio), 9) AS mean_ratio FROM w GROUP BY source",

@@ -66,7 +66,7 @@ def gazetteer(spark, sf_dir):
 
 
 def mentions(spark, sf_dir):
-    ascii_docs = docs(spark, sf_dir).filter("lang = 'en'").withColumn("text", F.regexp_replace("text", "[^A-Za-z]+", " "))
+    ascii_docs = docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", "[^A-Za-z]+", " "))
     return N.length_filter(N.match_gazetteer(ascii_docs, gazetteer(spark, sf_dir), max_words=1))
 
 
@@ -107,7 +107,7 @@ def entity_types(spark, sf_dir):
 
 
 def entity_linking(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3")
+    items = table(spark, sf_dir, "lineitem")
     candidates = items.select(F.col("l_orderkey").alias("mention_id"), F.col("l_partkey").alias("concept_id"), (1 - F.col("l_discount") * 5).alias("score"))
     knowledge = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("concept_id"), F.col("p_name").alias("canonical_name"), F.array("p_type").alias("semantic_types"), F.split("p_name", " ").alias("aliases"), F.lit(None).cast("string").alias("definition"))
     return N.link(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("mention_id")), candidates, knowledge).select("mention_id", "concept_id", "canonical_name")
@@ -121,7 +121,7 @@ def entity_lookup(spark, sf_dir):
 
 def relation_responses(spark, sf_dir):
     """A response per order with its lines as items, plain, fenced, within words, single, or broken."""
-    items = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").select(
+    items = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.struct(
             F.concat(F.lit("S"), "l_suppkey").alias("subject_id"), F.lit("s").alias("subject_label"), F.when(F.col("l_returnflag") == "A", "treats").when(F.col("l_returnflag") == "N", "INHIBITS").otherwise("likes").alias("relation_type"),
             F.concat(F.lit("P"), "l_partkey").alias("object_id"), F.when(F.col("l_linestatus") == "O", "o").alias("object_label"),
@@ -130,7 +130,7 @@ def relation_responses(spark, sf_dir):
     rows = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "item"))).alias("x"))
     body = F.to_json(F.transform("x", lambda v: v["item"]))
     one = F.to_json(F.col("x")[0]["item"])
-    kind = F.col("l_orderkey") / 10 % 5
+    kind = F.floor(F.col("l_orderkey") / 10) % 5
     response = F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nDone"))).when(kind == 2, F.concat(F.lit("I found "), body, F.lit(" in it"))).when(kind == 3, one).otherwise(F.concat(F.lit("{"), body))
     valid = F.transform(F.slice("x", 1, 2), lambda v: v["item"]["subject_id"])
     return rows.select("l_orderkey", response.alias("response"), F.concat(valid, F.transform("x", lambda v: v["item"]["object_id"])).alias("valid_ids"))
@@ -147,7 +147,7 @@ def relation_validation(spark, sf_dir):
 
 def relation_facts(spark, sf_dir):
     good, _ = L.validate(L.parse_responses(relation_responses(spark, sf_dir)))
-    papers = table(spark, sf_dir, "orders").filter("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("pmcid"), F.col("o_orderdate").cast("date").alias("publication_date"))
+    papers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pmcid"), F.col("o_orderdate").cast("date").alias("publication_date"))
     return L.to_facts(good.withColumnRenamed("l_orderkey", "pmcid"), papers, as_of="2024-01-01").select("fact_id", "family_key", "valid_from", F.element_at("metadata", "subject_ontology").alias("ontology"))
 
 
@@ -184,7 +184,7 @@ def router_examples(spark, sf_dir):
 
 
 def token_table(spark, sf_dir):
-    plain = docs(spark, sf_dir).filter("lang = 'en'").select("doc_id", F.regexp_replace("text", "[^A-Za-z .]", "").alias("text"))
+    plain = docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", "[^A-Za-z .]", "").alias("text"))
     return D.token_table(plain).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start_char").alias("starts"), F.sum("end_char").alias("ends"))
 
 
@@ -200,10 +200,10 @@ DATES = {"publication_dates": ["d"], "relation_facts": ["valid_from"]}
 
 _W = "w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents)"
 _ROWS = """x AS (SELECT 'N' || CAST(c_custkey % 25 AS VARCHAR) AS canonical_id, CASE WHEN c_custkey % 3 > 0 THEN c_name ELSE '' END AS label, CASE WHEN c_custkey % 4 > 0 THEN c_mktsegment END AS entity_type, c_custkey AS seq, abs(c_acctbal) / 10000 AS confidence FROM customer)"""
-_MENTIONS = """g AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS name FROM benchmark), t AS (SELECT doc_id, unnest(string_split_regex(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ')) AS name FROM documents WHERE lang = 'en'),
+_MENTIONS = """g AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS name FROM benchmark), t AS (SELECT doc_id, unnest(string_split_regex(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ')) AS name FROM documents),
 m AS (SELECT doc_id, 'C' || md5(name) AS canonical_id, name FROM t JOIN g USING (name) WHERE length(name) >= 8 AND length(name) <= 100)"""
 _ITEMS = """i AS (SELECT l_orderkey, l_linenumber, 'S' || CAST(l_suppkey AS VARCHAR) AS subject_id, CASE l_returnflag WHEN 'A' THEN 'treats' WHEN 'N' THEN 'INHIBITS' ELSE 'likes' END AS relation_type, 'P' || CAST(l_partkey AS VARCHAR) AS object_id,
-  l_linestatus = 'O' AS labelled, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'S' || CAST(l_suppkey AS VARCHAR), CASE l_returnflag WHEN 'A' THEN 'treats' WHEN 'N' THEN 'INHIBITS' ELSE 'likes' END, 'P' || CAST(l_partkey AS VARCHAR)) AS rn FROM lineitem WHERE l_orderkey % 10 = 0),
+  l_linestatus = 'O' AS labelled, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'S' || CAST(l_suppkey AS VARCHAR), CASE l_returnflag WHEN 'A' THEN 'treats' WHEN 'N' THEN 'INHIBITS' ELSE 'likes' END, 'P' || CAST(l_partkey AS VARCHAR)) AS rn FROM lineitem),
 p AS (SELECT * FROM i WHERE CASE l_orderkey // 10 % 5 WHEN 3 THEN rn = 1 WHEN 4 THEN TRUE ELSE TRUE END),
 j AS (SELECT p.*, CASE WHEN NOT labelled THEN 'missing field' WHEN relation_type = 'likes' THEN 'unknown relation type' WHEN NOT EXISTS (SELECT 1 FROM i v WHERE v.l_orderkey = p.l_orderkey AND (v.rn <= 2 AND v.subject_id = p.subject_id OR v.object_id = p.subject_id)) THEN 'unknown subject' ELSE 'ok' END AS reason FROM p)"""
 SQL = {
@@ -226,19 +226,19 @@ SQL = {
     "entity_types": "WITH t AS (SELECT unnest(['protein', 'drug', 'gene', 'disease', 'anatomical_structure', 'cell_type', 'organism', 'pathway']) AS kind, unnest(["
     + ", ".join("[" + ", ".join(f"'{i}'" for i in ids) + "]" for ids in N.SEMANTIC_TYPES.values())
     + "]) AS ids) SELECT p_partkey, coalesce((SELECT kind FROM t WHERE p_partkey % 3 = 0 AND list_contains(ids, 'T0' || CAST(p_partkey % 60 + 10 AS VARCHAR))), ['drug', 'gene', 'disease', 'unknown'][p_partkey % 4 + 1]) AS kind FROM part",
-    "entity_linking": """WITH c AS (SELECT l_orderkey AS mention_id, l_partkey AS concept_id, 1 - l_discount * 5 AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY 1 - l_discount * 5 DESC, l_partkey) AS rn FROM lineitem WHERE l_linenumber <= 3)
+    "entity_linking": """WITH c AS (SELECT l_orderkey AS mention_id, l_partkey AS concept_id, 1 - l_discount * 5 AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY 1 - l_discount * 5 DESC, l_partkey) AS rn FROM lineitem)
       SELECT o_orderkey AS mention_id, concept_id, p_name AS canonical_name FROM orders LEFT JOIN (SELECT * FROM c WHERE rn = 1 AND score >= 0.7::DOUBLE) ON mention_id = o_orderkey LEFT JOIN part ON p_partkey = concept_id""",
     "entity_lookup": "SELECT 'N' || CAST(a.n_nationkey * 2 AS VARCHAR) AS canonical_id, b.n_name FROM nation a LEFT JOIN nation b ON b.n_nationkey = a.n_nationkey * 2",
     "relation_parse": f"WITH {_ITEMS} SELECT l_orderkey, subject_id, relation_type, object_id, 0.8::DOUBLE AS confidence, FALSE AS is_negated FROM p",
     "relation_validation": f"WITH {_ITEMS} SELECT l_orderkey, subject_id, object_id, CASE WHEN reason = 'ok' THEN upper(relation_type) ELSE relation_type END AS relation_type, reason FROM j",
-    "relation_facts": f"""WITH {_ITEMS}, f AS (SELECT subject_id, upper(relation_type) AS r, object_id, coalesce(CAST(o_orderdate AS DATE), DATE '2024-01-01') AS valid_from FROM j LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 20 = 0) ON o_orderkey = l_orderkey WHERE reason = 'ok')
+    "relation_facts": f"""WITH {_ITEMS}, f AS (SELECT subject_id, upper(relation_type) AS r, object_id, coalesce(CAST(o_orderdate AS DATE), DATE '2024-01-01') AS valid_from FROM j LEFT JOIN orders ON o_orderkey = l_orderkey WHERE reason = 'ok')
       SELECT sha256(subject_id || '||' || r || '||' || object_id || '||' || CAST(valid_from AS VARCHAR)) AS fact_id, sha256(subject_id || '||' || r || '||' || object_id || '||FAMILY') AS family_key, valid_from, 'UMLS' AS ontology FROM f""",
     "relation_distribution": "SELECT p_type AS value, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, value LIMIT 10",
     "relation_confidence": "SELECT CAST(least(9, floor(round(l_discount * 10 * 10, 9))) AS INT) AS bucket, count(*) AS n FROM lineitem GROUP BY 1",
     "resume_pending": "SELECT doc_id, CASE WHEN text IN (SELECT text FROM documents WHERE doc_id % 3 = 0) THEN 'stored' END AS response FROM documents",
     "exact_split": "SELECT 'val' AS split, CAST(floor(count(*) * 0.2::DOUBLE) AS BIGINT) AS n FROM documents UNION ALL SELECT 'train', count(*) - CAST(floor(count(*) * 0.2::DOUBLE) AS BIGINT) FROM documents",
     "stratified_split": "WITH s AS (SELECT source, count(*) AS n, CAST(floor(count(*) * 0.2::DOUBLE) AS BIGINT) AS v FROM documents GROUP BY source) SELECT source, 'val' AS split, v AS n FROM s WHERE v > 0 UNION ALL SELECT source, 'train', n - v FROM s WHERE n > v",
-    "token_table": """WITH d AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z .]', '', 'g') AS t FROM documents WHERE lang = 'en'),
+    "token_table": """WITH d AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z .]', '', 'g') AS t FROM documents),
       c AS (SELECT doc_id, i, t[i] AS ch, CASE WHEN i > 1 THEN t[i - 1] ELSE ' ' END AS b FROM (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS i FROM d)),
       s AS (SELECT doc_id, i - 1 AS start, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn, CASE WHEN ch = '.' THEN 1 ELSE 0 END AS dot FROM c WHERE ch = '.' OR (ch <> ' ' AND (b = ' ' OR b = '.'))),
       e AS (SELECT doc_id, i AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM (SELECT doc_id, i, ch, lead(ch, 1, ' ') OVER (PARTITION BY doc_id ORDER BY i) AS a FROM c) WHERE ch = '.' OR (ch <> ' ' AND (a = ' ' OR a = '.')))

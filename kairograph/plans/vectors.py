@@ -35,6 +35,18 @@ def knn_exact(spark, sf_dir):
     return V.knn_exact(asking(spark, sf_dir), corpus(spark, sf_dir), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("distance", 6).alias("distance"))
 
 
+def index_choice(spark, sf_dir):
+    found = V.search(asking(spark, sf_dir), corpus(spark, sf_dir), 10, nprobe=4096)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("distance", 6).alias("distance"))
+
+
+def id_positions(spark, sf_dir):
+    """Both ways for twice each id, half of which are out of range."""
+    placed, asked = V.id_positions(corpus(spark, sf_dir)), corpus(spark, sf_dir).select((F.col("id") * 2).alias("asked"))
+    there = V.ids_at(asked.withColumn("position", F.col("asked")), placed).select("asked", F.col("id").alias("id_there"))
+    return V.positions_of(there.withColumn("id", F.col("asked")), placed).select("asked", "id_there", F.col("position").cast("long").alias("position_there"))
+
+
 def knn_cosine(spark, sf_dir):
     return V.knn_exact(asking(spark, sf_dir), corpus(spark, sf_dir), 5, "cosine", block=64).select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("distance", 6).alias("distance"))
 
@@ -75,7 +87,7 @@ def index_statistics(spark, sf_dir):
 
 def level_expand(spark, sf_dir):
     _, vectors, members = levels(spark, sf_dir)
-    found = V.search_at_level(asking(spark, sf_dir).filter("query_id % 50 = 0"), vectors, 2, 3)
+    found = V.search_at_level(asking(spark, sf_dir).filter("query_id % 20 = 0"), vectors, 2, 3)
     return V.expand(found, members, 2).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("fact_id", "position").alias("first"), F.max_by("fact_id", "position").alias("last"))
 
 
@@ -130,7 +142,7 @@ def encoded_texts(spark, sf_dir):
     return V.encode_texts(table(spark, sf_dir, "documents"), id_col="doc_id")
 
 
-_NAMES = """knn_exact knn_cosine hard_negatives_rank hard_negatives random_negatives pair_mean level_vectors level_members index_statistics level_expand resolve_queries pair_similarity_share
+_NAMES = """knn_exact index_choice id_positions knn_cosine hard_negatives_rank hard_negatives random_negatives pair_mean level_vectors level_members index_statistics level_expand resolve_queries pair_similarity_share
 similarity_histogram argmax_logits vector_checks ivf_search pq_search pca elbow encoded_texts""".split()
 QUERIES = {k: globals()[k] for k in _NAMES}
 
@@ -154,7 +166,7 @@ SQL = {
     "level_vectors": f"WITH {_E}, {_F} SELECT CAST(level AS BIGINT) AS level, key, round(v[1], 6) AS first, round(v[64], 6) AS last FROM units",
     "level_members": f"WITH {_E}, {_F} SELECT CAST(level AS BIGINT) AS level, key, count(*) AS n, min(fact_id) AS least, max(pos) AS last FROM members GROUP BY level, key",
     "index_statistics": f"WITH {_E}, {_F} SELECT CAST(level AS BIGINT) AS level, count(*) AS n, max(len(v)) AS dim FROM units GROUP BY level",
-    "level_expand": f"""WITH {_E}, {_F}, s AS (SELECT q.id AS query_id, u.key, row_number() OVER (PARTITION BY q.id ORDER BY {_DIST}, u.key) AS rank FROM e q, units u WHERE q.id % 50 = 0 AND u.level = 2),
+    "level_expand": f"""WITH {_E}, {_F}, s AS (SELECT q.id AS query_id, u.key, row_number() OVER (PARTITION BY q.id ORDER BY {_DIST}, u.key) AS rank FROM e q, units u WHERE q.id % 20 = 0 AND u.level = 2),
       x AS (SELECT query_id, fact_id, min((rank, pos)) AS place FROM s JOIN members ON members.key = s.key AND level = 2 WHERE rank <= 3 GROUP BY query_id, fact_id) SELECT query_id, count(*) AS n, arg_min(fact_id, row(place, fact_id)) AS first, arg_max(fact_id, row(place, fact_id)) AS last FROM x GROUP BY query_id""",
     "resolve_queries": f"""WITH {_E}, {_F}, s AS (SELECT q.id AS query_id, u.level, u.key, row_number() OVER (PARTITION BY q.id ORDER BY {_DIST}, u.key) AS rank FROM e q JOIN units u ON u.level = q.id // 10 % 4 WHERE q.id % 10 = 0),
       x AS (SELECT DISTINCT query_id, members.fact_id FROM s JOIN members ON members.key = s.key AND members.level = s.level WHERE rank <= 3), y AS (SELECT x.query_id, f.*, DATE '2000-06-01' + CAST(x.query_id AS INT) AS as_of FROM x JOIN f USING (fact_id))
@@ -164,3 +176,6 @@ SQL = {
     "argmax_logits": "SELECT vec_id AS id, CAST(list_position(embedding[1:4], list_max(embedding[1:4])) - 1 AS INT) AS level, CAST(list_position(embedding[5:7], list_max(embedding[5:7])) - 1 AS INT) AS mode FROM embeddings",
     "vector_checks": "SELECT vec_id AS id, vec_id % 6 <> 0 AS good FROM embeddings",
 }
+SQL["index_choice"] = SQL["knn_exact"]
+SQL["id_positions"] = """WITH p AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS position FROM embeddings)
+  SELECT vec_id * 2 AS asked, a.id AS id_there, b.position AS position_there FROM embeddings LEFT JOIN p a ON a.position = vec_id * 2 LEFT JOIN p b ON b.id = vec_id * 2"""

@@ -402,3 +402,82 @@ def test_files(spark, tmp_path):
     rows.write.json(str(tmp_path / "export"))
     good, bad = facts.import_export(spark, str(tmp_path / "export"))
     assert good.count() == 1 and bad.count() == 2 and good.first().fact_id == f.first().fact_id
+
+
+def brute_spans(items, text):
+    """Spans of one text, looked up in order: from the last end, without case, from the start."""
+    out, at = [], 0
+    for k, item in enumerate(items):
+        span = item.get("span") or ""
+        start = text.find(span, at)
+        if start < 0:
+            start = text.lower().find(span.lower(), at)
+        if start < 0:
+            start = text.find(span)
+        if start < 0:
+            continue
+        label = (item.get("label") or "linguistic").lower().strip()
+        c = item.get("confidence")
+        out.append((k, start, start + len(span), span, "factual" if label in ("factual", "retrieval") else "linguistic", min(max(0.5 if c is None else c, 0.0), 1.0)))
+        at = start + len(span)
+    return out
+
+
+ITEMS_A = [{"span": "Drug A", "label": " Retrieval ", "confidence": 1.7}, {"span": "DRUG b", "label": "odd"}, {"span": "nowhere", "label": "factual"}, {"span": "helps", "confidence": -1.0}, {"span": "Drug A"}]
+
+
+def test_span_responses(spark):
+    import json
+
+    from kairograph.operators import spans as B
+
+    text, body = "Drug A and drug b helps. However", json.dumps(ITEMS_A)
+    rows = [(1, text, body), (2, text, f"Sure:\n```json\n{body}\n```\nDone"), (3, text, f"x {body} y"), (4, text, "none"), (5, text, None), (6, "", body), (7, text, "[]")]
+    got = B.parse_span_responses(spark.createDataFrame(rows, "k long, text string, response string")).collect()
+    want = brute_spans(ITEMS_A, text)
+    assert len(want) == 4
+    by = {k: sorted((r.span_idx, r.start_char, r.end_char, r.span, r.label, r.confidence) for r in got if r.k == k) for k in range(1, 8)}
+    assert by == {1: want, 2: want, 3: want, 4: [], 5: [], 6: [], 7: []}
+
+
+def test_batch_span_responses(spark):
+    import json
+
+    from kairograph.operators import spans as B
+
+    texts = [("a", 0, "Drug A and drug b helps."), ("a", 1, "However"), ("b", 0, "Drug A"), ("c", 0, "helps"), ("c", 1, "x"), ("d", 0, "Drug A")]
+    results = {"0": ITEMS_A, "1": [{"span": "However", "label": "generation"}], "7": ITEMS_A}
+    responses = [("a", "```json\n" + json.dumps({"results": results}) + "\n```"), ("b", json.dumps(ITEMS_A)), ("c", json.dumps(ITEMS_A)), ("d", "It is " + json.dumps({"results": {"0": ITEMS_A}}) + "!")]
+    got = B.parse_batch_responses(spark.createDataFrame(responses, "batch_id string, response string"), spark.createDataFrame(texts, "batch_id string, text_idx int, text string")).collect()
+    want = [("a", 0, *x) for x in brute_spans(ITEMS_A, texts[0][2])] + [("a", 1, *x) for x in brute_spans(results["1"], "However")]
+    want += [(b, 0, *x) for b in "bd" for x in brute_spans(ITEMS_A, "Drug A")]
+    assert sorted((r.batch_id, r.text_idx, r.span_idx, r.start_char, r.end_char, r.span, r.label, r.confidence) for r in got) == sorted(want)
+
+
+def test_response_spans_of_the_table(spark, data):
+    """Every word of each turn in order, by brute force."""
+    from pyspark.sql import functions as F
+
+    from kairograph.plans import spans as P
+
+    labels = ("factual", "Retrieval ", "generation", "unheard of")
+    turns = spark.read.parquet(f"{data}/conversations.parquet").withColumn("kind", F.expr("pmod(xxhash64(conv_id, turn), 4)")).collect()
+    want = []
+    for r in turns:
+        if r.text is not None and r.kind < 3:
+            items = [{"span": "@@@" if i % 7 == 6 else w.upper() if i % 3 == 2 else w, "label": labels[i % 4] if i % 5 < 4 else None, "confidence": i / 4 if i % 2 == 0 else None} for i, w in enumerate(r.text.split(" "))]
+            want += [(r.conv_id, r.turn, k, s, e, label, c) for k, s, e, _, label, c in brute_spans(items, r.text)]
+    assert want and sorted(map(tuple, P.response_spans(spark, data).collect())) == sorted(want)
+
+
+def test_search_by_cells_when_there_are_enough(spark):
+    import numpy as np
+
+    from kairograph.operators import vectors as V
+
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(rng.normal(size=(400, 8)))]
+    corpus = spark.createDataFrame(rows, "id long, embedding array<double>")
+    queries = corpus.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
+    exact, cells = (sorted((r.query_id, r.rank, r.id) for r in V.search(queries, corpus, 5, nlist, 8).collect()) for nlist in (4096, 8))
+    assert exact == cells

@@ -1,8 +1,9 @@
 """Brown class-based n-grams: exchange clustering of words, class transitions and word emissions.
 
-Items are clustered: each word that makes up SHARE or more of the training tokens, and otherwise the bucket of its ending, so
-there are at most 1 / SHARE + BUCKETS items whatever the corpus, every word has a class by exchange, and the class map
-can be broadcast. Word counts are not bounded so: rare words meet their counts in a join.
+Every word of FLOOR or more training occurrences gets its class by exchange, however many there are. The head (words of SHARE
+or more of the tokens, at most 1 / SHARE) is exchanged in rounds until few move; its map is broadcast. The tail, which
+grows with the corpus, meanwhile stands in BUCKETS by the words' endings; then each tail word is exchanged on its own from
+its contexts, and its class is a row of a table that texts meet in a join. Rarer words keep the class of their bucket.
 """
 
 from __future__ import annotations
@@ -16,14 +17,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairograph.llm.common import materialize, utf8, with_fields
 
-CLASSES, BUCKETS, ROUNDS = 64, 4096, 3
-#: Of the training tokens: words in the class map, and words whose counts are broadcast for scoring.
+CLASSES, BUCKETS = 64, 4096
+#: The head's rounds end when fewer than SETTLED of the items tried move, and at ROUNDS at the latest.
+ROUNDS, SETTLED = 6, 0.02
+#: Of the training tokens: words of the head, and words whose counts and classes are broadcast for scoring.
 SHARE, COUNT_SHARE = 2.0**-16, 2.0**-19
+#: Occurrences from which a word of the tail is exchanged on its own.
+FLOOR = 3
 END = b""  # no word is empty: stands for the end of a text
 
 
@@ -81,6 +87,11 @@ def _lookup(items: _Items) -> _Lookup:
     return _LOOKUPS[items.key]
 
 
+def _hash(word: bytes) -> int:
+    """As Spark's xxhash64 of a binary column, unsigned."""
+    return xxhash.xxh64_intdigest(word, 42)
+
+
 def _words(batch: pa.RecordBatch, column: int) -> Iterator[list[bytes]]:
     for x in batch.column(column):
         yield x.as_buffer().to_pybytes().lower().split()
@@ -117,17 +128,25 @@ def _start_classes(items: _Items) -> np.ndarray:
 
 
 def _encoded(training: DataFrame, text_col: str, items) -> DataFrame:
-    """(items array<int>): the training texts as item ids, an end on both sides; written once, read by every round."""
+    """(items array<int>, tail array<long>): the training texts, written once, read by every round.
+
+    Items have an end on both sides; tail has the words that stand in buckets, in order, as 64-bit hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = _lookup(items.value)
         for batch in batches:
-            texts = [lookup.sequence(words) for words in _words(batch, 0)]
-            ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-            flat = np.concatenate([np.empty(0, np.int64), *texts]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["items"])
+            texts, ends, hashes, cuts = [np.empty(0, np.int64)], [0], [], [0]
+            for words in _words(batch, 0):
+                texts.append(lookup.sequence(words))
+                ends.append(ends[-1] + len(words) + 2)
+                hashes.extend(_hash(words[k]) for k in np.flatnonzero(texts[-1][1:-1] >= lookup.first).tolist())
+                cuts.append(len(hashes))
+            flat, tail = np.concatenate(texts).astype(np.int32), np.array(hashes, np.uint64).view(np.int64)
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for at, x in ((ends, flat), (cuts, tail))]
+            yield pa.RecordBatch.from_arrays(lists, ["items", "tail"])
 
-    return materialize(training.select(utf8(text_col)).mapInArrow(run, "items array<int>"), "encoded")
+    return materialize(training.select(utf8(text_col)).mapInArrow(run, "items array<int>, tail array<long>"), "encoded")
 
 
 def _contexts(encoded: DataFrame, number: int, classes: np.ndarray) -> DataFrame:
@@ -176,7 +195,7 @@ def _contexts(encoded: DataFrame, number: int, classes: np.ndarray) -> DataFrame
         if item is not None:
             yield out()
 
-    parts = encoded.mapInArrow(run, "item long, left array<long>, right array<long>")
+    parts = encoded.select("items").mapInArrow(run, "item long, left array<long>, right array<long>")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return parts.repartition(partitions, "item").sortWithinPartitions("item").mapInArrow(total, "item long, left array<long>, right array<long>")
 
@@ -203,38 +222,44 @@ def _transitions(contexts: DataFrame, classes: np.ndarray) -> np.ndarray:
     return out
 
 
-def exchange(contexts: DataFrame, classes: np.ndarray, pairs: np.ndarray, turn: int) -> np.ndarray:
-    """New classes after one exchange of the items whose turn it is.
+def best_class(own: int, left: np.ndarray, right: np.ndarray, pairs: np.ndarray, logs: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> int:
+    """The class where an item of these contexts adds most to the likelihood of the class bigrams; its own unless one is better.
 
-    Each item goes to the class where the likelihood of the class bigrams gains most, against the counts of the
-    round's beginning, so items are tried in parallel; half of them move in a round, else words would swap in step.
+    ``logs`` is x log x of ``pairs``; class 0 is the end's alone.
     """
+    l, r = np.flatnonzero(left), np.flatnonzero(right)
+    before, after, n_left, n_right = left[l], right[r], left.sum(), right.sum()
+
+    def change(sign: float, k=slice(None)) -> np.ndarray:
+        """Likelihood change from adding the item to (or taking it from) each class; the item's own place is as it was."""
+        out = (_xlogx(np.maximum(pairs[k][..., r] + sign * after, 0)) - logs[k][..., r]).sum(axis=-1)
+        out += (_xlogx(np.maximum(pairs.T[k][..., l] + sign * before, 0)) - logs.T[k][..., l]).sum(axis=-1)
+        out -= _xlogx(np.maximum(rows[k] + sign * n_right, 0)) - _xlogx(rows[k])
+        return out - (_xlogx(np.maximum(columns[k] + sign * n_left, 0)) - _xlogx(columns[k]))
+
+    gains = change(1.0) + change(-1.0, own)
+    gains[0], gains[own] = -np.inf, 0.0
+    return int(gains.argmax())
+
+
+def _turn(item: int, turn: int) -> bool:
+    """Whether the item is tried in this round: half of them are, else words would swap in step."""
+    return item != 0 and (zlib.crc32(str(item).encode()) + turn) % 2 == 0
+
+
+def exchange(contexts: DataFrame, classes: np.ndarray, pairs: np.ndarray, turn: int) -> np.ndarray:
+    """New classes after one exchange of the items whose turn it is, all against the counts of the round's beginning."""
     shared = contexts.sparkSession.sparkContext.broadcast((classes, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, pairs = shared.value
-        logs, rows, columns = _xlogx(pairs), pairs.sum(axis=1), pairs.sum(axis=0)
+        known = pairs, _xlogx(pairs), pairs.sum(axis=1), pairs.sum(axis=0)
         for batch in batches:
-            items, new = batch.column(0).to_numpy(), []
+            items, new = batch.column(0).to_pylist(), []
             lefts, rights = (batch.column(c).flatten().to_numpy().reshape(-1, CLASSES).astype(float) for c in (1, 2))
             for item, left, right in zip(items, lefts, rights):
-                own = classes[item]
-                if item == 0 or (zlib.crc32(str(item).encode()) + turn) % 2:
-                    new.append(own)
-                    continue
-                n = right.sum()
-
-                def change(sign: float, k=slice(None)) -> np.ndarray:
-                    """Likelihood change from adding the item to (or taking it from) each class; the item's own place is as it was."""
-                    out = (_xlogx(np.maximum(pairs[k] + sign * right, 0)) - logs[k]).sum(axis=-1)
-                    out += (_xlogx(np.maximum(pairs.T[k] + sign * left, 0)) - logs.T[k]).sum(axis=-1)
-                    out -= _xlogx(np.maximum(rows[k] + sign * n, 0)) - _xlogx(rows[k])
-                    return out - (_xlogx(np.maximum(columns[k] + sign * left.sum(), 0)) - _xlogx(columns[k]))
-
-                gains = change(1.0) + change(-1.0, own)
-                gains[0], gains[own] = -np.inf, 0.0
-                new.append(int(gains.argmax()))
-            yield pa.RecordBatch.from_arrays([pa.array(items), pa.array(new, pa.int64())], ["item", "class"])
+                new.append(best_class(classes[item], left, right, *known) if _turn(item, turn) else classes[item])
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(new, pa.int64())], ["item", "class"])
 
     out = classes.copy()
     for r in contexts.select("item", "left", "right").mapInArrow(run, "item long, class long").collect():  # bounded by the items
@@ -242,22 +267,68 @@ def exchange(contexts: DataFrame, classes: np.ndarray, pairs: np.ndarray, turn:
     return out
 
 
+def exchange_tail(encoded: DataFrame, items, classes: np.ndarray, pairs: np.ndarray, floor: int = FLOOR) -> DataFrame:
+    """(h long, class int): each word of the tail with ``floor`` or more occurrences goes to its best class.
+
+    A row per occurrence, its hash and the classes around it, is dealt by the hash. No word of the tail has SHARE of the tokens, so
+    none is hot. Neighbours that are in the tail too count under the class of their bucket.
+    """
+    spark = encoded.sparkSession
+    shared = spark.sparkContext.broadcast((classes, pairs))
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, first = shared.value[0], items.value.first_bucket
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy()
+            at, kinds = np.flatnonzero(flat >= first), classes[flat]  # never first or last: the ends are no words
+            near = (kinds[at - 1] * CLASSES + kinds[at + 1]).astype(np.int16)
+            own = pa.array(kinds[at].astype(np.int8))
+            yield pa.RecordBatch.from_arrays([batch.column(1).flatten(), pa.array(near), own], ["h", "near", "own"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = shared.value[1]
+        known = pairs, _xlogx(pairs), pairs.sum(axis=1), pairs.sum(axis=0)
+
+        def out(h: np.ndarray, near: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
+            ends = np.r_[starts[1:], len(h)].astype(np.int64)[: len(starts)]
+            enough = ends - starts >= floor
+            found = []
+            for a, b in zip(starts[enough].tolist(), ends[enough].tolist()):
+                left, right = (np.bincount(x, minlength=CLASSES).astype(float) for x in (near[a:b] // CLASSES, near[a:b] % CLASSES))
+                found.append(best_class(own[a], left, right, *known))
+            return pa.RecordBatch.from_arrays([pa.array(h[starts[enough]]), pa.array(found, pa.int32())], ["h", "class"])
+
+        held = [np.empty(0, np.int64)] * 3
+        for batch in batches:
+            held = [np.concatenate([x, batch.column(c).to_numpy().astype(np.int64)]) for c, x in enumerate(held)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last word may go on in the next batch
+            if cut:
+                yield out(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        yield out(*held)
+
+    rows = encoded.mapInArrow(around, "h long, near short, own byte")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, "h").sortWithinPartitions("h").mapInArrow(best, "h long, class int")
+
+
 @dataclass
 class BrownModel:
     """Counts and classes. log10 P(text) sums, over tokens, the class's transition and the word's emission.
 
     Transition: (pairs + 0.5) / (row + 0.5 * classes). Emission: (count + 1) / (class tokens + class words + 1): each class
-    keeps one share for the words it has not seen.
+    keeps one share for the words it has not seen, which have the class of their bucket.
     """
 
     items: object  # broadcast _Items
-    classes: np.ndarray
-    pairs: np.ndarray
-    counts: DataFrame  # word, n: all of them, written to the shared folder
+    classes: np.ndarray  # of items
+    words: DataFrame  # word, n, class: all of them, written to the shared folder
     tokens: int
     distinct: int
     class_tokens: np.ndarray
     class_words: np.ndarray
+    pairs: np.ndarray | None = None
 
     def step_log10(self) -> np.ndarray:
         """What each pair of classes adds to a text's log10 probability, beside log10(count + 1)."""
@@ -265,10 +336,10 @@ class BrownModel:
         return np.log10(transition) - np.log10(self.class_tokens + self.class_words + 1.0)[None, :]
 
 
-def train(training: DataFrame, text_col: str = "text", rounds: int = ROUNDS, share: float = SHARE) -> BrownModel:
-    """Learn from every row of ``training``; null texts count as empty. Without rows all counts are zero."""
+def learn_classes(training: DataFrame, text_col: str = "text", rounds: int = ROUNDS, share: float = SHARE, floor: int = FLOOR) -> BrownModel:
+    """Counts and classes of every row of ``training``, without class pairs; null texts count as empty, without rows all is zero."""
     spark = training.sparkSession
-    counts = materialize(word_counts(training, text_col), "words")
+    counts = materialize(word_counts(training, text_col), "counts")
     totals = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, distinct = totals.n or 0, totals.v
     frequent = counts.filter((F.col("n") >= max(1.0, tokens * share)) & (F.length("word") > 0)).collect()  # 1 / share rows at most
@@ -279,24 +350,123 @@ def train(training: DataFrame, text_col: str = "text", rounds: int = ROUNDS, sha
     encoded = _encoded(training, text_col, held)
     contexts = materialize(_contexts(encoded, items.number, classes), "contexts")
     for turn in range(rounds):
-        classes = exchange(contexts, classes, _transitions(contexts, classes), turn)
+        before, classes = classes, exchange(contexts, classes, _transitions(contexts, classes), turn)
         contexts = materialize(_contexts(encoded, items.number, classes), "contexts")
-    pairs = _transitions(contexts, classes)
+        if turn and (before != classes).sum() < SETTLED * items.number / 2:  # both halves have been tried
+            break
+    tail = exchange_tail(encoded, held, classes, _transitions(contexts, classes), floor)
     shared = spark.sparkContext.broadcast(classes)
 
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, classes = held.value, shared.value
+        for batch in batches:
+            kinds = [
+                k if k is not None else int(classes[items.item(w) if w != END else 0])
+                for w, k in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.int32())], ["word", "n", "class"])
+
+    joined = counts.withColumn("h", F.xxhash64("word")).join(tail, "h", "left").select("word", "n", "class")
+    words = materialize(joined.mapInArrow(placed, "word binary, n long, class int"), "words")
+    sizes = np.zeros((CLASSES, 2))
+    for r in words.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        sizes[r["class"]] = r.n, r.v
+    return BrownModel(held, classes, words, tokens, distinct, sizes[:, 0], sizes[:, 1])
+
+
+def classified(docs: DataFrame, model: BrownModel, text_col: str = "text", count_share: float = COUNT_SHARE) -> DataFrame:
+    """``docs`` without ``text_col``, in a struct ``own``, with what scores need: n_tokens, known, counts (sum of log10(count + 1)), and
+    the classes of its tokens, a byte each, an end on both sides. Written to the shared folder.
+
+    Frequent words are looked up in a broadcast table; the others meet the words' table in a join, a row per text and word.
+    """
+    spark = docs.sparkSession
+    common = model.words.filter(F.col("n") >= max(1.0, model.tokens * count_share)).collect()  # 1 / count_share rows at most
+    numbers = {bytes(r.word): k for k, r in enumerate(common)}
+    table = spark.sparkContext.broadcast((numbers, np.array([r["class"] for r in common] + [0], np.uint8), np.array([math.log10(r.n + 1) for r in common] + [0.0])))
+    held, shared = model.items, spark.sparkContext.broadcast(model.classes)
+    own = [F.col(c) for c in docs.columns if c != text_col] or [F.lit(0).alias("n_tokens")]  # a struct has a field: one that results replace
+    given = docs.select(F.struct(*own).alias("own"), utf8(text_col).alias("bytes"))
+    results = "n_tokens long, known long, counts double, kinds binary"
+    schema = with_fields(given.select("own").schema, f"key binary, {results}, rare array<struct<word: binary, at: array<int>>>")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((CLASSES, 2), np.int64)
-        items = held.value
+        numbers, kinds, logs = table.value
+        items, classes = held.value, shared.value
+        _LOOKUPS.clear()  # training is over in this worker: its memory goes
+        last = len(logs) - 1
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[shared.value[0 if word == END else items.item(word)]] += (n, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["c", "n", "v"])
+            rows, words_, positions, at_ends, ends = [], [], [], [0], [0]
+            for words in _words(batch, 1):
+                words.append(END)
+                found = np.fromiter((numbers.get(w, last) for w in words), np.int64, len(words))
+                seq = np.zeros(len(words) + 1, np.uint8)
+                seq[1:] = kinds[found]
+                rare: dict[bytes, list[int]] = {}
+                for k in np.flatnonzero(found == last).tolist():
+                    rare.setdefault(words[k], []).append(k + 1)
+                for w, at in rare.items():
+                    if w != END:
+                        seq[at] = classes[items.item(w)]
+                    words_.append(w)
+                    positions.extend(at)
+                    at_ends.append(len(positions))
+                ends.append(len(words_))
+                rows.append((uuid.uuid4().bytes, len(words), int((found != last).sum()), float(logs[found].sum()), seq.tobytes()))
+            columns = list(zip(*rows)) or [[]] * 5
+            types = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.binary())
+            at = pa.ListArray.from_arrays(pa.array(at_ends, pa.int32()), pa.array(positions, pa.int32()))
+            pairs = pa.StructArray.from_arrays([pa.array(words_, pa.binary()), at], ["word", "at"])
+            rare_lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(columns, types)), rare_lists], schema.names)
 
-    by_class = counts.select("word", "n").mapInArrow(run, "c long, n long, v long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    sizes = np.zeros((CLASSES, 2))
-    for r in by_class:
-        sizes[r.c] = r.n, r.v
-    return BrownModel(held, classes, pairs, counts, tokens, distinct, sizes[:, 0], sizes[:, 1])
+    local = materialize(given.mapInArrow(run, schema), "looked-up")  # keys are made once: what follows reads what was written
+    words = local.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.at")
+    found = words.join(model.words, "word").groupBy("key").agg(F.collect_list(F.struct("at", F.col("class").alias("kind"), "n")).alias("found"))
+    both = local.drop("rare").join(found, "key", "left").drop("key")
+    schema2 = both.drop("found").schema
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs, found = batch.column(4), batch.column(5)
+            own, n_tokens, known, counts = (batch.column(c) for c in range(4))
+            starts = np.cumsum([0, *(n + 1 for n in n_tokens.to_pylist())])
+            flat = np.frombuffer(b"".join(seqs.to_pylist()), np.uint8).copy()
+            each = found.flatten()  # a row per text and word
+            text = np.repeat(np.arange(batch.num_rows), found.value_lengths().fill_null(0).to_numpy())
+            at, kind, n = (each.field(k) for k in range(3))
+            times = at.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat[np.repeat(starts[text], times) + at.flatten().to_numpy()] = np.repeat(kind.to_numpy(), times)
+            known = known.to_numpy() + np.bincount(text, times, batch.num_rows).astype(np.int64)
+            counts = counts.to_numpy() + np.bincount(text, times * np.log10(n.to_numpy() + 1.0), batch.num_rows)
+            new = [flat[a:b].tobytes() for a, b in zip(starts, starts[1:])]
+            yield pa.RecordBatch.from_arrays([own, n_tokens, pa.array(known), pa.array(counts), pa.array(new, pa.binary())], schema2.names)
+
+    return materialize(both.mapInArrow(settle, schema2), "classified")
+
+
+def class_pairs(texts: DataFrame) -> np.ndarray:
+    """Counts of class pairs in the texts of ``classified``: a matrix of fixed size from each task, added on the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                seq = np.frombuffer(x.as_buffer(), np.uint8).astype(np.int64)
+                pairs += np.bincount(seq[:-1] * CLASSES + seq[1:], minlength=len(pairs))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pairs))), pa.array(pairs)], ["pair", "n"])
+
+    out = np.zeros(CLASSES * CLASSES)
+    for r in texts.select("kinds").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r.pair] = r.n
+    return out.reshape(CLASSES, CLASSES)
+
+
+def train(training: DataFrame, text_col: str = "text", rounds: int = ROUNDS, share: float = SHARE, floor: int = FLOOR) -> BrownModel:
+    """Learn from every row of ``training``; null texts count as empty. Without rows all counts are zero."""
+    model = learn_classes(training, text_col, rounds, share, floor)
+    model.pairs = class_pairs(classified(training.select(text_col), model, text_col))
+    return model
 
 
 def score(docs: DataFrame, model: BrownModel, text_col: str = "text", count_share: float = COUNT_SHARE) -> DataFrame:
@@ -306,54 +476,32 @@ def score(docs: DataFrame, model: BrownModel, text_col: str = "text", count_shar
     of ``docs`` with these names are replaced. Null text counts as empty (one token, the end). One row per row, repeated ones
     included.
     """
-    spark = docs.sparkSession
+    return score_classified(classified(docs, model, text_col, count_share), model)
+
+
+def score_classified(texts: DataFrame, model: BrownModel) -> DataFrame:
+    """The result of ``score`` for the texts of ``classified``."""
     results = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
-    own = [c for c in docs.columns if c != text_col and c not in results]
-    common = model.counts.filter(F.col("n") >= max(1.0, model.tokens * count_share)).collect()  # 1 / count_share rows at most
-    known = spark.sparkContext.broadcast(({bytes(r.word): math.log10(r.n + 1) for r in common}, model.classes, model.step_log10()))
-    held = model.items
-    given = docs.select(*own, utf8(text_col).alias("_bytes"))
-    schema = with_fields(given.drop("_bytes").schema, "_key string, n_tokens long, _known long, _counts double, _steps double, _rare array<struct<word: binary, k: long>>")
+    shared = texts.sparkSession.sparkContext.broadcast(model.step_log10().ravel())
+    given = texts.select("own", "n_tokens", "known", "counts", "kinds")
+    schema = with_fields(given.drop("kinds").schema, "steps double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, classes, steps = known.value
-        items = held.value
-        lookup, end_value = _lookup(items), table.get(END)
+        steps = shared.value
         for batch in batches:
-            locals_, ends, rare_words, rare_counts = [], [0], [], []
-            for words in _words(batch, len(own)):
-                seq = classes[lookup.sequence(words)]
-                values = np.array([table.get(w, -1.0) for w in words])
-                seen = values >= 0
-                rare = Counter(words[k] for k in np.flatnonzero(~seen).tolist())
-                if end_value is None:
-                    rare[END] = 1
-                n, total = int(seen.sum()), float(values[seen].sum())
-                if end_value is not None:
-                    n, total = n + 1, total + end_value
-                locals_.append((uuid.uuid4().hex, len(words) + 1, n, total, float(steps[seq[:-1], seq[1:]].sum())))
-                rare_words.extend(rare.keys())
-                rare_counts.extend(rare.values())
-                ends.append(len(rare_words))
-            columns = list(zip(*locals_)) or [[]] * 5
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            pairs = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], ["word", "k"])
-            rare_lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(own))), *(pa.array(x, t) for x, t in zip(columns, kinds)), rare_lists], schema.names)
+            seqs = (np.frombuffer(x.as_buffer(), np.uint8).astype(np.int64) for x in batch.column(4))
+            sums = [float(steps[seq[:-1] * CLASSES + seq[1:]].sum()) for seq in seqs]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(sums, pa.float64())], schema.names)
 
-    local = materialize(given.mapInArrow(run, schema), "scored")  # keys are made once: what follows reads what was written
-    words = local.select("_key", F.explode("_rare").alias("r")).select("_key", F.col("r.word").alias("word"), F.col("r.k").alias("k"))
-    found = words.join(model.counts, "word").groupBy("_key").agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("more_counts"))
-    out = local.drop("_rare").join(found, "_key", "left")
-    total = F.col("_counts") + F.coalesce("more_counts", F.lit(0.0))
     floor = math.log10(model.tokens + model.distinct + 1)
-    scored: Column = total + F.col("_steps")
-    return out.select(
+    scored: Column = F.col("counts") + F.col("steps")
+    own = [F.col("own")[c].alias(c) for c in texts.schema["own"].dataType.names if c not in results]
+    return given.mapInArrow(run, schema).select(
         *own,
         "n_tokens",
-        (F.col("_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (total - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
+        (F.col("counts") - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
         scored.alias("score"),
         F.pow(F.lit(10.0), -scored / F.col("n_tokens")).alias("perplexity"),
     )
@@ -367,4 +515,7 @@ def held_out(id_col: str = "doc_id", folds: int = 7, fold: int = 2) -> Column:
 def split_and_score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on the rows that aren't held out and score all of them."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out("doc_id"))
-    return score(rows, train(rows.filter(~F.col("held_out"))))
+    model = learn_classes(rows.filter(~F.col("held_out")))
+    texts = classified(rows, model)
+    model.pairs = class_pairs(texts.filter(~F.col("own.held_out")))  # the training texts are among them
+    return score_classified(texts, model)

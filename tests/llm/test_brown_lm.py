@@ -38,9 +38,9 @@ def got_base(df):
 
 def brute_score(model, training, text):
     """From the class map alone: transitions and emissions counted again."""
-    words = model.items.value.words
-    item = lambda w: 0 if w == b.END else words.get(w, model.items.value.first_bucket + b.bucket(w))
-    cls = lambda w: int(model.classes[item(w)])
+    classes = {bytes(r.word): r["class"] for r in model.words.collect()}
+    unseen = lambda w: 0 if w == b.END else int(model.classes[model.items.value.first_bucket + b.bucket(w)])
+    cls = lambda w: classes[w] if w in classes else unseen(w)
     pairs, emitted, counts = Counter(), Counter(), Counter()
     for t in training:
         seq = [b.END, *tokens(t)]
@@ -112,3 +112,57 @@ def test_exchange_raises_the_likelihood(spark, data):
 
 def test_empty(spark):
     assert b.split_and_score(spark, spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_best_class_is_the_one_of_most_gain():
+    rng = np.random.default_rng(5)
+    x = lambda a: float(b._xlogx(a).sum())
+    for _ in range(20):
+        pairs = rng.integers(0, 40, (b.CLASSES, b.CLASSES)).astype(float) * rng.integers(0, 2, (b.CLASSES, b.CLASSES))
+        left, right = (rng.integers(0, 3, b.CLASSES).astype(float) * (rng.random(b.CLASSES) < 0.1) for _ in range(2))
+        own = int(rng.integers(1, b.CLASSES))
+        pairs[own] += right
+        pairs[:, own] += left
+
+        def gain(k, sign):
+            after, before = pairs.copy(), pairs.copy()
+            after[k] = np.maximum(after[k] + sign * right, 0)
+            before[:, k] = np.maximum(before[:, k] + sign * left, 0)
+            rows = x(after.sum(axis=1)) - x(pairs.sum(axis=1))
+            columns = x(before.sum(axis=0)) - x(pairs.sum(axis=0))
+            return x(after) + x(before) - 2 * x(pairs) - rows - columns
+
+        gains = [gain(k, 1.0) + gain(own, -1.0) for k in range(b.CLASSES)]
+        gains[0], gains[own] = -math.inf, 0.0
+        got = b.best_class(own, left, right, pairs, b._xlogx(pairs), pairs.sum(axis=1), pairs.sum(axis=0))
+        assert math.isclose(gains[got], max(gains), abs_tol=1e-6)
+
+
+def test_words_of_the_tail_are_exchanged_one_by_one(spark, data):
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = b.train(docs, rounds=1, share=0.005, floor=2)
+    items = model.items.value
+    seqs = [[b.END, *tokens(r.text)] for r in rows]
+    counts = Counter(w for seq in seqs for w in seq[1:])
+    item = lambda w: 0 if w == b.END else items.item(w)
+    kind = lambda w: int(model.classes[item(w)])
+    pairs, lefts, rights = np.zeros((b.CLASSES, b.CLASSES)), {}, {}
+    for seq in seqs:
+        for v, w in zip(seq, seq[1:]):
+            pairs[kind(v), kind(w)] += 1
+            lefts.setdefault(w, np.zeros(b.CLASSES))[kind(v)] += 1
+            rights.setdefault(v, np.zeros(b.CLASSES))[kind(w)] += 1
+    known = pairs, b._xlogx(pairs), pairs.sum(axis=1), pairs.sum(axis=0)
+    want = {}
+    for w, n in counts.items():
+        alone = w != b.END and w not in items.words and n >= 2
+        want[w] = b.best_class(kind(w), lefts[w], rights[w], *known) if alone else kind(w)
+    got = {bytes(r.word): (r["class"], r.n) for r in model.words.collect()}
+    assert got == {w: (k, counts[w]) for w, k in want.items()}
+    assert sum(k != kind(w) for w, k in want.items()) > len(want) / 10
+    found = b.score(docs, model, count_share=0.005).collect()
+    more = {r.doc_id: r.score for r in b.score(docs, model).collect()}  # with all words in the broadcast table
+    texts = [r.text for r in rows]
+    assert all(math.isclose(r.score, more[r.doc_id], abs_tol=1e-6) for r in found)
+    assert all(math.isclose(more[r.doc_id], brute_score(model, texts, r.text), abs_tol=1e-6) for r in rows[:10])

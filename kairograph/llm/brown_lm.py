@@ -25,11 +25,13 @@ from kairograph.llm.common import materialize, utf8, with_fields
 
 CLASSES, BUCKETS = 64, 4096
 #: The head's rounds end when fewer than SETTLED of the items tried move, and at ROUNDS at the latest.
-ROUNDS, SETTLED = 6, 0.02
+ROUNDS, SETTLED = 4, 0.02
 #: Of the training tokens: words of the head, and words whose counts and classes are broadcast for scoring.
 SHARE, COUNT_SHARE = 2.0**-16, 2.0**-19
 #: Occurrences from which a word of the tail is exchanged on its own.
 FLOOR = 3
+#: Occurrences of the tail that a task brings into order at a time.
+SLOT = 2**19
 END = b""  # no word is empty: stands for the end of a text
 
 
@@ -173,7 +175,7 @@ def _contexts(encoded: DataFrame, number: int, classes: np.ndarray) -> DataFrame
         seen = np.flatnonzero(left.any(axis=1) | right.any(axis=1))
         for at in range(0, len(seen), 4096):
             part = seen[at : at + 4096]
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x[part].ravel()), CLASSES).cast(pa.list_(pa.int64())) for x in (left, right)]
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x[part].ravel().astype(np.int32)), CLASSES).cast(pa.list_(pa.int32())) for x in (left, right)]
             yield pa.RecordBatch.from_arrays([pa.array(part), *lists], ["item", "left", "right"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +186,7 @@ def _contexts(encoded: DataFrame, number: int, classes: np.ndarray) -> DataFrame
 
         kind = pa.schema([("item", pa.int64()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))])
         for batch in batches:
-            rows = np.stack([batch.column(c).flatten().to_numpy().reshape(-1, CLASSES) for c in (1, 2)], axis=1)
+            rows = np.stack([batch.column(c).flatten().to_numpy().reshape(-1, CLASSES) for c in (1, 2)], axis=1).astype(np.int64)
             for now, pair in zip(batch.column(0).to_pylist(), rows):
                 if now != item:
                     if item is not None:
@@ -195,7 +197,7 @@ def _contexts(encoded: DataFrame, number: int, classes: np.ndarray) -> DataFrame
         if item is not None:
             yield out()
 
-    parts = encoded.select("items").mapInArrow(run, "item long, left array<long>, right array<long>")
+    parts = encoded.select("items").mapInArrow(run, "item long, left array<int>, right array<int>")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return parts.repartition(partitions, "item").sortWithinPartitions("item").mapInArrow(total, "item long, left array<long>, right array<long>")
 
@@ -222,24 +224,43 @@ def _transitions(contexts: DataFrame, classes: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_class(own: int, left: np.ndarray, right: np.ndarray, pairs: np.ndarray, logs: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> int:
-    """The class where an item of these contexts adds most to the likelihood of the class bigrams; its own unless one is better.
+def gain_tables(pairs: np.ndarray) -> list[tuple]:
+    """For the classes after and before an item: pair counts by (other class, own class), their x log x, sums, and steps of up to 16."""
+    out = []
+    for table in (pairs.T, pairs):
+        logs = _xlogx(table)
+        out.append((table, logs, table.sum(axis=0), np.stack([_xlogx(table + c) - logs for c in range(1, 17)])))
+    return out
 
-    ``logs`` is x log x of ``pairs``; class 0 is the end's alone.
-    """
-    l, r = np.flatnonzero(left), np.flatnonzero(right)
-    before, after, n_left, n_right = left[l], right[r], left.sum(), right.sum()
 
-    def change(sign: float, k=slice(None)) -> np.ndarray:
-        """Likelihood change from adding the item to (or taking it from) each class; the item's own place is as it was."""
-        out = (_xlogx(np.maximum(pairs[k][..., r] + sign * after, 0)) - logs[k][..., r]).sum(axis=-1)
-        out += (_xlogx(np.maximum(pairs.T[k][..., l] + sign * before, 0)) - logs.T[k][..., l]).sum(axis=-1)
-        out -= _xlogx(np.maximum(rows[k] + sign * n_right, 0)) - _xlogx(rows[k])
-        return out - (_xlogx(np.maximum(columns[k] + sign * n_left, 0)) - _xlogx(columns[k]))
+def best_classes(own: np.ndarray, left: np.ndarray, right: np.ndarray, tables: list[tuple]) -> np.ndarray:
+    """Per item, the class where its contexts add most to the likelihood of the class bigrams; its own unless one is better.
 
-    gains = change(1.0) + change(-1.0, own)
-    gains[0], gains[own] = -np.inf, 0.0
-    return int(gains.argmax())
+    Contexts are rows of counts by class. The rest of an item's own place is as it was. Class 0 is the end's alone.
+    """
+    every = []
+    for a in range(0, len(own), 256):
+        kind, sides = own[a : a + 256], (right[a : a + 256], left[a : a + 256])
+        gains, leaving = np.zeros((len(kind), CLASSES)), np.zeros(len(kind))
+        for counts, (table, logs, sums, steps) in zip(sides, tables):
+            w, x = np.nonzero(counts)
+            c = counts[w, x].astype(np.int64)
+            change = steps[np.minimum(c, len(steps)) - 1, x]
+            large = np.flatnonzero(c > len(steps))
+            change[large] = _xlogx(table[x[large]] + c[large, None]) - logs[x[large]]
+            less = _xlogx(np.maximum(table[x, kind[w]] - c, 0)) - logs[x, kind[w]]
+            if len(w):
+                starts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+                gains[w[starts]] += np.add.reduceat(change, starts, axis=0)
+                leaving[w[starts]] += np.add.reduceat(less, starts)
+            n = counts.sum(axis=1)
+            gains -= _xlogx(sums + n[:, None]) - _xlogx(sums)
+            leaving -= _xlogx(np.maximum(sums[kind] - n, 0)) - _xlogx(sums[kind])
+        gains += leaving[:, None]
+        gains[:, 0] = -np.inf
+        gains[np.arange(len(kind)), kind] = 0.0
+        every.append(gains.argmax(axis=1))
+    return np.concatenate([np.empty(0, np.int64), *every])
 
 
 def _turn(item: int, turn: int) -> bool:
@@ -253,13 +274,13 @@ def exchange(contexts: DataFrame, classes: np.ndarray, pairs: np.ndarray, turn:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, pairs = shared.value
-        known = pairs, _xlogx(pairs), pairs.sum(axis=1), pairs.sum(axis=0)
+        tables = gain_tables(pairs)
         for batch in batches:
-            items, new = batch.column(0).to_pylist(), []
-            lefts, rights = (batch.column(c).flatten().to_numpy().reshape(-1, CLASSES).astype(float) for c in (1, 2))
-            for item, left, right in zip(items, lefts, rights):
-                new.append(best_class(classes[item], left, right, *known) if _turn(item, turn) else classes[item])
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(new, pa.int64())], ["item", "class"])
+            items = batch.column(0).to_numpy()
+            lefts, rights = (batch.column(c).flatten().to_numpy().reshape(-1, CLASSES) for c in (1, 2))
+            new, tried = classes[items], np.array([_turn(item, turn) for item in items.tolist()], bool)
+            new[tried] = best_classes(new[tried], lefts[tried], rights[tried], tables)
+            yield pa.RecordBatch.from_arrays([pa.array(items), pa.array(new)], ["item", "class"])
 
     out = classes.copy()
     for r in contexts.select("item", "left", "right").mapInArrow(run, "item long, class long").collect():  # bounded by the items
@@ -267,50 +288,86 @@ def exchange(contexts: DataFrame, classes: np.ndarray, pairs: np.ndarray, turn:
     return out
 
 
-def exchange_tail(encoded: DataFrame, items, classes: np.ndarray, pairs: np.ndarray, floor: int = FLOOR) -> DataFrame:
+def exchange_tail(encoded: DataFrame, items, classes: np.ndarray, pairs: np.ndarray, tokens: int, floor: int = FLOOR) -> DataFrame:
     """(h long, class int): each word of the tail with ``floor`` or more occurrences goes to its best class.
 
-    A row per occurrence, its hash and the classes around it, is dealt by the hash. No word of the tail has SHARE of the tokens, so
-    none is hot. Neighbours that are in the tail too count under the class of their bucket.
+    A task brings SLOT occurrences at a time into the order of their hashes and hands on, for each range of hashes, the words
+    with the classes around them. There are as many ranges as the corpus has SLOT tokens, and no word of the tail has SHARE of
+    the tokens, so no range is large. Neighbours that are in the tail too count under the class of their bucket.
     """
     spark = encoded.sparkSession
     shared = spark.sparkContext.broadcast((classes, pairs))
+    slots = 1 + tokens // SLOT
+    kinds_ = (np.uint64, np.int32, np.uint8, np.uint16)  # of a range: words, occurrences of each, own class of each; class pair of each occurrence
+    names = ["slot", "h", "times", "own", "near"]
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, first = shared.value[0], items.value.first_bucket
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            h, near, own = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.argsort(h)
+            h, near, own = h[order], near[order], own[order]
+            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            ends, words = np.r_[starts[1:], len(h)], h[starts]
+            slot = (words >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)  # rises with the hash
+            cuts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+            columns = [[], [], [], []]
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(words)]):
+                for column, x, kind in zip(columns, (words[a:b], ends[a:b] - starts[a:b], own[starts[a:b]], near[starts[a] : ends[b - 1]]), kinds_):
+                    column.append(x.astype(kind).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(slot[cuts].astype(np.int64)), *(pa.array(x, pa.binary()) for x in columns)], names)
+
+        waiting = 0
         for batch in batches:
             flat = batch.column(0).flatten().to_numpy()
             at, kinds = np.flatnonzero(flat >= first), classes[flat]  # never first or last: the ends are no words
-            near = (kinds[at - 1] * CLASSES + kinds[at + 1]).astype(np.int16)
-            own = pa.array(kinds[at].astype(np.int8))
-            yield pa.RecordBatch.from_arrays([batch.column(1).flatten(), pa.array(near), own], ["h", "near", "own"])
+            if len(at):
+                near = (kinds[at - 1] * CLASSES + kinds[at + 1]).astype(np.uint16)
+                held.append((batch.column(1).flatten().to_numpy().view(np.uint64), near, kinds[at].astype(np.uint8)))
+                waiting += len(at)
+            if waiting >= SLOT:
+                yield out()
+                waiting = 0
+        if waiting:
+            yield out()
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = shared.value[1]
-        known = pairs, _xlogx(pairs), pairs.sum(axis=1), pairs.sum(axis=0)
-
-        def out(h: np.ndarray, near: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
-            ends = np.r_[starts[1:], len(h)].astype(np.int64)[: len(starts)]
-            enough = ends - starts >= floor
-            found = []
-            for a, b in zip(starts[enough].tolist(), ends[enough].tolist()):
-                left, right = (np.bincount(x, minlength=CLASSES).astype(float) for x in (near[a:b] // CLASSES, near[a:b] % CLASSES))
-                found.append(best_class(own[a], left, right, *known))
-            return pa.RecordBatch.from_arrays([pa.array(h[starts[enough]]), pa.array(found, pa.int32())], ["h", "class"])
-
-        held = [np.empty(0, np.int64)] * 3
+        tables = gain_tables(shared.value[1])
+
+        def out(packs: list[tuple]) -> pa.RecordBatch:
+            words, times, own, near = (np.concatenate([np.frombuffer(p[c], kind) for p in packs]) for c, kind in enumerate(kinds_))
+            unique, first, number = np.unique(words, return_index=True, return_inverse=True)
+            enough = np.flatnonzero(np.bincount(number, times) >= floor)
+            number = np.repeat(number, times)
+            order = np.argsort(number, kind="stable")
+            number, near, found = number[order], near[order].astype(np.int64), []
+            for a in range(0, len(enough), 4096):
+                part = enough[a : a + 4096]
+                low, high = np.searchsorted(number, (part[0], part[-1] + 1))
+                place = (number[low:high] - part[0]) * CLASSES
+                size = (part[-1] - part[0] + 1) * CLASSES
+                left, right = (np.bincount(place + x, minlength=size).reshape(-1, CLASSES)[part - part[0]] for x in np.divmod(near[low:high], CLASSES))
+                found.append(best_classes(own[first[part]].astype(np.int64), left, right, tables))
+            found = np.concatenate([np.empty(0, np.int64), *found]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(unique[enough].view(np.int64)), pa.array(found)], ["h", "class"])
+
+        slot, packs = None, []
         for batch in batches:
-            held = [np.concatenate([x, batch.column(c).to_numpy().astype(np.int64)]) for c, x in enumerate(held)]
-            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last word may go on in the next batch
-            if cut:
-                yield out(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        yield out(*held)
-
-    rows = encoded.mapInArrow(around, "h long, near short, own byte")
+            for now, *pack in zip(batch.column(0).to_pylist(), *(batch.column(c).to_pylist() for c in range(1, 5))):
+                if now != slot and packs:
+                    yield out(packs)
+                    packs = []
+                slot = now
+                packs.append(pack)
+        if packs:
+            yield out(packs)
+
+    rows = encoded.mapInArrow(around, "slot long, h binary, times binary, own binary, near binary")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(partitions, "h").sortWithinPartitions("h").mapInArrow(best, "h long, class int")
+    return rows.repartition(partitions, "slot").sortWithinPartitions("slot").mapInArrow(best, "h long, class int")
 
 
 @dataclass
@@ -354,7 +411,7 @@ def learn_classes(training: DataFrame, text_col: str = "text", rounds: int = ROU
         contexts = materialize(_contexts(encoded, items.number, classes), "contexts")
         if turn and (before != classes).sum() < SETTLED * items.number / 2:  # both halves have been tried
             break
-    tail = exchange_tail(encoded, held, classes, _transitions(contexts, classes), floor)
+    tail = exchange_tail(encoded, held, classes, _transitions(contexts, classes), tokens, floor)
     shared = spark.sparkContext.broadcast(classes)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,8 +423,9 @@ def learn_classes(training: DataFrame, text_col: str = "text", rounds: int = ROU
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.int32())], ["word", "n", "class"])
 
-    joined = counts.withColumn("h", F.xxhash64("word")).join(tail, "h", "left").select("word", "n", "class")
-    words = materialize(joined.mapInArrow(placed, "word binary, n long, class int"), "words")
+    often = counts.filter(F.col("n") >= floor).withColumn("h", F.xxhash64("word")).join(tail, "h", "left").select("word", "n", "class")
+    rare = counts.filter(F.col("n") < floor).withColumn("class", F.lit(None).cast("int"))
+    words = materialize(often.union(rare).mapInArrow(placed, "word binary, n long, class int"), "words")
     sizes = np.zeros((CLASSES, 2))
     for r in words.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         sizes[r["class"]] = r.n, r.v

@@ -444,9 +444,9 @@ def classified(docs: DataFrame, model: BrownModel, text_col: str = "text", count
     table = spark.sparkContext.broadcast((numbers, np.array([r["class"] for r in common] + [0], np.uint8), np.array([math.log10(r.n + 1) for r in common] + [0.0])))
     held, shared = model.items, spark.sparkContext.broadcast(model.classes)
     own = [F.col(c) for c in docs.columns if c != text_col] or [F.lit(0).alias("n_tokens")]  # a struct has a field: one that results replace
-    given = docs.select(F.struct(*own).alias("own"), utf8(text_col).alias("bytes"))
+    given = docs.select(F.struct(*own).alias("own"), utf8(text_col).alias("bytes"), F.monotonically_increasing_id().alias("key"))
     results = "n_tokens long, known long, counts double, kinds binary"
-    schema = with_fields(given.select("own").schema, f"key binary, {results}, rare array<struct<word: binary, at: array<int>>>")
+    schema = with_fields(given.select("own").schema, f"key long, {results}, rare array<struct<word: binary, at: array<int>>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, kinds, logs = table.value
@@ -470,35 +470,33 @@ def classified(docs: DataFrame, model: BrownModel, text_col: str = "text", count
                     positions.extend(at)
                     at_ends.append(len(positions))
                 ends.append(len(words_))
-                rows.append((uuid.uuid4().bytes, len(words), int((found != last).sum()), float(logs[found].sum()), seq.tobytes()))
-            columns = list(zip(*rows)) or [[]] * 5
-            types = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.binary())
+                rows.append((len(words), int((found != last).sum()), float(logs[found].sum()), seq.tobytes()))
+            columns = list(zip(*rows)) or [[]] * 4
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.binary())
             at = pa.ListArray.from_arrays(pa.array(at_ends, pa.int32()), pa.array(positions, pa.int32()))
             pairs = pa.StructArray.from_arrays([pa.array(words_, pa.binary()), at], ["word", "at"])
             rare_lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(columns, types)), rare_lists], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, t) for x, t in zip(columns, types)), rare_lists], schema.names)
 
     local = materialize(given.mapInArrow(run, schema), "looked-up")  # keys are made once: what follows reads what was written
     words = local.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.at")
-    found = words.join(model.words, "word").groupBy("key").agg(F.collect_list(F.struct("at", F.col("class").alias("kind"), "n")).alias("found"))
-    both = local.drop("rare").join(found, "key", "left").drop("key")
-    schema2 = both.drop("found").schema
+    found = words.join(model.words, "word").select("key", F.explode(F.col("at").cast("array<long>")).alias("at"), "class", "n")
+    codes = F.collect_list(F.col("at") * CLASSES + F.col("class")).alias("codes")  # of one text
+    found = found.groupBy("key").agg(codes, F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("logs"))
+    added = [(F.col(c) + F.coalesce(x, F.lit(0))).alias(c) for c, x in (("known", "more"), ("counts", "logs"))]
+    both = local.drop("rare").join(found, "key", "left").select("own", "n_tokens", *added, "kinds", "codes")
+    schema2 = both.drop("codes").schema
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seqs, found = batch.column(4), batch.column(5)
-            own, n_tokens, known, counts = (batch.column(c) for c in range(4))
-            starts = np.cumsum([0, *(n + 1 for n in n_tokens.to_pylist())])
+            seqs, codes = batch.column(4), batch.column(5)
+            starts = np.cumsum([0, *(n + 1 for n in batch.column(1).to_pylist())])
             flat = np.frombuffer(b"".join(seqs.to_pylist()), np.uint8).copy()
-            each = found.flatten()  # a row per text and word
-            text = np.repeat(np.arange(batch.num_rows), found.value_lengths().fill_null(0).to_numpy())
-            at, kind, n = (each.field(k) for k in range(3))
-            times = at.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat[np.repeat(starts[text], times) + at.flatten().to_numpy()] = np.repeat(kind.to_numpy(), times)
-            known = known.to_numpy() + np.bincount(text, times, batch.num_rows).astype(np.int64)
-            counts = counts.to_numpy() + np.bincount(text, times * np.log10(n.to_numpy() + 1.0), batch.num_rows)
+            text = np.repeat(np.arange(batch.num_rows), codes.value_lengths().fill_null(0).to_numpy())
+            at, kind = np.divmod(codes.flatten().to_numpy(), CLASSES)
+            flat[starts[text] + at] = kind
             new = [flat[a:b].tobytes() for a, b in zip(starts, starts[1:])]
-            yield pa.RecordBatch.from_arrays([own, n_tokens, pa.array(known), pa.array(counts), pa.array(new, pa.binary())], schema2.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(new, pa.binary())], schema2.names)
 
     return materialize(both.mapInArrow(settle, schema2), "classified")
 

@@ -97,14 +97,22 @@ def augmented(examples: DataFrame, key: str = "doc_id", seed: int = 0, p: float
 def exact_split(rows: DataFrame, key: str, fraction: float = 0.2, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
     """Split 'val' for exactly floor(n * fraction) rows in the order of a seeded hash, 'train' for the rest; per stratum with ``by``.
 
-    Over all rows the cut is a quantile of the hash found by counting, so no task sorts them all.
+    Over all rows the cut is a quantile of the hash found by counting, and within a stratum rows are ranked by ranges of the hash,
+    each shifted by the counts before it, so no task sorts all rows, or all of a stratum. A null stratum is one of its own.
     """
     from kairograph.operators.metrics import dense_position
 
     hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), key))
     if by:
-        counts = hashed.groupBy(*by).agg(F.floor(F.count(F.lit(1)) * fraction).alias("_cut"))
-        ranked = hashed.withColumn("_pos", F.row_number().over(Window.partitionBy(*by).orderBy("_h", key)) - 1).join(counts, list(by))
+        ranged = hashed.withColumn("_range", F.shiftright("_h", 56))  # 256 of them, in the order of the hash
+        counts = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+        stratum_rows = Window.partitionBy(*by)
+        before = F.sum("_n").over(stratum_rows.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+        cut = F.floor(F.sum("_n").over(stratum_rows) * fraction)
+        shifts = counts.select(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by)), F.col("_range").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"), cut.alias("_cut"))
+        same = [F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)]
+        own = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_h", key))
+        ranked = ranged.withColumn("_own", own).join(shifts, [F.col("_range") == F.col("_at"), *same]).withColumn("_pos", F.col("_before") + F.col("_own") - 1)
     else:
         total = hashed.agg(F.floor(F.count(F.lit(1)) * fraction).alias("_cut"))
         ranked = dense_position(hashed, "_h", "_pos").crossJoin(F.broadcast(total))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -254,26 +254,31 @@ def block_means(rows: DataFrame, value: str, step: str, by: Sequence[str], width
 def patience(rows: DataFrame, run: str, step: str, value: str, patience: int = 3, min_delta: float = 0.0, mode: str = "max") -> DataFrame:
     """(run, step, value, best, bad, stop): best so far beyond min_delta, evaluations since, and whether to stop.
 
-    The rule depends on every earlier step, so a run's evaluations (few) are folded in order, one run at a time.
+    The rule depends on every earlier step, so a run's evaluations are folded in the order of their steps. They come sorted, in batches,
+    and a task holds the state of one run only, however long the run. A null or NaN is no improvement.
     """
     sign = 1.0 if mode == "max" else -1.0
-    kind = rows.schema[run].dataType.simpleString()
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        best, bad, stopped, out = None, 0, False, []
-        for at, v in pdf.sort_values("step")[["step", "value"]].itertuples(index=False):
-            if best is None:
-                best = v
-            elif sign * v > sign * best + min_delta:
-                best, bad = v, 0
-            else:
-                bad += 1
-                stopped = stopped or bad >= patience
-            out.append((pdf["run"].iloc[0], at, v, best, bad, stopped))
-        return pd.DataFrame(out, columns=["run", "step", "value", "best", "bad", "stop"])
+    schema = f"run {rows.schema[run].dataType.simpleString()}, step long, value double, best double, bad long, stop boolean"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best, bad, stopped = object(), None, 0, False
+        for batch in batches:
+            out = []
+            for name, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if name != now:
+                    now, best, bad, stopped = name, None, 0, False
+                if v is not None and v == v and (best is None or sign * v > sign * best + min_delta):
+                    best, bad = v, 0
+                else:
+                    bad += 1
+                    stopped = stopped or bad >= patience
+                out.append((best, bad, stopped))
+            states = zip(*out) if out else ([], [], [])
+            columns = [pa.array(x, t) for x, t in zip(states, (pa.float64(), pa.int64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], ["run", "step", "value", "best", "bad", "stop"])
 
     given = rows.select(F.col(run).alias("run"), F.col(step).cast("long").alias("step"), F.col(value).cast("double").alias("value"))
-    return given.groupBy("run").applyInPandas(fold, f"run {kind}, step long, value double, best double, bad long, stop boolean")
+    return given.repartition("run").sortWithinPartitions("run", "step", "value").mapInArrow(fold, schema)
 
 
 def confidence_margins(rows: DataFrame, threshold: float, width: float = 0.1, prob: str = "prob", label: str = "label") -> DataFrame:

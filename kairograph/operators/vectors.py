@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kairograph.functions.vectors import DESCENDING, METRICS, argmax, cosine, normalise
+from kairograph.functions.vectors import DESCENDING, METRICS, argmax, normalise
 
 #: Queries that are broadcast at a time; more of them are searched block after block.
 QUERY_BLOCK = 4096
@@ -314,34 +314,74 @@ def hard_negatives(queries: DataFrame, corpus: DataFrame, positives: DataFrame,
 
 
 def random_negatives(queries: DataFrame, corpus: DataFrame, n: int = 5, seed: int = 0) -> DataFrame:
-    """N random rows per query: each draw is an offset into the corpus' dense positions, so no pairs are made."""
-    placed = corpus.select("id", F.xxhash64(F.lit(seed), "id").alias("_h"))
+    """N different random rows per query, never the one with the query's own id (all others where they are fewer).
+
+    The dense positions of the other rows, in the order of a hash, fall into n even parts, and each draw takes one place of its part:
+    an equi-join on the position, so no pairs are made.
+    """
     from kairograph.operators.metrics import dense_position
 
-    placed = dense_position(placed, "_h").select("id", "position")
+    placed = dense_position(corpus.select("id", F.xxhash64(F.lit(seed), "id").alias("_h")), "_h").select("id", "position")
     total = placed.agg(F.count(F.lit(1)).alias("_n"))
-    draws = queries.select("query_id").crossJoin(F.broadcast(total)).select("query_id", "_n", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw"))
-    start = F.pmod(F.xxhash64(F.lit(seed), "query_id"), F.col("_n"))
-    draws = draws.filter("draw <= _n").select("query_id", "draw", F.pmod(start + F.col("draw"), F.col("_n")).alias("position"))
-    return draws.join(placed, "position").select("query_id", "draw", "id")
+    own = placed.select(F.col("id").alias("query_id"), F.col("position").alias("_own"))
+    others = queries.select("query_id").join(own, "query_id", "left").crossJoin(F.broadcast(total))
+    others = others.withColumn("_m", F.col("_n") - F.col("_own").isNotNull().cast("long"))
+    draws = others.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    low, high = (F.floor(F.col("_m") * (F.col("draw") - d) / n) for d in (1, 0))
+    at = low + F.floor(hash_uniform("query_id", "draw", seed=seed) * (high - low))
+    draws = draws.filter(high > low).withColumn("position", at + F.coalesce(at >= F.col("_own"), F.lit(False)).cast("long"))
+    return draws.select("query_id", "draw", "position").join(placed, "position").select("query_id", "draw", "id")
+
+
+def similarity_counts(queries: DataFrame, corpus: DataFrame, bins: int = 20, low: float = 0.3, high: float = 0.8, block: int = QUERY_BLOCK) -> DataFrame:
+    """(bucket, n, n_inside, total) of the cosines of each (query_id, embedding) with every row of (id, embedding) of another id.
 
+    Buckets are of equal width over [-1, 1], from 1; ``n_inside`` counts cosines of ``low`` to ``high``. Blocks of queries are broadcast
+    and tasks add up their cosines: a row per bucket and task is shuffled, never a pair. Zero vectors have cosine 0.
+    """
+    spark = corpus.sparkSession
+    parts = max(1, -(-queries.count() // block))
+    keyed = queries.select("query_id", "embedding").withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+    out = None
+    for b in range(parts):
+        held = keyed.filter(F.col("_b") == b).select("query_id", "embedding").toArrow()
+        shared = spark.sparkContext.broadcast((held.column(0).to_pylist(), _matrix(held.column(1).combine_chunks())))
 
-def pair_similarities(sample: DataFrame) -> DataFrame:
-    """Cosine of all pairs of a bounded sample of (id, embedding)."""
-    left, right = sample.select(F.col("id").alias("a"), F.col("embedding").alias("va")), sample.select(F.col("id").alias("b"), F.col("embedding").alias("vb"))
-    return left.join(F.broadcast(right), F.col("a") < F.col("b")).select("a", "b", cosine("va", "vb").alias("cosine"))
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            place, sums = {}, np.zeros((3, bins + 2))
+            for k, name in enumerate(names):
+                place.setdefault(name, []).append(k)
+            for batch in batches:
+                for at in range(0, batch.num_rows if names else 0, 1024):
+                    piece = batch.slice(at, 1024)
+                    c = -_distances(q, _matrix(piece.column(1)), "cosine")
+                    other = np.ones(c.shape, bool)
+                    for j, name in enumerate(piece.column(0).to_pylist()):
+                        other[place.get(name, []), j] = False
+                    c = c[other]
+                    bucket = np.clip(np.floor((c + 1) * bins / 2).astype(np.int64) + 1, 1, bins + 1)
+                    inside = (c >= low) & (c <= high)
+                    for row, weights in enumerate((None, inside, c)):
+                        sums[row] += np.bincount(bucket, weights, minlength=bins + 2)
+            seen = np.flatnonzero(sums[0])
+            columns = [pa.array(seen), *(pa.array(sums[r, seen].astype(np.int64)) for r in (0, 1)), pa.array(sums[2, seen])]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "n", "n_inside", "total"])
+
+        found = corpus.select("id", "embedding").mapInArrow(run, "bucket long, n long, n_inside long, total double")
+        out = found if out is None else out.unionAll(found)
+    return out.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("n", "n_inside", "total")))
 
 
-def similarity_share(pairs: DataFrame, low: float = 0.3, high: float = 0.8) -> DataFrame:
-    """V20"""
-    inside = F.col("cosine").between(low, high)
-    return pairs.agg(F.avg(inside.cast("double")).alias("share"), F.count_if(inside).alias("n_inside"), F.count(F.lit(1)).alias("n"))
+def similarity_share(counts: DataFrame) -> DataFrame:
+    """The share of cosines inside the bounds of ``similarity_counts``; null without any."""
+    sums = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_inside", "n")))
+    return sums.select(F.try_divide("n_inside", "n").alias("share"), "n_inside", "n")
 
 
-def similarity_histogram(pairs: DataFrame, bins: int = 20) -> DataFrame:
+def similarity_histogram(counts: DataFrame) -> DataFrame:
     """V21"""
-    bucket = F.width_bucket(F.col("cosine"), F.lit(-1.0), F.lit(1.0), F.lit(bins))
-    return pairs.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg("cosine").alias("mean"))
+    return counts.select("bucket", "n", (F.col("total") / F.col("n")).alias("mean"))
 
 
 def pca(corpus: DataFrame, k: int = 2) -> tuple[DataFrame, list[float]]:

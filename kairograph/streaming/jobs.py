@@ -22,7 +22,9 @@ def usage_stream(events: DataFrame, key: str, ts: str, tokens: str, seconds: int
 def _read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # anything else is no empty table
+            raise
         return spark.createDataFrame([], schema)
 
 

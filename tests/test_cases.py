@@ -481,3 +481,82 @@ def test_search_by_cells_when_there_are_enough(spark):
     queries = corpus.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
     exact, cells = (sorted((r.query_id, r.rank, r.id) for r in V.search(queries, corpus, 5, nlist, 8).collect()) for nlist in (4096, 8))
     assert exact == cells
+
+
+def test_patience_of_many_runs(spark):
+    rng = np.random.default_rng(5)
+    data = [(k % 7 or None, k, None if k % 11 == 0 else float(rng.integers(0, 20))) for k in range(300)]
+    rows = spark.createDataFrame(data, "run int, step int, value double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 13)
+    try:
+        got = {(r.run, r.step): (r.best, r.bad, r.stop) for r in metrics.patience(rows, "run", "step", "value", 4, 0.5, "min").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 300
+    for run in {r for r, _, _ in data}:
+        best, bad, stop = None, 0, False
+        for _, step, v in sorted((d for d in data if d[0] == run), key=lambda d: d[1]):
+            better = v is not None and (best is None or v < best - 0.5)
+            best, bad = (v, 0) if better else (best, bad + 1)
+            stop = stop or bad >= 4
+            assert got[run, step] == (best, bad, stop)
+
+
+def test_random_negatives_leave_out_the_query_itself(spark):
+    rows = spark.range(60).select("id", F.array(F.lit(1.0)).alias("embedding"))
+    queries = spark.range(0, 90, 3).select(F.col("id").alias("query_id"))
+    got = V.random_negatives(queries, rows, 7, seed=3).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append(r.id)
+    assert len(by) == 30 and all(len(v) == len(set(v)) == 7 and q not in v for q, v in by.items())
+    assert len({tuple(sorted(v)) for v in by.values()}) == 30 and len({x for v in by.values() for x in v}) > 50
+    again = V.random_negatives(queries.repartition(3), rows.repartition(5), 7, seed=3).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+    few = V.random_negatives(spark.range(3).select(F.col("id").alias("query_id")), rows.filter("id < 3"), 7).collect()
+    assert sorted((r.query_id, r.id) for r in few) == [(a, b) for a in range(3) for b in range(3) if a != b]
+    assert V.random_negatives(queries, rows.filter("id < 0"), 7).count() == 0
+
+
+def test_similarity_counts_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 6))
+    x[7] = 0
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, embedding array<double>").repartition(3)
+    queries = rows.filter("id % 4 = 0").withColumnRenamed("id", "query_id")
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    c = np.array([unit[a] @ unit[b] for a in range(0, 80, 4) for b in range(80) if a != b])
+    for block in (4096, 6):
+        counts = V.similarity_counts(queries, rows, block=block)
+        got = {r.bucket: (r.n, r["mean"]) for r in V.similarity_histogram(counts).collect()}
+        bucket = np.floor((c + 1) * 10).astype(int) + 1
+        assert got == {int(b): (int((bucket == b).sum()), pytest.approx(c[bucket == b].mean(), abs=1e-9)) for b in set(bucket)}
+        share = V.similarity_share(counts).first()
+        inside = int(((c >= 0.3) & (c <= 0.8)).sum())
+        assert (share.n, share.n_inside, share.share) == (len(c), inside, pytest.approx(inside / len(c)))
+    assert tuple(V.similarity_share(V.similarity_counts(queries.filter("false"), rows)).first()) == (None, 0, 0)
+
+
+def test_exact_split_of_strata(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 2 > 0, F.lit("cold")).alias("s"))
+    h = {r.id: r.h for r in rows.select("id", F.xxhash64(F.lit(42), "id").alias("h")).collect()}
+    want = set()
+    members = {}
+    for r in rows.collect():
+        members.setdefault(r.s, []).append(r.id)
+    for ids_ in members.values():
+        want |= set(sorted(ids_, key=lambda k: (h[k], k))[: int(len(ids_) * 0.2)])
+    got = examples.exact_split(rows.repartition(3), "id", 0.2, by=("s",)).collect()
+    assert len(got) == 3000 and {r.id for r in got if r.split == "val"} == want
+
+
+def test_ingest_raises_on_what_is_no_missing_path(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    from kairograph.streaming import jobs
+
+    kind = fact_rows(spark, (D(2024, 1, 1), None)).schema
+    assert jobs._read_or_empty(spark, f"file://{tmp_path}/none", kind).count() == 0
+    spark.range(1).write.parquet(f"file://{tmp_path}/there")
+    with pytest.raises(AnalysisException):
+        jobs._read_or_empty(spark, f"file://{tmp_path}/there", type(kind)([*kind.fields, kind.fields[0]])).count()

@@ -53,7 +53,7 @@ def test_entry(spark):
     assert set(found) == {"ACTIVATES", "INHIBITS", "TREATS"}
 
 
-@pytest.mark.parametrize("name", ["version_edges_all_pairs", "asof_join", "consistency_report", "token_labels", "kappa", "facts_for_entity"])
+@pytest.mark.parametrize("name", ["version_edges_all_pairs", "asof_join", "consistency_report", "token_labels", "kappa", "facts_for_entity", "pair_similarity_share", "random_negatives", "stratified_split"])
 def test_no_nested_loops(spark, data, name):
     plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan

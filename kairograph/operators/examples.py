@@ -7,18 +7,28 @@ from pyspark.sql import functions as F
 
 from kairograph.operators.vectors import hash_uniform, mean_vectors
 
-IGNORED = -100
+IGNORED, PIECE = -100, 512
 
 
-def token_table(chunks: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: int = 32_000, most: int = 512) -> DataFrame:
-    """(key, token, word, token_id, start_char, end_char): words and marks with their places, at most ``most`` per chunk."""
+def token_table(chunks: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: int = 32_000, most: int | None = 512) -> DataFrame:
+    """(key, token, word, token_id, start_char, end_char): words and marks with their places, at most ``most`` per chunk, all for None.
+
+    Places are folded over pieces of PIECE tokens, so that a long text isn't copied once per token.
+    """
     words = F.regexp_extract_all(F.col(text), F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
     gaps = F.transform(F.split(F.col(text), r"(?U)\w+|[^\w\s]"), lambda g: F.length(g))
-    step = lambda acc, p: F.struct((acc["at"] + p["gap"] + F.length(p["w"])).alias("at"), F.concat(acc["out"], F.array(F.struct(p["w"].alias("word"), (acc["at"] + p["gap"]).alias("start_char")))).alias("out"))
-    pairs = F.zip_with(F.slice(words, 1, most), gaps, lambda w, g: F.struct(w.alias("w"), g.alias("gap")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,start_char:int>>").alias("out"))
-    placed = F.aggregate(F.filter(pairs, lambda p: p["w"].isNotNull()), start, step, lambda a: a["out"])
-    rows = chunks.select(key, F.posexplode(placed).alias("token", "x")).select(key, "token", "x.*")
+    pairs = F.zip_with(words if most is None else F.slice(words, 1, most), gaps, lambda w, g: F.struct(w.alias("w"), g.alias("gap")))
+    past = lambda at, p: at + p["gap"] + F.length(p["w"])
+    step = lambda acc, p: F.struct(past(acc["at"], p).alias("at"), F.concat(acc["out"], F.array(F.struct(p["w"].alias("word"), (acc["at"] + p["gap"]).alias("start_char")))).alias("out"))
+
+    def piece(first: Column) -> Column:
+        before = F.aggregate(F.slice("_pairs", 1, first), F.lit(0), past)
+        start = F.struct(before.alias("at"), F.array().cast("array<struct<word:string,start_char:int>>").alias("out"))
+        return F.aggregate(F.slice("_pairs", first + 1, PIECE), start, step, lambda a: a["out"])
+
+    held = chunks.select(key, F.filter(pairs, lambda p: p["w"].isNotNull()).alias("_pairs"))
+    placed = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_pairs") - 1, F.lit(0)), F.lit(PIECE)), piece))
+    rows = held.select(key, F.posexplode(placed).alias("token", "x")).select(key, "token", "x.*")
     return rows.withColumns({"token_id": F.pmod(F.xxhash64("word"), F.lit(vocabulary)).cast("int"), "end_char": F.col("start_char") + F.length("word")})
 
 

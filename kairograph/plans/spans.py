@@ -38,7 +38,7 @@ def lengths(spark, sf_dir):
 
 
 def heuristic_labels(spark, sf_dir):
-    text = F.concat(F.element_at(F.array(*map(F.lit, ("IL-2 ", "however", "10 mg of ", "the stage II ", "", "EGFR"))), (F.col("chunk") % 6 + 1).cast("int")), F.when(F.col("chunk") % 6 == 1, "").when(F.col("chunk") % 6 == 5, "").otherwise(F.substring("text", 1, 20)))
+    text = F.concat(F.element_at(F.array(*map(F.lit, ("IL-2 ", "however", "10 mg of ", "the stage II ", "", "EGFR"))), (F.col("chunk") % 6 + 1).cast("int")), F.when(F.col("chunk") % 6 == 1, "").when(F.col("chunk") % 6 == 5, "").otherwise(F.col("text")))
     return chunks(spark, sf_dir).select("doc_id", "chunk", B.rule_label(text).alias("outcome"))
 
 
@@ -90,7 +90,7 @@ def label_summary(spark, sf_dir):
 def span_location(spark, sf_dir):
     """Words of each turn, looked up again in order, every third in capitals and every seventh made up."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.split("text", " ").alias("w"))
-    picked = F.transform(F.slice("w", 1, 12), lambda x, i: F.when(i % 7 == 6, "@@@").when(i % 3 == 2, F.upper(x)).otherwise(x))
+    picked = F.transform("w", lambda x, i: F.when(i % 7 == 6, "@@@").when(i % 3 == 2, F.upper(x)).otherwise(x))
     starts = B.locate_spans("text", picked)
     return turns.select("conv_id", "turn", F.array_join(F.transform(starts, lambda s: F.coalesce(s.cast("string"), F.lit("-"))), ",").alias("starts"))
 
@@ -112,8 +112,11 @@ def review_tasks(spark, sf_dir):
 
 
 def mention_labels(spark, sf_dir):
-    mentions = chunks(spark, sf_dir).filter("chunk = 0").select("doc_id", F.upper(F.substring_index("text", " ", 1)).alias("text"))
-    labels = chunks(spark, sf_dir).filter("chunk = 1").select(F.lower(F.substring_index("text", " ", 1)).alias("text"), F.col("doc_id").alias("span_idx"), F.when(F.col("doc_id") % 2 == 0, "factual").otherwise("linguistic").alias("label"))
+    """The words of even chunks, with labels of those of odd ones."""
+    words = chunks(spark, sf_dir).select("doc_id", "chunk", F.explode(F.split("text", " ")).alias("w"))
+    capitals = F.translate("w", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")  # ß and its like have no common capital
+    mentions = words.filter("chunk % 2 = 0").select("doc_id", capitals.alias("text"))
+    labels = words.filter("chunk % 2 = 1").select(F.lower("w").alias("text"), F.col("doc_id").alias("span_idx"), F.when(F.col("doc_id") % 2 == 0, "factual").otherwise("linguistic").alias("label"))
     return B.mention_spans(mentions, labels).select("doc_id", F.col("text").alias("mention"), "label")
 
 
@@ -152,6 +155,6 @@ SQL = {
     "label_revalidation": f"""WITH {_VALIDATED.format(a=_annotator(400, 90, 7), where='')}, b AS (SELECT len(issues) = 0 AS old, n_spans BETWEEN 1 AND 20 AND span_ratio BETWEEN 0.15 AND 0.85 AS new FROM w)
       SELECT count(*) FILTER (old) AS valid_before, count(*) FILTER (NOT old) AS invalid_before, count(*) FILTER (new) AS valid_after, count(*) FILTER (NOT new) AS invalid_after, count(*) FILTER (old <> new) AS flipped FROM b""",
     "label_summary": f"WITH {_VALIDATED.format(a=_annotator(400, 90, 7), where='')} SELECT source, count(*) FILTER (len(issues) = 0) AS valid, count(*) FILTER (len(issues) > 0) AS invalid, round(avg(ratio), 9) AS mean_ratio FROM w GROUP BY source",
-    "mention_labels": f"""WITH {_CHUNKS}, m AS (SELECT doc_id, upper(string_split(text, ' ')[1]) AS mention FROM chunks WHERE chunk = 0), l AS (SELECT lower(string_split(text, ' ')[1]) AS t, doc_id FROM chunks WHERE chunk = 1),
+    "mention_labels": f"""WITH {_CHUNKS}, w AS (SELECT doc_id, chunk, unnest(string_split(text, ' ')) AS w FROM chunks), m AS (SELECT doc_id, translate(w, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS mention FROM w WHERE chunk % 2 = 0), l AS (SELECT lower(w) AS t, doc_id FROM w WHERE chunk % 2 = 1),
       x AS (SELECT t, max(doc_id) AS d FROM l GROUP BY t) SELECT doc_id, mention, CASE WHEN d % 2 = 0 THEN 'factual' ELSE 'linguistic' END AS label FROM m JOIN x ON lower(mention) = t""",
 }

@@ -177,7 +177,7 @@ def stratified_split(spark, sf_dir):
 
 
 def router_examples(spark, sf_dir):
-    tokens = D.token_table(docs(spark, sf_dir))
+    tokens = D.token_table(docs(spark, sf_dir), most=None)
     labels = B.token_labels(tokens.select("doc_id", "token", "start_char", "end_char"), annotator(spark, sf_dir, 40, 15, 7))
     rows = D.router_examples(tokens, labels)
     return rows.select("doc_id", F.size("input_ids").cast("long").alias("n"), F.aggregate("router_labels", F.lit(0).cast("long"), lambda a, x: a + x).alias("ones"))
@@ -185,7 +185,7 @@ def router_examples(spark, sf_dir):
 
 def token_table(spark, sf_dir):
     plain = docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", "[^A-Za-z .]", "").alias("text"))
-    return D.token_table(plain).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start_char").alias("starts"), F.sum("end_char").alias("ends"))
+    return D.token_table(plain, most=None).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start_char").alias("starts"), F.sum("end_char").alias("ends"))
 
 
 def padded_examples(spark, sf_dir):
@@ -242,6 +242,6 @@ SQL = {
       c AS (SELECT doc_id, i, t[i] AS ch, CASE WHEN i > 1 THEN t[i - 1] ELSE ' ' END AS b FROM (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS i FROM d)),
       s AS (SELECT doc_id, i - 1 AS start, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn, CASE WHEN ch = '.' THEN 1 ELSE 0 END AS dot FROM c WHERE ch = '.' OR (ch <> ' ' AND (b = ' ' OR b = '.'))),
       e AS (SELECT doc_id, i AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM (SELECT doc_id, i, ch, lead(ch, 1, ' ') OVER (PARTITION BY doc_id ORDER BY i) AS a FROM c) WHERE ch = '.' OR (ch <> ' ' AND (a = ' ' OR a = '.')))
-      SELECT doc_id, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, CAST(sum(stop) AS BIGINT) AS ends FROM s JOIN e USING (doc_id, rn) WHERE rn <= 512 GROUP BY doc_id""",
+      SELECT doc_id, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, CAST(sum(stop) AS BIGINT) AS ends FROM s JOIN e USING (doc_id, rn) GROUP BY doc_id""",
     "padded_examples": "WITH r AS (SELECT vec_id, range(1, vec_id % 30 + 2) AS x FROM embeddings) SELECT vec_id, array_to_string(list_resize(x, 16, 0), ',') AS ids, array_to_string(list_resize(x, 20, -100), ',') AS labels FROM r",
 }

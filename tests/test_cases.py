@@ -560,3 +560,14 @@ def test_ingest_raises_on_what_is_no_missing_path(spark, tmp_path):
     spark.range(1).write.parquet(f"file://{tmp_path}/there")
     with pytest.raises(AnalysisException):
         jobs._read_or_empty(spark, f"file://{tmp_path}/there", type(kind)([*kind.fields, kind.fields[0]])).count()
+
+
+def test_token_places_of_a_long_text(spark):
+    text_ = " ".join(f"w{k}," if k % 3 else f"  w{k}" for k in range(1500))
+    rows = spark.createDataFrame([(1, text_), (2, ""), (3, None), (4, "one  two")], "doc_id long, text string")
+    for most in (None, 512, 700):
+        got = examples.token_table(rows, most=most).collect()
+        long = sorted((r for r in got if r.doc_id == 1), key=lambda r: r.token)
+        assert [r.token for r in long] == list(range(2500 if most is None else most))
+        assert all(text_[r.start_char : r.end_char] == r.word for r in long) and all(a.end_char <= b.start_char for a, b in zip(long, long[1:]))
+        assert sorted((r.word, r.start_char) for r in got if r.doc_id != 1) == [("one", 0), ("two", 5)]

@@ -322,10 +322,9 @@ def random_negatives(queries: DataFrame, corpus: DataFrame, n: int = 5, seed: in
     from kairograph.operators.metrics import dense_position
 
     placed = dense_position(corpus.select("id", F.xxhash64(F.lit(seed), "id").alias("_h")), "_h").select("id", "position")
-    total = placed.agg(F.count(F.lit(1)).alias("_n"))
     own = placed.select(F.col("id").alias("query_id"), F.col("position").alias("_own"))
-    others = queries.select("query_id").join(own, "query_id", "left").crossJoin(F.broadcast(total))
-    others = others.withColumn("_m", F.col("_n") - F.col("_own").isNotNull().cast("long"))
+    others = queries.select("query_id").join(own, "query_id", "left")
+    others = others.withColumn("_m", F.lit(corpus.count()) - F.col("_own").isNotNull().cast("long"))
     draws = others.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
     low, high = (F.floor(F.col("_m") * (F.col("draw") - d) / n) for d in (1, 0))
     at = low + F.floor(hash_uniform("query_id", "draw", seed=seed) * (high - low))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm import brown_lm, decontaminate, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, tokens, warc
+from kairograph.llm import brown_lm, decontaminate, exact_dedup, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, tokens, warc
 from kairograph.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_copies(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
     return {
         "op1_brown_lm": op1_brown_lm,
@@ -67,6 +71,7 @@ def queries() -> dict:
         "op8_token_counts": op8_token_counts,
         "op9_simhash": op9_simhash,
         "op10_warc_zstd": op10_warc_zstd,
+        "op13_exact_dedup": op13_exact_dedup,
     }
 
 
@@ -75,4 +80,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": quality_rules.ORACLE_SQL,
         "op3_line_dedup": line_dedup.ORACLE_SQL,
         "op5_decontaminate": decontaminate.ORACLE_SQL,
+        "op13_exact_dedup": exact_dedup.ORACLE_SQL,
     }

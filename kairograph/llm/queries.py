@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm import brown_lm, decontaminate, exact_dedup, line_dedup, packing, quality_classifier, quality_rules, simhash, source_divergence, suffix_dedup, tokens, warc
+from kairograph.llm import brown_lm, decontaminate, exact_dedup, line_dedup, packing, phrases, quality_classifier, quality_rules, simhash, source_divergence, suffix_dedup, tokens, warc
 from kairograph.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.source_divergence(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ def queries() -> dict:
         "op8_token_counts": op8_token_counts,
         "op9_simhash": op9_simhash,
         "op10_warc_zstd": op10_warc_zstd,
+        "op11_phrases": op11_phrases,
         "op12_source_divergence": op12_source_divergence,
         "op13_exact_dedup": op13_exact_dedup,
     }
@@ -85,6 +90,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": quality_rules.ORACLE_SQL,
         "op3_line_dedup": line_dedup.ORACLE_SQL,
         "op5_decontaminate": decontaminate.ORACLE_SQL,
+        "op11_phrases": phrases.ORACLE_SQL,
         "op12_source_divergence": source_divergence.ORACLE_SQL,
         "op13_exact_dedup": exact_dedup.ORACLE_SQL,
     }

@@ -51,16 +51,22 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Four written tables: kept terms (lang, term, total); their counts (lang, source, term, n, total), total being the
-    language's; groups (lang, source, size), size being the sum of n; languages (lang, terms, size, sources)."""
+    """Four tables: kept terms (lang, term, total); their counts (lang, source, term, n, total), total being the language's;
+    groups (lang, source, size), size being the sum of n; languages (lang, terms, size, sources).
+
+    Tasks hand on sums already, so terms are dealt by language and term at once and meet no other exchange: of a term there
+    is a row for each task and source at most, few beside the others' rows.
+    """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     seen = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), utf8(text_col).alias("text")).mapInArrow(_count_terms, "lang string, source string, term binary, n long, docs long")
-    seen = materialize(seen.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "term-counts")
-    kept = seen.filter("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total")).filter(F.col("docs") >= min_docs).drop("docs")
-    kept = materialize(kept, "kept-terms")
-    counts = materialize(seen.drop("docs").join(kept, ["lang", "term"]), "kept-counts")
-    groups = seen.select("lang", "source").distinct().join(counts.groupBy("lang", "source").agg(F.sum("n").alias("size")), ["lang", "source"], "left")
-    groups = materialize(groups.select("lang", "source", F.coalesce("size", F.lit(0)).alias("size")), "groups")
+    seen = seen.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    own = Window.partitionBy("lang", "term")
+    seen = seen.withColumns({"total": F.sum("n").over(own), "in_docs": F.sum("docs").over(own), "first": F.min("source").over(own) == F.col("source")})
+    seen = seen.filter(F.col("term").isNull() | (F.col("in_docs") >= min_docs))
+    seen = materialize(seen.select("lang", "source", F.col("term").cast("string").alias("term"), "n", "total", "first"), "term-counts")
+    counts = seen.filter("term IS NOT NULL").drop("first")
+    kept = seen.filter("term IS NOT NULL AND first").select("lang", "term", "total")
+    groups = materialize(seen.groupBy("lang", "source").agg(F.sum("n").alias("size")), "groups")
     terms = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
     langs = groups.groupBy("lang").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("sources")).join(terms, "lang", "left")
     return kept, counts, groups, materialize(langs.select("lang", F.coalesce("terms", F.lit(0)).cast("long").alias("terms"), "size", "sources"), "languages")
@@ -160,7 +166,7 @@ def term_divergences(counts: DataFrame, groups: DataFrame, langs: DataFrame, sca
     found = found.withColumns({"p": _share(F.col("n"), F.col("size"), F.col("terms"), scale), "q": _share(F.col("total"), F.col("lang_size"), F.col("terms"), scale)}).filter("p > q")
     found = found.select("lang", "source", F.col("term").alias("item"), F.call_function("div", (F.col("p") - F.col("q")) * (F.col("p") - F.col("q")), F.col("q")).alias("value"))
     # a group's terms are ranked by parts first, so that no task sorts all terms of a large group
-    part = Window.partitionBy("lang", "source", F.pmod(F.xxhash64("item"), F.lit(64))).orderBy(F.desc("value"), "item")
+    part = Window.partitionBy("lang", "source", F.pmod(F.xxhash64("item"), F.lit(8))).orderBy(F.desc("value"), "item")
     return found.withColumn("place", F.row_number().over(part)).filter(F.col("place") <= top).drop("place")
 
 

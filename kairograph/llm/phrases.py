@@ -152,39 +152,42 @@ def _gather(broadcast, known: int, longest: int, min_count: int):
 
 
 class Trie:
-    """A double array over the words of phrases: from state s, word w leads to base[s] + w if check is s there.
+    """A double array over the words of phrases: from state s, symbol c leads to base[s] + c if check is s there.
 
-    ``words`` numbers the words from 1; ``roots`` has a state for each language; ``accepts`` has a phrase's place in the list
-    where it ends, else -1.
+    ``words`` numbers the words from 1. A word is two symbols, the digits of its number to the root of all numbers, so that
+    the states after a state lie close together. ``roots`` has a state for each language; ``accepts`` has a phrase's place in
+    the list where it ends, else -1.
     """
 
     def __init__(self, phrases: list[tuple[str, list[bytes]]]) -> None:
         self.words: dict[bytes, int] = {}
         self.roots = {lang: k for k, lang in enumerate(dict.fromkeys(lang for lang, _ in phrases), 1)}
         longest = max((len(p) for _, p in phrases), default=0)
-        symbols = np.zeros((len(phrases), longest), np.int64)
+        words = np.zeros((len(phrases), longest), np.int64)
         for k, (_, p) in enumerate(phrases):
-            symbols[k, : len(p)] = [self.words.setdefault(w, len(self.words) + 1) for w in p]
-        self._grow(2 * (len(self.roots) + 1) + len(self.words), fresh=True)
-        self.used[: len(self.roots) + 1] = True
-        state, lengths = np.array([self.roots[lang] for lang, _ in phrases], np.int64), np.array([len(p) for _, p in phrases], np.int64)
-        for k in range(longest):
+            words[k, : len(p)] = [self.words.setdefault(w, len(self.words) + 1) for w in p]
+        self.digits = int(np.sqrt(len(self.words))) + 1
+        symbols = np.stack(self.symbols(words), axis=2).reshape(len(phrases), 2 * longest)
+        self.used = np.zeros(0, bool)
+        self.base, self.check, self.accepts = (np.zeros(0, np.int32) for _ in range(3))
+        self.top, self.low = len(self.roots) + 1, 0  # all from ``top`` on is free; families look for room from ``low`` on
+        self._grow(self.top)
+        self.used[: self.top] = True
+        state, lengths = np.array([self.roots[lang] for lang, _ in phrases], np.int64), np.array([2 * len(p) for _, p in phrases], np.int64)
+        for k in range(2 * longest):
             own = np.flatnonzero(lengths > k)
             edges, which = np.unique(np.stack([state[own], symbols[own, k]]), axis=1, return_inverse=True)
             state[own] = self._place(*edges)[which.reshape(-1)]
             ends = own[lengths[own] == k + 1]
             self.accepts[state[ends]] = ends
-        size = int(np.flatnonzero(self.used)[-1]) + len(self.words) + 2
+        size = self.top + self.digits + 2
         self._grow(size)
         self.base, self.check, self.accepts = self.base[:size], self.check[:size], self.accepts[:size]
-        del self.used
-
-    def _grow(self, size: int, fresh: bool = False) -> None:
-        if fresh:
-            self.used = np.zeros(0, bool)
-            self.base, self.check, self.accepts = (np.zeros(0, np.int32) for _ in range(3))
-        if (more := size - len(self.used)) > 0:
-            more = max(more, len(self.used) // 2)
+        del self.used, self.top, self.low
+
+    def _grow(self, size: int) -> None:
+        if size > len(self.used):
+            more = max(size, len(self.used) * 3 // 2) - len(self.used)
             self.used = np.append(self.used, np.zeros(more, bool))
             self.base = np.append(self.base, np.zeros(more, np.int32))
             self.check, self.accepts = (np.append(x, np.full(more, -1, np.int32)) for x in (self.check, self.accepts))
@@ -198,10 +201,12 @@ class Trie:
             own = slice(starts[g], starts[g] + sizes[g])
             found[own] = self._family(symbols[own])
             self.used[found[own]] = True
+            self.top = max(self.top, int(found[own][-1]) + 1)
         alone = starts[sizes == 1]
-        self._grow(int(self.used.sum()) + len(alone))
+        self._grow(self.top + len(alone))
         found[alone] = np.flatnonzero(~self.used)[: len(alone)]
-        self.used[found] = True
+        self.used[found[alone]] = True
+        self.top, self.low = max(self.top, int(found.max(initial=0)) + 1), 0
         self.check[found] = parents
         self.base[parents] = found - symbols
         return found
@@ -209,19 +214,26 @@ class Trie:
     def _family(self, symbols: np.ndarray, tries: int = 1024) -> np.ndarray:
         """Free states as far apart as the children's symbols: the first of some free places that fits, else the end."""
         apart = symbols - symbols[0]
-        last = int(np.flatnonzero(self.used)[-1]) + 1 if len(symbols) > 64 else len(self.used)
-        at = np.flatnonzero(~self.used)[: min(tries, 1 + 1_000_000 // len(symbols))]
-        at = at[at + apart[-1] < len(self.used)]
+        self._grow(self.top + int(apart[-1]) + 1)
+        free = self.low + np.flatnonzero(~self.used[self.low : min(self.top, self.low + 16 * tries)])
+        if len(free) < tries:
+            self.low = min(self.top, self.low + 4 * tries)
+        at = free[: max(1, min(tries, 1_000_000 // len(symbols)))]
         fits = np.flatnonzero(~self.used[at[:, None] + apart].any(1))
-        first = int(at[fits[0]]) if len(fits) else last
-        self._grow(first + int(apart[-1]) + 1)
-        return first + apart
-
-    def advance(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the states have an edge for their symbol, and where it leads."""
-        to = self.base[states] + symbols
-        there = self.check[to] == states
-        return there, to[there]
+        return (int(at[fits[0]]) if len(fits) else self.top) + apart
+
+    def symbols(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return words // self.digits + 1, words % self.digits + 1
+
+    def advance(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the states lead on by their word, and where to."""
+        high, low = self.symbols(words)
+        half = self.base[states] + high
+        there = np.flatnonzero(self.check[half] == states)
+        half = half[there]
+        to = self.base[half] + low[there]
+        on = self.check[to] == half
+        return there[on], to[on]
 
 
 def _count_by(broadcast):

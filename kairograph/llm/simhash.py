@@ -403,12 +403,15 @@ def one_per_component(
     Defaults: shingles of five words and a similarity of 0.8. Shingle sets of Jaccard similarity 0.8 have cosine
     2 * 0.8 / 1.8 = 0.89, an angle of 0.15 half-turns, so 9.7 of 64 and 19.4 of 128 bits are expected to differ, with
     deviations of 2.9 and 4.1. Candidates are pairs at 18 bits of the first fingerprint and 32 of both, three deviations
-    more; a link also needs the exact similarity. Rows of equal smallest id are told apart by a hash of id and text; of
-    fully repeated rows one stays. Rows of null id lose to any other and are told apart alike.
+    more; a link also needs the exact similarity. Rows of equal smallest id are told apart by a hash of id and text, and by
+    one of their other columns where these are equal too; of fully repeated rows one stays. Rows of null id lose to any other
+    and are told apart alike.
     """
     key = F.xxhash64(F.col(id_col), text_or_empty(text_col))
     who = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("i"), key.alias("k"))
     found = similar_texts(docs.select(who.alias("doc"), F.col(text_col).alias("text")), "k", "doc", "text", shingle, radius, confirm, parts, similarity)
     winners = found.select(F.col("component.k").alias("k")).distinct()
-    keyed = docs.select(F.struct("*").alias("own"), key.alias("k"))  # the documents' columns travel as one, so their names can't clash
-    return keyed.join(winners, "k", "left_semi").dropDuplicates(["k"]).select("own.*")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    rest = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0).cast("long")
+    keyed = docs.select(F.struct("*").alias("own"), key.alias("k"), rest.alias("rest"))  # the documents' columns travel as one, so their names can't clash
+    return keyed.join(winners, "k", "left_semi").groupBy("k").agg(F.min_by("own", "rest").alias("own")).select("own.*")

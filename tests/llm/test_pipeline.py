@@ -100,3 +100,10 @@ def test_stages_take_odd_documents(spark):
     for frame in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, frame, sf_dir).collect()
+
+
+def test_rows_of_equal_id_and_text_do_not_hang_on_the_order(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, lang, "s") for lang in "xyzvw"]
+    kept = {tuple(corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(r, "doc_id long, text string, lang string, source string").repartition(p), "").collect()) for p in (1, 4) for r in (rows, rows[::-1])}
+    assert len(kept) == 1 and len(kept.pop()) == 1

@@ -180,21 +180,22 @@ def pack(
     are numbered from 0 and filled without gaps.
     """
     spark = docs.sparkSession
-    pieces = materialize(tokenised_pieces(docs, id_col, text_col, tokenizer, cap, end_id, with_ids), "pieces")
+    # numbered before they are written: a number of its own for each piece, however many are alike
+    pieces = materialize(tokenised_pieces(docs, id_col, text_col, tokenizer, cap, end_id, with_ids).withColumn("number", F.monotonically_increasing_id()), "pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # cap rows at most
     plan = make_plan(counts, cap)
     runs = spark.sparkContext.broadcast({k: np.array(v, dtype=np.int64).T for k, v in plan.runs.items()})
     # rank within a length: a hot length is dealt over salts, about 50,000 pieces each
     salts = max(32, sum(counts.values()) // 50_000)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("number"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     offsets = offsets.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("length", "salt").orderBy("id", "piece", "start", "ids_crc32")
+    within = Window.partitionBy("length", "salt").orderBy("number")
     ranked = salted.withColumn("rank", F.row_number().over(within) - 1).join(offsets, ["length", "salt"])
-    own = [c for c in pieces.columns]
+    own = [c for c in pieces.columns if c != "number"]
     ranked = ranked.select(*own, (F.col("first") + F.col("rank")).alias("rank"))
-    schema = with_fields(pieces.schema, "sequence_id long, offset long")
+    schema = with_fields(pieces.drop("number").schema, "sequence_id long, offset long")
     at_length = own.index("length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -94,7 +94,7 @@ def quality_posteriors(
     # the smallest hashes, by a threshold that leaves about as many as are wanted: nothing else reaches the driver
     share = min(1.0, max_labelled / max(1, labelled.count()))
     sample = labelled.filter(F.col("h").cast("double") <= (2 * share - 1) * 2.0**63).collect()
-    sample = sorted(sample, key=lambda r: (r.h, r.y))[:max_labelled]
+    sample = sorted(sample, key=lambda r: (r.h, r.y, r.x))[:max_labelled]
     x = np.array([r.x for r in sample], dtype=float).reshape(-1, len(FEATURES))
     weights = fit(x, np.array([r.y for r in sample], dtype=float))
     dot = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(w)) for w in weights[1:]]), lambda a, b: a * b), F.lit(float(weights[0])), lambda s, v: s + v)

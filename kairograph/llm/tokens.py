@@ -27,6 +27,15 @@ _ODD = re.compile("[\x1c-\x1f]")
 _PLAIN = re.compile("[\x00-\x1b\x20-\x7f\xa0-\u012f\u0131-\u017f\u2010-\u2027]*")
 #: Fixed value: the split of the word-level public tokenizer; its pieces never hold white space.
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: How that tokenizer prepares a text, as its file states it. Pre-tokens are lower-cased and split here by the same rules.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _WORD_SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: The letters and digits of _PLAIN in lower case.
 _LETTERS, _DIGITS = "a-zªµºß-öø-ÿ\u0100-\u017f", "0-9²³¹¼-¾"
 #: _WORD_SPLIT for plain pre-tokens in lower case.
@@ -80,15 +89,14 @@ class Encoder:
     """Values of texts from bounded caches or the library, a value being that of some ids (their number, or their bytes):
     ``of`` the ids, and ``join`` of the values of consecutive parts.
 
-    Only tokenizers whose split is _WORD_SPLIT are taken apart; texts of any other are encoded whole.
+    Only tokenizers that prepare texts by _NORMALIZER and _PRE_TOKENIZER are taken apart; texts of any other are encoded whole.
     """
 
     def __init__(self, name: str, of: Callable = len, join: Callable = sum, cache: int = CACHE) -> None:
         self.tokenizer, self.of, self.join = load_tokenizer(name), of, join
         self.pre_tokens, self.pieces = _Cache(self._pre_token, cache), _Cache(self._piece, cache)
         spec = json.loads(self.tokenizer.to_str())
-        splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        self.by_piece = (splits[0].get("pattern") or {}).get("Regex") == _WORD_SPLIT
+        self.by_piece = spec.get("normalizer") == _NORMALIZER and spec.get("pre_tokenizer") == _PRE_TOKENIZER
         special = [t["content"] for t in spec.get("added_tokens") or ()]
         self.mark = os.path.commonprefix(special)
         self.by_piece = self.by_piece and bool(self.mark or not special)

@@ -43,6 +43,34 @@ def test_other_tokenizers(spark, data, name):
     assert got == {k: len(ids(library, t)) for k, t in texts.items()}
 
 
+@pytest.mark.parametrize("part", ["normalizer", "pre_tokenizer"])
+def test_tokenizers_that_prepare_texts_otherwise_are_not_taken_apart(tmp_path, library, part):
+    import json
+
+    spec = json.loads(library.to_str())
+    if part == "normalizer":
+        spec["normalizer"] = None
+    else:
+        spec["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    other = tokens.load_tokenizer(str(tmp_path / "other.json"))
+    encoder = tokens.Encoder(str(tmp_path / "other.json"))
+    for text in ["Hello THE World and NATO", *filter(None, ODD)]:
+        assert encoder.value(text) == len(ids(other, text))
+    assert tokens.Encoder("word_bpe_49k.json").by_piece
+
+
+def test_pieces_that_are_alike_are_dealt_over_salts(spark, monkeypatch):
+    docs = spark.createDataFrame([(None, "")] * 3000, "doc_id long, text string")
+    seen, packing_materialize = [], packing.materialize
+    monkeypatch.setattr(packing, "materialize", lambda df, name: seen.append(packing_materialize(df, name)) or seen[-1])
+    rows = packing.pack(docs).collect()
+    assert len(rows) == 3000
+    salts = seen[0].select((packing.F.pmod(packing.F.xxhash64("number"), packing.F.lit(32))).alias("salt")).groupBy("salt").count().collect()
+    assert len(salts) == 32 and max(r["count"] for r in salts) < 200
+    check_packing(rows, Counter({(None, 0, 0, 1, zlib.crc32(np.array([1], "<u4").tobytes())): 3000}), 4096)
+
+
 def test_counts_of_the_table(spark, data, library):
     want = {r.doc_id: len(ids(library, r.text)) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     assert {r.doc_id: r.n_tokens for r in queries.op8_token_counts(spark, data).collect()} == want

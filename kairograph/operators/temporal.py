@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kairograph.sources.shared import written
+
 MODES = ("CURRENT", "AT_TIMESTAMP", "HISTORY")
+#: Rows of a key up to which it has one time cell, and the most cells of a key. A key with more rows has cells of about
+#: equal numbers of them, so that no task gets all rows of a hot key.
+CELL_ROWS, CELLS = 100_000, 256
+#: The end of what has none, in microseconds.
+NEVER = (1 << 63) - 1
 
 
 def is_current() -> Column:
@@ -46,15 +57,107 @@ def resolve_rows(rows: DataFrame, mode: str = "mode", moment: str = "as_of") ->
     return rows.filter(F.when(kind == "CURRENT", is_current()).when(kind == "AT_TIMESTAMP", contains(moment)).when(kind == "HISTORY", F.lit(True)).otherwise(F.lit(False)))
 
 
-def as_of_join(probes: DataFrame, facts: DataFrame, key: str, moment: str = "as_of") -> DataFrame:
-    """Facts of the key that are valid at each probe's moment: an equi-join on the key, the interval as a filter."""
-    return probes.join(facts, key).filter(contains(moment))
-
-
-def latest_as_of(probes: DataFrame, facts: DataFrame, key: str, probe_id: str, moment: str = "as_of") -> DataFrame:
-    """K18, the latest start only: one fact per probe, the others of equal start settled by fact_id."""
-    held = as_of_join(probes, facts, key, moment)
-    return held.groupBy(probe_id).agg(F.max_by(F.struct("fact_id", "valid_from"), F.struct("valid_from", "fact_id")).alias("f")).select(probe_id, "f.*")
+def _micros(moment: Column | str) -> Column:
+    return F.unix_micros((F.col(moment) if isinstance(moment, str) else moment).cast("timestamp"))
+
+
+def time_edges(rows: DataFrame, key: str, moment: str, cell_rows: int = CELL_ROWS, cells: int = CELLS) -> DataFrame | None:
+    """(key, edges): where the time cells after the first start, in microseconds, for keys of more than ``cell_rows`` rows.
+
+    From a quantile sketch with partial aggregates; None without such keys. A cell holds ``cell_rows`` rows or so, unless
+    ``cells`` of them don't suffice or one moment has more.
+    """
+    hot = rows.groupBy(key).agg(F.count(moment).alias("_n")).filter((F.col("_n") > cell_rows) & F.col(key).isNotNull())
+    if hot.isEmpty():
+        return None
+    sketch = F.percentile_approx(_micros(moment), [k / cells for k in range(1, cells)], 10 * cells)
+    parts = F.least(F.ceil(F.col("_n") / cell_rows), F.lit(cells))
+    found = rows.join(hot, key).groupBy(key, "_n").agg(sketch.alias("_q"))
+    kept = F.filter("_q", lambda _, i: F.pmod((i + 1) * parts, F.lit(cells)) < parts)
+    return found.select(key, F.array_distinct(kept).alias("edges"))
+
+
+def _cell(at: Column) -> Column:
+    """The time cell of a moment, 0 for keys without edges."""
+    return F.coalesce(F.when(F.col("_edges").isNotNull(), F.size(F.filter("_edges", lambda e: e <= at))), F.lit(0))
+
+
+def _with_edges(rows: DataFrame, edges: DataFrame | None, key: str) -> DataFrame:
+    if edges is None:
+        return rows.withColumn("_edges", F.lit(None).cast("array<bigint>"))
+    return rows.join(edges.withColumnRenamed("edges", "_edges"), key, "left")
+
+
+def as_of_join(probes: DataFrame, facts: DataFrame, key: str, moment: str = "as_of", cell_rows: int = CELL_ROWS, cells: int = CELLS) -> DataFrame:
+    """Facts of the key that are valid at each probe's moment: an equi-join, the interval as a filter.
+
+    A key with many probes is joined by time cells: a fact stands in each cell that it meets, and as each cell has probes,
+    these copies are no more than the result and the facts together.
+    """
+    edges = time_edges(probes, key, moment, cell_rows, cells)
+    if edges is None:
+        return probes.join(facts, key).filter(contains(moment))
+    asked = _with_edges(probes, edges, key).withColumn("_cell", _cell(_micros(moment))).drop("_edges")
+    held = _with_edges(facts.filter("valid_to is null or valid_from < valid_to"), edges, key)
+    last = F.coalesce(_cell(_micros("valid_to")), F.lit(0))
+    last = F.when(F.col("valid_to").isNull(), F.coalesce(F.size("_edges"), F.lit(0))).otherwise(last)
+    held = held.withColumn("_cell", F.explode(F.sequence(_cell(_micros("valid_from")), F.greatest(last, _cell(_micros("valid_from")))))).drop("_edges")
+    return asked.join(held, [key, "_cell"]).filter(contains(moment)).drop("_cell")
+
+
+def _merge_latest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(probe, fact_id, start) from rows in the order of time: facts that may still hold lie on a stack, the latest start on top.
+
+    A fact on top that has ended is of no use to any later probe. What has ended below goes when the stack has doubled.
+    """
+    group, stack, room = None, [], 64
+    for batch in batches:
+        asked, found, starts = [], [], []
+        key, cell, at, kind, fact, end = (batch.column(c).to_pylist() for c in ("key", "cell", "at", "kind", "fact_id", "end"))
+        for row, here in enumerate(zip(key, cell, strict=True)):
+            if here != group:
+                group, stack, room = here, [], 64
+            now = at[row]
+            if kind[row] == 0:
+                stack.append((end[row], fact[row], now))
+                if len(stack) > room:
+                    stack = [f for f in stack if f[0] > now]
+                    room = 2 * len(stack) + 64
+                continue
+            while stack and stack[-1][0] <= now:
+                stack.pop()
+            if stack:
+                asked.append(row)
+                found.append(stack[-1][1])
+                starts.append(stack[-1][2])
+        probes = batch.column("probe").take(pa.array(asked, pa.int64()))
+        yield pa.RecordBatch.from_arrays([probes, pa.array(found, pa.string()), pa.array(starts, pa.int64())], ["probe", "fact_id", "start"])
+
+
+def latest_as_of(probes: DataFrame, facts: DataFrame, key: str, probe_id: str, moment: str = "as_of", cell_rows: int = CELL_ROWS, cells: int = CELLS) -> DataFrame:
+    """K18, the latest start only: one fact for each probe row that any is valid for, of equal starts that of the greatest fact_id.
+
+    Probes and facts of a key run through one sorted stream for each time cell. A fact stands in the cells in which it starts
+    and ends. Of those that hold over a whole cell only the latest start can count: it is carried there, one row a cell.
+    """
+    both = probes.select(F.col(key), F.col(moment).alias("_at")).unionByName(facts.select(F.col(key), F.col("valid_from").cast(probes.schema[moment].dataType).alias("_at")))
+    edges = time_edges(both, key, "_at", cell_rows, cells)
+    held = _with_edges(facts.filter(f"`{key}` is not null"), edges, key).withColumns({"_start": _micros("valid_from"), "_end": F.coalesce(_micros("valid_to"), F.lit(NEVER))}).filter("_start < _end")
+    held = held.select(F.col(key).alias("key"), "fact_id", "_start", "_end", _cell(F.col("_start")).alias("_s"), _cell(F.col("_end")).alias("_e"))
+    row = lambda cell, at, kind, fact, end, probe: [F.col("key"), cell.alias("cell"), at.alias("at"), F.lit(kind).alias("kind"), fact.alias("fact_id"), end.alias("end"), probe.alias("probe")]
+    nobody = F.lit(None).cast(probes.schema[probe_id].dataType)
+    rows = held.select(*row(F.explode(F.array_distinct(F.array("_s", "_e"))), F.col("_start"), 0, F.col("fact_id"), F.col("_end"), nobody))
+    if edges is not None:
+        top = F.max(F.struct("_start", "fact_id", "_end")).alias("top")
+        spans = held.filter("_e > _s + 1").groupBy("key", "_s", "_e").agg(top)
+        carried = spans.select("key", F.explode(F.sequence(F.col("_s") + 1, F.col("_e") - 1)).alias("_c"), "top").groupBy("key", "_c").agg(F.max("top").alias("top"))
+        rows = rows.unionByName(carried.select(*row(F.col("_c"), F.col("top._start"), 0, F.col("top.fact_id"), F.col("top._end"), nobody)))
+    asked = _with_edges(probes.filter(f"`{key}` is not null and `{moment}` is not null"), edges, key).withColumn("_m", _micros(moment))
+    asked = asked.select(F.col(key).alias("key"), "_m", "_edges", F.col(probe_id).alias("_probe")).select(*row(_cell(F.col("_m")), F.col("_m"), 1, F.lit(None).cast("string"), F.lit(None).cast("long"), F.col("_probe")))
+    ordered = rows.unionByName(asked).repartition("key", "cell").sortWithinPartitions("key", "cell", "at", "kind", "fact_id")
+    kind = probes.schema[probe_id].dataType.simpleString()
+    found = ordered.mapInArrow(_merge_latest, f"probe {kind}, fact_id string, start long")
+    return found.select(F.col("probe").alias(probe_id), "fact_id", F.timestamp_micros("start").cast(facts.schema["valid_from"].dataType).alias("valid_from"))
 
 
 def _report(rows: DataFrame, check: str, other: str = "null") -> DataFrame:
@@ -72,19 +175,45 @@ def inverted(facts: DataFrame) -> DataFrame:
     return _report(facts.filter("valid_from >= valid_to"), "inverted")
 
 
-def overlapping(facts: DataFrame) -> DataFrame:
-    """All pairs of a family whose intervals meet. A window screens out families without any overlap first, and the
-    pairs are an equi-join on the family."""
-    end = F.coalesce("valid_to", F.lit("9999-12-31").cast("date"))
-    rows = facts.select("family_key", "fact_id", "valid_from", end.alias("end_date"))
-    order = Window.partitionBy("family_key").orderBy("valid_from", "fact_id")
-    before = F.max("end_date").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    ranked = rows.withColumns({"rn": F.row_number().over(order), "reach": before})
-    dirty = ranked.filter((F.col("valid_from") < F.col("reach")) | (F.col("valid_from") >= F.col("end_date"))).select("family_key").distinct()
-    kept = ranked.drop("reach").join(dirty, "family_key", "left_semi")
-    other = kept.select("family_key", F.col("fact_id").alias("other"), F.col("valid_from").alias("f2"), F.col("end_date").alias("e2"), F.col("rn").alias("rn2"))
-    pairs = kept.join(other, "family_key").filter("rn < rn2 and valid_from < e2 and f2 < end_date")
-    return _report(pairs, "overlap", "other")
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(family_key, first, second): intervals that meet, from rows in the order of their starts: a heap by end holds those
+    that are open, and a new one meets each of these that starts before its own end."""
+    schema = pa.schema([("family_key", pa.string()), ("first", pa.string()), ("second", pa.string())])
+    group, active = None, []
+    for batch in batches:
+        families, firsts, seconds = [], [], []
+        columns = (batch.column(c).to_pylist() for c in ("family_key", "cell", "start", "fact_id", "end", "own"))
+        for family, cell, start, fact, end, own in zip(*columns, strict=True):
+            if (family, cell) != group:
+                group, active = (family, cell), []
+            while active and active[0][0] <= start:
+                heapq.heappop(active)
+            if own and active:
+                met = [f for _, begun, f in active if begun < end]
+                families += [family] * len(met)
+                firsts += met
+                seconds += [fact] * len(met)
+            if end > start:
+                heapq.heappush(active, (end, start, fact))
+            if len(firsts) >= 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(families), pa.array(firsts), pa.array(seconds)], schema=schema)
+                families, firsts, seconds = [], [], []
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (families, firsts, seconds)], schema=schema)
+
+
+def overlapping(facts: DataFrame, cell_rows: int = CELL_ROWS, cells: int = CELLS) -> DataFrame:
+    """All pairs of a family whose intervals meet, by a plane sweep over the starts.
+
+    A family with many versions is swept by time cells: a version stands in the cell of its start, and as an open one in later
+    cells up to its end. Each cell has starts, which it meets, so these copies are no more than the pairs.
+    """
+    rows = facts.filter("valid_from is not null and family_key is not null").select("family_key", "fact_id", "valid_from", _micros("valid_from").alias("start"), F.coalesce(_micros("valid_to"), F.lit(NEVER)).alias("end"))
+    placed = _with_edges(rows, time_edges(rows, "family_key", "valid_from", cell_rows, cells), "family_key").withColumn("first", _cell(F.col("start")))
+    placed = placed.withColumn("cell", F.explode(F.sequence("first", F.greatest("first", _cell(F.col("end"))))))
+    placed = placed.select("family_key", "cell", "start", "fact_id", "end", (F.col("cell") == F.col("first")).alias("own"))
+    ordered = placed.repartition("family_key", "cell").sortWithinPartitions("family_key", "cell", "start", "fact_id")
+    pairs = ordered.mapInArrow(_sweep, "family_key string, first string, second string")
+    return _report(pairs.withColumnRenamed("first", "fact_id"), "overlap", "second")
 
 
 def gaps(facts: DataFrame) -> DataFrame:
@@ -97,5 +226,6 @@ def gaps(facts: DataFrame) -> DataFrame:
 
 
 def consistency_report(facts: DataFrame) -> DataFrame:
-    """(family_key, check, fact_id, other_fact_id) of all checks."""
+    """(family_key, check, fact_id, other_fact_id) of all checks. What they read is computed and written once."""
+    facts = written(facts.select("family_key", "fact_id", "valid_from", "valid_to"), "facts")
     return multiple_current(facts).unionAll(inverted(facts)).unionAll(overlapping(facts)).unionAll(gaps(facts))

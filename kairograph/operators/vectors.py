@@ -10,133 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kairograph.functions.vectors import DESCENDING, METRICS, argmax, normalise
-
-#: Queries that are broadcast at a time; more of them are searched block after block.
-QUERY_BLOCK = 4096
-IVF_SAMPLE = 500_000
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-
-
-def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
-    """Smaller is nearer."""
-    if metric in ("l2", "l2sq"):
-        d = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0)
-        return np.sqrt(d) if metric == "l2" else d
-    if metric == "cosine":
-        q, x = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (q, x))
-    return -(q @ x.T)
-
-
-def _top(query_id: str, k: int) -> Window:
-    return Window.partitionBy(query_id).orderBy("score", "id")
-
-
-def _ranked(found: DataFrame, k: int, metric: str, keep: list[str]) -> DataFrame:
-    ranked = found.withColumn("rank", F.row_number().over(_top("query_id", k))).filter(F.col("rank") <= k)
-    distance = -F.col("score") if metric in DESCENDING else F.col("score")
-    return ranked.select("query_id", "rank", "id", distance.alias("distance"), *keep)
-
-
-def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l2sq", block: int = QUERY_BLOCK) -> DataFrame:
-    """V5: (query_id, rank, id, distance): the k nearest of (id, embedding) for each of (query_id, embedding); ties by id.
-
-    Blocks of queries are broadcast, each partition of the corpus keeps its own k best per query, and a window merges these:
-    k rows per query and partition are shuffled, never the pairs.
-    """
-    spark = corpus.sparkSession
-    rows = queries.select("query_id", "embedding")
-    n = rows.count()
-    parts = max(1, -(-n // block))
-    keyed = rows.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-    kind = queries.schema["query_id"].dataType.simpleString()
-    id_kind = corpus.schema["id"].dataType.simpleString()
-    out = None
-    for b in range(parts):
-        held = keyed.filter(F.col("_b") == b).select("query_id", "embedding").toArrow()
-        shared = spark.sparkContext.broadcast((held.column(0).to_pylist(), _matrix(held.column(1).combine_chunks())))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
-            if not names:
-                return
-            best: list[tuple[np.ndarray, list]] = [(np.empty(0), []) for _ in names]
-            for batch in batches:
-                ids, x = batch.column(0).to_pylist(), _matrix(batch.column(1))
-                if not ids:
-                    continue
-                d = _distances(q, x, metric)
-                for i in range(len(names)):
-                    limit = np.partition(d[i], k - 1)[k - 1] if d.shape[1] > k else np.inf
-                    near = np.flatnonzero(d[i] <= limit)
-                    scores, own = np.concatenate([best[i][0], d[i][near]]), best[i][1] + [ids[j] for j in near]
-                    order = sorted(range(len(own)), key=lambda j: (scores[j], own[j]))[:k]
-                    best[i] = scores[order], [own[j] for j in order]
-            rows = [(n, j, float(s)) for n, (scores, own) in zip(names, best) for j, s in zip(own, scores)]
-            if rows:
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["query_id", "id", "score"]), preserve_index=False)
-
-        found = corpus.select("id", "embedding").mapInArrow(run, f"query_id {kind}, id {id_kind}, score double")
-        out = found if out is None else out.unionAll(found)
-    return _ranked(out, k, metric, [])
-
-
-def knn_sql(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l2sq") -> DataFrame:
-    """V5 as plain expressions for a small query set: the twin that tests compare with."""
-    score = METRICS[metric](F.col("q"), F.col("embedding"))
-    score = -score if metric in DESCENDING else score
-    pairs = corpus.select("id", "embedding").crossJoin(F.broadcast(queries.select("query_id", F.col("embedding").alias("q"))))
-    return _ranked(pairs.select("query_id", "id", score.alias("score")), k, metric, [])
-
-
-def ivf_index(corpus: DataFrame, nlist: int = 4096, seed: int = 42, sample: int = IVF_SAMPLE) -> tuple[DataFrame, np.ndarray]:
-    """V6: (id, embedding, cell) of every row, and the cells' centres, fitted on at most about ``sample`` rows."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    n = corpus.count()
-    used = corpus if n <= sample else corpus.sample(sample / n, seed=seed)
-    model = KMeans(k=nlist, seed=seed, featuresCol="features").fit(used.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")))
-    placed = model.transform(corpus.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>"))))
-    return placed.select("id", "embedding", F.col("prediction").alias("cell")), np.array(model.clusterCenters())
-
-
-def ivf_search(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int = 10, nprobe: int = 64, metric: str = "l2sq") -> DataFrame:
-    """V6: queries go to their ``nprobe`` nearest cells and meet the corpus there: an equi-join on the cell, which the adaptive
-    skew join may split."""
-    shared = queries.sparkSession.sparkContext.broadcast(centres)
-    kind = queries.schema["query_id"].dataType.simpleString()
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                d = _distances(_matrix(batch.column(1)), shared.value, metric)
-                near = np.argsort(d, axis=1)[:, :nprobe]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near.tolist(), pa.list_(pa.int32()))], ["query_id", "cells"])
-
-    probes = queries.select("query_id", "embedding").mapInArrow(cells, f"query_id {kind}, cells array<int>")
-    probes = probes.join(queries.select("query_id", F.col("embedding").alias("q")), "query_id").select("query_id", "q", F.explode("cells").alias("cell"))
-    score = METRICS[metric](F.col("q"), F.col("embedding"))
-    score = -score if metric in DESCENDING else score
-    return _ranked(probes.join(index, "cell").select("query_id", "id", score.alias("score")), k, metric, [])
-
-
-def use_exact(n: int, nlist: int) -> bool:
-    """V8: too few vectors for cells."""
-    return n < max(nlist, 256)
-
-
-def search(queries: DataFrame, corpus: DataFrame, k: int = 10, nlist: int = 4096, nprobe: int = 64, metric: str = "l2sq", seed: int = 42) -> DataFrame:
-    """V8: exact search where the vectors are too few for ``nlist`` cells, else through the cells."""
-    if use_exact(corpus.count(), nlist):
-        return knn_exact(queries, corpus, k, metric)
-    index, centres = ivf_index(corpus, nlist, seed)
-    return ivf_search(queries, index, centres, k, nprobe, metric)
+from kairograph.functions.vectors import DESCENDING, argmax, normalise
+from kairograph.operators.search import QUERY_BLOCK, distances, ivf_index, ivf_search, knn_exact, knn_sql, matrix, pq_search, product_codes, search, use_exact
 
+__all__ = ["ivf_index", "ivf_search", "knn_exact", "knn_sql", "pq_search", "product_codes", "search", "use_exact"]
 
 def id_positions(corpus: DataFrame) -> DataFrame:
     """(id, position): places from 0 in the order of the ids."""
@@ -155,52 +32,6 @@ def positions_of(ids: DataFrame, placed: DataFrame) -> DataFrame:
     return ids.join(placed.select("id", "position"), "id", "left")
 
 
-def product_codes(corpus: DataFrame, parts: int = 8, codes: int = 256, seed: int = 42, sample: int = 100_000) -> tuple[DataFrame, np.ndarray]:
-    """V7: (id, codes) of every row and the codebooks (part, code, values); each part's codebook is fitted on at most ``sample`` rows."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    n, width = corpus.count(), len(corpus.first()["embedding"]) // parts
-    used = (corpus if n <= sample else corpus.sample(sample / n, seed=seed)).cache()
-    books = []
-    for p in range(parts):
-        piece = F.slice(F.col("embedding").cast("array<double>"), p * width + 1, width)
-        model = KMeans(k=min(codes, n), seed=seed, maxIter=10).fit(used.select(array_to_vector(piece).alias("features")))
-        centres = np.array(model.clusterCenters())
-        books.append(np.vstack([centres, np.full((codes - len(centres), width), np.inf)]) if len(centres) < codes else centres)
-    used.unpersist()
-    shared = corpus.sparkSession.sparkContext.broadcast(np.array(books))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch.column(1)).reshape(batch.num_rows, parts, width)
-                near = np.stack([((x[:, p, None, :] - shared.value[p][None]) ** 2).sum(-1).argmin(1) for p in range(parts)], axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near.astype(np.int16).tolist(), pa.list_(pa.int16()))], ["id", "codes"])
-
-    kind = corpus.schema["id"].dataType.simpleString()
-    return corpus.select("id", "embedding").mapInArrow(run, f"id {kind}, codes array<smallint>"), np.array(books)
-
-
-def pq_search(queries: DataFrame, coded: DataFrame, books: np.ndarray, corpus: DataFrame, k: int = 10, rerank: int = 10) -> DataFrame:
-    """V7: candidates by table lookup over the codes, ``rerank`` times k of them re-ranked by exact distance."""
-    approx = coded.withColumn("embedding", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(len(books) - 1)), lambda p: F.transform(F.array(F.element_at("codes", p + 1)), lambda c: c.cast("float")))))
-    shared = coded.sparkSession.sparkContext.broadcast(books)
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                codes = _matrix(batch.column(1)).astype(int)
-                x = shared.value[np.arange(len(books))[None, :], codes].reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], ["id", "embedding"])
-
-    kind = coded.schema["id"].dataType.simpleString()
-    decoded = approx.select("id", "codes").mapInArrow(decode, f"id {kind}, embedding array<double>")
-    near = knn_exact(queries, decoded, k * rerank).select("query_id", "id")
-    pairs = near.join(corpus.select("id", "embedding"), "id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
-    return _ranked(pairs.select("query_id", "id", METRICS["l2sq"](F.col("q"), F.col("embedding")).alias("score")), k, "l2sq", [])
-
-
 def mean_vectors(rows: DataFrame, key: str = "key") -> DataFrame:
     """(key, embedding, n): the unit mean vector of each key: components are averaged with partial sums and put in order."""
     parts = rows.select(key, F.posexplode("embedding").alias("pos", "x"))
@@ -344,7 +175,7 @@ def similarity_counts(queries: DataFrame, corpus: DataFrame, bins: int = 20, low
     out = None
     for b in range(parts):
         held = keyed.filter(F.col("_b") == b).select("query_id", "embedding").toArrow()
-        shared = spark.sparkContext.broadcast((held.column(0).to_pylist(), _matrix(held.column(1).combine_chunks())))
+        shared = spark.sparkContext.broadcast((held.column(0).to_pylist(), matrix(held.column(1).combine_chunks())))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
@@ -354,7 +185,7 @@ def similarity_counts(queries: DataFrame, corpus: DataFrame, bins: int = 20, low
             for batch in batches:
                 for at in range(0, batch.num_rows if names else 0, 1024):
                     piece = batch.slice(at, 1024)
-                    c = -_distances(q, _matrix(piece.column(1)), "cosine")
+                    c = -distances(q, matrix(piece.column(1)), "cosine")
                     other = np.ones(c.shape, bool)
                     for j, name in enumerate(piece.column(0).to_pylist()):
                         other[place.get(name, []), j] = False

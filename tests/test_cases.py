@@ -204,7 +204,7 @@ def test_ivf_recall(spark):
     found = {(r.query_id, r.id) for r in V.ivf_search(queries, index, centres, 10, 6).collect()}
     assert index.count() == 400 and len(exact & found) >= 0.9 * len(exact)
     coded, books = V.product_codes(corpus, 4, 16)
-    near = {(r.query_id, r.id) for r in V.pq_search(queries, coded, books, corpus, 10, 10).collect()}
+    near = {(r.query_id, r.id) for r in V.pq_search(queries, coded, books, 10, corpus, 10).collect()}
     assert len(exact & near) >= 0.8 * len(exact)
 
 

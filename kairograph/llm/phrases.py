@@ -17,12 +17,12 @@ from kairograph.llm.common import materialize, utf8
 #: Words of the longest phrase, occurrences that a candidate needs, percentage of a phrase's occurrences inside a longer one
 #: at which it goes, and phrases returned for a language.
 LONGEST, MIN_COUNT, INSIDE, TOP = 5, 100, 100, 2000
-#: Candidates of one trie: some 16 MB of arrays besides its words. More candidates are dealt over several tries.
-TRIE = 1 << 18
+#: Candidates of one trie: some 20 MB of arrays besides its words. More candidates are dealt over several tries.
+TRIE = 1 << 19
 #: Words that a task gathers candidates from at once, distinct words after which it hands on their counts, and bytes of text
 #: whose positions it advances at once.
 CHUNK, DISTINCT, STEP = 4_000_000, 400_000, 4_000_000
-#: Bits of the map of frequent words, or pairs, that the search for longer candidates knows.
+#: Bits of the maps of frequent hashes that the search for candidates knows.
 BITS = 25
 
 #: A-Z in lower case, a full stop for each mark that ends a piece, a space for a tab.
@@ -30,7 +30,8 @@ _BYTES = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" els
 #: What stands between two pieces.
 _END = b"."
 _WORDS = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("n", pa.int64())])
-_LIKELY = pa.schema([("lang", pa.string()), ("phrase", pa.binary())])
+_HASHES = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+_LIKELY = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("h", pa.int64())])
 _PLACES = pa.schema([("place", pa.int64()), ("n", pa.int64())])
 
 
@@ -39,16 +40,16 @@ def _tokens(texts: list[bytes]) -> list[bytes]:
     return _END.join(texts).translate(_BYTES).replace(b".", b" . ").split()
 
 
-def _by_lang(batch: pa.RecordBatch, most: int = STEP) -> Iterator[tuple[str, list[bytes], int]]:
-    """(lang, texts, a row of it): the texts of a language, some ``most`` bytes at a time."""
-    waiting: dict[str, tuple[list[bytes], int, int]] = {}
-    for k, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-        texts, size, _ = waiting.get(lang, ([], 0, k))
+def _by_lang(batch: pa.RecordBatch, most: int = STEP) -> Iterator[tuple[str, list[bytes]]]:
+    """(lang, texts): the texts of a language, some ``most`` bytes at a time."""
+    waiting: dict[str, tuple[list[bytes], int]] = {}
+    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        texts, size = waiting.get(lang, ([], 0))
         texts.append(text)
-        waiting[lang] = texts, size + len(text), k
+        waiting[lang] = texts, size + len(text)
         if size + len(text) >= most:
-            yield lang, waiting.pop(lang)[0], k
-    yield from ((lang, texts, k) for lang, (texts, _, k) in waiting.items())
+            yield lang, waiting.pop(lang)[0]
+    yield from ((lang, texts) for lang, (texts, _) in waiting.items())
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,26 +63,17 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found.clear()
 
     for batch in batches:
-        for lang, texts, _ in _by_lang(batch):
+        for lang, texts in _by_lang(batch):
             found[lang].update(_tokens(texts))
             if sum(map(len, found.values())) >= DISTINCT:
                 yield from rows()
     yield from rows()
 
 
-def _pair_place(one, two, xor, left, right):
-    """Where a pair stands in the map, by its words' hashes: numpy and Spark columns alike."""
-    return xor(one, xor(left(two, 21), right(two, 43)))
-
-
-def _map_of(phrases: DataFrame, words: int) -> np.ndarray:
-    """A bit for each phrase of ``words`` words (1 or 2), by its hash: of a fixed size, whatever the number of phrases."""
-    each = F.split("phrase", " ")
-    h = [F.xxhash64(each[k]) for k in range(words)]
-    xor = lambda a, b: a.bitwiseXOR(b)
-    place = h[0] if words == 1 else _pair_place(*h, xor, F.shiftleft, F.shiftrightunsigned)
-    place = place.bitwiseAND(F.lit((1 << BITS) - 1)) + 1
-    made = phrases.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+def _map_of(hashes: DataFrame) -> np.ndarray:
+    """A bit for each hash: of a fixed size, whatever the number of hashes."""
+    place = F.col("h").bitwiseAND(F.lit((1 << BITS) - 1)) + 1
+    made = hashes.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     bits = np.zeros((1 << BITS) // 8, np.uint8)
     for bucket, part in made.collect():  # 2^(BITS - 15) rows of 4 KB at most
         bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(part, np.uint8)
@@ -93,62 +85,81 @@ def _is_set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _likely(ids: np.ndarray, names: list[bytes], least: int, bits: np.ndarray, known: int, longest: int) -> Iterator[bytes]:
-    """Phrases of ``known`` + 1 to ``longest`` words that stand here ``least`` times, and whose parts of ``known`` words are set in ``bits``.
+def _hash(word: bytes) -> int:
+    """Spark's xxhash64 of the same word, unsigned."""
+    return xxhash.xxh64_intdigest(word, seed=42)
+
 
-    Level by level: a phrase is looked at only where both of its parts of one word less have been found."""
-    often = np.bincount(ids, minlength=len(names)) >= least
+def _windows(lang: str, ids: np.ndarray, names: list[bytes], words: np.ndarray, pairs: np.ndarray | None, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, starts, hashes) of the runs of 2 to ``longest`` words here that may be frequent by Apriori: all of their words are set
+    in ``words``, and of runs of three or more all pairs in ``pairs``."""
+    own = np.fromiter(map(_hash, names), np.uint64, len(names))
+    own[0] = 0
+    often = _is_set(words, own)
     often[0] = False
-    hashes = np.zeros(len(names), np.uint64)
-    for w in np.flatnonzero(often):
-        hashes[w] = xxhash.xxh64_intdigest(names[w], seed=42)
-    if known == 1:
-        often &= _is_set(bits, hashes)
-    state = np.where(often[ids], ids, 0).astype(np.int64)
+    own = own ^ np.uint64(_hash(lang.encode()))
+    start, odd = np.flatnonzero(often[ids]), np.uint64(0x9E3779B97F4A7C15)
+    hashes = own[ids[start]]
+    linked = np.zeros(len(ids), bool)  # where a pair starts that may be frequent
     for k in range(2, longest + 1):
-        at = np.flatnonzero((state[:-1] > 0) & (state[1:] > 0))
-        if k == 2 and known == 2:
-            at = at[_is_set(bits, _pair_place(hashes[ids[at]], hashes[ids[at + 1]], np.bitwise_xor, lambda x, n: x << np.uint64(n), lambda x, n: x >> np.uint64(n)))]
-        _, first, which, n = np.unique(state[at] * len(names) + ids[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
-        good = n >= least
-        if k > known:
-            for row in ids[at[first[good]][:, None] + np.arange(k)].tolist():
-                yield b" ".join(map(names.__getitem__, row))
-        state = np.zeros(len(state) - 1, np.int64)
-        state[at] = (np.cumsum(good) * good)[which]
-
-
-def _gather(broadcast, known: int, longest: int, min_count: int):
-    """(lang, phrase): what may be a candidate.
-
-    Of a phrase's ``min_count`` occurrences, some chunk holds at least the share that it holds of the language's words; so a
-    phrase that falls short in every chunk is none.
-    """
+        end = start + k - 1
+        inside = end < len(ids)
+        start, end, hashes = start[inside], end[inside], hashes[inside]
+        on = often[ids[end]] if k == 2 else linked[end - 1]
+        start, end = start[on], end[on]
+        hashes = hashes[on] * odd + own[ids[end]]
+        hashes ^= hashes >> np.uint64(29)
+        yield k, start, hashes
+        if k == 2 and pairs is not None:
+            kept = _is_set(pairs, hashes)
+            start, hashes = start[kept], hashes[kept]
+            linked[start] = True
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
+    """(lang, ids, names): the tokens of a language, some CHUNK words at a time, numbered by their own list of words; 0 ends a piece."""
+    waiting: dict[str, tuple[dict, list[np.ndarray], int]] = {}
+
+    def chunk(lang: str) -> tuple[str, np.ndarray, list[bytes]]:
+        numbers, parts, _ = waiting.pop(lang)
+        return lang, np.concatenate(parts), list(numbers)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[str, tuple[dict, list[np.ndarray], int]] = {}
-        sizes: dict[str, int] = {}
+    for batch in batches:
+        for lang, texts in _by_lang(batch):
+            numbers, parts, n = waiting.get(lang) or (defaultdict(count(1).__next__, {_END: 0}), [], 0)
+            tokens = _tokens(texts)
+            ids = np.fromiter(chain(map(numbers.__getitem__, tokens), (0,)), np.int32, len(tokens) + 1)
+            waiting[lang] = numbers, [*parts, ids], n + len(tokens)
+            if sum(n for _, _, n in waiting.values()) >= CHUNK:
+                yield chunk(max(waiting, key=lambda x: waiting[x][2]))
+    yield from map(chunk, list(waiting))
 
-        def rows(lang: str) -> Iterator[pa.RecordBatch]:
-            numbers, parts, n = waiting.pop(lang)
-            ids = np.concatenate([*parts, np.zeros(longest, np.int32)])
-            least = max(1, -(-min_count * n // sizes[lang]))
-            found = list(_likely(ids, list(numbers), least, broadcast.value, known, longest))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.binary())], schema=_LIKELY)
 
-        for batch in batches:
-            for lang, texts, row in _by_lang(batch):
-                numbers, parts, n = waiting.get(lang) or (defaultdict(count(1).__next__, {_END: 0}), [], 0)
-                tokens = _tokens(texts)
-                ids = np.fromiter(chain(map(numbers.__getitem__, tokens), (0,)), np.int32, len(tokens) + 1)
-                waiting[lang] = numbers, [*parts, ids], n + int(np.count_nonzero(ids))
-                sizes[lang] = batch.column(2)[row].as_py()
-                if sum(n for _, _, n in waiting.values()) >= CHUNK:
-                    yield from rows(max(waiting, key=lambda x: waiting[x][2]))
-        for lang in list(waiting):
-            yield from rows(lang)
+def _count_hashes(words, pairs, longest: int):
+    """(h, n): how often the hash of a run of words that may be frequent occurs in a chunk; of pairs, or of longer runs where ``pairs`` are known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, ids, names in _chunks(batches):
+            for k, _, hashes in _windows(lang, ids, names, words.value, pairs and pairs.value, longest):
+                if k > 2 or pairs is None:
+                    h, n = np.unique(hashes, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], schema=_HASHES)
+
+    return run
+
 
-    return gather
+def _texts_of(words, pairs, wanted, longest: int):
+    """(lang, phrase, h): the runs of words of a chunk whose hash is set in ``wanted``, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, ids, names in _chunks(batches):
+            for k, start, hashes in _windows(lang, ids, names, words.value, pairs.value, longest):
+                likely = np.flatnonzero(_is_set(wanted.value, hashes))
+                runs = np.unique(ids[start[likely][:, None] + np.arange(k)], axis=0, return_index=True)
+                phrases = [b" ".join(map(names.__getitem__, row)) for row in runs[0].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()), pa.array(hashes[likely][runs[1]].view(np.int64))], schema=_LIKELY)
+
+    return run
 
 
 class Trie:
@@ -243,7 +254,7 @@ def _count_by(broadcast):
         trie: Trie = broadcast.value
         totals = np.zeros(len(trie.check), np.int64)
         for batch in batches:
-            for lang, texts, _ in _by_lang(batch):
+            for lang, texts in _by_lang(batch):
                 if lang not in trie.roots:
                     continue
                 symbols = np.fromiter(map(trie.words.get, tokens := _tokens(texts), repeat(0)), np.int32, len(tokens))
@@ -285,24 +296,46 @@ def count_phrases(docs: DataFrame, candidates: DataFrame, most: int = TRIE) -> D
     return dealt.join(counted, ["trie", "place"]).select("lang", "phrase", "n")
 
 
+def candidate_phrases(docs: DataFrame, words: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT) -> DataFrame:
+    """(lang, phrase) of 2 to ``longest`` words that may have ``min_count`` occurrences: none that has is left out.
+
+    Runs of frequent words are counted by 64-bit hashes, pairs first, then longer runs of frequent pairs: phrases that share a
+    hash are counted together, so a count is never too small. Only runs whose hash is frequent are handed on as texts. What
+    tasks know of frequent words, pairs and hashes are maps of a fixed size, which may let more through, never less.
+    """
+    spark = docs.sparkSession
+    share = lambda df: spark.sparkContext.broadcast(_map_of(df))
+
+    def frequent(pairs) -> DataFrame:
+        # tasks hand on sums already: dealt by hash at once, a row for each chunk at most
+        counted = docs.mapInArrow(_count_hashes(known, pairs, longest if pairs else 2), "h long, n long").repartition("h").groupBy("h").agg(F.sum("n").alias("n"))
+        return materialize(counted.filter(F.col("n") >= min_count).select("h"), "hashes")
+
+    known = share(words.select(F.xxhash64("phrase").alias("h")))
+    hashes = frequent(None)
+    pairs = share(hashes)
+    if longest > 2:
+        hashes = hashes.unionByName(frequent(pairs))
+    wanted = share(hashes)
+    texts = docs.mapInArrow(_texts_of(known, pairs, wanted, longest), "lang string, phrase binary, h long").join(hashes.distinct(), "h", "left_semi")
+    texts = materialize(texts.select("lang", F.col("phrase").cast("string").alias("phrase")).distinct(), "likely")
+    for shared in (known, pairs, wanted):
+        shared.unpersist()
+    return texts
+
+
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT, most: int = TRIE) -> tuple[DataFrame, DataFrame]:
     """Two tables: (lang, phrase, n) of all phrases of 1 to ``longest`` words with ``min_count`` occurrences; (lang, size), the
     words of each language that has any. ``docs`` has lang and text, as bytes."""
-    spark = docs.sparkSession
-    words = docs.select("lang", "text").mapInArrow(_count_words, "lang string, phrase binary, n long").groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("n"))
+    docs = docs.select("lang", "text")
+    words = docs.mapInArrow(_count_words, "lang string, phrase binary, n long").groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("n"))
     words = materialize(words.filter((F.col("n") >= min_count) | F.col("phrase").isNull()), "words")
     found = words.filter("phrase IS NOT NULL")
     sizes = materialize(words.filter("phrase IS NULL").select("lang", F.col("n").alias("size")).join(found, "lang", "left_semi"), "sizes")
-    sized = docs.join(sizes, "lang").select("lang", "text", "size")
-    frequent = last = found
-    for known, upto in ((1, 2), (2, longest))[: 2 if longest > 2 else longest - 1]:
-        bits = spark.sparkContext.broadcast(_map_of(last, known))
-        likely = sized.mapInArrow(_gather(bits, known, upto, min_count), "lang string, phrase binary")
-        likely = materialize(likely.select("lang", F.col("phrase").cast("string").alias("phrase")).distinct(), "likely")
-        last = materialize(count_phrases(docs, likely, most).filter(F.col("n") >= min_count), "frequent")
-        bits.unpersist()
-        frequent = frequent.unionByName(last)
-    return frequent, sizes
+    if longest < 2:
+        return found, sizes
+    longer = count_phrases(docs, candidate_phrases(docs, found, longest, min_count), most).filter(F.col("n") >= min_count)
+    return found.unionByName(materialize(longer, "frequent")), sizes
 
 
 def _part(words: Column, first: Column, n: Column) -> Column:

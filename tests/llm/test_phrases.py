@@ -69,7 +69,7 @@ def test_parts_of_a_task(monkeypatch, step, chunk, distinct):
         monkeypatch.setattr(d, name, v)
     monkeypatch.setattr(d._by_lang, "__defaults__", (step,))
     rows = [("und" if lang is None else lang, (t or "").encode()) for lang, t in ROWS]
-    batches = lambda *more: [pa.record_batch([*map(list, zip(*rows[k : k + 50], strict=True)), *(pa.array([m[r[0]] for r in rows[k : k + 50]]) for m in more)], names=["lang", "text", "size"][: 2 + len(more)]) for k in range(0, len(rows), 50)]
+    batches = lambda: [pa.record_batch([*map(list, zip(*rows[k : k + 50], strict=True))], names=["lang", "text"]) for k in range(0, len(rows), 50)]
     f = defaultdict(Counter)
     for lang, text in rows:
         for piece in re.split(b"[.,;:!?\x0a-\x0d]", text.lower()):
@@ -81,11 +81,15 @@ def test_parts_of_a_task(monkeypatch, step, chunk, distinct):
         for lang, w, n in zip(*batch.to_pydict().values(), strict=True):
             (sizes if w is None else words).update({lang if w is None else (lang, w): n})
     assert words == Counter({(lang, w): n for lang, c in f.items() for w, n in c.items() if b" " not in w})
-    shared = SimpleNamespace(value=np.full(1 << 10, 255, np.uint8))
-    for known in (1, 2):
-        likely = {r for b in d._gather(shared, known, 5, 9)(iter(batches(sizes))) for r in zip(*b.to_pydict().values(), strict=True)}
-        often = {(lang, w) for lang, c in f.items() for w, n in c.items() if n >= 9 and w.count(b" ") >= known}
-        assert often <= likely and (step < 10**6 or len(likely) < 3 * len(often))
+    all_set = SimpleNamespace(value=np.full(1 << 10, 255, np.uint8))
+    hashes = Counter()
+    for pairs in (None, all_set):
+        for b in d._count_hashes(all_set, pairs, 5 if pairs else 2)(iter(batches())):
+            hashes.update(dict(zip(*b.to_pydict().values(), strict=True)))
+    likely = {r for b in d._texts_of(all_set, all_set, all_set, 5)(iter(batches())) for r in zip(*b.to_pydict().values(), strict=True)}
+    runs = {(lang, w): n for lang, c in f.items() for w, n in c.items() if b" " in w}
+    assert {(lang, w): hashes[h] for lang, w, h in likely} == runs and len(hashes) == len(runs)
+    likely = {r[:2] for r in likely}
     found = sorted(likely)
     trie = SimpleNamespace(value=d.Trie([(lang, w.split(b" ")) for lang, w in found]))
     counted = {found[k]: n for b in d._count_by(trie)(iter(batches())) for k, n in zip(*b.to_pydict().values(), strict=True)}

@@ -62,12 +62,24 @@ def usage_cost(usage: DataFrame) -> DataFrame:
     return usage.groupBy("model").agg(F.count(F.lit(1)).alias("requests"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), dollars.alias("cost"))
 
 
-def usage_window(events: DataFrame, key: str, ts: str, tokens: str, seconds: int = 60, max_requests: int = 50, max_tokens: int = 100_000) -> DataFrame:
-    """Requests and tokens of the last seconds at each event, and whether a limit is passed."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    window = Window.partitionBy(key).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
-    out = events.withColumns({"requests": F.count(F.lit(1)).over(window), "tokens": F.sum(tokens).over(window)})
-    return out.withColumn("over_limit", (F.col("requests") > max_requests) | (F.col("tokens") > max_tokens))
+def usage_window(
+    events: DataFrame, key: str, ts: str, tokens: str, seconds: int = 60, max_requests: int = 50, max_tokens: int = 100_000, bucket_seconds: int = 3600
+) -> DataFrame:
+    """Requests and tokens of the last seconds at each event, and whether a limit is passed.
+
+    Time falls into buckets, and an event of a bucket's last ``seconds`` stands in the next one too, where it is counted but
+    not returned: a key's events are as many tasks as it has buckets. Events without a time see those without a time.
+    """
+    width, back = max(bucket_seconds, seconds) * 1_000_000, seconds * 1_000_000
+    rows = events.select(F.struct("*").alias("event"), F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(tokens).alias("tokens"))
+    bucket = F.floor(F.col("at") / F.lit(width))
+    near = F.when(F.col("at") >= (bucket + 1) * width - back, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("step", F.explode(near)).withColumn("bucket", bucket + F.col("step"))
+    window = Window.partitionBy("key", "bucket").orderBy("at").rangeBetween(-back, 0)
+    out = rows.withColumns({"requests": F.count(F.lit(1)).over(window), "used": F.sum("tokens").over(window)}).filter("step = 0")
+    over = (F.col("requests") > max_requests) | (F.col("used") > max_tokens)
+    own = (F.col("event")[c].alias(c) for c in events.columns if c not in ("requests", "tokens", "over_limit"))
+    return out.select(*own, "requests", F.col("used").alias("tokens"), over.alias("over_limit"))
 
 
 def size_profile(files: DataFrame, size: str = "length") -> DataFrame:

@@ -27,17 +27,29 @@ SEMANTIC_TYPES = {
 DRUG_PARTS, DISEASE_PARTS = ("mab", "nib", "vir", "ine", "cin"), ("cancer", "tumor", "syndrome", "disease", "disorder")
 
 
-def match_gazetteer(texts: DataFrame, gazetteer: DataFrame, key: str = "doc_id", text: str = "text", max_words: int = 3) -> DataFrame:
+#: First words of names up to which their index is broadcast (some 100 bytes each); beyond it Spark's own joins are used.
+BROADCAST_FIRST_WORDS = 200_000
+
+
+def match_gazetteer(texts: DataFrame, gazetteer: DataFrame, key: str = "doc_id", text: str = "text", max_words: int = 3, most: int = BROADCAST_FIRST_WORDS) -> DataFrame:
     """(key, start, mention, canonical_id, label) where runs of up to ``max_words`` words, without case, are names in (name, canonical_id, label).
 
-    Words with their places become n-grams, which meet the gazetteer in an equi-join; Spark broadcasts it only if it is small.
+    Words with their places meet an index of the names' first words, which has the lengths of the names that start so; only
+    where a name may start are runs made, of these lengths, and meet the names in an equi-join. A text of many words is so
+    many narrow rows, and runs are no more than the places of first words times the lengths there.
     """
+    names = gazetteer.withColumn("_norm", F.lower("name")).drop("name")
+    parts = F.split("_norm", " ")
+    index = names.select(parts[0].alias("_first"), F.size(parts).alias("_n")).filter(F.col("_n") <= max_words).groupBy("_first").agg(F.collect_set("_n").alias("_lengths"))
+    if index.count() <= most:
+        index = F.broadcast(index)
     words = F.regexp_extract_all(F.col(text), F.lit(r"(?U)\w+"), F.lit(0))
-    placed = texts.select(key, F.transform(F.array(words), lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_words)), lambda n: F.when(
-        F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.struct((i - 1).alias("start"), F.array_join(F.slice(w, i, n), " ").alias("mention")))).otherwise(F.array())
-    )))[0].alias("g"))
-    grams = placed.select(key, F.explode("g").alias("g")).select(key, "g.start", "g.mention", F.lower("g.mention").alias("_norm"))
-    return grams.join(gazetteer.withColumn("_norm", F.lower("name")).drop("name"), "_norm").drop("_norm")
+    placed = texts.select(key, words.alias("_words"))
+    runs = F.transform("_words", lambda w, i: F.struct(F.lower(w).alias("first"), F.slice("_words", i + 1, max_words).alias("run")))
+    placed = placed.select(key, F.posexplode(runs).alias("start", "_w")).select(key, "start", F.col("_w.first").alias("_first"), F.col("_w.run").alias("_run"))
+    found = placed.join(index, "_first").select(key, "start", "_run", F.explode("_lengths").alias("_n")).filter(F.size("_run") >= F.col("_n"))
+    found = found.select(key, "start", F.array_join(F.slice("_run", F.lit(1), F.col("_n")), " ").alias("mention"))
+    return found.withColumn("_norm", F.lower("mention")).join(names, "_norm").drop("_norm")
 
 
 def extract_with(texts: DataFrame, model: Callable[[], Callable[[list[str]], list[list[tuple]]]], key: str = "doc_id", text: str = "text") -> DataFrame:

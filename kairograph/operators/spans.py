@@ -148,17 +148,36 @@ def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
     return numbered.groupBy(*keys, "_island").agg(F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char")).drop("_island")
 
 
+#: Characters of a cell of a text: spans that meet are found among the pieces of one cell.
+CELL = 256
+
+
+def _pieces(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans cut at the cells' bounds, as (keys, _cell, start_char, end_char): as many rows as their length has cells, one at least."""
+    cell = lambda at: F.floor(at / F.lit(CELL))
+    cut = rows.filter("end_char > start_char").withColumn("_cell", F.explode(F.sequence(cell(F.col("start_char")), cell(F.col("end_char") - 1))))
+    return cut.select(*keys, "_cell", F.greatest("start_char", F.col("_cell") * CELL).alias("start_char"), F.least("end_char", (F.col("_cell") + 1) * CELL).alias("end_char"))
+
+
+def shared_characters(rows: DataFrame, islands: DataFrame, key: str, keys: list[str]) -> DataFrame:
+    """(keys, shared): characters of each of ``rows`` (keys, start_char, end_char) in the disjoint ``islands`` (key, start_char, end_char).
+
+    Pieces meet by text and cell: a long text is many small groups, and a piece meets a cell's islands only.
+    """
+    other = _pieces(islands, [key]).select(key, "_cell", F.col("start_char").alias("_s"), F.col("end_char").alias("_e"))
+    hits = _pieces(rows, keys).join(other, [key, "_cell"]).filter("_s < end_char and start_char < _e")
+    return hits.groupBy(*keys).agg(F.sum(F.least("_e", "end_char") - F.greatest("_s", "start_char")).alias("shared"))
+
+
 def token_labels(tokens: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, token, label): 1 where factual characters are more than half of the token's width; empty tokens 0.
 
-    Spans are merged first, so overlaps count once, and the join is on the document with the interval as a filter.
+    Spans are merged first, so overlaps count once.
     """
     islands = merge_spans(spans.filter("label = 'factual'").select(key, "start_char", "end_char"), [key])
-    islands = islands.select(key, F.col("start_char").alias("_s"), F.col("end_char").alias("_e"))
-    hits = tokens.join(islands, key).filter("_s < end_char and start_char < _e")
-    covered = hits.groupBy(key, "token").agg(F.sum(F.least("_e", "end_char") - F.greatest("_s", "start_char")).alias("_n"))
+    covered = shared_characters(tokens.select(key, "token", "start_char", "end_char"), islands, key, [key, "token"])
     joined = tokens.join(covered, [key, "token"], "left")
-    more = F.coalesce(2 * F.col("_n") > F.col("end_char") - F.col("start_char"), F.lit(False)) & (F.col("end_char") > F.col("start_char"))
+    more = F.coalesce(2 * F.col("shared") > F.col("end_char") - F.col("start_char"), F.lit(False)) & (F.col("end_char") > F.col("start_char"))
     return joined.select(key, "token", more.cast("int").alias("label"))
 
 
@@ -193,9 +212,7 @@ def kappa(texts: DataFrame, first: DataFrame, second: DataFrame, key: str = "doc
     clip = lambda s: merge_spans(s.filter("label = 'factual'").join(total, key).select(key, F.greatest("start_char", F.lit(0)).alias("start_char"), F.least("end_char", "_n").alias("end_char")), [key])
     a, b = clip(first), clip(second)
     size = lambda d, name: d.groupBy(key).agg(F.sum(F.col("end_char") - F.col("start_char")).alias(name))
-    other = b.select(key, F.col("start_char").alias("_s"), F.col("end_char").alias("_e"))
-    both = a.join(other, key).filter("_s < end_char and start_char < _e")
-    both = both.groupBy(key).agg(F.sum(F.least("_e", "end_char") - F.greatest("_s", "start_char")).alias("tp"))
+    both = shared_characters(a, b, key, [key]).withColumnRenamed("shared", "tp")
     rows = total.join(both, key, "left").join(size(a, "_a"), key, "left").join(size(b, "_b"), key, "left").fillna(0, ["tp", "_a", "_b"])
     rows = rows.withColumns({"fp": F.col("_a") - F.col("tp"), "fn": F.col("_b") - F.col("tp")})
     rows = rows.withColumn("tn", F.col("_n") - F.col("tp") - F.col("fp") - F.col("fn")).filter("_n > 0")

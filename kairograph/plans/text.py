@@ -60,14 +60,15 @@ def content_hash_ids(spark, sf_dir):
 
 
 def gazetteer(spark, sf_dir):
-    """Long words of the benchmark."""
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("name")).filter(F.length("name") >= 8).distinct()
-    return words.select("name", F.concat(F.lit("C"), F.md5("name")).alias("canonical_id"), F.lit("TERM").alias("label"))
+    """Runs of one to three words of the benchmark that start with a long one."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))
+    placed = table(spark, sf_dir, "benchmark").select(words.alias("w")).select(F.explode(F.transform("w", lambda x, i: F.slice("w", i + 1, 3))).alias("w")).filter(F.length(F.col("w")[0]) >= 8)
+    names = placed.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda n: F.array_join(F.slice("w", 1, n), " "))).alias("name")).distinct()
+    return names.select("name", F.concat(F.lit("C"), F.md5("name")).alias("canonical_id"), F.lit("TERM").alias("label"))
 
 
 def mentions(spark, sf_dir):
-    ascii_docs = docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", "[^A-Za-z]+", " "))
-    return N.length_filter(N.match_gazetteer(ascii_docs, gazetteer(spark, sf_dir), max_words=1))
+    return N.length_filter(N.match_gazetteer(docs(spark, sf_dir), gazetteer(spark, sf_dir)))
 
 
 def mention_match(spark, sf_dir):
@@ -200,8 +201,10 @@ DATES = {"publication_dates": ["d"], "relation_facts": ["valid_from"]}
 
 _W = "w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents)"
 _ROWS = """x AS (SELECT 'N' || CAST(c_custkey % 25 AS VARCHAR) AS canonical_id, CASE WHEN c_custkey % 3 > 0 THEN c_name ELSE '' END AS label, CASE WHEN c_custkey % 4 > 0 THEN c_mktsegment END AS entity_type, c_custkey AS seq, abs(c_acctbal) / 10000 AS confidence FROM customer)"""
-_MENTIONS = """g AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS name FROM benchmark), t AS (SELECT doc_id, unnest(string_split_regex(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ')) AS name FROM documents),
-m AS (SELECT doc_id, 'C' || md5(name) AS canonical_id, name FROM t JOIN g USING (name) WHERE length(name) >= 8 AND length(name) <= 100)"""
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nl}\p{Nd}\p{Pc}\x{200c}\x{200d}]+')"
+_RUNS = "SELECT {key} array_to_string(w[i : i + n - 1], ' ') AS name, w[i] AS first FROM (SELECT {key} w, i, unnest([1, 2, 3]) AS n FROM (SELECT {key} w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT {key} {words} AS w FROM {table}))) WHERE i + n - 1 <= len(w)"
+_MENTIONS = f"""g AS (SELECT DISTINCT name FROM ({_RUNS.format(key='', words=_WORDS, table='benchmark')}) WHERE length(first) >= 8), t AS ({_RUNS.format(key='doc_id,', words=_WORDS, table='documents')}),
+m AS (SELECT doc_id, 'C' || md5(name) AS canonical_id, name FROM t JOIN g USING (name) WHERE length(name) BETWEEN 2 AND 100)"""
 _ITEMS = """i AS (SELECT l_orderkey, l_linenumber, 'S' || CAST(l_suppkey AS VARCHAR) AS subject_id, CASE l_returnflag WHEN 'A' THEN 'treats' WHEN 'N' THEN 'INHIBITS' ELSE 'likes' END AS relation_type, 'P' || CAST(l_partkey AS VARCHAR) AS object_id,
   l_linestatus = 'O' AS labelled, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'S' || CAST(l_suppkey AS VARCHAR), CASE l_returnflag WHEN 'A' THEN 'treats' WHEN 'N' THEN 'INHIBITS' ELSE 'likes' END, 'P' || CAST(l_partkey AS VARCHAR)) AS rn FROM lineitem),
 p AS (SELECT * FROM i WHERE CASE l_orderkey // 10 % 5 WHEN 3 THEN rn = 1 WHEN 4 THEN TRUE ELSE TRUE END),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kairograph.operators.medians import exact_medians
+
 #: Dollars per million input and output tokens, by a pattern of the model's name; the first that fits counts.
 PRICES = ((r"haiku.*4[-.]5|4[-.]5.*haiku", 1.00, 5.00), (r"haiku", 0.25, 1.25), (r"", 3.00, 15.00))
 PROMPT_CHARS, ENTITY_CHARS, OUTPUT_TOKENS = 2000, 100, 500
@@ -83,5 +85,7 @@ def usage_window(
 
 
 def size_profile(files: DataFrame, size: str = "length") -> DataFrame:
-    """Number, total, mean and median size."""
-    return files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(size), F.lit(0)).alias("total"), F.avg(size).alias("mean"), F.median(size).alias("median"))
+    """Number, total, mean and median size; the median is exact, by selection."""
+    whole = files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(size), F.lit(0)).alias("total"), F.avg(size).alias("mean"))
+    median = exact_medians(files.select(F.lit(0).alias("group"), size), "group", size)
+    return whole.withColumn("group", F.lit(0)).join(median, "group", "left").drop("group")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,8 +24,33 @@ def custom(members: DataFrame) -> DataFrame:
     return members.select("cluster_id", F.lit("custom").alias("cluster_type"), F.lit(None).cast("string").alias("anchor_entity"), "fact_id")
 
 
+def entity_pages(members: DataFrame, facts: DataFrame, page: int = 1000, slices: int = 64) -> DataFrame:
+    """(cluster_id, page, entities): the distinct ends of each cluster's facts in pages of ``page`` ids, in the order of the
+    ids within a slice.
+
+    Ends are made distinct by partial aggregates and fall into ``slices`` slices by their hash; each slice of a cluster is
+    numbered on its own, so a cluster of a third of all entities is many tasks and no list is longer than a page.
+    """
+    joined = members.select("cluster_id", "fact_id").join(facts.select("fact_id", F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("entity")), "fact_id")
+    ends = joined.select("cluster_id", "entity").distinct().withColumn("slice", F.pmod(F.xxhash64("entity"), F.lit(slices)).cast("int"))
+    placed = ends.withColumn("at", F.floor((F.row_number().over(Window.partitionBy("cluster_id", "slice").orderBy("entity")) - 1) / page))
+    pages = placed.groupBy("cluster_id", "slice", "at").agg(F.sort_array(F.collect_list("entity")).alias("entities"))
+    return pages.select("cluster_id", F.format_string("%04d-%08d", "slice", "at").alias("page"), "entities")
+
+
+def sizes(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """(cluster_id, size, n_entities, relations): facts, distinct ends and sorted relation types of each cluster, from distinct
+    (cluster, entity) and (cluster, relation) rows; relation types are those of the ontology, so their list is short."""
+    joined = members.select("cluster_id", "fact_id").join(facts.select("fact_id", "subject_id", "object_id", "relation_type"), "fact_id")
+    ends = joined.select("cluster_id", F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("entity")).distinct()
+    ends = ends.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_entities"))
+    counted = joined.groupBy("cluster_id", "relation_type").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.groupBy("cluster_id").agg(F.sum("n").alias("size"), F.sort_array(F.collect_list("relation_type")).alias("relations"))
+    return counted.join(ends, "cluster_id").select("cluster_id", "size", "n_entities", "relations")
+
+
 def summary(members: DataFrame, facts: DataFrame) -> DataFrame:
-    """Size, sorted entity ids and sorted relation types of each cluster."""
-    ends = F.array_union(F.collect_set("subject_id"), F.collect_set("object_id"))
-    joined = members.join(facts.select("fact_id", "subject_id", "object_id", "relation_type"), "fact_id")
-    return joined.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.sort_array(ends).alias("entities"), F.sort_array(F.collect_set("relation_type")).alias("relations"))
+    """Size, sorted entity ids and sorted relation types of each cluster, for clusters whose list of entities is wanted
+    whole; sizes and entity_pages are the bounded form."""
+    pages = entity_pages(members, facts).groupBy("cluster_id").agg(F.sort_array(F.flatten(F.collect_list("entities"))).alias("entities"))
+    return sizes(members, facts).join(pages, "cluster_id").select("cluster_id", "size", "entities", "relations")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kairograph.functions.ids import fact_id, family_key
+from kairograph.operators.temporal import CELL_ROWS, CELLS, time_edges, with_cell
+from kairograph.sources.shared import written
 
 #: The relation ontology.
 RELATION_TYPES = (
@@ -70,32 +72,78 @@ def has_fact_edges(facts: DataFrame) -> DataFrame:
     return out.unionAll(facts.select(F.col("fact_id").alias("src"), F.col("object_id").alias("dst"), F.lit("object").alias("role")))
 
 
-def _versions() -> Window:
-    return Window.partitionBy("family_key").orderBy("valid_from", "fact_id")
+def _versions(*more: str) -> Window:
+    return Window.partitionBy("family_key", *more).orderBy("valid_from", "fact_id")
 
 
-def close_intervals(facts: DataFrame) -> DataFrame:
-    """Each version ends where the next of its family starts."""
-    return facts.withColumn("valid_to", F.lead("valid_from").over(_versions()))
+def _by_cells(facts: DataFrame, cell_rows: int, cells: int) -> DataFrame | None:
+    """Facts with the time cell of their family as _cell; None if no family has more than ``cell_rows`` versions."""
+    edges = time_edges(facts, "family_key", "valid_from", cell_rows, cells)
+    return None if edges is None else with_cell(facts, edges, "family_key", "valid_from")
 
 
-def version_edges(facts: DataFrame, existing: DataFrame | None = None, all_pairs: bool = False) -> DataFrame:
-    """(newer, older): adjacent versions of a family, or all pairs; pairs in ``existing`` are left out."""
+def _neighbour(facts: DataFrame, step: int, cell_rows: int | None, cells: int) -> DataFrame:
+    """Facts with (valid_from, fact_id) of the version ``step`` (1 or -1) further in their family as _other.
+
+    With ``cell_rows``, families of more versions are taken by time cells: a window finds the neighbours inside a cell, and each
+    cell's first (or last) version, one row a cell, is handed to the cell before (or after) it.
+    """
+    own, move = F.struct("valid_from", "fact_id"), F.lead if step > 0 else F.lag
+    placed = None if cell_rows is None else _by_cells(facts, cell_rows, cells)
+    if placed is None:
+        return facts.withColumn("_other", move(own).over(_versions()))
+    ends = placed.groupBy("family_key", "_cell").agg((F.min if step > 0 else F.max)(own).alias("_end"))
+    across = move("_end").over(Window.partitionBy("family_key").orderBy("_cell"))
+    across = ends.select("family_key", "_cell", across.alias("_across")).filter("_across is not null")
+    found = placed.withColumn("_within", move(own).over(_versions("_cell"))).join(across, ["family_key", "_cell"], "left")
+    return found.withColumn("_other", F.coalesce("_within", "_across")).drop("_within", "_across", "_cell")
+
+
+def close_intervals(facts: DataFrame, cell_rows: int | None = None, cells: int = CELLS) -> DataFrame:
+    """Each version ends where the next of its family starts. ``cell_rows`` where families may be large: those of more
+    versions are then many tasks (``facts`` is read twice more for it; write it first if it is dear)."""
+    return _neighbour(facts, 1, cell_rows, cells).withColumn("valid_to", F.col("_other.valid_from")).drop("_other")
+
+
+def version_edges(facts: DataFrame, existing: DataFrame | None = None, all_pairs: bool = False, cell_rows: int | None = None, cells: int = CELLS) -> DataFrame:
+    """(newer, older): adjacent versions of a family (by time cells as in close_intervals), or all pairs; pairs in
+    ``existing`` are left out."""
     if all_pairs:
         old = facts.select("family_key", F.col("fact_id").alias("older"), F.col("valid_from").alias("old_from"))
         edges = facts.join(old, "family_key").filter("valid_from > old_from").select(F.col("fact_id").alias("newer"), "older")
     else:
-        edges = facts.select(F.col("fact_id").alias("newer"), F.lag("fact_id").over(_versions()).alias("older")).filter("older is not null")
+        edges = _neighbour(facts, -1, cell_rows, cells).select(F.col("fact_id").alias("newer"), F.col("_other.fact_id").alias("older")).filter("older is not null")
     return edges if existing is None else edges.join(existing.select("newer", "older"), ["newer", "older"], "left_anti")
 
 
 def version_chain(facts: DataFrame) -> DataFrame:
-    """The family's fact ids, oldest first, on every row: aggregated once per family, then joined back."""
+    """The family's fact ids, oldest first, on every row: aggregated once per family, then joined back. The rows of a family
+    are as long as it is; chain_pages and version_places hold the same once."""
     chain = facts.groupBy("family_key").agg(F.array_sort(F.collect_list(F.struct("valid_from", "fact_id"))).alias("c"))
     chain = chain.select("family_key", F.transform("c", lambda x: x["fact_id"]).alias("version_chain"))
     return facts.join(chain, "family_key")
 
 
+def version_places(facts: DataFrame, cell_rows: int = CELL_ROWS, cells: int = CELLS) -> DataFrame:
+    """(family_key, fact_id, place): each version's place in its family's chain, from 0. Large families are numbered by time
+    cells, each shifted by the counts of those before it."""
+    placed = _by_cells(facts, cell_rows, cells)
+    if placed is None:
+        return facts.select("family_key", "fact_id", (F.row_number().over(_versions()) - 1).cast("long").alias("place"))
+    sizes = placed.groupBy("family_key", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("family_key").orderBy("_cell")) - F.col("_n")
+    own = placed.select("family_key", "_cell", "fact_id", (F.row_number().over(_versions("_cell")) - 1).alias("_at"))
+    return own.join(sizes.select("family_key", "_cell", before.alias("_before")), ["family_key", "_cell"]).select("family_key", "fact_id", (F.col("_before") + F.col("_at")).alias("place"))
+
+
+def chain_pages(facts: DataFrame, page: int = 1000, cell_rows: int = CELL_ROWS, cells: int = CELLS) -> DataFrame:
+    """(family_key, page, first, fact_ids): each family's chain once, in pages of at most ``page`` ids, oldest first."""
+    placed = version_places(facts, cell_rows, cells).withColumn("page", F.floor(F.col("place") / page))
+    ids = F.array_sort(F.collect_list(F.struct("place", "fact_id")))
+    pages = placed.groupBy("family_key", "page").agg(ids.alias("_ids"))
+    return pages.select("family_key", "page", (F.col("page") * page).alias("first"), F.transform("_ids", lambda x: x["fact_id"]).alias("fact_ids"))
+
+
 def supersede(facts: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """K9: (facts after it, edges, missing): old versions end where their new fact starts; ``updates`` has old_fact_id and a fact."""
     known = updates.join(facts.select(F.col("fact_id").alias("old_fact_id")), "old_fact_id", "left_semi")
@@ -136,23 +184,41 @@ def facts_between(facts: DataFrame, pairs: DataFrame, directed: bool = False) ->
 def entity_subgraph(facts: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
     """(seed, fact_id, hop): facts within ``depth`` hops of each seed, with the hop that found them first.
 
-    One join per hop of the frontier with the incidence table; ends seen before leave the frontier. Lineage is cut by a
-    checkpoint every third hop where a checkpoint folder is set.
+    Seeds are numbered and taken 64 to a mask: what an entity or a fact is reached from is one long for each 64 seeds, so a
+    hub is one row and not one a seed. A hop is a join of the frontier with the facts' ends and two aggregates by bitwise or;
+    masks seen before leave the frontier. Each hop is written, so lineage doesn't grow and nothing is computed twice.
     """
-    spark = facts.sparkSession
+    from kairograph.operators.metrics import dense_position
+
     ends = facts.select("fact_id", F.col("subject_id").alias("entity"), F.col("object_id").alias("other"))
-    ends = ends.unionAll(facts.select("fact_id", "object_id", "subject_id"))
-    frontier = seeds.select(F.col("entity_id").alias("seed"), F.col("entity_id").alias("entity")).distinct()
-    seen, found = frontier, None
+    ends = written(ends.unionAll(facts.select("fact_id", "object_id", "subject_id")), "ends")
+    position = F.col("position")
+    placed = written(dense_position(seeds.select(F.col("entity_id").alias("seed")).filter("seed is not null").distinct(), "seed").select("seed", F.floor(position / 64).alias("group"), F.pmod(position, F.lit(64)).cast("int").alias("bit")), "seeds")
+    any_of = F.bit_or("mask").alias("mask")
+    frontier = placed.select(F.col("seed").alias("entity"), "group", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")).alias("mask"))
+    frontier = seen = frontier.groupBy("entity", "group").agg(any_of)
+    reached = None  # (fact_id, group, mask, hop): new seeds of a fact by hop
     for hop in range(1, depth + 1):
-        step = frontier.join(ends, "entity")
-        new = step.select("seed", "fact_id").distinct().withColumn("hop", F.lit(hop))
-        found = new if found is None else found.unionAll(new)
-        frontier = step.select("seed", F.col("other").alias("entity")).distinct().join(seen, ["seed", "entity"], "left_anti")
-        seen = seen.unionAll(frontier)
-        if hop % 3 == 0 and spark.conf.get("spark.checkpoint.dir", None):
-            frontier, seen, found = frontier.checkpoint(), seen.checkpoint(), found.checkpoint()
-    return found.groupBy("seed", "fact_id").agg(F.min("hop").alias("hop"))
+        step = written(frontier.join(ends, "entity").select("fact_id", "other", "group", "mask"), "step")
+        new = step.groupBy("fact_id", "group").agg(any_of)
+        if reached is not None:
+            before = reached.groupBy("fact_id", "group").agg(any_of).withColumnRenamed("mask", "before")
+            new = _without(new.join(before, ["fact_id", "group"], "left"), "before")
+        new = new.select("fact_id", "group", "mask", F.lit(hop).alias("hop"))
+        reached = written(new if reached is None else reached.unionByName(new), "reached")
+        if hop < depth:
+            there = step.groupBy(F.col("other").alias("entity"), "group").agg(any_of)
+            frontier = written(_without(there.join(seen.withColumnRenamed("mask", "before"), ["entity", "group"], "left"), "before"), "frontier")
+            seen = written(seen.unionByName(frontier).groupBy("entity", "group").agg(any_of), "seen")
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("shiftright", F.col("mask"), b).bitwiseAND(F.lit(1)) == 1)
+    found = reached.select("fact_id", "group", "hop", F.explode(bits).alias("bit"))
+    return found.join(placed, ["group", "bit"]).select("seed", "fact_id", "hop")
+
+
+def _without(rows: DataFrame, before: str) -> DataFrame:
+    """Rows with the bits of ``mask`` that ``before`` hasn't; those without any go."""
+    left = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce(F.col(before), F.lit(0))))
+    return rows.withColumn("mask", left).drop(before).filter("mask <> 0")
 
 
 def flatten(nested: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kairograph.operators.medians import exact_medians
+
 from kairograph.operators.relations import recovered_json
 
 #: Texts that are linguistic as a whole, in any case; a blank stands for any white space.
@@ -76,7 +78,14 @@ def normalise_label(label: Column | str) -> Column:
     return F.when(own.isin("factual", "retrieval"), "factual").otherwise("linguistic")
 
 
-_SPAN_ITEM = "struct<span:string,label:string,confidence:double>"
+#: Confidence is read as text: responses give it as a number or as a string.
+_SPAN_ITEM = "struct<span:string,label:string,confidence:string>"
+
+
+def _number(value: Column) -> Column:
+    """The number that a text is, spaces around it aside, else null."""
+    found = F.trim(value).try_cast("double")
+    return F.when(~F.isnan(found), found)
 
 
 def _located(rows: DataFrame, text: str, items: Column) -> DataFrame:
@@ -87,14 +96,14 @@ def _located(rows: DataFrame, text: str, items: Column) -> DataFrame:
     each = read.withColumn("_starts", places).select(*own, F.posexplode(F.arrays_zip("_items", "_starts")).alias("span_idx", "_x")).filter("_x._starts is not null")
     item, start = F.col("_x._items"), F.col("_x._starts")
     span = F.coalesce(item["span"], F.lit(""))
-    label, confidence = normalise_label(item["label"]), clamp(F.coalesce(item["confidence"], F.lit(0.5)))
+    label, confidence = normalise_label(item["label"]), clamp(F.coalesce(_number(item["confidence"]), F.lit(0.5)))
     return each.select(*own, "span_idx", start.alias("start_char"), (start + F.length(span)).alias("end_char"), span.alias("span"), label.alias("label"), confidence.alias("confidence"))
 
 
 def parse_span_responses(responses: DataFrame, text: str = "text", response: str = "response") -> DataFrame:
     """Located spans (span_idx, start_char, end_char, span, label, confidence) of each text from its response, a JSON array of
     {span, label, confidence}, fenced or within words; responses that don't parse give none. Labels are normalised
-    (unknown ones are linguistic), confidence is 0.5 where missing and lies in 0 to 1."""
+    (unknown ones are linguistic), confidence, a number or the text of one, is 0.5 where missing and lies in 0 to 1."""
     return _located(responses, text, F.from_json(recovered_json(response), f"array<{_SPAN_ITEM}>")).drop(response)
 
 
@@ -188,12 +197,15 @@ def mention_spans(mentions: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def label_statistics(spans: DataFrame) -> DataFrame:
-    """Number, mean confidence and lengths, by label and over all (label null), with grouping sets."""
-    length = F.col("end_char") - F.col("start_char")
+    """Number, mean confidence and lengths, by label and over all (label null), with grouping sets; exact medians by selection."""
+    length = (F.col("end_char") - F.col("start_char")).cast("long")
     found = spans.rollup("label").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence"), F.min(length).cast("long").alias("min_length"),
-        F.max(length).cast("long").alias("max_length"), F.avg(length).alias("mean_length"), F.median(length).alias("median_length"),
+        F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence"), F.min(length).alias("min_length"), F.max(length).alias("max_length"), F.avg(length).alias("mean_length"), F.grouping("label").alias("whole")
     )
+    lengths = spans.select(F.explode(F.array(F.struct(F.lit(0).alias("whole"), "label"), F.struct(F.lit(1).alias("whole"), F.lit(None).cast("string").alias("label")))).alias("group"), length.alias("length"))
+    medians = exact_medians(lengths, "group", "length").select("group.*", F.col("median").alias("median_length"))
+    medians = medians.select("median_length", F.col("whole").alias("_whole"), F.col("label").alias("_label"))
+    found = found.join(medians, (F.col("whole") == F.col("_whole")) & F.col("label").eqNullSafe(F.col("_label"))).drop("_label", "_whole", "whole")
     whole = spans.agg(F.count(F.lit(1)).alias("_all"))
     return found.crossJoin(F.broadcast(whole)).withColumn("ratio", F.round(F.col("n") / F.col("_all"), 4)).drop("_all")
 

@@ -88,6 +88,11 @@ def _with_edges(rows: DataFrame, edges: DataFrame | None, key: str) -> DataFrame
     return rows.join(edges.withColumnRenamed("edges", "_edges"), key, "left")
 
 
+def with_cell(rows: DataFrame, edges: DataFrame, key: str, moment: str) -> DataFrame:
+    """Rows with the time cell of their moment as _cell."""
+    return _with_edges(rows, edges, key).withColumn("_cell", _cell(_micros(moment))).drop("_edges")
+
+
 def as_of_join(probes: DataFrame, facts: DataFrame, key: str, moment: str = "as_of", cell_rows: int = CELL_ROWS, cells: int = CELLS) -> DataFrame:
     """Facts of the key that are valid at each probe's moment: an equi-join, the interval as a filter.
 
@@ -97,7 +102,7 @@ def as_of_join(probes: DataFrame, facts: DataFrame, key: str, moment: str = "as_
     edges = time_edges(probes, key, moment, cell_rows, cells)
     if edges is None:
         return probes.join(facts, key).filter(contains(moment))
-    asked = _with_edges(probes, edges, key).withColumn("_cell", _cell(_micros(moment))).drop("_edges")
+    asked = with_cell(probes, edges, key, moment)
     held = _with_edges(facts.filter("valid_to is null or valid_from < valid_to"), edges, key)
     last = F.coalesce(_cell(_micros("valid_to")), F.lit(0))
     last = F.when(F.col("valid_to").isNull(), F.coalesce(F.size("_edges"), F.lit(0))).otherwise(last)

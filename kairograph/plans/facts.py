@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from kairograph.operators import clusters
 from kairograph.operators import facts as K
 from kairograph.operators import temporal as T
+from kairograph.sources.shared import written
 from kairograph.plans.fixtures import CLOSED_SQL, FACTS_SQL, FAULTY_SQL, base_facts, closed_facts, facts, faulty_facts, table
+from kairograph.sources.shared import written
 
 SHOWN = ["fact_id", "family_key", "subject_id", "relation_type", "object_id", "valid_from", "confidence"]
 
@@ -33,7 +35,8 @@ def fact_append(spark, sf_dir):
 
 
 def fact_current(spark, sf_dir):
-    return T.resolve_current(closed_facts(spark, sf_dir)).select(SHOWN)
+    """Families of more than a thousand versions by time cells."""
+    return T.resolve_current(K.close_intervals(written(base_facts(spark, sf_dir), "facts"), 1000)).select(SHOWN)
 
 
 def fact_history(spark, sf_dir):
@@ -52,7 +55,7 @@ def fact_resolve_rows(spark, sf_dir):
 
 
 def version_edges_adjacent(spark, sf_dir):
-    return K.version_edges(base_facts(spark, sf_dir))
+    return K.version_edges(written(base_facts(spark, sf_dir), "facts"), cell_rows=1000)
 
 
 def version_edges_all_pairs(spark, sf_dir):
@@ -123,7 +126,7 @@ def facts_between_directed(spark, sf_dir):
 
 
 def entity_subgraph_2hop(spark, sf_dir):
-    """Two hops from every thirtieth supplier, over the latest facts of urgent confidence."""
+    """Two hops from every twentieth supplier, over all facts."""
     f = closed_facts(spark, sf_dir)
     seeds = table(spark, sf_dir, "supplier").filter("s_suppkey % 20 = 0").selectExpr("'S' || s_suppkey as entity_id")
     return K.entity_subgraph(f, seeds, 2).select("seed", "fact_id", F.col("hop").cast("long").alias("hop"))
@@ -150,7 +153,20 @@ def cluster_summary(spark, sf_dir):
 
 def cluster_by_relation(spark, sf_dir):
     f = base_facts(spark, sf_dir)
-    return clusters.summary(clusters.by_relation(f), f).select("cluster_id", "size", F.size("entities").cast("long").alias("n_entities"))
+    return clusters.sizes(clusters.by_relation(f), f).select("cluster_id", "size", "n_entities")
+
+
+def cluster_pages(spark, sf_dir):
+    """How the entities of each relation fall into pages of twenty."""
+    f = base_facts(spark, sf_dir)
+    pages = clusters.entity_pages(clusters.by_relation(f), f, 20)
+    return pages.select("cluster_id", F.explode("entities").alias("entity"), (F.size("entities") <= 20).alias("bounded"))
+
+
+def version_pages(spark, sf_dir):
+    """The place of every version in its family's chain, from pages of three."""
+    pages = K.chain_pages(written(base_facts(spark, sf_dir), "facts"), 3)
+    return pages.select("family_key", F.posexplode("fact_ids").alias("at", "fact_id"), "first").select("family_key", "fact_id", (F.col("first") + F.col("at")).alias("place"))
 
 
 def relation_coercion(spark, sf_dir):
@@ -167,7 +183,7 @@ QUERIES = {
     k: v for k, v in globals().items()
     if k in """flagship fact_build fact_import_stats fact_append fact_current fact_history fact_resolve_rows version_edges_adjacent version_edges_all_pairs version_edges_missing
     version_chain supersede supersede_edges has_fact_edges entities_of_facts asof_join asof_latest fact_by_id facts_for_entity facts_between facts_between_directed entity_subgraph_2hop
-    consistency_report consistency_clean envelope_check cluster_summary cluster_by_relation relation_coercion fact_export""".split()
+    consistency_report consistency_clean envelope_check cluster_summary cluster_by_relation cluster_pages version_pages relation_coercion fact_export""".split()
 }
 QUERIES["fact_at"] = QUERIES.pop("flagship")
 
@@ -222,6 +238,8 @@ SQL = {
       r AS (SELECT cluster_id, string_agg(relation_type, ',' ORDER BY relation_type) AS relations FROM (SELECT DISTINCT cluster_id, relation_type FROM j) GROUP BY cluster_id)
       SELECT cluster_id, count(*) AS size, any_value(entities) AS entities, any_value(relations) AS relations FROM j JOIN e USING (cluster_id) JOIN r USING (cluster_id) GROUP BY cluster_id""",
     "cluster_by_relation": f"WITH {FACTS_SQL} SELECT relation_type AS cluster_id, count(*) AS size, count(DISTINCT subject_id) + count(DISTINCT object_id) AS n_entities FROM facts GROUP BY relation_type",
+    "cluster_pages": f"WITH {FACTS_SQL} SELECT DISTINCT relation_type AS cluster_id, e AS entity, TRUE AS bounded FROM (SELECT relation_type, subject_id AS e FROM facts UNION ALL SELECT relation_type, object_id FROM facts)",
+    "version_pages": f"WITH {FACTS_SQL} SELECT family_key, fact_id, row_number() OVER (PARTITION BY family_key ORDER BY valid_from) - 1 AS place FROM facts",
     "relation_coercion": "SELECT event_id, CASE event_type WHEN 'click' THEN 'TREATS' WHEN 'view' THEN 'BINDS_TO' ELSE upper(event_type) END AS relation_type, event_type IN ('click', 'view') AS known FROM events",
     "fact_export": f"WITH {CLOSED_SQL} SELECT fact_id, subject_id, relation_type, object_id, CAST(valid_from AS VARCHAR) AS valid_from, CAST(valid_to AS VARCHAR) AS valid_to, 'lineitem' AS source, CASE WHEN confidence < 0.95 THEN confidence ELSE 1.0 END AS confidence FROM closed",
 }

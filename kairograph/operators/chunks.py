@@ -56,18 +56,31 @@ def first_match(sections: DataFrame, wanted: tuple[str, ...] = SECTIONS) -> Data
     return sections.withColumn("wanted", name).filter("wanted is not null")
 
 
+#: Names that may be requested at once: every distinct title is compared with each.
+MOST_REQUESTS = 1000
+
+
+def _matched(sections: DataFrame, requests: DataFrame) -> DataFrame:
+    """Sections with each requested name (wanted) that their title holds: distinct titles meet the short list of names, and the
+    sections meet their titles in an equi-join."""
+    wanted = [r.wanted for r in requests.select(F.lower("name").alias("wanted")).filter("wanted is not null").distinct().limit(MOST_REQUESTS + 1).collect()]
+    if len(wanted) > MOST_REQUESTS:
+        raise ValueError(f"more than {MOST_REQUESTS} names")
+    titles = sections.select(F.col("section").alias("_title")).distinct()
+    names = F.filter(F.array(*map(F.lit, sorted(wanted))).cast("array<string>"), lambda w: F.contains(F.lower("_title"), w))
+    titles = titles.select("_title", F.explode(names).alias("wanted"))
+    return sections.join(titles, F.col("section") == F.col("_title")).drop("_title")
+
+
 def per_request(sections: DataFrame, requests: DataFrame) -> DataFrame:
-    """For each requested name (a short list) and paper, the first section whose title holds it."""
-    joined = sections.join(F.broadcast(requests.select(F.lower("name").alias("wanted"))), F.contains(F.lower("section"), F.col("wanted")))
-    first = joined.groupBy("pmcid", "wanted").agg(F.min_by(F.struct("section_ord", "section", "text"), "section_ord").alias("s"))
+    """For each requested name (at most MOST_REQUESTS) and paper, the first section whose title holds it."""
+    first = _matched(sections, requests).groupBy("pmcid", "wanted").agg(F.min_by(F.struct("section_ord", "section", "text"), "section_ord").alias("s"))
     return first.select("pmcid", "wanted", "s.*")
 
 
 def all_matches(sections: DataFrame, requests: DataFrame | None = None) -> DataFrame:
-    """Every section whose title holds a requested name, all sections without a list."""
-    if requests is None:
-        return sections.withColumn("wanted", F.col("section"))
-    return sections.join(F.broadcast(requests.select(F.lower("name").alias("wanted"))), F.contains(F.lower("section"), F.col("wanted")))
+    """Every section whose title holds a requested name, once for each such name; all sections without a list."""
+    return sections.withColumn("wanted", F.col("section")) if requests is None else _matched(sections, requests)
 
 
 def references_of(papers: DataFrame) -> DataFrame:

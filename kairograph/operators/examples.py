@@ -39,10 +39,10 @@ def router_examples(tokens: DataFrame, labels: DataFrame, key: str = "doc_id") -
     return grouped.select(key, F.transform("x", lambda v: v["token_id"]).alias("input_ids"), F.transform("x", lambda v: F.lit(1)).alias("attention_mask"), F.transform("x", lambda v: v["label"]).alias("router_labels"))
 
 
-def factual_mentions(mentions: DataFrame, spans: DataFrame) -> DataFrame:
+def factual_mentions(mentions: DataFrame, spans: DataFrame, text: str = "mention") -> DataFrame:
     """D3: mentions whose text, without case, some span labels factual."""
-    names = spans.filter("label = 'factual'").select(F.lower("text").alias("_n"))
-    return mentions.join(names, F.lower(mentions.text) == F.col("_n"), "left_semi")
+    names = spans.filter("label = 'factual'").select(F.lower("text").alias("_n")).distinct()
+    return mentions.withColumn("_n", F.lower(text)).join(names, "_n", "left_semi").select(mentions.columns)
 
 
 def positives(keys: DataFrame, mentions: DataFrame, vectors: DataFrame, dim: int, key: str = "doc_id") -> DataFrame:

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.plans import analytics, facts, spans, text, vectors
+from kairograph.plans import analytics, extraction, facts, spans, text, vectors
 from kairograph.plans.facts import flagship
 
-MODULES = (facts, analytics, spans, vectors, text)
+MODULES = (facts, analytics, spans, vectors, text, extraction)
 
 
 def _dates_as_text(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:

@@ -29,6 +29,20 @@ def precision_at_k(predicted: Column | str, truth: Column | str, k: int) -> Colu
     return F.when(F.size(_c(truth)) > 0, hits / F.lit(k)).otherwise(F.lit(0.0))
 
 
+def judged(found: DataFrame, truth: DataFrame, key: str) -> DataFrame:
+    """(query_id, key, predicted, truth): the ids found by rank, and those of them that are true, from rows (query_id, key, rank, id)
+    and true rows (key, id).
+
+    Each id found is looked up with its key, so what is true of a key is never one list: the lists are as long as what was
+    found. For precision and reciprocal rank that is as good as all that is true.
+    """
+    known = truth.select(key, "id").distinct().withColumn("_true", F.lit(True))
+    marked = found.join(known, [key, "id"], "left")
+    lists = marked.groupBy("query_id", key).agg(F.array_sort(F.collect_list(F.struct("rank", "id", F.coalesce("_true", F.lit(False)).alias("hit")))).alias("_x"))
+    ids = lambda x: F.transform(x, lambda v: v["id"])
+    return lists.select("query_id", key, ids("_x").alias("predicted"), ids(F.filter("_x", lambda v: v["hit"])).alias("truth"))
+
+
 def reciprocal_rank(predicted: Column | str, truth: Column | str) -> Column:
     first = F.array_position(F.transform(_c(predicted), lambda p: F.array_contains(_c(truth), p)), True)
     return F.when(first > 0, 1.0 / first).otherwise(F.lit(0.0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kairograph.operators import accounting as A
@@ -12,20 +13,20 @@ from kairograph.plans.fixtures import table
 
 
 def neighbours(spark, sf_dir, k=20):
-    """Every tenth vector asks for its nearest among the others; truth is the same label."""
-    e = table(spark, sf_dir, "embeddings")
-    queries = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return V.knn_exact(queries, e.filter("vec_id % 10 <> 0").select(F.col("vec_id").alias("id"), "embedding"), k)
+    """Every tenth vector asks for its nearest among all others; truth is the same label."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    queries = e.filter("id % 10 = 0").select(F.col("id").alias("query_id"), "embedding", "label")
+    found = V.knn_exact(queries, e, k + 1).withColumn("self", F.col("id") == F.col("query_id"))
+    ahead = F.max(F.when(F.col("self"), F.col("rank"))).over(Window.partitionBy("query_id"))  # k + 1 rows
+    found = found.withColumn("rank", F.col("rank") - (F.col("rank") > F.coalesce(ahead, F.lit(k + 1))).cast("int")).filter(f"not self and rank <= {k}")
+    return found.join(queries.select("query_id", "label"), "query_id").select("query_id", "label", "rank", "id"), e.select("label", "id")
 
 
 def predictions(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    lists = neighbours(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("r"))
-    truth = e.filter("vec_id % 10 <> 0").groupBy("label").agg(F.collect_list("vec_id").alias("truth"))
-    rows = lists.select("query_id", F.transform("r", lambda x: x["id"]).alias("predicted")).join(e.select(F.col("vec_id").alias("query_id"), "label"), "query_id").join(truth, "label", "left")
+    rows = M.judged(*neighbours(spark, sf_dir), "label")
     q = F.col("query_id")
     return rows.select(
-        "query_id", "predicted", F.coalesce("truth", F.array().cast("array<long>")).alias("truth"), (q % 3).cast("int").alias("predicted_temporal"), F.when(q % 7 != 0, (q % 2).cast("int")).alias("true_temporal"),
+        "query_id", "predicted", "truth", (q % 3).cast("int").alias("predicted_temporal"), F.when(q % 7 != 0, (q % 2).cast("int")).alias("true_temporal"),
         (q % 4).cast("int").alias("predicted_granularity"), (F.floor(q / 10) % 4).cast("int").alias("true_granularity"), F.when(q % 20 == 0, F.concat(F.lit("rel"), F.col("label"))).alias("relation_type"),
         F.when(q % 3 == 0, "rare").otherwise("frequent").alias("entity_frequency_bin"), F.lit(None).cast("string").alias("temporal_complexity"),
     )
@@ -120,7 +121,7 @@ def weighted_bce(spark, sf_dir):
 
 
 def token_nll(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 10).alias("seq_id"), F.col("vec_id").alias("pos"), F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("logits"), F.when(F.col("vec_id") % 4 == 0, -100).otherwise(F.col("label")).alias("label"))
+    rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 10).alias("seq_id"), F.col("vec_id").alias("pos"), F.col("embedding").cast("array<double>").alias("logits"), F.when(F.col("vec_id") % 4 == 0, -100).otherwise(F.col("label")).alias("label"))
     return M.token_nll(rows)
 
 
@@ -202,7 +203,7 @@ _KNN = """
 e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
 near AS (
   SELECT q.vec_id AS query_id, q.label AS ql, c.label AS cl, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, c.v), c.vec_id) AS rank
-  FROM e q, e c WHERE q.vec_id % 10 = 0 AND c.vec_id % 10 <> 0),
+  FROM e q, e c WHERE q.vec_id % 10 = 0 AND c.vec_id <> q.vec_id),
 scored AS (
   SELECT query_id, any_value(ql) AS label, count(*) FILTER (rank <= 1 AND ql = cl) / 1 AS p1, count(*) FILTER (rank <= 5 AND ql = cl) / 5 AS p5, count(*) FILTER (rank <= 10 AND ql = cl) / 10 AS p10,
     count(*) FILTER (rank <= 20 AND ql = cl) / 20 AS p20, coalesce(1.0 / min(rank) FILTER (rank <= 20 AND ql = cl), 0.0) AS rr
@@ -241,7 +242,7 @@ SQL = {
     "summary_table": f"""WITH {_SCORES}, c AS (SELECT {_COUNTS} FROM (SELECT *, prob >= 0.5 AS p FROM s)), m AS (SELECT {_CONFUSION} FROM c)
       SELECT 'router' AS component, metric, value FROM (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM m) ON COLUMNS(*) INTO NAME metric VALUE value)""",
     "weighted_bce": f"WITH {_SCORES}, r AS (SELECT prob * 8 - 4 AS x, CAST(label AS DOUBLE) * 0.9 + 0.05 AS y FROM s WHERE doc_id % 5 <> 0) SELECT sum(2 * y * ln(1 + exp(-x)) + (1 - y) * ln(1 + exp(x))) / count(*) AS loss FROM r",
-    "token_nll": """WITH r AS (SELECT list_slice(CAST(embedding AS DOUBLE[]), 1, 16) AS x, lead(CASE WHEN vec_id % 4 = 0 THEN -100 ELSE label END) OVER (PARTITION BY vec_id % 10 ORDER BY vec_id) AS y FROM embeddings)
+    "token_nll": """WITH r AS (SELECT CAST(embedding AS DOUBLE[]) AS x, lead(CASE WHEN vec_id % 4 = 0 THEN -100 ELSE label END) OVER (PARTITION BY vec_id % 10 ORDER BY vec_id) AS y FROM embeddings)
       SELECT sum(ln(list_sum(list_transform(x, lambda v: exp(v)))) - x[y + 1]) AS loss_sum, count(*) AS n FROM r WHERE y IS NOT NULL AND y <> -100""",
     "metric_rolling": f"WITH {_LOSS} SELECT event_id, round(avg(loss) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 9) AS rolling FROM l",
     "metric_blocks": f"WITH {_LOSS} SELECT user_id, event_id // 100 AS block, round(avg(loss), 9) AS mean, count(*) AS n FROM l GROUP BY 1, 2",

@@ -41,13 +41,13 @@ def fact_current(spark, sf_dir):
 
 def fact_history(spark, sf_dir):
     f = closed_facts(spark, sf_dir)
-    return T.resolve_history(f.filter("subject_id = 'S1'")).select("fact_id", "valid_from", "valid_to")
+    return T.resolve_history(f).select("fact_id", "valid_from", "valid_to")
 
 
 def fact_resolve_rows(spark, sf_dir):
     """Every order asks for its supplier's facts in a mode of its own."""
     modes = F.element_at(F.array(F.lit("current"), F.lit("AT_TIMESTAMP"), F.lit("History")), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    probes = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(
+    probes = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey"), F.concat(F.lit("S"), (F.col("o_custkey") % 100).cast("string")).alias("subject_id"), modes.alias("mode"), F.col("o_orderdate").cast("date").alias("as_of")
     )
     found = T.resolve_rows(probes.join(closed_facts(spark, sf_dir), "subject_id"))
@@ -111,7 +111,8 @@ def fact_by_id(spark, sf_dir):
 
 
 def facts_for_entity(spark, sf_dir):
-    e = table(spark, sf_dir, "part").filter("p_size < 5").select(F.col("p_brand").alias("entity_id")).union(table(spark, sf_dir, "supplier").selectExpr("'S' || s_suppkey").filter("s_suppkey % 7 = 0"))
+    """The twenty latest facts of every brand and supplier."""
+    e = table(spark, sf_dir, "part").select(F.col("p_brand").alias("entity_id")).union(table(spark, sf_dir, "supplier").selectExpr("'S' || s_suppkey"))
     return K.facts_for_entities(closed_facts(spark, sf_dir), e, limit=20).select("entity_id", "fact_id", F.col("position").cast("long").alias("position"), "total_count")
 
 
@@ -204,8 +205,8 @@ SQL = {
     "fact_import_stats": f"WITH {FACTS_SQL}, c AS (SELECT count(*) AS created FROM facts WHERE valid_from >= DATE '1996-01-01'), r AS (SELECT count(*) AS processed FROM raw) SELECT processed, created, processed - created AS deduplicated FROM c, r",
     "fact_append": f"WITH {FACTS_SQL} SELECT {_SHOWN} FROM facts WHERE valid_from >= DATE '1996-01-01'",
     "fact_current": f"WITH {CLOSED_SQL} SELECT {_SHOWN} FROM closed WHERE valid_to IS NULL",
-    "fact_history": f"WITH {CLOSED_SQL} SELECT fact_id, valid_from, valid_to FROM closed WHERE subject_id = 'S1'",
-    "fact_resolve_rows": f"""WITH {CLOSED_SQL}, probes AS (SELECT o_orderkey, o_orderkey % 3 AS mode, 'S' || CAST(o_custkey % 100 AS VARCHAR) AS subject_id, CAST(o_orderdate AS DATE) AS as_of FROM orders WHERE o_orderpriority = '1-URGENT')
+    "fact_history": f"WITH {CLOSED_SQL} SELECT fact_id, valid_from, valid_to FROM closed",
+    "fact_resolve_rows": f"""WITH {CLOSED_SQL}, probes AS (SELECT o_orderkey, o_orderkey % 3 AS mode, 'S' || CAST(o_custkey % 100 AS VARCHAR) AS subject_id, CAST(o_orderdate AS DATE) AS as_of FROM orders)
       SELECT o_orderkey, count(*) AS n, min(fact_id) AS least FROM probes JOIN closed USING (subject_id) WHERE CASE mode WHEN 0 THEN valid_to IS NULL WHEN 1 THEN {_VALID} ELSE TRUE END GROUP BY o_orderkey""",
     "version_edges_adjacent": f"WITH {FACTS_SQL}, e AS (SELECT fact_id AS newer, lag(fact_id) OVER (PARTITION BY family_key ORDER BY valid_from) AS older FROM facts) SELECT * FROM e WHERE older IS NOT NULL",
     "version_edges_all_pairs": f"WITH {FACTS_SQL} SELECT a.fact_id AS newer, count(*) AS n, min(b.fact_id) AS least FROM facts a JOIN facts b ON a.family_key = b.family_key AND a.valid_from > b.valid_from GROUP BY a.fact_id",
@@ -220,7 +221,7 @@ SQL = {
     "asof_join": f"WITH {CLOSED_SQL}, {_PROBES} SELECT o_orderkey, count(*) AS n, min(fact_id) AS least FROM probes JOIN closed USING (subject_id) WHERE {_VALID} GROUP BY o_orderkey",
     "asof_latest": f"WITH {CLOSED_SQL}, {_PROBES}, r AS (SELECT o_orderkey, fact_id, valid_from, row_number() OVER (PARTITION BY o_orderkey ORDER BY valid_from DESC, fact_id DESC) AS rn FROM probes JOIN closed USING (subject_id) WHERE {_VALID}) SELECT o_orderkey, fact_id, valid_from FROM r WHERE rn = 1",
     "fact_by_id": f"WITH {FACTS_SQL} SELECT {_SHOWN} FROM facts WHERE object_id = 'Brand#11'",
-    "facts_for_entity": f"""WITH {CLOSED_SQL}, wanted AS (SELECT DISTINCT p_brand AS entity_id FROM part WHERE p_size < 5 UNION SELECT 'S' || CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey % 7 = 0),
+    "facts_for_entity": f"""WITH {CLOSED_SQL}, wanted AS (SELECT DISTINCT p_brand AS entity_id FROM part UNION SELECT 'S' || CAST(s_suppkey AS VARCHAR) FROM supplier),
       found AS (SELECT entity_id, fact_id, row_number() OVER (PARTITION BY entity_id ORDER BY valid_from DESC, fact_id) AS position, count(*) OVER (PARTITION BY entity_id) AS total_count FROM wanted JOIN closed ON entity_id = subject_id OR entity_id = object_id)
       SELECT * FROM found WHERE position <= 20""",
     "facts_between": f"WITH {CLOSED_SQL}, p AS (SELECT 'Brand#1' || CAST(s_suppkey % 5 + 1 AS VARCHAR) AS a, 'S' || CAST(s_suppkey AS VARCHAR) AS b FROM supplier) SELECT fact_id, subject_id, object_id FROM closed JOIN p ON (subject_id = a AND object_id = b) OR (subject_id = b AND object_id = a)",

@@ -185,8 +185,7 @@ def router_examples(spark, sf_dir):
 
 
 def token_table(spark, sf_dir):
-    plain = docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", "[^A-Za-z .]", "").alias("text"))
-    return D.token_table(plain, most=None).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start_char").alias("starts"), F.sum("end_char").alias("ends"))
+    return D.token_table(docs(spark, sf_dir).select("doc_id", "text"), most=None).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start_char").alias("starts"), F.sum("end_char").alias("ends"))
 
 
 def padded_examples(spark, sf_dir):
@@ -241,10 +240,8 @@ SQL = {
     "resume_pending": "SELECT doc_id, CASE WHEN text IN (SELECT text FROM documents WHERE doc_id % 3 = 0) THEN 'stored' END AS response FROM documents",
     "exact_split": "SELECT 'val' AS split, CAST(floor(count(*) * 0.2::DOUBLE) AS BIGINT) AS n FROM documents UNION ALL SELECT 'train', count(*) - CAST(floor(count(*) * 0.2::DOUBLE) AS BIGINT) FROM documents",
     "stratified_split": "WITH s AS (SELECT source, count(*) AS n, CAST(floor(count(*) * 0.2::DOUBLE) AS BIGINT) AS v FROM documents GROUP BY source) SELECT source, 'val' AS split, v AS n FROM s WHERE v > 0 UNION ALL SELECT source, 'train', n - v FROM s WHERE n > v",
-    "token_table": """WITH d AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z .]', '', 'g') AS t FROM documents),
-      c AS (SELECT doc_id, i, t[i] AS ch, CASE WHEN i > 1 THEN t[i - 1] ELSE ' ' END AS b FROM (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS i FROM d)),
-      s AS (SELECT doc_id, i - 1 AS start, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn, CASE WHEN ch = '.' THEN 1 ELSE 0 END AS dot FROM c WHERE ch = '.' OR (ch <> ' ' AND (b = ' ' OR b = '.'))),
-      e AS (SELECT doc_id, i AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM (SELECT doc_id, i, ch, lead(ch, 1, ' ') OVER (PARTITION BY doc_id ORDER BY i) AS a FROM c) WHERE ch = '.' OR (ch <> ' ' AND (a = ' ' OR a = '.')))
-      SELECT doc_id, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, CAST(sum(stop) AS BIGINT) AS ends FROM s JOIN e USING (doc_id, rn) GROUP BY doc_id""",
+    "token_table": r"""WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '(?s).'), lambda c: CASE WHEN regexp_matches(c, '[\p{L}\p{M}\p{Nl}\p{Nd}\p{Pc}\x{200c}\x{200d}]') THEN 'w' WHEN regexp_matches(c, '[\x{9}-\x{d}\x{85}\p{Z}]') THEN ' ' ELSE '.' END) AS k FROM documents),
+      c AS (SELECT doc_id, i, k[i] AS ch, coalesce(k[i - 1], ' ') AS b, coalesce(k[i + 1], ' ') AS a FROM (SELECT doc_id, k, unnest(range(1, len(k) + 1)) AS i FROM d))
+      SELECT doc_id, count(*) FILTER (ch = '.' OR (ch = 'w' AND b <> 'w')) AS n, CAST(sum(i - 1) FILTER (ch = '.' OR (ch = 'w' AND b <> 'w')) AS BIGINT) AS starts, CAST(sum(i) FILTER (ch = '.' OR (ch = 'w' AND a <> 'w')) AS BIGINT) AS ends FROM c WHERE ch <> ' ' GROUP BY doc_id""",
     "padded_examples": "WITH r AS (SELECT vec_id, range(1, vec_id % 30 + 2) AS x FROM embeddings) SELECT vec_id, array_to_string(list_resize(x, 16, 0), ',') AS ids, array_to_string(list_resize(x, 20, -100), ',') AS labels FROM r",
 }

@@ -1,7 +1,7 @@
 """Brown class-based n-grams: exchange clustering of words, class transitions and word emissions.
 
 Every word of FLOOR or more training occurrences gets its class by exchange, however many there are. The head (words of SHARE
-or more of the tokens, at most 1 / SHARE) is exchanged in rounds until few move; its map is broadcast. The tail, which
+or more of the tokens, at most 1 / SHARE) is exchanged in rounds that never lower the likelihood, until they add little; its map is broadcast. The tail, which
 grows with the corpus, meanwhile stands in BUCKETS by the words' endings; then each tail word is exchanged on its own from
 its contexts, and its class is a row of a table that texts meet in a join. Rarer words keep the class of their bucket.
 """
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from kairograph.llm.common import materialize, utf8, with_fields
 
 CLASSES, BUCKETS = 64, 4096
-#: The head's rounds end when fewer than SETTLED of the items tried move, and at ROUNDS at the latest.
-ROUNDS, SETTLED = 4, 0.02
+#: The head's rounds end when two of them, which try each half of the items, add less than GAIN of the log likelihood, and at
+#: ROUNDS at the latest. Of the moves of a round, in the order of their gains, these shares are weighed against each other.
+ROUNDS, GAIN, TRIED = 4, 0.002, (1.0, 0.3, 0.1, 0.02)
 #: Of the training tokens: words of the head, and words whose counts and classes are broadcast for scoring.
 SHARE, COUNT_SHARE = 2.0**-16, 2.0**-19
 #: Occurrences from which a word of the tail is exchanged on its own.
@@ -206,22 +207,35 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
 
 
-def _transitions(contexts: DataFrame, classes: np.ndarray) -> np.ndarray:
-    """Counts of class pairs: a matrix of fixed size from each partition, added on the driver."""
-    shared = contexts.sparkSession.sparkContext.broadcast(classes)
+def _pairs_of(encoded: DataFrame, choices: list[np.ndarray]) -> np.ndarray:
+    """Counts of class pairs under each of a few class maps, in one pass: matrices of fixed size from each task, added up by rows."""
+    shared = encoded.sparkSession.sparkContext.broadcast(np.stack(choices))
+    size = CLASSES * CLASSES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros((CLASSES, CLASSES), np.int64)
+        maps = shared.value
+        pairs = np.zeros((len(maps), size), np.int64)
         for batch in batches:
-            if batch.num_rows:
-                np.add.at(pairs, shared.value[batch.column(0).to_numpy()], batch.column(2).flatten().to_numpy().reshape(-1, CLASSES))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(list(pairs), pa.list_(pa.int64()))], ["before", "n"])
-
-    rows = contexts.mapInArrow(run, "before long, n array<long>").selectExpr("before", "posexplode(n) as (after, n)")
-    out = np.zeros((CLASSES, CLASSES))
-    for r in rows.groupBy("before", "after").agg(F.sum("n").alias("n")).collect():
-        out[r.before, r.after] = r.n
-    return out
+            lists = batch.column(0)
+            flat = lists.flatten().to_numpy()
+            inside = np.ones(max(0, len(flat) - 1), bool)
+            inside[np.cumsum(lists.value_lengths().to_numpy())[:-1] - 1] = False  # one text's last end and the next one's first
+            for k, classes in enumerate(maps):
+                kinds = classes[flat]
+                pairs[k] += np.bincount((kinds[:-1] * CLASSES + kinds[1:])[inside], minlength=size)
+        rows = list(pairs.reshape(-1, CLASSES))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(rows, pa.list_(pa.int64()))], ["row", "n"])
+
+    rows = encoded.select("items").mapInArrow(run, "row long, n array<long>").selectExpr("row", "posexplode(n) as (after, n)")
+    out = np.zeros((len(choices) * CLASSES, CLASSES))
+    for r in rows.groupBy("row", "after").agg(F.sum("n").alias("n")).collect():
+        out[r.row, r.after] = r.n
+    return out.reshape(len(choices), CLASSES, CLASSES)
+
+
+def log_likelihood(pairs: np.ndarray) -> float:
+    """Of the class bigrams, without the words' own constant term."""
+    return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(axis=0)).sum() - _xlogx(pairs.sum(axis=1)).sum())
 
 
 def gain_tables(pairs: np.ndarray) -> list[tuple]:
@@ -234,11 +248,15 @@ def gain_tables(pairs: np.ndarray) -> list[tuple]:
 
 
 def best_classes(own: np.ndarray, left: np.ndarray, right: np.ndarray, tables: list[tuple]) -> np.ndarray:
-    """Per item, the class where its contexts add most to the likelihood of the class bigrams; its own unless one is better.
+    return best_moves(own, left, right, tables)[0]
+
+
+def best_moves(own: np.ndarray, left: np.ndarray, right: np.ndarray, tables: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Per item, the class where its contexts add most to the likelihood of the class bigrams, its own unless one is better, and how much.
 
     Contexts are rows of counts by class. The rest of an item's own place is as it was. Class 0 is the end's alone.
     """
-    every = []
+    every, most = [], []
     for a in range(0, len(own), 256):
         kind, sides = own[a : a + 256], (right[a : a + 256], left[a : a + 256])
         gains, leaving = np.zeros((len(kind), CLASSES)), np.zeros(len(kind))
@@ -260,7 +278,8 @@ def best_classes(own: np.ndarray, left: np.ndarray, right: np.ndarray, tables: l
         gains[:, 0] = -np.inf
         gains[np.arange(len(kind)), kind] = 0.0
         every.append(gains.argmax(axis=1))
-    return np.concatenate([np.empty(0, np.int64), *every])
+        most.append(gains.max(axis=1))
+    return np.concatenate([np.empty(0, np.int64), *every]), np.concatenate([np.empty(0), *most])
 
 
 def _turn(item: int, turn: int) -> bool:
@@ -268,24 +287,45 @@ def _turn(item: int, turn: int) -> bool:
     return item != 0 and (zlib.crc32(str(item).encode()) + turn) % 2 == 0
 
 
-def exchange(contexts: DataFrame, classes: np.ndarray, pairs: np.ndarray, turn: int) -> np.ndarray:
-    """New classes after one exchange of the items whose turn it is, all against the counts of the round's beginning."""
+def proposed_moves(contexts: DataFrame, classes: np.ndarray, pairs: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(items, classes, gains) of the items whose turn it is that would move, each against the counts of the round's beginning;
+    the greatest gains first."""
     shared = contexts.sparkSession.sparkContext.broadcast((classes, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, pairs = shared.value
         tables = gain_tables(pairs)
         for batch in batches:
-            items = batch.column(0).to_numpy()
-            lefts, rights = (batch.column(c).flatten().to_numpy().reshape(-1, CLASSES) for c in (1, 2))
-            new, tried = classes[items], np.array([_turn(item, turn) for item in items.tolist()], bool)
-            new[tried] = best_classes(new[tried], lefts[tried], rights[tried], tables)
-            yield pa.RecordBatch.from_arrays([pa.array(items), pa.array(new)], ["item", "class"])
-
-    out = classes.copy()
-    for r in contexts.select("item", "left", "right").mapInArrow(run, "item long, class long").collect():  # bounded by the items
-        out[r["item"]] = r["class"]
-    return out
+            tried = np.array([_turn(item, turn) for item in batch.column(0).to_pylist()], bool)
+            items = batch.column(0).to_numpy()[tried]
+            lefts, rights = (batch.column(c).flatten().to_numpy().reshape(-1, CLASSES)[tried] for c in (1, 2))
+            new, gains = best_moves(classes[items], lefts, rights, tables)
+            moved = new != classes[items]
+            yield pa.RecordBatch.from_arrays([pa.array(items[moved]), pa.array(new[moved]), pa.array(gains[moved])], ["item", "class", "gain"])
+
+    rows = contexts.select("item", "left", "right").mapInArrow(run, "item long, class long, gain double").collect()  # bounded by the items
+    rows.sort(key=lambda r: (-r.gain, r.item))
+    return tuple(np.array([r[c] for r in rows], kind) for c, kind in (("item", np.int64), ("class", np.int64), ("gain", float)))
+
+
+def exchange(encoded: DataFrame, contexts: DataFrame, classes: np.ndarray, pairs: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and their pair counts after one round.
+
+    Moves that raise the likelihood one by one may lower it together. So the first TRIED shares of them, in the order of their gains,
+    are counted, and what is best is taken: nothing, if all are worse than no move.
+    """
+    items, new, _ = proposed_moves(contexts, classes, pairs, turn)
+    choices = []
+    for share in TRIED if len(items) else ():
+        choice, n = classes.copy(), math.ceil(share * len(items))
+        choice[items[:n]] = new[:n]
+        choices.append(choice)
+    if not choices:
+        return classes, pairs
+    counted = _pairs_of(encoded, choices)
+    fits = [log_likelihood(p) for p in counted]
+    best = int(np.argmax(fits))
+    return (choices[best], counted[best]) if fits[best] > log_likelihood(pairs) else (classes, pairs)
 
 
 def exchange_tail(encoded: DataFrame, items, classes: np.ndarray, pairs: np.ndarray, tokens: int, floor: int = FLOOR) -> DataFrame:
@@ -386,6 +426,7 @@ class BrownModel:
     class_tokens: np.ndarray
     class_words: np.ndarray
     pairs: np.ndarray | None = None
+    likelihoods: list[float] | None = None  # of the head's class bigrams, before the first round and after each
 
     def step_log10(self) -> np.ndarray:
         """What each pair of classes adds to a text's log10 probability, beside log10(count + 1)."""
@@ -405,13 +446,16 @@ def learn_classes(training: DataFrame, text_col: str = "text", rounds: int = ROU
     held = spark.sparkContext.broadcast(items)
     classes = _start_classes(items)
     encoded = _encoded(training, text_col, held)
-    contexts = materialize(_contexts(encoded, items.number, classes), "contexts")
+    pairs = _pairs_of(encoded, [classes])[0]
+    fits, before = [log_likelihood(pairs)], None
     for turn in range(rounds):
-        before, classes = classes, exchange(contexts, classes, _transitions(contexts, classes), turn)
-        contexts = materialize(_contexts(encoded, items.number, classes), "contexts")
-        if turn and (before != classes).sum() < SETTLED * items.number / 2:  # both halves have been tried
+        if before is not classes:
+            before, contexts = classes, materialize(_contexts(encoded, items.number, classes), "contexts")
+        classes, pairs = exchange(encoded, contexts, classes, pairs, turn)
+        fits.append(log_likelihood(pairs))
+        if turn and fits[-1] - fits[-3] < GAIN * abs(fits[-1]):
             break
-    tail = exchange_tail(encoded, held, classes, _transitions(contexts, classes), tokens, floor)
+    tail = exchange_tail(encoded, held, classes, pairs, tokens, floor)
     shared = spark.sparkContext.broadcast(classes)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,7 +473,7 @@ def learn_classes(training: DataFrame, text_col: str = "text", rounds: int = ROU
     sizes = np.zeros((CLASSES, 2))
     for r in words.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         sizes[r["class"]] = r.n, r.v
-    return BrownModel(held, classes, words, tokens, distinct, sizes[:, 0], sizes[:, 1])
+    return BrownModel(held, classes, words, tokens, distinct, sizes[:, 0], sizes[:, 1], likelihoods=fits)
 
 
 def classified(docs: DataFrame, model: BrownModel, text_col: str = "text", count_share: float = COUNT_SHARE) -> DataFrame:

@@ -110,6 +110,28 @@ def test_exchange_raises_the_likelihood(spark, data):
     assert likelihood(2) > likelihood(0)
 
 
+def test_no_round_lowers_the_likelihood(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    fits = b.learn_classes(docs, rounds=8).likelihoods
+    print("log likelihood by round:", [round(x) for x in fits])
+    assert len(fits) >= 3 and all(later >= earlier for earlier, later in zip(fits, fits[1:])) and fits[-1] > fits[0] + 0.03 * abs(fits[0])
+    assert fits[-1] - fits[-3] < b.GAIN * abs(fits[-1]) or len(fits) == 9
+
+
+def test_pairs_of_several_maps_in_one_pass(spark):
+    rng = np.random.default_rng(4)
+    texts = [[0, *rng.integers(1, 50, n).tolist(), 0] for n in rng.integers(0, 30, 40)]
+    encoded = spark.createDataFrame([(t,) for t in texts], "items array<int>").repartition(3)
+    maps = [rng.integers(0, b.CLASSES, 50) for _ in range(3)]
+    want = np.zeros((3, b.CLASSES, b.CLASSES))
+    for t in texts:
+        for x, y in zip(t, t[1:]):
+            for k, m in enumerate(maps):
+                want[k, m[x], m[y]] += 1
+    assert (b._pairs_of(encoded, maps) == want).all()
+    assert (b._pairs_of(encoded.limit(0), maps) == 0).all()
+
+
 def test_empty(spark):
     assert b.split_and_score(spark, spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

@@ -27,6 +27,8 @@ CLASSES, BUCKETS = 64, 4096
 #: The head's rounds end when two of them, which try each half of the items, add less than GAIN of the log likelihood, and at
 #: ROUNDS at the latest. Of the moves of a round, in the order of their gains, these shares are weighed against each other.
 ROUNDS, GAIN, TRIED = 4, 0.002, (1.0, 0.3, 0.1, 0.02)
+#: The most frequent items, which are moved one after the other: their moves would undo each other otherwise.
+LEADERS, SWEEPS = 512, 5
 #: Of the training tokens: words of the head, and words whose counts and classes are broadcast for scoring.
 SHARE, COUNT_SHARE = 2.0**-16, 2.0**-19
 #: Occurrences from which a word of the tail is exchanged on its own.
@@ -308,24 +310,85 @@ def proposed_moves(contexts: DataFrame, classes: np.ndarray, pairs: np.ndarray,
     return tuple(np.array([r[c] for r in rows], kind) for c, kind in (("item", np.int64), ("class", np.int64), ("gain", float)))
 
 
-def exchange(encoded: DataFrame, contexts: DataFrame, classes: np.ndarray, pairs: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """Classes and their pair counts after one round.
+def leader_pairs(encoded: DataFrame, leaders: int = LEADERS) -> np.ndarray:
+    """How often each of the items 1 to ``leaders`` (the most frequent words) stands before each: a matrix of fixed size."""
+    size = leaders + 1
 
-    Moves that raise the likelihood one by one may lower it together. So the first TRIED shares of them, in the order of their gains,
-    are counted, and what is best is taken: nothing, if all are worse than no move.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros(size * size, np.int64)
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy().astype(np.int64)  # ends are items of their own, so no pair crosses texts
+            both = (flat[:-1] > 0) & (flat[:-1] < size) & (flat[1:] > 0) & (flat[1:] < size)
+            pairs += np.bincount(flat[:-1][both] * size + flat[1:][both], minlength=size * size)
+        seen = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(pairs[seen])], ["pair", "n"])
+
+    found = encoded.select("items").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * size)
+    out[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(size, size)
+
+
+def sweep(classes: np.ndarray, pairs: np.ndarray, left: np.ndarray, right: np.ndarray, among: np.ndarray, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and pair counts after the leaders have moved one by one, each against the counts as they then are.
+
+    ``left`` and ``right`` are the leaders' contexts by class, ``among`` their own pairs. A move is made if the likelihood rises by it.
+    """
+    classes, pairs, left, right = classes.copy(), pairs.copy(), left.astype(float), right.astype(float)
+    fit, n = log_likelihood(pairs), len(among)
+    for _ in range(sweeps):
+        moved = False
+        for item in range(1, n):
+            old = classes[item]
+            new = int(best_classes(np.array([old]), left[item][None], right[item][None], gain_tables(pairs))[0])
+            if new == old:
+                continue
+            own, after = among[item, item], pairs.copy()
+            before, behind = left[item].copy(), right[item].copy()
+            after[:, old] -= before
+            after[old] -= behind
+            after[old, old] += own
+            for side in (before, behind):
+                side[old] -= own
+                side[new] += own
+            after[:, new] += before
+            after[new] += behind
+            after[new, new] -= own
+            raised = log_likelihood(after)
+            if raised > fit:
+                classes[item], pairs, fit, moved = new, after, raised, True
+                right[:n, old] -= among[:, item]  # what stands before the item has it behind
+                right[:n, new] += among[:, item]
+                left[:n, old] -= among[item]
+                left[:n, new] += among[item]
+        if not moved:
+            break
+    return classes, pairs
+
+
+def exchange(encoded: DataFrame, contexts: DataFrame, classes: np.ndarray, pairs: np.ndarray, turn: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and their pair counts after one round: the leaders one by one, and of the others half at once.
+
+    Moves of many items that raise the likelihood one by one may lower it together. So the first TRIED shares of them, in the
+    order of their gains, are counted, and what is best is taken: the leaders' moves alone, if all are worse.
     """
     items, new, _ = proposed_moves(contexts, classes, pairs, turn)
+    left, right = np.zeros((2, len(among), CLASSES))
+    for r in contexts.filter(F.col("item") < len(among)).select("item", "left", "right").collect():  # as many as there are leaders
+        left[r["item"]], right[r["item"]] = r["left"], r["right"]
+    led, led_pairs = sweep(classes, pairs, left, right, among)
+    items, new = items[items >= len(among)], new[items >= len(among)]
     choices = []
     for share in TRIED if len(items) else ():
-        choice, n = classes.copy(), math.ceil(share * len(items))
+        choice, n = led.copy(), math.ceil(share * len(items))
         choice[items[:n]] = new[:n]
         choices.append(choice)
     if not choices:
-        return classes, pairs
+        return led, led_pairs
     counted = _pairs_of(encoded, choices)
     fits = [log_likelihood(p) for p in counted]
     best = int(np.argmax(fits))
-    return (choices[best], counted[best]) if fits[best] > log_likelihood(pairs) else (classes, pairs)
+    return (choices[best], counted[best]) if fits[best] > log_likelihood(led_pairs) else (led, led_pairs)
 
 
 def exchange_tail(encoded: DataFrame, items, classes: np.ndarray, pairs: np.ndarray, tokens: int, floor: int = FLOOR) -> DataFrame:
@@ -448,10 +511,11 @@ def learn_classes(training: DataFrame, text_col: str = "text", rounds: int = ROU
     encoded = _encoded(training, text_col, held)
     pairs = _pairs_of(encoded, [classes])[0]
     fits, before = [log_likelihood(pairs)], None
+    among = leader_pairs(encoded, min(LEADERS, len(items.words)))
     for turn in range(rounds):
-        if before is not classes:
+        if before is None or (before != classes).any():
             before, contexts = classes, materialize(_contexts(encoded, items.number, classes), "contexts")
-        classes, pairs = exchange(encoded, contexts, classes, pairs, turn)
+        classes, pairs = exchange(encoded, contexts, classes, pairs, turn, among)
         fits.append(log_likelihood(pairs))
         if turn and fits[-1] - fits[-3] < GAIN * abs(fits[-1]):
             break

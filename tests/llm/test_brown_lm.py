@@ -118,6 +118,32 @@ def test_no_round_lowers_the_likelihood(spark):
     assert fits[-1] - fits[-3] < b.GAIN * abs(fits[-1]) or len(fits) == 9
 
 
+def test_leaders_move_one_by_one_by_exact_counts(spark):
+    rng = np.random.default_rng(6)
+    texts = [[0, *np.minimum(rng.zipf(1.3, n), 60).tolist(), 0] for n in rng.integers(0, 80, 60)]
+    encoded = spark.createDataFrame([(t,) for t in texts], "items array<int>").repartition(3)
+    among = b.leader_pairs(encoded, 20)
+    want = np.zeros((21, 21))
+    for t in texts:
+        for x, y in zip(t, t[1:]):
+            if 0 < x <= 20 and 0 < y <= 20:
+                want[x, y] += 1
+    assert (among == want).all()
+    classes = np.r_[0, rng.integers(1, b.CLASSES, 60)]
+    pairs = b._pairs_of(encoded, [classes])[0]
+    left, right = np.zeros((2, 21, b.CLASSES))
+    for t in texts:
+        for x, y in zip(t, t[1:]):
+            if y <= 20:
+                left[y, classes[x]] += 1
+            if x <= 20:
+                right[x, classes[y]] += 1
+    led, after = b.sweep(classes, pairs, left, right, among)
+    assert (led[21:] == classes[21:]).all() and (led != classes).any()
+    assert (after == b._pairs_of(encoded, [led])[0]).all()
+    assert b.log_likelihood(after) > b.log_likelihood(pairs)
+
+
 def test_pairs_of_several_maps_in_one_pass(spark):
     rng = np.random.default_rng(4)
     texts = [[0, *rng.integers(1, 50, n).tolist(), 0] for n in rng.integers(0, 30, 40)]

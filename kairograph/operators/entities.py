@@ -12,17 +12,19 @@ from kairograph.functions.ids import content_hash_id, no_cui_id
 
 MIN_LENGTH, MAX_LENGTH, LINK_THRESHOLD, ALIASES = 2, 100, 0.7, 10
 DEFAULT_TYPE = "unknown"
-#: Entity types of semantic type identifiers.
+#: The entity type of each semantic type identifier.
 SEMANTIC_TYPES = {
-    "protein": ("T087", "T116"),
-    "drug": ("T118", "T119", "T120", "T121", "T122", "T123", "T124", "T125", "T126", "T127", "T129", "T130", "T131", "T195", "T196", "T197", "T200"),
-    "gene": ("T028", "T085", "T086", "T088", "T114"),
-    "disease": ("T019", "T020", "T033", "T037", "T046", "T047", "T048", "T049", "T184", "T190", "T191"),
-    "anatomical_structure": ("T017", "T018", "T021", "T022", "T023", "T024", "T029", "T030"),
-    "cell_type": ("T025", "T026"),
-    "organism": ("T001", "T002", "T004", "T005", "T007", "T008", "T010", "T011", "T012", "T013", "T014", "T015", "T016"),
-    "pathway": ("T038", "T039", "T040", "T041", "T042", "T043", "T044", "T045"),
-}
+    "T001": "organism", "T002": "organism", "T004": "organism", "T005": "organism", "T007": "organism", "T008": "organism", "T010": "organism",
+    "T011": "organism", "T012": "organism", "T013": "organism", "T014": "organism", "T015": "organism", "T016": "organism",
+    "T017": "anatomical_structure", "T018": "anatomical_structure", "T019": "disease", "T020": "disease", "T021": "anatomical_structure",
+    "T022": "anatomical_structure", "T023": "anatomical_structure", "T024": "anatomical_structure", "T025": "cell_type", "T026": "cell_type",
+    "T028": "gene", "T029": "anatomical_structure", "T030": "anatomical_structure", "T033": "disease", "T037": "disease", "T038": "pathway",
+    "T039": "pathway", "T040": "pathway", "T041": "pathway", "T042": "pathway", "T043": "pathway", "T044": "pathway", "T045": "pathway",
+    "T046": "disease", "T047": "disease", "T048": "disease", "T049": "disease", "T085": "gene", "T086": "gene", "T087": "protein",
+    "T088": "gene", "T114": "gene", "T116": "protein", "T118": "drug", "T119": "drug", "T120": "drug", "T121": "drug", "T122": "drug",
+    "T123": "drug", "T124": "drug", "T125": "drug", "T126": "drug", "T127": "drug", "T129": "drug", "T130": "drug", "T131": "drug",
+    "T184": "disease", "T190": "disease", "T191": "disease", "T195": "drug", "T196": "drug", "T197": "drug", "T200": "drug",
+}
 #: Parts of names that suggest a type.
 DRUG_PARTS, DISEASE_PARTS = ("mab", "nib", "vir", "ine", "cin"), ("cancer", "tumor", "syndrome", "disease", "disorder")
 
@@ -84,8 +86,8 @@ def entity_type(types: Column | str, text: Column | str) -> Column:
     """The type of the first known semantic type, else by parts of the name, else by capitals, else the default."""
     t = F.col(types) if isinstance(types, str) else types
     name = F.col(text) if isinstance(text, str) else text
-    of_one = lambda s: F.coalesce(*[F.when(s.isin(*ids), kind) for kind, ids in SEMANTIC_TYPES.items()])
-    mapped = F.get(F.filter(F.transform(F.coalesce(t, F.array().cast("array<string>")), of_one), lambda x: x.isNotNull()), F.lit(0))
+    known = F.create_map(*(F.lit(x) for pair in SEMANTIC_TYPES.items() for x in pair))
+    mapped = F.get(F.filter(F.transform(F.coalesce(t, F.array().cast("array<string>")), lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull()), F.lit(0))
     has = lambda parts: F.lower(name).rlike("|".join(parts))
     return F.coalesce(mapped, F.when(has(DRUG_PARTS), "drug").when(name.rlike("^[A-Z0-9]{2,10}$"), "gene").when(has(DISEASE_PARTS), "disease").otherwise(DEFAULT_TYPE))
 

@@ -13,11 +13,11 @@ from kairograph.operators.relations import recovered_json
 #: Texts that are linguistic as a whole, in any case; a blank stands for any white space.
 LINGUISTIC = (
     "however", "moreover", "furthermore", "therefore", "thus", "hence", "consequently", "nevertheless", "nonetheless", "alternatively",
-    "additionally", "conversely", "similarly", "accordingly", "in contrast", "in addition", "on the other hand", "taken together",
-    "in summary", "in conclusion", "for example", "for instance", "such as", "these results", "this study", "our findings", "we found",
-    "we observed", "we demonstrated", "it is", "it was", "there is", "there are", "there was", "has been", "have been", "were found",
-    "further investigation", "further research", "the present study", "the current study", "as shown", "as described", "as reported",
-    "not significant", "no significant", "significantly", "respectively", "approximately", "overall", "previously", "recently",
+    "additionally", "conversely", "similarly", "accordingly", r"in\s+contrast", r"in\s+addition", r"on\s+the\s+other\s+hand", r"taken\s+together",
+    r"in\s+summary", r"in\s+conclusion", r"for\s+example", r"for\s+instance", r"such\s+as", r"these\s+results", r"this\s+study", r"our\s+findings", r"we\s+found",
+    r"we\s+observed", r"we\s+demonstrated", r"it\s+is", r"it\s+was", r"there\s+is", r"there\s+are", r"there\s+was", r"has\s+been", r"have\s+been", r"were\s+found",
+    r"further\s+investigation", r"further\s+research", r"the\s+present\s+study", r"the\s+current\s+study", r"as\s+shown", r"as\s+described", r"as\s+reported",
+    r"not\s+significant", r"no\s+significant", "significantly", "respectively", "approximately", "overall", "previously", "recently",
     "generally", "typically", "usually", "often", "detected", "examined", "evaluated", "assessed", "analyzed", "analysed", "performed",
     "conducted", "compared", "included", "obtained", "reported", "described", "demonstrated", "determined", "confirmed", "identified",
     "investigated", "suggested", "indicated", "observed", "measured", "calculated", "considered", "presented", "discussed", "patients",
@@ -47,7 +47,7 @@ def rule_label(text: Column | str, max_chars: int = 80) -> Column:
     """B1: null for blank texts; deferred when long; linguistic when the whole text is a listed phrase, factual when a pattern is in it; else deferred."""
     t = F.col(text) if isinstance(text, str) else text
     own = F.regexp_replace(F.regexp_replace(t, r"(?U)^\s+", ""), r"(?U)\s+$", "")
-    whole = "(?i)^(?:" + "|".join(x.replace(" ", r"\s+") for x in LINGUISTIC) + ")$"
+    whole = "(?i)^(?:" + "|".join(LINGUISTIC) + ")$"
     factual = F.lit(False)
     for pattern in FACTUAL:
         factual = factual | own.rlike("(?U)" + pattern)

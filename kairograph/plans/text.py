@@ -225,9 +225,8 @@ SQL = {
     "entity_upsert_confidence": f"WITH {_ROWS} SELECT canonical_id, arg_min(label, seq) AS label, min(seq) AS seq, max(confidence) AS confidence FROM x GROUP BY canonical_id",
     "entity_stats": f"""WITH {_ROWS}, y AS (SELECT coalesce(entity_type, 'none') AS entity_type, confidence, CASE WHEN seq % 5 = 0 THEN 'HASH:' WHEN seq % 7 > 0 THEN 'C' END AS c FROM x)
       SELECT entity_type, count(*) AS n, count(*) FILTER (c = 'C') AS linked, count(*) FILTER (c = 'HASH:') AS hashed, round(avg(CAST(coalesce(c = 'C', FALSE) AS INT)), 9) AS linked_ratio, round(avg(confidence), 9) AS mean_confidence FROM y GROUP BY ROLLUP (entity_type)""",
-    "entity_types": "WITH t AS (SELECT unnest(['protein', 'drug', 'gene', 'disease', 'anatomical_structure', 'cell_type', 'organism', 'pathway']) AS kind, unnest(["
-    + ", ".join("[" + ", ".join(f"'{i}'" for i in ids) + "]" for ids in N.SEMANTIC_TYPES.values())
-    + "]) AS ids) SELECT p_partkey, coalesce((SELECT kind FROM t WHERE p_partkey % 3 = 0 AND list_contains(ids, 'T0' || CAST(p_partkey % 60 + 10 AS VARCHAR))), ['drug', 'gene', 'disease', 'unknown'][p_partkey % 4 + 1]) AS kind FROM part",
+    "entity_types": "WITH t AS (SELECT MAP {" + ", ".join(f"'{i}': '{kind}'" for i, kind in N.SEMANTIC_TYPES.items()) + "} AS types)"
+    + " SELECT p_partkey, coalesce(CASE WHEN p_partkey % 3 = 0 THEN types['T0' || CAST(p_partkey % 60 + 10 AS VARCHAR)] END, ['drug', 'gene', 'disease', 'unknown'][p_partkey % 4 + 1]) AS kind FROM part, t",
     "entity_linking": """WITH c AS (SELECT l_orderkey AS mention_id, l_partkey AS concept_id, 1 - l_discount * 5 AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY 1 - l_discount * 5 DESC, l_partkey) AS rn FROM lineitem)
       SELECT o_orderkey AS mention_id, concept_id, p_name AS canonical_name FROM orders LEFT JOIN (SELECT * FROM c WHERE rn = 1 AND score >= 0.7::DOUBLE) ON mention_id = o_orderkey LEFT JOIN part ON p_partkey = concept_id""",
     "entity_lookup": "SELECT 'N' || CAST(a.n_nationkey * 2 AS VARCHAR) AS canonical_id, b.n_name FROM nation a LEFT JOIN nation b ON b.n_nationkey = a.n_nationkey * 2",

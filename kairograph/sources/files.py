@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairograph.functions.text import citation_journal, citation_year
+from kairograph.sources.shared import written
 
 
 def file_list(spark: SparkSession, path: str, min_year: int, max_year: int, journals: Sequence[str] = (), max_documents: int | None = None) -> DataFrame:
-    """(file, citation, accession, year, journal) of a CSV list, within years and journals, both file and id given."""
+    """(file, citation, accession, year, journal) of a CSV list, within years and journals, both file and id given; the first ``max_documents`` in the order of the files."""
     rows = spark.read.csv(path, header=True)
     named = rows.toDF(*[c.strip().lower().replace(" ", "_") for c in rows.columns])
     citation = next(c for c in named.columns if "citation" in c)
@@ -20,13 +21,13 @@ def file_list(spark: SparkSession, path: str, min_year: int, max_year: int, jour
     out = out.filter(F.col("year").between(min_year, max_year) & (F.col("file") != "") & (F.col("accession") != ""))
     if journals:
         out = out.filter(F.lower("journal").isin([j.lower() for j in journals]))
-    return out if max_documents is None else out.limit(max_documents)
+    return out if max_documents is None else out.orderBy("file", "accession").limit(max_documents)
 
 
 def json_arrays(spark: SparkSession, directory: str, schema: str, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """Rows of files that hold a JSON array or one object, with the file they came from, and the unreadable files' rows."""
     rows = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("pathGlobFilter", pattern).json(directory).select("*", F.col("_metadata.file_path").alias("source_file"))
-    rows = rows.cache()  # a read of the corrupt column alone is not allowed
+    rows = written(rows, "json")  # a read of the corrupt column alone is not allowed
     return rows.filter("_corrupt_record is null").drop("_corrupt_record"), rows.filter("_corrupt_record is not null").select("source_file")
 
 

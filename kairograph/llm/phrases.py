@@ -32,7 +32,10 @@ _END = b"."
 _WORDS = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("n", pa.int64())])
 _HASHES = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 _LIKELY = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("h", pa.int64())])
+_BLOCKS = pa.schema([("block", pa.int64()), ("n", pa.binary())])
 _PLACES = pa.schema([("place", pa.int64()), ("n", pa.int64())])
+#: Phrases whose counts a task hands on as one row.
+BLOCK = 512
 
 
 def _tokens(texts: list[bytes]) -> list[bytes]:
@@ -248,7 +251,7 @@ class Trie:
 
 
 def _count_by(broadcast):
-    """(place, n) of each phrase of a trie that occurs: all positions' states advance at once, a word a level."""
+    """(block, n): a task's counts of a trie's phrases, BLOCK places a row: all positions' states advance at once, a word a level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie: Trie = broadcast.value
@@ -268,12 +271,35 @@ def _count_by(broadcast):
                     at, states = at[inside], states[inside]
                     known = symbols[at + k] > 0
                     at, states = at[known], states[known]
-        ends = np.flatnonzero((totals > 0) & (trie.accepts >= 0))
-        yield pa.RecordBatch.from_arrays([pa.array(trie.accepts[ends].astype(np.int64)), pa.array(totals[ends])], schema=_PLACES)
+        ends = np.flatnonzero(trie.accepts >= 0)
+        counts = np.zeros((len(ends) // BLOCK + 1) * BLOCK, np.int64)
+        counts[trie.accepts[ends]] = totals[ends]
+        counts = counts.reshape(-1, BLOCK)
+        seen = np.flatnonzero(counts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array([row.tobytes() for row in counts[seen]], pa.binary())], schema=_BLOCKS)
 
     return run
 
 
+def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, n) of the phrases that occur, from rows in the order of their blocks: one block is held at a time."""
+    block, sums = None, np.zeros(BLOCK, np.int64)
+
+    def out() -> pa.RecordBatch:
+        seen = np.flatnonzero(sums)
+        return pa.RecordBatch.from_arrays([pa.array(seen + BLOCK * block), pa.array(sums[seen])], schema=_PLACES)
+
+    for batch in batches:
+        for now, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if now != block:
+                if block is not None:
+                    yield out()
+                block, sums = now, np.zeros(BLOCK, np.int64)
+            sums += np.frombuffer(n, np.int64)
+    if block is not None:
+        yield out()
+
+
 def count_phrases(docs: DataFrame, candidates: DataFrame, most: int = TRIE) -> DataFrame:
     """(lang, phrase, n) of the candidates that occur in ``docs`` (lang, text as bytes).
 
@@ -289,7 +315,8 @@ def count_phrases(docs: DataFrame, candidates: DataFrame, most: int = TRIE) -> D
         own = dealt.filter(F.col("trie") == k).orderBy("place").toArrow()
         trie = Trie([(lang, phrase.encode().split(b" ")) for lang, phrase in zip(own.column("lang").to_pylist(), own.column("phrase").to_pylist(), strict=True)])
         shared = spark.sparkContext.broadcast(trie)
-        n = docs.select("lang", "text").mapInArrow(_count_by(shared), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+        blocks = docs.select("lang", "text").mapInArrow(_count_by(shared), "block long, n binary").repartition("block").sortWithinPartitions("block")
+        n = blocks.mapInArrow(_sum_blocks, "place long, n long")
         n = materialize(n.select(F.lit(k).alias("trie"), "place", "n"), "trie-counts")
         counted = n if counted is None else counted.unionByName(n)
         shared.unpersist()

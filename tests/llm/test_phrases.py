@@ -92,7 +92,9 @@ def test_parts_of_a_task(monkeypatch, step, chunk, distinct):
     likely = {r[:2] for r in likely}
     found = sorted(likely)
     trie = SimpleNamespace(value=d.Trie([(lang, w.split(b" ")) for lang, w in found]))
-    counted = {found[k]: n for b in d._count_by(trie)(iter(batches())) for k, n in zip(*b.to_pydict().values(), strict=True)}
+    blocks = sorted((r for _ in range(2) for b in d._count_by(trie)(iter(batches())) for r in zip(*b.to_pydict().values(), strict=True)), key=lambda r: r[0])
+    summed = d._sum_blocks(iter([pa.record_batch([[r[0]], pa.array([r[1]], pa.binary())], names=["block", "n"]) for r in blocks]))
+    counted = {found[k]: n // 2 for b in summed for k, n in zip(*b.to_pydict().values(), strict=True)}  # of two tasks
     assert counted == {x: f[x[0]][x[1]] for x in found}
 
 

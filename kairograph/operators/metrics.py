@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairograph.functions.vectors import dot, log_sum_exp, total
+from kairograph.sources.shared import written
 
 MODES, LEVELS, KS = (0, 1, 2), (0, 1, 2, 3), (1, 5, 10, 20)
 THRESHOLDS = (0.3, 0.4, 0.5, 0.6, 0.7)
@@ -150,7 +151,8 @@ def dense_position(rows: DataFrame, order: str, name: str = "position") -> DataF
 
 
 def _numbered(dealt: DataFrame, order: str, name: str) -> DataFrame:
-    tagged = dealt.withColumn("_part", F.spark_partition_id())
+    # written: ranges come from a sample, and each plan that deals the rows anew may draw another one and cut elsewhere
+    tagged = written(dealt.withColumn("_part", F.spark_partition_id()), "dealt")
     ranked = tagged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row per partition
     shifts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -344,7 +344,8 @@ def candidate_phrases(docs: DataFrame, words: DataFrame, longest: int = LONGEST,
     if longest > 2:
         hashes = hashes.unionByName(frequent(pairs))
     wanted = share(hashes)
-    texts = docs.mapInArrow(_texts_of(known, pairs, wanted, longest), "lang string, phrase binary, h long").join(hashes.distinct(), "h", "left_semi")
+    # distinct before the hashes are met: tasks hand on each candidate that they hold
+    texts = docs.mapInArrow(_texts_of(known, pairs, wanted, longest), "lang string, phrase binary, h long").distinct().join(hashes.distinct(), "h", "left_semi")
     texts = materialize(texts.select("lang", F.col("phrase").cast("string").alias("phrase")).distinct(), "likely")
     for shared in (known, pairs, wanted):
         shared.unpersist()

@@ -2,34 +2,106 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
+from kairograph.operators.spans import merge_spans
 from kairograph.operators.vectors import hash_uniform, mean_vectors
 
-IGNORED, PIECE = -100, 512
+IGNORED = -100
 
 
-def token_table(chunks: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: int = 32_000, most: int | None = 512) -> DataFrame:
-    """(key, token, word, token_id, start_char, end_char): words and marks with their places, at most ``most`` per chunk, all for None.
+_WORD = r"(?U)\w+|[^\w\s]"
 
-    Places are folded over pieces of PIECE tokens, so that a long text isn't copied once per token.
-    """
-    words = F.regexp_extract_all(F.col(text), F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
-    gaps = F.transform(F.split(F.col(text), r"(?U)\w+|[^\w\s]"), lambda g: F.length(g))
-    pairs = F.zip_with(words if most is None else F.slice(words, 1, most), gaps, lambda w, g: F.struct(w.alias("w"), g.alias("gap")))
-    past = lambda at, p: at + p["gap"] + F.length(p["w"])
-    step = lambda acc, p: F.struct(past(acc["at"], p).alias("at"), F.concat(acc["out"], F.array(F.struct(p["w"].alias("word"), (acc["at"] + p["gap"]).alias("start_char")))).alias("out"))
 
-    def piece(first: Column) -> Column:
-        before = F.aggregate(F.slice("_pairs", 1, first), F.lit(0), past)
-        start = F.struct(before.alias("at"), F.array().cast("array<struct<word:string,start_char:int>>").alias("out"))
-        return F.aggregate(F.slice("_pairs", first + 1, PIECE), start, step, lambda a: a["out"])
+def _rows_of(values: pa.Array) -> np.ndarray:
+    """The row of each element of a list array."""
+    return np.repeat(np.arange(len(values)), np.diff(values.offsets.to_numpy()))
+
+
+def _elements(values: pa.Array) -> np.ndarray:
+    return values.flatten().to_numpy(zero_copy_only=False)
+
+
+#: Tokens of a batch of texts that are worked on at once, but for a longer text.
+TOKENS = 1 << 18
+
+
+def _in_pieces(work: Callable[..., pa.Array], *columns: pa.Array) -> pa.Array:
+    """``work`` of list arrays, the first of which has an element a token, on some TOKENS at a time, however long a batch's texts are."""
+    ends = columns[0].offsets.to_numpy().astype(np.int64)
+    at, out = 0, []
+    while at < len(columns[0]):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + TOKENS, side="right")) - 1)
+        out.append(work(*(c.slice(at, to - at) for c in columns)))
+        at = to
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+
+
+def _token_starts(lengths: pa.Array, gaps: pa.Array) -> pa.Array:
+    """Starts of a text's tokens from their lengths and what stands before each: running sums, a text at a time."""
+    own, row = _elements(lengths).astype(np.int64), _rows_of(lengths)
+    ends = np.cumsum(own + _elements(gaps))
+    first = lengths.offsets.to_numpy()[:-1] - lengths.offsets[0].as_py()
+    before = np.r_[0, ends][first]
+    offsets = pa.array((lengths.offsets.to_numpy() - lengths.offsets[0].as_py()).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array((ends - own - before[row]).astype(np.int32)))
+
+
+def _mostly_inside(starts: pa.Array, lengths: pa.Array, lows: pa.Array, highs: pa.Array) -> pa.Array:
+    """1 for tokens with more than half of their characters in their text's islands, which are disjoint and in order: characters in
+    islands before a place come from running sums over all texts of a batch, whose places are set apart by row."""
+    row, start, size = _rows_of(starts), _elements(starts).astype(np.int64), _elements(lengths).astype(np.int64)
+    low, high, owner = _elements(lows).astype(np.int64), _elements(highs).astype(np.int64), _rows_of(lows)
+    floor = min(low.min(initial=0), 0)
+    apart = max((start + size).max(initial=0), high.max(initial=0)) - floor + 1
+    first, sums = low - floor + owner * apart, np.r_[0, np.cumsum(high - low)]
+    widths = np.r_[high - low, 0]
+
+    def covered(place: np.ndarray) -> np.ndarray:
+        place = place - floor + row * apart
+        k = np.searchsorted(first, place, side="right") - 1
+        return np.where(k >= 0, sums[k] + np.minimum(place - np.r_[first, 0][k], widths[k]), 0)
+
+    more = 2 * (covered(start + size) - covered(start)) > size
+    offsets = pa.array((starts.offsets.to_numpy() - starts.offsets[0].as_py()).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(more.astype(np.int32)))
 
-    held = chunks.select(key, F.filter(pairs, lambda p: p["w"].isNotNull()).alias("_pairs"))
-    placed = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_pairs") - 1, F.lit(0)), F.lit(PIECE)), piece))
-    rows = held.select(key, F.posexplode(placed).alias("token", "x")).select(key, "token", "x.*")
-    return rows.withColumns({"token_id": F.pmod(F.xxhash64("word"), F.lit(vocabulary)).cast("int"), "end_char": F.col("start_char") + F.length("word")})
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _starts(lengths: pa.Array, gaps: pa.Array) -> pa.Array:
+    return _in_pieces(_token_starts, lengths, gaps)
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _labels(starts: pa.Array, lengths: pa.Array, lows: pa.Array, highs: pa.Array) -> pa.Array:
+    return _in_pieces(_mostly_inside, starts, lengths, lows, highs)
+
+
+def _token_arrays(chunks: DataFrame, key: str, text: str, most: int | None) -> DataFrame:
+    """(key, words, lengths, starts): a text's words and marks with their places, one row a text; none where there is no token."""
+    words = F.regexp_extract_all(F.col(text), F.lit(_WORD), F.lit(0))
+    gaps = F.transform(F.split(F.col(text), _WORD), lambda g: F.length(g))
+    held = chunks.select(key, (words if most is None else F.slice(words, 1, most)).alias("words"), gaps.alias("_gaps")).filter(F.size("words") > 0)
+    held = held.select(key, "words", F.transform("words", lambda w: F.length(w)).alias("lengths"), F.slice("_gaps", F.lit(1), F.size("words")).alias("_gaps"))
+    return held.select(key, "words", "lengths", _starts("lengths", "_gaps").alias("starts"))
+
+
+def _token_id(word: Column | str, vocabulary: int) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(vocabulary)).cast("int")
+
+
+def token_table(chunks: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: int = 32_000, most: int | None = 512) -> DataFrame:
+    """(key, token, word, token_id, start_char, end_char): words and marks with their places, at most ``most`` per chunk, all for None."""
+    held = _token_arrays(chunks, key, text, most)
+    rows = held.select(key, F.posexplode(F.arrays_zip(F.col("words").alias("word"), F.col("starts").alias("start_char"))).alias("token", "x"))
+    rows = rows.select(key, "token", F.col("x.word").alias("word"), F.col("x.start_char").alias("start_char"))
+    return rows.withColumns({"token_id": _token_id("word", vocabulary), "end_char": F.col("start_char") + F.length("word")})
 
 
 def router_examples(tokens: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -39,6 +111,20 @@ def router_examples(tokens: DataFrame, labels: DataFrame, key: str = "doc_id") -
     return grouped.select(key, F.transform("x", lambda v: v["token_id"]).alias("input_ids"), F.transform("x", lambda v: F.lit(1)).alias("attention_mask"), F.transform("x", lambda v: v["label"]).alias("router_labels"))
 
 
+def router_examples_of(chunks: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: int = 32_000, most: int | None = 512) -> DataFrame:
+    """D2 from texts and their spans (B7): the rows of router_examples over token_table and token_labels, for one text a key.
+
+    A text's tokens and its islands of factual characters meet as arrays of one row, so that no row a token is made or dealt.
+    """
+    islands = merge_spans(spans.filter("label = 'factual'").select(key, "start_char", "end_char"), [key])
+    held = islands.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char"))).alias("_x"))
+    part = lambda name: F.coalesce(F.col("_x")[name].cast("array<int>"), F.array().cast("array<int>"))
+    rows = _token_arrays(chunks.join(held, key, "left").select("*", F.struct(F.col(key), part("start_char").alias("low"), part("end_char").alias("high")).alias("_own")), "_own", text, most)
+    ids = F.transform("words", lambda w: _token_id(w, vocabulary))
+    labels = _labels("starts", "lengths", "_own.low", "_own.high")
+    return rows.select(F.col(f"_own.{key}").alias(key), ids.alias("input_ids"), F.transform("words", lambda w: F.lit(1)).alias("attention_mask"), labels.alias("router_labels"))
+
+
 def factual_mentions(mentions: DataFrame, spans: DataFrame, text: str = "mention") -> DataFrame:
     """D3: mentions whose text, without case, some span labels factual."""
     names = spans.filter("label = 'factual'").select(F.lower("text").alias("_n")).distinct()

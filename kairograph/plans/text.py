@@ -178,9 +178,7 @@ def stratified_split(spark, sf_dir):
 
 
 def router_examples(spark, sf_dir):
-    tokens = D.token_table(docs(spark, sf_dir), most=None)
-    labels = B.token_labels(tokens.select("doc_id", "token", "start_char", "end_char"), annotator(spark, sf_dir, 40, 15, 7))
-    rows = D.router_examples(tokens, labels)
+    rows = D.router_examples_of(docs(spark, sf_dir), annotator(spark, sf_dir, 40, 15, 7), most=None)
     return rows.select("doc_id", F.size("input_ids").cast("long").alias("n"), F.aggregate("router_labels", F.lit(0).cast("long"), lambda a, x: a + x).alias("ones"))
 
 

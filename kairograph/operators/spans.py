@@ -43,22 +43,72 @@ FACTUAL = (
 )
 
 
+def _alternatives(body: str) -> list[str]:
+    """The alternatives of a pattern, at its top level."""
+    out, depth, inside, k = [""], 0, False, 0
+    while k < len(body):
+        piece = body[k : k + 2] if body[k] == "\\" else body[k]
+        if piece == "|" and not depth and not inside:
+            out.append("")
+        else:
+            inside = piece == "[" or (inside and piece != "]")
+            depth += (piece == "(") - (piece == ")") if not inside else 0
+            out[-1] += piece
+        k += len(piece)
+    return out
+
+
+def _by_letters(alternatives: list[str]) -> str:
+    """The same alternatives, without regard to case, as a tree by their first letters: a place is tried by one branch of it."""
+    trees, rest = {}, []
+    for a in dict.fromkeys(alternatives):
+        if a[:1].isascii() and a[:1].isalnum() and a[1:2] not in ("?", "*", "+", "{"):
+            trees.setdefault(a[0].lower(), []).append(a[1:])
+        else:
+            rest.append(a)
+    return "|".join([c + (tails[0] if len(tails) == 1 else f"(?:{_by_letters(tails)})") for c, tails in trees.items()] + rest)
+
+
+def _factual_tests(patterns: tuple[str, ...] = FACTUAL) -> list[str]:
+    """Fewer patterns, one of which is anywhere where one of ``patterns`` is: lists of whole words are one list, and a word with an
+    ending is a letter with that ending."""
+    words, tests = [], []
+    for p in patterns:
+        first, last = r"(?i)\b(?:", r")\b"
+        if p.startswith(first) and p.endswith(last):
+            words += _alternatives(p[len(first) : -len(last)])
+        elif p.startswith(start := r"(?i)\b\w+(?:") and p.endswith(last):
+            tests.append(r"(?i)\w(?:" + _by_letters(_alternatives(p[len(start) : -len(last)])) + last)
+        elif p.startswith(first) and p.endswith(last := r")\s+\w+"):
+            tests.append(first + _by_letters(_alternatives(p[len(first) : -len(last)])) + r")\s+\w")
+        else:
+            tests.append(p)
+    return ([r"(?i)\b(?:" + _by_letters(words) + r")\b"] if words else []) + tests
+
+
 def rule_label(text: Column | str, max_chars: int = 80) -> Column:
     """B1: null for blank texts; deferred when long; linguistic when the whole text is a listed phrase, factual when a pattern is in it; else deferred."""
     t = F.col(text) if isinstance(text, str) else text
-    own = F.regexp_replace(F.regexp_replace(t, r"(?U)^\s+", ""), r"(?U)\s+$", "")
     whole = "(?i)^(?:" + "|".join(LINGUISTIC) + ")$"
-    factual = F.lit(False)
-    for pattern in FACTUAL:
-        factual = factual | own.rlike("(?U)" + pattern)
-    return F.when(own == "", F.lit(None)).when(F.length(own) > max_chars, "deferred").when(own.rlike(whole), "linguistic").when(factual, "factual").otherwise("deferred")
+
+    def outcome(own: Column) -> Column:
+        factual = F.lit(False)
+        for pattern in _factual_tests():
+            factual = factual | own.rlike("(?U)" + pattern)
+        return F.when(own == "", F.lit(None)).when(F.length(own) > max_chars, "deferred").when(own.rlike(whole), "linguistic").when(factual, "factual").otherwise("deferred")
+
+    # bound by a function, the stripped text is made once and not again in each test of it
+    own = F.regexp_replace(F.regexp_replace(t, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    return F.transform(F.array(own), outcome)[0]
 
 
 def rule_spans(texts: DataFrame, text: str = "text") -> DataFrame:
     """B1 as spans over whole texts, deferred ones included (no span: null label)."""
-    label = rule_label(text)
+    label = F.when(F.col("outcome") != "deferred", F.col("outcome"))
     confidence = F.when(label == "linguistic", 0.85).when(label == "factual", 0.88)
-    return texts.withColumns({"outcome": label, "label": F.when(label != "deferred", label), "start_char": F.lit(0), "end_char": F.length(text), "confidence": confidence})
+    # exploded, the outcome is not made again in each column and filter that reads it
+    judged = texts.select(*[c for c in texts.columns if c != "outcome"], F.explode(F.array(rule_label(text))).alias("outcome"))
+    return judged.withColumns({"label": label, "start_char": F.lit(0), "end_char": F.length(text), "confidence": confidence})
 
 
 def rule_statistics(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -66,8 +116,14 @@ def rule_statistics(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.groupBy(rule_label(text).alias("outcome")).agg(F.count(F.lit(1)).alias("n")).filter("outcome is not null")
 
 
+def hybrid_parts(texts: DataFrame, text: str = "text") -> DataFrame:
+    """B3 in one pass: rule_spans of texts that aren't blank, with their part: settled by the rules, or left to another labeler."""
+    part = F.when(F.col("outcome") == "deferred", "left").otherwise("settled")
+    return rule_spans(texts, text).filter("outcome is not null").withColumn("part", part)
+
+
 def hybrid_split(texts: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Texts the rules settle, and those left to another labeler."""
+    """Texts the rules settle, and those left to another labeler; who needs both at once reads hybrid_parts."""
     spans = rule_spans(texts, text)
     return spans.filter("label is not null"), spans.filter("outcome = 'deferred'")
 

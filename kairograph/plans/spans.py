@@ -47,8 +47,7 @@ def heuristic_stats(spark, sf_dir):
 
 
 def hybrid_split(spark, sf_dir):
-    settled, left = B.hybrid_split(chunks(spark, sf_dir))
-    return settled.select("doc_id", "chunk", F.lit("settled").alias("part")).unionAll(left.select("doc_id", "chunk", F.lit("left")))
+    return B.hybrid_parts(chunks(spark, sf_dir)).select("doc_id", "chunk", "part")
 
 
 def label_stats(spark, sf_dir):

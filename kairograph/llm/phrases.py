@@ -24,6 +24,8 @@ TRIE = 1 << 19
 CHUNK, DISTINCT, STEP = 4_000_000, 400_000, 4_000_000
 #: Bits of the maps of frequent hashes that the search for candidates knows.
 BITS = 25
+#: Bits of a place in the map of the texts that hand on a hash's candidates, and marks of texts. ANY: all texts do.
+MARK_BITS, MARKS, ANY = 24, 254, 255
 
 #: A-Z in lower case, a full stop for each mark that ends a piece, a space for a tab.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
@@ -31,6 +33,7 @@ _BYTES = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" els
 _END = b"."
 _WORDS = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("n", pa.int64())])
 _HASHES = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+_MARKED = _HASHES.append(pa.field("mark", pa.int32()))
 _LIKELY = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("h", pa.int64())])
 _BLOCKS = pa.schema([("block", pa.int64()), ("n", pa.binary())])
 _PLACES = pa.schema([("place", pa.int64()), ("n", pa.int64())])
@@ -83,6 +86,19 @@ def _map_of(hashes: DataFrame) -> np.ndarray:
     return bits
 
 
+def _map_of_marks(hashes: DataFrame) -> np.ndarray:
+    """The mark of the hash at each place; ANY where hashes of several share it. Of a fixed size, gathered by parts of it."""
+    place = F.col("h").bitwiseAND(F.lit((1 << MARK_BITS) - 1))
+    mark = F.when(F.min("mark") == F.max("mark"), F.min("mark")).otherwise(ANY).alias("mark")
+    one = hashes.groupBy(place.alias("place")).agg(mark)
+    bucket = F.shiftright("place", 12)
+    made = one.groupBy(bucket.alias("bucket")).agg(F.collect_list(F.struct((F.col("place") % 4096).cast("int").alias("at"), F.col("mark").cast("int").alias("mark"))).alias("x"))
+    marks = np.zeros(1 << MARK_BITS, np.uint8)
+    for row in made.select("bucket", F.col("x.at").alias("at"), F.col("x.mark").alias("mark")).toLocalIterator():  # at most 2^(MARK_BITS - 12) rows of 4096 places
+        marks[row.bucket * 4096 + np.array(row["at"])] = row["mark"]
+    return marks
+
+
 def _is_set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     place = hashes & np.uint64(8 * len(bits) - 1)
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -119,45 +135,57 @@ def _windows(lang: str, ids: np.ndarray, names: list[bytes], words: np.ndarray,
             linked[start] = True
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
-    """(lang, ids, names): the tokens of a language, some CHUNK words at a time, numbered by their own list of words; 0 ends a piece."""
-    waiting: dict[str, tuple[dict, list[np.ndarray], int]] = {}
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, list[bytes], np.ndarray]]:
+    """(lang, ids, names, marks): the tokens of a language, some CHUNK words at a time, numbered by their own list of words, with the
+    marks of their texts; 0 ends a piece."""
+    waiting: dict[str, tuple[dict, list[np.ndarray], list[np.ndarray], int]] = {}
 
-    def chunk(lang: str) -> tuple[str, np.ndarray, list[bytes]]:
-        numbers, parts, _ = waiting.pop(lang)
-        return lang, np.concatenate(parts), list(numbers)
+    def chunk(lang: str) -> tuple[str, np.ndarray, list[bytes], np.ndarray]:
+        numbers, parts, marks, _ = waiting.pop(lang)
+        return lang, np.concatenate(parts), list(numbers), np.concatenate(marks)
 
     for batch in batches:
         for lang, texts in _by_lang(batch):
-            numbers, parts, n = waiting.get(lang) or (defaultdict(count(1).__next__, {_END: 0}), [], 0)
-            tokens = _tokens(texts)
-            ids = np.fromiter(chain(map(numbers.__getitem__, tokens), (0,)), np.int32, len(tokens) + 1)
-            waiting[lang] = numbers, [*parts, ids], n + len(tokens)
-            if sum(n for _, _, n in waiting.values()) >= CHUNK:
-                yield chunk(max(waiting, key=lambda x: waiting[x][2]))
+            numbers, parts, marks, n = waiting.get(lang) or (defaultdict(count(1).__next__, {_END: 0}), [], [], 0)
+            tokens = [_tokens([text]) for text in texts]
+            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
+            ids = np.fromiter(chain.from_iterable(chain(map(numbers.__getitem__, t), (0,)) for t in tokens), np.int32, int(sizes.sum()))
+            own = np.repeat(np.fromiter(map(_mark, texts), np.uint8, len(texts)), sizes)
+            waiting[lang] = numbers, [*parts, ids], [*marks, own], n + len(ids)
+            if sum(w[3] for w in waiting.values()) >= CHUNK:
+                yield chunk(max(waiting, key=lambda x: waiting[x][3]))
     yield from map(chunk, list(waiting))
 
 
-def _count_hashes(words, pairs, longest: int):
-    """(h, n): how often the hash of a run of words that may be frequent occurs in a chunk; of pairs, or of longer runs where ``pairs`` are known."""
+def _mark(text: bytes) -> int:
+    """A text's mark, from the text alone: the same in every pass and however texts are dealt."""
+    return xxhash.xxh32_intdigest(text) % MARKS + 1
+
+
+def _count_hashes(words, pairs, longest: int, marked: bool = False):
+    """(h, n): how often the hash of a run of words that may be frequent occurs in a chunk; of pairs, or of longer runs where ``pairs``
+    are known. With ``marked`` also the mark of a text that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, ids, names in _chunks(batches):
-            for k, _, hashes in _windows(lang, ids, names, words.value, pairs and pairs.value, longest):
+        for lang, ids, names, marks in _chunks(batches):
+            for k, start, hashes in _windows(lang, ids, names, words.value, pairs and pairs.value, longest):
                 if k > 2 or pairs is None:
-                    h, n = np.unique(hashes, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], schema=_HASHES)
+                    h, first, n = np.unique(hashes, return_index=True, return_counts=True)
+                    columns = [pa.array(h.view(np.int64)), pa.array(n), pa.array(marks[start[first]].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns if marked else columns[:2], schema=_MARKED if marked else _HASHES)
 
     return run
 
 
 def _texts_of(words, pairs, wanted, longest: int):
-    """(lang, phrase, h): the runs of words of a chunk whose hash is set in ``wanted``, each once."""
+    """(lang, phrase, h): the runs of words of a chunk whose hash is in the map ``wanted``, each once: of a text that has the mark
+    there, or of any text where the map has ANY."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, ids, names in _chunks(batches):
+        for lang, ids, names, marks in _chunks(batches):
             for k, start, hashes in _windows(lang, ids, names, words.value, pairs.value, longest):
-                likely = np.flatnonzero(_is_set(wanted.value, hashes))
+                asked = wanted.value[hashes & np.uint64(len(wanted.value) - 1)]
+                likely = np.flatnonzero((asked == ANY) | ((asked > 0) & (asked == marks[start])))
                 runs = np.unique(ids[start[likely][:, None] + np.arange(k)], axis=0, return_index=True)
                 phrases = [b" ".join(map(names.__getitem__, row)) for row in runs[0].tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()), pa.array(hashes[likely][runs[1]].view(np.int64))], schema=_LIKELY)
@@ -323,11 +351,13 @@ def count_phrases(docs: DataFrame, candidates: DataFrame, most: int = TRIE) -> D
     return dealt.join(counted, ["trie", "place"]).select("lang", "phrase", "n")
 
 
-def candidate_phrases(docs: DataFrame, words: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT) -> DataFrame:
-    """(lang, phrase) of 2 to ``longest`` words that may have ``min_count`` occurrences: none that has is left out.
+def counted_phrases(docs: DataFrame, words: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT, most: int = TRIE) -> DataFrame:
+    """(lang, phrase, n) of phrases of 2 to ``longest`` words that may have ``min_count`` occurrences: none that has is left out.
 
     Runs of frequent words are counted by 64-bit hashes, pairs first, then longer runs of frequent pairs: phrases that share a
-    hash are counted together, so a count is never too small. Only runs whose hash is frequent are handed on as texts. What
+    hash are counted together, so a count is never too small. Only runs whose hash is frequent are handed on as texts, and of
+    these only by texts with the mark that the hash was counted with, not by each task that holds them. Phrases that share a hash
+    may have other marks: the phrases' own counts then add up to less than the hash's, and such hashes are asked of all texts. What
     tasks know of frequent words, pairs and hashes are maps of a fixed size, which may let more through, never less.
     """
     spark = docs.sparkSession
@@ -335,21 +365,35 @@ def candidate_phrases(docs: DataFrame, words: DataFrame, longest: int = LONGEST,
 
     def frequent(pairs) -> DataFrame:
         # tasks hand on sums already: dealt by hash at once, a row for each chunk at most
-        counted = docs.mapInArrow(_count_hashes(known, pairs, longest if pairs else 2), "h long, n long").repartition("h").groupBy("h").agg(F.sum("n").alias("n"))
-        return materialize(counted.filter(F.col("n") >= min_count).select("h"), "hashes")
+        counted = docs.mapInArrow(_count_hashes(known, pairs, longest if pairs else 2, True), "h long, n long, mark int").repartition("h").groupBy("h").agg(F.sum("n").alias("n"), F.min("mark").alias("mark"))
+        return materialize(counted.filter(F.col("n") >= min_count), "hashes")
 
     known = share(words.select(F.xxhash64("phrase").alias("h")))
     hashes = frequent(None)
     pairs = share(hashes)
     if longest > 2:
         hashes = hashes.unionByName(frequent(pairs))
-    wanted = share(hashes)
-    # distinct before the hashes are met: tasks hand on each candidate that they hold
-    texts = docs.mapInArrow(_texts_of(known, pairs, wanted, longest), "lang string, phrase binary, h long").distinct().join(hashes.distinct(), "h", "left_semi")
-    texts = materialize(texts.select("lang", F.col("phrase").cast("string").alias("phrase")).distinct(), "likely")
-    for shared in (known, pairs, wanted):
+    hashes = materialize(hashes.groupBy("h").agg(F.sum("n").alias("n"), F.min("mark").alias("mark")), "hashes")
+
+    def likely(asked: DataFrame) -> DataFrame:
+        wanted = spark.sparkContext.broadcast(_map_of_marks(asked))
+        # distinct before the hashes are met: tasks hand on each candidate that they hold
+        texts = docs.mapInArrow(_texts_of(known, pairs, wanted, longest), "lang string, phrase binary, h long").distinct().join(asked.select("h"), "h", "left_semi")
+        texts = materialize(texts.select("h", "lang", F.col("phrase").cast("string").alias("phrase")).distinct(), "likely")
+        wanted.unpersist()
+        return texts
+
+    texts = likely(hashes)
+    counted = materialize(count_phrases(docs, texts.select("lang", "phrase"), most), "counts")
+    # a hash's own count is that of all its phrases: where they have less, some of another text are missing
+    whole = texts.join(counted, ["lang", "phrase"]).groupBy("h").agg(F.sum("n").alias("found"))
+    short = materialize(hashes.join(whole, "h", "left").filter("found is null or found <> n").select("h", F.lit(ANY).alias("mark")), "short")
+    if not short.isEmpty():
+        more = likely(short).select("lang", "phrase").join(counted, ["lang", "phrase"], "left_anti")
+        counted = counted.unionByName(count_phrases(docs, more, most))
+    for shared in (known, pairs):
         shared.unpersist()
-    return texts
+    return counted
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT, most: int = TRIE) -> tuple[DataFrame, DataFrame]:
@@ -362,7 +406,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, min_count: int = M
     sizes = materialize(words.filter("phrase IS NULL").select("lang", F.col("n").alias("size")).join(found, "lang", "left_semi"), "sizes")
     if longest < 2:
         return found, sizes
-    longer = count_phrases(docs, candidate_phrases(docs, found, longest, min_count), most).filter(F.col("n") >= min_count)
+    longer = counted_phrases(docs, found, longest, min_count, most).filter(F.col("n") >= min_count)
     return found.unionByName(materialize(longer, "frequent")), sizes
 
 

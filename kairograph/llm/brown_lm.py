@@ -9,7 +9,6 @@ its contexts, and its class is a row of a table that texts meet in a join. Rarer
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -17,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +35,8 @@ SHARE, COUNT_SHARE = 2.0**-16, 2.0**-19
 FLOOR = 3
 #: Occurrences of the tail that a task brings into order at a time.
 SLOT = 2**19
+#: Items, or bytes of text, that a task works on at a time: a batch of long texts takes many times its own size otherwise.
+PART = 2**18
 END = b""  # no word is empty: stands for the end of a text
 
 
@@ -47,7 +49,6 @@ class _Items:
     """Ids of items: 0 the end, then frequent words, then buckets."""
 
     words: dict[bytes, int]
-    key: str = ""
 
     @property
     def first_bucket(self) -> int:
@@ -64,7 +65,7 @@ class _Items:
 class _Lookup(dict):
     """Items of words, worked out at their first use; bounded: beyond ``room`` entries they are worked out each time."""
 
-    def __init__(self, items: _Items, room: int = 500_000) -> None:
+    def __init__(self, items: _Items, room: int = 100_000) -> None:
         super().__init__(items.words)
         self.first, self.room = items.first_bucket, room
 
@@ -81,15 +82,16 @@ class _Lookup(dict):
         return out
 
 
-#: A worker's lookup outlives its tasks: all passes of one training share the items.
-_LOOKUPS: dict[str, _Lookup] = {}
-
-
-def _lookup(items: _Items) -> _Lookup:
-    if items.key not in _LOOKUPS:
-        _LOOKUPS.clear()
-        _LOOKUPS[items.key] = _Lookup(items)
-    return _LOOKUPS[items.key]
+def _parts(batches: Iterator[pa.RecordBatch], column: int, most: int = PART) -> Iterator[pa.RecordBatch]:
+    """Slices of batches that hold ``most`` items (of a column of lists) or bytes (of texts) at most, beyond one text."""
+    for batch in batches:
+        x = batch.column(column)
+        sizes = x.value_lengths() if pa.types.is_list(x.type) else pc.binary_length(x)
+        ends = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
 
 
 def _hash(word: bytes) -> int:
@@ -139,8 +141,8 @@ def _encoded(training: DataFrame, text_col: str, items) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = _lookup(items.value)
-        for batch in batches:
+        lookup = _Lookup(items.value)  # the task's own: what follows in this worker needs its memory
+        for batch in _parts(batches, 0):
             texts, ends, hashes, cuts = [np.empty(0, np.int64)], [0], [], [0]
             for words in _words(batch, 0):
                 texts.append(lookup.sequence(words))
@@ -165,7 +167,7 @@ def _contexts(encoded: DataFrame, number: int, classes: np.ndarray) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, size = shared.value, number * CLASSES
         left, right = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for batch in batches:
+        for batch in _parts(batches, 0):
             lists = batch.column(0)
             flat = lists.flatten().to_numpy().astype(np.int64)
             inside = np.ones(max(0, len(flat) - 1), bool)
@@ -217,7 +219,7 @@ def _pairs_of(encoded: DataFrame, choices: list[np.ndarray]) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = shared.value
         pairs = np.zeros((len(maps), size), np.int64)
-        for batch in batches:
+        for batch in _parts(batches, 0):
             lists = batch.column(0)
             flat = lists.flatten().to_numpy()
             inside = np.ones(max(0, len(flat) - 1), bool)
@@ -316,7 +318,7 @@ def leader_pairs(encoded: DataFrame, leaders: int = LEADERS) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros(size * size, np.int64)
-        for batch in batches:
+        for batch in _parts(batches, 0):
             flat = batch.column(0).flatten().to_numpy().astype(np.int64)  # ends are items of their own, so no pair crosses texts
             both = (flat[:-1] > 0) & (flat[:-1] < size) & (flat[1:] > 0) & (flat[1:] < size)
             pairs += np.bincount(flat[:-1][both] * size + flat[1:][both], minlength=size * size)
@@ -424,7 +426,7 @@ def exchange_tail(encoded: DataFrame, items, classes: np.ndarray, pairs: np.ndar
             return pa.RecordBatch.from_arrays([pa.array(slot[cuts].astype(np.int64)), *(pa.array(x, pa.binary()) for x in columns)], names)
 
         waiting = 0
-        for batch in batches:
+        for batch in _parts(batches, 0):
             flat = batch.column(0).flatten().to_numpy()
             at, kinds = np.flatnonzero(flat >= first), classes[flat]  # never first or last: the ends are no words
             if len(at):
@@ -505,7 +507,7 @@ def learn_classes(training: DataFrame, text_col: str = "text", rounds: int = ROU
     tokens, distinct = totals.n or 0, totals.v
     frequent = counts.filter((F.col("n") >= max(1.0, tokens * share)) & (F.length("word") > 0)).collect()  # 1 / share rows at most
     frequent.sort(key=lambda r: (-r.n, bytes(r.word)))
-    items = _Items({bytes(r.word): 1 + k for k, r in enumerate(frequent)}, uuid.uuid4().hex)
+    items = _Items({bytes(r.word): 1 + k for k, r in enumerate(frequent)})
     held = spark.sparkContext.broadcast(items)
     classes = _start_classes(items)
     encoded = _encoded(training, text_col, held)
@@ -559,9 +561,8 @@ def classified(docs: DataFrame, model: BrownModel, text_col: str = "text", count
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, kinds, logs = table.value
         items, classes = held.value, shared.value
-        _LOOKUPS.clear()  # training is over in this worker: its memory goes
         last = len(logs) - 1
-        for batch in batches:
+        for batch in _parts(batches, 1):
             rows, words_, positions, at_ends, ends = [], [], [], [0], [0]
             for words in _words(batch, 1):
                 words.append(END)

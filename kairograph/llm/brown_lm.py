@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,24 +61,10 @@ class _Items:
     def item(self, word: bytes) -> int:
         return self.words[word] if word in self.words else self.first_bucket + bucket(word)
 
-
-class _Lookup(dict):
-    """Items of words, worked out at their first use; bounded: beyond ``room`` entries they are worked out each time."""
-
-    def __init__(self, items: _Items, room: int = 100_000) -> None:
-        super().__init__(items.words)
-        self.first, self.room = items.first_bucket, room
-
-    def __missing__(self, word: bytes) -> int:
-        item = self.first + zlib.crc32(word[-3:]) % BUCKETS
-        if len(self) < self.room:
-            self[word] = item
-        return item
-
-    def sequence(self, words: list[bytes]) -> np.ndarray:
-        """Items of a text: end, words, end."""
-        out = np.zeros(len(words) + 2, np.int64)
-        out[1:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    def of(self, words: list[bytes]) -> np.ndarray:
+        out = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        rare = np.flatnonzero(out < 0)
+        out[rare] = self.first_bucket + np.fromiter((zlib.crc32(words[k][-3:]) for k in rare.tolist()), np.int64, len(rare)) % BUCKETS
         return out
 
 
@@ -99,27 +85,33 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 42)
 
 
-def _words(batch: pa.RecordBatch, column: int) -> Iterator[list[bytes]]:
-    for x in batch.column(column):
-        yield x.as_buffer().to_pybytes().lower().split()
+def _numbered(batch: pa.RecordBatch, column: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words, the number of each occurrence's word, words of each text): what is worked out for a word is so once a batch."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(batch.column(column).view(pa.string())))
+    flat, ends = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy())
+    there = pc.greater(pc.binary_length(flat), 0)  # white space at the ends of a text leaves empty words
+    before = np.r_[0, np.cumsum(there.to_numpy(zero_copy_only=False))][np.r_[0, ends]]
+    coded = flat.filter(there).dictionary_encode()
+    return coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), np.diff(before)
 
 
 def word_counts(training: DataFrame, text_col: str = "text") -> DataFrame:
     """(word binary, n) of all training texts, the end of each text included (empty word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: dict[bytes, int] = {}
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
-        for batch in batches:
-            for words in _words(batch, 0):
-                counts.update(words)
-                counts[END] += 1
-                if len(counts) > 500_000:  # partial counts: the memory of a task stays bounded
-                    yield out()
-                    counts.clear()
+        for batch in _parts(batches, 0):
+            words, number, sizes = _numbered(batch, 0)
+            for word, n in zip(words, np.bincount(number, minlength=len(words)).tolist()):
+                counts[word] = counts.get(word, 0) + n
+            counts[END] = counts.get(END, 0) + len(sizes)
+            if len(counts) > 500_000:  # partial counts: the memory of a task stays bounded
+                yield out()
+                counts.clear()
         yield out()
 
     return training.select(utf8(text_col)).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -141,15 +133,19 @@ def _encoded(training: DataFrame, text_col: str, items) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = _Lookup(items.value)  # the task's own: what follows in this worker needs its memory
+        first = items.value.first_bucket
         for batch in _parts(batches, 0):
-            texts, ends, hashes, cuts = [np.empty(0, np.int64)], [0], [], [0]
-            for words in _words(batch, 0):
-                texts.append(lookup.sequence(words))
-                ends.append(ends[-1] + len(words) + 2)
-                hashes.extend(_hash(words[k]) for k in np.flatnonzero(texts[-1][1:-1] >= lookup.first).tolist())
-                cuts.append(len(hashes))
-            flat, tail = np.concatenate(texts).astype(np.int32), np.array(hashes, np.uint64).view(np.int64)
+            words, number, sizes = _numbered(batch, 0)
+            found, hashes = items.value.of(words), np.zeros(len(words), np.uint64)
+            rare = np.flatnonzero(found >= first)
+            hashes[rare] = np.fromiter((_hash(words[k]) for k in rare.tolist()), np.uint64, len(rare))
+            ends = np.r_[0, np.cumsum(sizes + 2)]
+            flat, inside = np.zeros(ends[-1], np.int32), np.ones(ends[-1], bool)
+            inside[ends[:-1]] = inside[ends[1:] - 1] = False
+            flat[inside] = found[number]
+            in_tail = flat >= first
+            cuts = np.r_[0, np.cumsum(in_tail)][ends]
+            tail = hashes[number[in_tail[inside]]].view(np.int64)
             lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for at, x in ((ends, flat), (cuts, tail))]
             yield pa.RecordBatch.from_arrays(lists, ["items", "tail"])
 
@@ -555,37 +551,44 @@ def classified(docs: DataFrame, model: BrownModel, text_col: str = "text", count
     held, shared = model.items, spark.sparkContext.broadcast(model.classes)
     own = [F.col(c) for c in docs.columns if c != text_col] or [F.lit(0).alias("n_tokens")]  # a struct has a field: one that results replace
     given = docs.select(F.struct(*own).alias("own"), utf8(text_col).alias("bytes"), F.monotonically_increasing_id().alias("key"))
-    results = "n_tokens long, known long, counts double, kinds binary"
-    schema = with_fields(given.select("own").schema, f"key long, {results}, rare array<struct<word: binary, at: array<int>>>")
+    schema = with_fields(given.select("own").schema, "key long, n_tokens long, known long, counts double, kinds binary, rare array<struct<word: binary, at: array<int>>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, kinds, logs = table.value
         items, classes = held.value, shared.value
         last = len(logs) - 1
         for batch in _parts(batches, 1):
-            rows, words_, positions, at_ends, ends = [], [], [], [0], [0]
-            for words in _words(batch, 1):
-                words.append(END)
-                found = np.fromiter((numbers.get(w, last) for w in words), np.int64, len(words))
-                seq = np.zeros(len(words) + 1, np.uint8)
-                seq[1:] = kinds[found]
-                rare: dict[bytes, list[int]] = {}
-                for k in np.flatnonzero(found == last).tolist():
-                    rare.setdefault(words[k], []).append(k + 1)
-                for w, at in rare.items():
-                    if w != END:
-                        seq[at] = classes[items.item(w)]
-                    words_.append(w)
-                    positions.extend(at)
-                    at_ends.append(len(positions))
-                ends.append(len(words_))
-                rows.append((len(words), int((found != last).sum()), float(logs[found].sum()), seq.tobytes()))
-            columns = list(zip(*rows)) or [[]] * 4
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.binary())
-            at = pa.ListArray.from_arrays(pa.array(at_ends, pa.int32()), pa.array(positions, pa.int32()))
-            pairs = pa.StructArray.from_arrays([pa.array(words_, pa.binary()), at], ["word", "at"])
+            words, number, sizes = _numbered(batch, 1)
+            words.append(END)
+            place = np.fromiter(map(numbers.get, words, repeat(last)), np.int64, len(words))
+            kind = kinds[place]
+            rare = np.flatnonzero(place[:-1] == last)
+            kind[rare] = classes[items.of([words[k] for k in rare.tolist()])]
+            stops = np.cumsum(sizes + 1)  # behind each text's end, which is a token
+            starts = stops - sizes - 1
+            token = np.full(batch.num_rows and stops[-1], len(words) - 1)
+            inside = np.ones(len(token), bool)
+            inside[stops - 1] = False
+            token[inside] = number
+            found, text = place[token], np.repeat(np.arange(batch.num_rows), sizes + 1)
+            log = logs[found]
+            sums = [log[a:b].sum() for a, b in zip(starts.tolist(), stops.tolist())]
+            seqs = np.zeros(len(token) + batch.num_rows, np.uint8)  # an end before each text
+            seqs[np.arange(len(token)) + text + 1] = kind[token]
+            cuts = np.r_[0, stops + np.arange(1, batch.num_rows + 1)].astype(np.int32)
+            results = (
+                pa.array(sizes + 1), pa.array(np.bincount(text, found != last, batch.num_rows).astype(np.int64)), pa.array(sums, pa.float64()),
+                pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(cuts), pa.py_buffer(seqs)]),
+            )
+            rare = np.flatnonzero(found == last)
+            rare = rare[np.lexsort((token[rare], text[rare]))]  # by text and word, in order
+            of_text, of_word = text[rare], token[rare]
+            first = np.flatnonzero(np.r_[True, (of_text[1:] != of_text[:-1]) | (of_word[1:] != of_word[:-1])][: len(rare)])
+            ends = np.searchsorted(of_text[first], np.arange(batch.num_rows + 1))
+            at = pa.ListArray.from_arrays(pa.array(np.r_[first, len(rare)], pa.int32()), pa.array((rare - starts[of_text] + 1).astype(np.int32)))
+            pairs = pa.StructArray.from_arrays([pa.array([words[k] for k in of_word[first].tolist()], pa.binary()), at], ["word", "at"])
             rare_lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, t) for x, t in zip(columns, types)), rare_lists], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *results, rare_lists], schema.names)
 
     local = materialize(given.mapInArrow(run, schema), "looked-up")  # keys are made once: what follows reads what was written
     words = local.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.at")

@@ -81,10 +81,10 @@ def version_chain(spark, sf_dir):
 def supersede(spark, sf_dir):
     """Old versions of the facts of every tenth supplier end on 1 January 2003."""
     f = written(closed_versions(spark, sf_dir), "facts")
-    old = K.with_ids(T.resolve_current(f).filter("cast(substring(subject_id, 2) as long) % 10 = 5"))
-    new = K.with_ids(old.withColumnRenamed("fact_id", "old_fact_id").withColumn("valid_from", F.lit("2003-01-01").cast("date")))
-    after, _, _ = K.supersede(K.with_ids(f), new)
-    return after.select("fact_id", "valid_from", "valid_to")
+    old = T.resolve_current(f).filter("cast(substring(subject_id, 2) as long) % 10 = 5")
+    new = old.withColumnRenamed("valid_from", "old_from").withColumn("valid_from", F.lit("2003-01-01").cast("date"))
+    after, _, _ = K.supersede(f, new, K.FAMILY)
+    return after.select(K.fact_id().alias("fact_id"), "valid_from", "valid_to")
 
 
 def supersede_edges(spark, sf_dir):

@@ -1,8 +1,10 @@
 """Facts never pass through the driver, are dealt once and by what they are made of; results of size are never written."""
 
 import datetime
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from kairograph.operators import facts as K
@@ -42,3 +44,40 @@ def test_superseding_by_columns_is_that_by_ids(spark):
     assert len(want) == 14 and next(r.valid_to for r in want if r[:4] == ("a", "TREATS", "x", D(2020, 3, 1))) == D(2021, 5, 1)
     assert sorted(pairs.collect()) == sorted(edges.collect()) and edges.count() == 4
     assert sorted(left.select("subject_id", "object_id").collect()) == sorted(missing.select("subject_id", "object_id").collect()) == [("b", "y"), ("c", "x")]
+
+
+def test_subgraphs_write_no_row_for_a_fact_and_seeds(spark, monkeypatch):
+    sizes, written = {}, K.written
+
+    def counted(df, name):
+        table = written(df, name)
+        sizes[name] = max(sizes.get(name, 0), table.count())
+        return table
+
+    monkeypatch.setattr(K, "written", counted)
+    facts = spark.createDataFrame([(f"f{k}", f"S{k}", "hub") for k in range(200)], "fact_id string, subject_id string, object_id string")
+    assert K.entity_subgraph(facts, facts.selectExpr("subject_id as entity_id"), 2).count() == 200 * 200
+    assert max(sizes.values()) <= 2 * 200  # 200 facts and 4 groups of seeds are 800
+
+
+@pytest.mark.parametrize("slice_rows", [1, 7, 100_000])
+def test_subgraphs_by_slices_and_columns(spark, slice_rows):
+    r = random.Random(slice_rows)
+    rows = [(f"E{r.randrange(60)}", "TREATS", r.choice(["hub", None, f"E{r.randrange(60)}"]), D(2020, 1, 1 + k % 28)) for k in range(150)]
+    rows = sorted({x for x in rows if x[2]}) + [x for x in rows if not x[2]][:1]
+    facts = spark.createDataFrame(rows, "subject_id string, relation_type string, object_id string, valid_from date")
+    named = K.with_ids(facts).withColumn("fact_id", F.coalesce("fact_id", F.lit("no id")))
+    seeds = spark.createDataFrame([(f"E{k}",) for k in range(70)], "entity_id string")
+    got = sorted(map(tuple, K.entity_subgraph(named.union(named), seeds, 3, slice_rows=slice_rows).collect()))
+    want, rows = [], [(x.fact_id, {x.subject_id, x.object_id} - {None}) for x in named.collect()]
+    for seed in (f"E{k}" for k in range(70)):
+        at, found = {seed}, {}
+        for hop in (1, 2, 3):
+            near = [f for f in rows if at & f[1]]
+            for f in near:
+                found.setdefault(f[0], hop)
+            at = at.union(*(f[1] for f in near))
+        want += [(seed, f, hop) for f, hop in found.items()]
+    assert got == sorted(want)
+    by_columns = K.entity_subgraph(facts, seeds, 3, K.FAMILY, slice_rows).filter("fact_id is not null").collect()
+    assert sorted(map(tuple, by_columns)) == [x for x in got if x[1] != "no id"]

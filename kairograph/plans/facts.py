@@ -29,8 +29,8 @@ def fact_import_stats(spark, sf_dir):
 
 
 def fact_append(spark, sf_dir):
-    new = K.with_ids(facts(spark, sf_dir))
-    return K.append_facts(new, new.filter("valid_from < '1996-01-01'")).select(SHOWN)
+    new = facts(spark, sf_dir).select(*K.FAMILY, "valid_from", "confidence")
+    return named(K.append_facts(new, new.filter("valid_from < '1996-01-01'"), K.FAMILY)).select(SHOWN)
 
 
 def fact_current(spark, sf_dir):

@@ -81,3 +81,20 @@ def test_subgraphs_by_slices_and_columns(spark, slice_rows):
     assert got == sorted(want)
     by_columns = K.entity_subgraph(facts, seeds, 3, K.FAMILY, slice_rows).filter("fact_id is not null").collect()
     assert sorted(map(tuple, by_columns)) == [x for x in got if x[1] != "no id"]
+
+
+def test_appended_facts_are_dealt_by_columns(spark, data):
+    found = plan(QUERIES["fact_append"](spark, data))
+    assert "hashpartitioning(fact_id" not in found and "SortAggregate" not in found and "subject_label" not in found
+
+
+def test_appending_by_columns_is_that_by_ids(spark):
+    rows = [("a", "TREATS", "x", D(2020, 1, k % 9 + 1), k / 20) for k in range(20)] + [("b", "TREATS", None, D(2020, 1, 1), 0.5)]
+    new = spark.createDataFrame(rows, "subject_id string, relation_type string, object_id string, valid_from date, confidence double")
+    known = new.filter("day(valid_from) % 2 = 0 or object_id is null")
+    for add in ({}, {"valid_to": F.date_add("valid_from", F.col("confidence").cast("int"))}):
+        more, held = new.withColumns(add), known.withColumns(add)
+        by_ids = K.append_facts(K.with_ids(more), K.with_ids(held)).select(more.columns)
+        got = K.append_facts(more, held, K.FAMILY)
+        assert got.columns == more.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, by_ids.collect()), key=str)
+        assert {(r.valid_from.day, r.confidence) for r in got.collect() if r.object_id} == {(1, 0.9), (3, 0.55), (5, 0.65), (7, 0.75), (9, 0.85)}

@@ -159,19 +159,19 @@ def envelope_check(spark, sf_dir):
 
 
 def cluster_summary(spark, sf_dir):
-    f = base_facts(spark, sf_dir)
-    return clusters.summary(clusters.by_entity(f), f).select("cluster_id", "size", F.array_join("entities", ",").alias("entities"), F.array_join("relations", ",").alias("relations"))
+    f = clusters.families(versions(spark, sf_dir))
+    return clusters.summary(clusters.by_entity(f)).select("cluster_id", "size", F.array_join("entities", ",").alias("entities"), F.array_join("relations", ",").alias("relations"))
 
 
 def cluster_by_relation(spark, sf_dir):
-    f = base_facts(spark, sf_dir)
-    return clusters.sizes(clusters.by_relation(f), f).select("cluster_id", "size", "n_entities")
+    f = clusters.families(versions(spark, sf_dir))
+    return clusters.sizes(clusters.by_relation(f)).select("cluster_id", "size", "n_entities")
 
 
 def cluster_pages(spark, sf_dir):
     """How the entities of each relation fall into pages of twenty."""
-    f = base_facts(spark, sf_dir)
-    pages = clusters.entity_pages(clusters.by_relation(f), f, 20)
+    f = clusters.families(versions(spark, sf_dir))
+    pages = clusters.entity_pages(clusters.by_relation(f), page=20)
     return pages.select("cluster_id", F.explode("entities").alias("entity"), (F.size("entities") <= 20).alias("bounded"))
 
 

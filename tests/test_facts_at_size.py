@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from kairograph.operators import clusters as C
 from kairograph.operators import facts as K
 
 QUERIES = entry.queries()
@@ -98,3 +99,21 @@ def test_appending_by_columns_is_that_by_ids(spark):
         got = K.append_facts(more, held, K.FAMILY)
         assert got.columns == more.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, by_ids.collect()), key=str)
         assert {(r.valid_from.day, r.confidence) for r in got.collect() if r.object_id} == {(1, 0.9), (3, 0.55), (5, 0.65), (7, 0.75), (9, 0.85)}
+
+
+@pytest.mark.parametrize("name", ["cluster_summary", "cluster_by_relation", "cluster_pages"])
+def test_members_of_clusters_do_not_meet_facts_by_id(spark, data, name):
+    found = plan(QUERIES[name](spark, data))
+    assert "fact_id" not in found and "sha2" not in found and "BroadcastExchange" not in found
+
+
+def test_clusters_of_families_are_those_of_facts(spark):
+    r = random.Random(4)
+    rows = {(f"E{r.randrange(9)}", r.choice(["TREATS", "CAUSES"]), r.choice([None, *(f"E{k}" for k in range(9))]), D(2020, 1, 1 + r.randrange(28))) for _ in range(120)}
+    facts = spark.createDataFrame(sorted(rows, key=str), "subject_id string, relation_type string, object_id string, valid_from date")
+    named = facts.withColumn("fact_id", F.monotonically_increasing_id().cast("string")).localCheckpoint()
+    few = C.families(facts)
+    assert few.count() < len(rows)
+    for members in (C.by_entity, C.by_relation):
+        for made in (C.sizes, C.summary, lambda *a: C.entity_pages(*a, page=3)):
+            assert sorted(map(tuple, made(members(few)).collect()), key=str) == sorted(map(tuple, made(members(named), named).collect()), key=str)
